@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Hashes, partitions, stored, word_hashes, words
+from tessera.llm.common import Hashes, mix, partitions, stored, word_hashes, words
 from tessera.llm.recompression import anchors, prefix_sums, span_hash
 
 WIDTH = 50
@@ -75,6 +75,11 @@ def _first_of_equal(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray
     return out
 
 
+def _dealt(anchor: np.ndarray, repeated: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Anchors, but scattered ones for rows that are known to be repeated and need no comparison: so a hot anchor stays small."""
+    return np.where(repeated, mix(anchor + begin.astype(np.uint64)), anchor)
+
+
 def _stretches(width: int):
     schema = pa.schema([("anchor", pa.int64()), ("words_hash", pa.int64()), ("doc", pa.int64()), ("key", pa.int32()), ("begin", pa.int32()), ("count", pa.int32()), ("repeated", pa.bool_())])
 
@@ -95,7 +100,8 @@ def _stretches(width: int):
             content = span_hash(sums, inverse, begin, begin + size + (width - 1))
             anchor, at = anchor[first], row[begin]
             doc_ids = np.array(doc, np.int64)[at]
-            yield pa.record_batch([pa.array(x) for x in (anchor.view(np.int64), content.view(np.int64), doc_ids, np.array(key, np.int32)[at], place[begin].astype(np.int32), size.astype(np.int32), ~_first_of_equal(anchor, content, doc_ids))], schema=schema)
+            repeated = ~_first_of_equal(anchor, content, doc_ids)
+            yield pa.record_batch([pa.array(x) for x in (_dealt(anchor, repeated, begin).view(np.int64), content.view(np.int64), doc_ids, np.array(key, np.int32)[at], place[begin].astype(np.int32), size.astype(np.int32), repeated)], schema=schema)
 
     return run
 
@@ -116,7 +122,8 @@ def _windows(width: int):
             begin = base[row] + place
             content = span_hash(sums, inverse, begin, begin + width).view(np.int64)
             doc_ids = np.array(doc, np.int64)[row]
-            yield pa.record_batch([pa.array(x) for x in (anchor, content, doc_ids, np.array(key, np.int32)[row], place.astype(np.int32), ~_first_of_equal(anchor, content, doc_ids))], schema=schema)
+            repeated = ~_first_of_equal(anchor, content, doc_ids)
+            yield pa.record_batch([pa.array(x) for x in (_dealt(anchor.view(np.uint64), repeated, begin).view(np.int64), content, doc_ids, np.array(key, np.int32)[row], place.astype(np.int32), repeated)], schema=schema)
 
     return run
 
