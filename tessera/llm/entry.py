@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, neardup, packing, quality, substrings
+from tessera.llm import chat, decontaminate, media, neardup, packing, pagetext, quality, substrings, tokencount, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,28 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.counted(table(spark, sf_dir, "documents"), tokencount.read_pieces())
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.digest(rows.unionByName(hard))
+
+
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extracted(table(spark, sf_dir, "pages"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), urls.PLACED + urls.PATTERNS)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained on the labels; one row per document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,6 +64,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_near_dedup": op3_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_media": op5_media,
+    "op6_token_counts": op6_token_counts,
+    "op7_chat_format": op7_chat_format,
+    "op8_page_text": op8_page_text,
+    "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
 }
 
@@ -83,3 +110,25 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+SQL["op7_chat_format"] = """
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;') AS er, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') AS et FROM r)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length('<|im_start|>') + length(er) + 1 + length(et) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+SQL["op9_url_filter"] = """
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+v AS (SELECT *, CASE
+    WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches(host, '(^|\\.)(cheap-pills|spam-farm|free-bets|casino(-[a-z]+)?|adult(-[a-z]+)?|ads(-[a-z]+)?)\\.') THEN 'block' ELSE 'allow' END AS verdict FROM v
+"""
