@@ -1,10 +1,12 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, verification on full shingle sets, connected components.
 
 * Rows with equal shingle sets form a class at once; its least id stands for it from there on.
-* A bucket (documents that agree on one band) never yields all its pairs.  Its members are compared with a few pivots, at
-  first one, the member that shares buckets with most others.  Buckets whose members have all come to one component are
-  done.  The others go on, with more pivots each round and only pairs across components, until each such pair was compared.
-* Comparisons stream: a pivot's text travels once to each share of at most ``SHARE`` members, so a large group spreads.
+* A bucket (documents that agree on one band) never yields all its pairs.  At first each document is compared with one pivot,
+  the one that it shares most buckets with; a bucket's pivot is the member that shares buckets with most others.  Buckets whose
+  members have all come to one component are done.  In the others, members of different components are held against each
+  other by their signatures, blocks of pivots against shares of members, more pivots each round until all had their turn;
+  only pairs whose signatures agree in ``AGREE`` of the slots (five standard deviations below 0.8) come out and are verified.
+* Verification streams: a pivot's text travels once to each share of at most ``SHARE`` members, so a large group spreads.
 
 Two documents of similarity s agree on some band with probability 1 - (1 - s^rows)^bands: 0.999999995 at 0.8.
 Defined cases: null and empty texts and texts of white space have no shingles, link with nothing and stay; a null id is
@@ -28,8 +30,9 @@ LOWER = bytes(i + 32 * (64 < i < 91) for i in range(256))
 BANDS, ROWS = 48, 5
 SHARE = 256
 BATCH = 400_000
-#: Pivots of a bucket up to each round; past the last, eight times as many each time.
-PIVOTS = 8
+#: Pivots of a bucket in a block, and in its second round (then eight times as many each time); members of a share of blocks.
+PIVOTS, MEMBERS = 256, 2000
+AGREE = 0.67
 
 
 def shingles(text: bytes | None, size: int, seen: Hashes) -> np.ndarray:
@@ -46,7 +49,7 @@ def shingles(text: bytes | None, size: int, seen: Hashes) -> np.ndarray:
 
 
 def _sketch(size: int):
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def emit(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         count = np.array([len(x) for x in sets], np.int64)
@@ -58,13 +61,18 @@ def _sketch(size: int):
             first = np.cumsum(count[some]) - count[some]
             s1, s2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
             s1[some], s2[some] = np.add.reduceat(mix(flat), first), np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), first)
-            sig = signatures(flat, count[some], BANDS * ROWS).reshape(len(some), BANDS, ROWS).astype(np.uint64)
+            sig = signatures(flat, count[some], BANDS * ROWS)
+            short = sig.astype(np.uint8)
+            sig = sig.reshape(len(some), BANDS, ROWS).astype(np.uint64)
             keys += np.arange(1, BANDS + 1, dtype=np.uint64)
             for k in range(ROWS):
                 keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
         offsets = np.concatenate(([0], np.cumsum(np.where(count > 0, BANDS, 0)))).astype(np.int32)
         bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(count), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), bands], schema=schema)
+        kept: list[bytes | None] = [None] * len(sets)
+        for k, i in enumerate(some):
+            kept[i] = short[k].tobytes()
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(count), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), bands, pa.array(kept, pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, ids, sets, total = Hashes(), [], [], 0
@@ -102,6 +110,50 @@ def _compare(size: int, percent: int):
     return run
 
 
+def _alike(percent: int):
+    """Rows sorted by key, block and share, the block's pivots first: pairs of different components whose signatures agree."""
+    schema = pa.schema([("pivot", pa.int64()), ("doc", pa.int64())])
+    numbers = ("key", "block", "share", "member", "doc", "n", "comp", "rank")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pivots = None, []
+        for batch in batches:
+            key, block, share, member, doc, n, comp, rank = (batch.column(x).to_numpy() for x in numbers)
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(len(key), -1)
+            change = np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0) | (np.diff(share) != 0) | (np.diff(member) != 0)) + 1
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for i, j in zip([0, *change.tolist()], [*change.tolist(), len(key)], strict=True):
+                if i == j:
+                    continue
+                if (key[i], block[i], share[i]) != at:
+                    at, pivots = (key[i], block[i], share[i]), []
+                if not member[i]:
+                    pivots += [(doc[k], n[k], comp[k], rank[k], sig[k]) for k in range(i, j)]
+                    continue
+                for p, size, own, place, mine in pivots:
+                    some = i + np.flatnonzero((rank[i:j] > place) & (comp[i:j] != own) & (100 * np.minimum(n[i:j], size) >= percent * np.maximum(n[i:j], size)))
+                    if len(some):
+                        some = some[np.count_nonzero(sig[some] == mine, axis=1) >= AGREE * sig.shape[1]]
+                        out.append((np.full(len(some), p), doc[some]))
+            yield pa.record_batch([pa.array(np.concatenate([x[c] for x in out]) if out else np.zeros(0, np.int64)) for c in (0, 1)], schema=schema)
+
+    return run
+
+
+def _candidates(members: DataFrame, sketch: DataFrame, first: int, upto: int, percent: int) -> DataFrame:
+    """Pairs (pivot, doc) of open buckets, pivots of ranks over ``first`` up to ``upto`` against all members that rank behind them."""
+    n = partitions(members.sparkSession)
+    sizes = members.groupBy("key").agg(F.max("rank").alias("size"))
+    known = members.join(sketch.where("doc is not null").select("doc", "sig").dropDuplicates(["doc"]), "doc").join(sizes, "key").withColumn("shares", F.ceil(F.col("size") / F.lit(MEMBERS)))
+    last = F.least(F.col("rank") - 1, F.col("size") - 1, F.lit(upto - 1))
+    block = F.explode(F.sequence(F.lit(first // PIVOTS).cast("long"), F.floor(last / F.lit(PIVOTS)).cast("long")))
+    columns = ["key", "block", "share", "member", "doc", F.col("n").cast("long").alias("n"), "comp", F.col("rank").cast("long").alias("rank"), "sig"]
+    pivots = known.where((F.col("rank") > first) & (F.col("rank") <= upto)).withColumn("block", F.floor((F.col("rank") - 1) / F.lit(PIVOTS)).cast("long")).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares").cast("long") - 1))).withColumn("member", F.lit(0).cast("long")).select(columns)
+    others = known.where(F.col("rank") > first + 1).withColumn("block", block).withColumn("share", F.expr("pmod(xxhash64(doc), shares)").cast("long")).withColumn("member", F.lit(1).cast("long")).select(columns)
+    rows = pivots.unionByName(others).repartition(n, "key", "block", "share").sortWithinPartitions("key", "block", "share", "member")
+    return rows.mapInArrow(_alike(percent), "pivot long, doc long").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b, linked) of the pairs (pivot, doc), compared on their full sets."""
     n = partitions(pairs.sparkSession)
@@ -116,7 +168,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, n_shingles, component) of each row of ``docs``: linked where 100 x intersection >= ``percent`` x union."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    sketch = stored(rows.mapInArrow(_sketch(size), "doc long, n long, s1 long, s2 long, bands array<long>"), "sketches")
+    sketch = stored(rows.mapInArrow(_sketch(size), "doc long, n long, s1 long, s2 long, bands array<long>, sig binary"), "sketches")
     full = sketch.where("doc is not null and n > 0")
     classes = full.groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("rows"))
     alike = full.select("doc", "s1", "s2", "n").join(classes.where("rows > 1"), ["s1", "s2", "n"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()
@@ -144,8 +196,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
         members = stored(members.select("key", "doc", "n", "comp", "rank"), "open")
         if members.isEmpty():
             break
-        pivots = members.where((F.col("rank") > first) & (F.col("rank") <= upto)).select("key", F.col("doc").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"), F.col("rank").alias("prank"))
-        pairs = members.join(pivots, "key").where("rank > prank and comp <> pcomp").where(near).select("pivot", "doc").distinct()
+        pairs = _candidates(members, sketch, first, upto, percent)
         pairs = pairs.join(compared.select(F.col("a").alias("pivot"), F.col("b").alias("doc")), ["pivot", "doc"], "left_anti").join(compared.select(F.col("b").alias("pivot"), F.col("a").alias("doc")), ["pivot", "doc"], "left_anti")
         more = _verified(stored(pairs, "pairs"), texts, size, percent)
         compared = compared.unionByName(more)
