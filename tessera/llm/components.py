@@ -26,11 +26,11 @@ def _star(edges: DataFrame, keep_larger: bool) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the least node that each node of ``links`` (a, b) reaches.  Nodes that are least themselves have no row."""
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    sums = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    last = sums(edges)
     for _ in range(most_rounds):
-        new = stored(_star(_star(edges, True), False), "edges")
-        sums = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        done = sums(new) == sums(edges)
-        edges = new
-        if done:
+        edges = stored(_star(_star(edges, True), False), "edges")
+        before, last = last, sums(edges)
+        if before == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     raise RuntimeError(f"components not found in {most_rounds} rounds")

@@ -56,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained on the labels; one row per document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")))
-    return quality.scored(docs, model).select("doc_id", "expected_grade", "p_toxic", "p_poor", "rejected", (~F.col("rejected")).alias("kept"))
+    return quality.scored(docs, model).withColumn("kept", ~F.col("rejected"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

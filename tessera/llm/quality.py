@@ -20,9 +20,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import fresh
+
 BITS = 18
 SAMPLE = 12_000
 #: Steps of gradient descent, and the weight decay.
@@ -148,14 +150,15 @@ def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, id_col: str
             yield pa.record_batch([batch.column("grade"), pa.array([features(x.as_py(), seen) for x in batch.column("text")], pa.list_(pa.int32()))], schema=schema)
 
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias(id_col), "grade")
-    got = docs.join(F.broadcast(chosen), id_col).select("grade", F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "grade int, found array<int>").toArrow()
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"))
+    got = rows.join(F.broadcast(chosen), id_col).select("grade", "text").mapInArrow(run, "grade int, found array<int>").toArrow()
     order = sorted(range(got.num_rows), key=lambda k: (got["grade"][k].as_py(), len(got["found"][k])))
     found = [got["found"][k].values.to_numpy() for k in order]
     return Model.fit([np.sort(x) for x in found], np.array([got["grade"][k].as_py() for k in order], np.int64))
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with expected_grade, p_toxic = P(grade <= 0), p_poor = P(grade <= 1) and rejected."""
+def judged(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+    """A column of each document's expected_grade, p_toxic = P(grade <= 0) and p_poor = P(grade <= 1)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("expected_grade double, p_toxic double, p_poor double")
@@ -167,6 +170,22 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(m.thresholds[None, :] - scores[:, None], -500, 500)))
             yield pd.DataFrame({"expected_grade": (GRADES - 1) - p.sum(axis=1), "p_toxic": p[:, 0], "p_poor": p[:, 1]})
 
-    out = docs.withColumn("_judged", judge(F.col(text_col)))
-    some = F.length(F.coalesce(F.col(text_col), F.lit(""))) > 0
-    return out.select(*docs.columns, "_judged.*", (some & ((F.col("_judged.p_toxic") > TOXIC) | (F.col("_judged.p_poor") > POOR))).alias("rejected"))
+    return judge(F.col(text_col))
+
+
+def rejected(judged: Column, text: Column) -> Column:
+    """Rejected or not; a document without text isn't."""
+    return (F.length(F.coalesce(text, F.lit(""))) > 0) & ((judged["p_toxic"] > TOXIC) | (judged["p_poor"] > POOR))
+
+
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, expected_grade, p_toxic, p_poor, rejected) of each row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("judged", judged(rows, model))
+    return rows.select("doc_id", "judged.*", rejected(F.col("judged"), F.col("text")).alias("rejected"))
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't rejected."""
+    name = fresh(docs, "judged")
+    return docs.withColumn(name, judged(docs, model, text_col)).where(~rejected(F.col(name), F.col(text_col))).select(*docs.columns)

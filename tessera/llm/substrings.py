@@ -22,11 +22,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Hashes, mix, partitions, stored, word_hashes, words
+from tessera.llm.common import Hashes, fresh, mix, partitions, stored, word_hashes, words
 from tessera.llm.recompression import anchors, prefix_sums, span_hash
 
 WIDTH = 50
@@ -159,10 +160,11 @@ def _kept(count: int, spans: list | None) -> np.ndarray:
     return np.cumsum(edges[:-1]) == 0
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, spans_col: str = "_spans") -> DataFrame:
-    """``docs`` with the spans to cut; an array, null where there are none."""
-    spans = repeated_spans(docs, id_col, text_col, width).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("spans").alias(spans_col))
-    return docs.join(spans, (docs[id_col].cast("long") == spans["_doc"]) & (F.hash(docs[text_col]) == spans["_key"]), "left").drop("_doc", "_key")
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> tuple[DataFrame, str]:
+    """``docs`` with the spans to cut, an array, null where there are none; and the new column's name."""
+    doc, key, spans = (fresh(docs, x) for x in ("doc", "key", "spans"))
+    found = repeated_spans(docs, id_col, text_col, width).select(F.col("doc").alias(doc), F.col("key").alias(key), F.col("spans").alias(spans))
+    return docs.join(found, (docs[id_col].cast("long") == found[doc]) & (F.hash(docs[text_col]) == found[key]), "left").drop(doc, key), spans
 
 
 def cut(text: bytes, spans: list) -> bytes:
@@ -179,13 +181,13 @@ def cut(text: bytes, spans: list) -> bytes:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """``docs`` with repeated passages cut from their texts; texts without any stay as they are, byte for byte."""
     columns = docs.columns
-    marked = with_spans(docs, id_col, text_col, width)
+    marked, spans_col = with_spans(docs, id_col, text_col, width)
 
     @F.pandas_udf("string")
     def cut_all(text, spans):
-        return text.combine(spans, lambda t, s: t if t is None or s is None or not len(s) else cut(t.encode(), s).decode())
+        return pd.Series([cut(t.encode(), s).decode() if isinstance(t, str) and s is not None and len(s) else t for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    return marked.withColumn(text_col, F.when(F.col("_spans").isNotNull(), cut_all(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))).select(*columns)
+    return marked.withColumn(text_col, F.when(F.col(spans_col).isNotNull(), cut_all(F.col(text_col), F.col(spans_col))).otherwise(F.col(text_col))).select(*columns)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -202,5 +204,5 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
                 out.append((doc, len(tokens), len(tokens) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True) if out else [()] * 4, schema.types, strict=True)], schema=schema)
 
-    marked = with_spans(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, width)
-    return marked.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"), F.col("_spans").alias("spans")).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    marked, spans_col = with_spans(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, width)
+    return marked.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"), F.col(spans_col).alias("spans")).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
