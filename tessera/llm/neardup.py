@@ -5,8 +5,10 @@
   the one that it shares most buckets with; a bucket's pivot is the member that shares buckets with most others.  Buckets whose
   members have all come to one component are done.  In the others, members of different components are held against each
   other by their signatures, blocks of pivots against shares of members, more pivots each round until all had their turn;
-  only pairs whose signatures agree in ``AGREE`` of the slots (four to five standard deviations below 0.8: a link is missed
-  with a probability under 0.00005, and only if no other path joins its ends) come out and are verified.
+  pairs whose signatures agree in ``AGREE`` of the slots (four to five standard deviations below 0.8: a link is missed with a
+  probability under 0.00005, and only if no other path joins its ends) are compared there by the low bits of all their elements,
+  which can't lose a link; what stays, hardly more than the links, comes out and is verified.  Rows grow with the documents,
+  not with the square of a group.
 * Verification streams: a pivot's text travels once to each share of at most ``SHARE`` members, so a large group spreads.
 
 Two documents of similarity s agree on some band with probability 1 - (1 - s^rows)^bands: 0.999999995 at 0.8.
@@ -34,6 +36,8 @@ BATCH = 400_000
 #: Pivots of a bucket in a block, and in its second round (then eight times as many each time); members of a share of blocks.
 PIVOTS, MEMBERS = 256, 2000
 AGREE = 0.70
+#: Elements of a set whose low 16 bits do.
+SMALL = 512
 
 
 def shingles(text: bytes | None, size: int, seen: Hashes) -> np.ndarray:
@@ -49,8 +53,30 @@ def shingles(text: bytes | None, size: int, seen: Hashes) -> np.ndarray:
     return np.unique(value)
 
 
+def low_bits(elements: np.ndarray) -> bytes:
+    """The low bits of each element: 16 in small sets, 32 in others."""
+    return elements.astype(np.uint16 if len(elements) <= SMALL else np.uint32).tobytes()
+
+
+def common_at_most(own: np.ndarray, others: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+    """For each of ``others`` how many of its elements have low bits that ``own`` has too, at least as many as are common.
+
+    ``table``: 65,536 false values, left as found.
+    """
+    flat = np.concatenate(others)
+    first = np.concatenate(([0], np.cumsum([len(x) for x in others])[:-1]))
+    if own.dtype == np.uint16 or flat.dtype == np.uint16:
+        table[own.astype(np.uint16)] = True
+        hit = table[flat.astype(np.uint16)]
+        table[own.astype(np.uint16)] = False
+    else:
+        sorted_ = np.sort(own)
+        hit = sorted_[np.minimum(np.searchsorted(sorted_, flat), len(sorted_) - 1)] == flat
+    return np.add.reduceat(hit.astype(np.int64), first)
+
+
 def _sketch(size: int):
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), ("low", pa.binary())])
 
     def emit(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         count = np.array([len(x) for x in sets], np.int64)
@@ -73,7 +99,7 @@ def _sketch(size: int):
         kept: list[bytes | None] = [None] * len(sets)
         for k, i in enumerate(some):
             kept[i] = short[k].tobytes()
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(count), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), bands, pa.array(kept, pa.binary())], schema=schema)
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(count), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), bands, pa.array(kept, pa.binary()), pa.array([low_bits(x) for x in sets], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, ids, sets, total = Hashes(), [], [], 0
@@ -117,10 +143,11 @@ def _alike(percent: int):
     numbers = ("key", "block", "share", "member", "doc", "n", "comp", "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, pivots = None, []
+        at, pivots, table = None, [], np.zeros(1 << 16, bool)
         for batch in batches:
             key, block, share, member, doc, n, comp, rank = (batch.column(x).to_numpy() for x in numbers)
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(len(key), -1)
+            low = [np.frombuffer(x, np.uint16 if m <= SMALL else np.uint32) for x, m in zip(batch.column("low").to_pylist(), n, strict=True)]
             change = np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0) | (np.diff(share) != 0) | (np.diff(member) != 0)) + 1
             out: list[tuple[np.ndarray, np.ndarray]] = []
             for i, j in zip([0, *change.tolist()], [*change.tolist(), len(key)], strict=True):
@@ -129,13 +156,16 @@ def _alike(percent: int):
                 if (key[i], block[i], share[i]) != at:
                     at, pivots = (key[i], block[i], share[i]), []
                 if not member[i]:
-                    pivots += [(doc[k], n[k], comp[k], rank[k], sig[k]) for k in range(i, j)]
+                    pivots += [(doc[k], n[k], comp[k], rank[k], sig[k], low[k]) for k in range(i, j)]
                     continue
-                for p, size, own, place, mine in pivots:
+                for p, size, own, place, mine, bits in pivots:
                     some = i + np.flatnonzero((rank[i:j] > place) & (comp[i:j] != own) & (100 * np.minimum(n[i:j], size) >= percent * np.maximum(n[i:j], size)))
-                    if len(some):
-                        some = some[np.count_nonzero(sig[some] == mine, axis=1) >= AGREE * sig.shape[1]]
-                        out.append((np.full(len(some), p), doc[some]))
+                    some = some[np.count_nonzero(sig[some] == mine, axis=1) >= AGREE * sig.shape[1]] if len(some) else some
+                    for part in (some[n[some] <= SMALL], some[n[some] > SMALL]):
+                        if len(part):
+                            most = common_at_most(bits, [low[k] for k in part], table)
+                            part = part[100 * most >= percent * (size + n[part] - most)]
+                            out.append((np.full(len(part), p), doc[part]))
             yield pa.record_batch([pa.array(np.concatenate([x[c] for x in out]) if out else np.zeros(0, np.int64)) for c in (0, 1)], schema=schema)
 
     return run
@@ -145,10 +175,10 @@ def _candidates(members: DataFrame, sketch: DataFrame, first: int, upto: int, pe
     """Pairs (pivot, doc) of open buckets, pivots of ranks over ``first`` up to ``upto`` against all members that rank behind them."""
     n = partitions(members.sparkSession)
     sizes = members.groupBy("key").agg(F.max("rank").alias("size"))
-    known = members.join(sketch.where("doc is not null").select("doc", "sig").dropDuplicates(["doc"]), "doc").join(sizes, "key").withColumn("shares", F.ceil(F.col("size") / F.lit(MEMBERS)))
+    known = members.join(sketch.where("doc is not null").select("doc", "sig", "low").dropDuplicates(["doc"]), "doc").join(sizes, "key").withColumn("shares", F.ceil(F.col("size") / F.lit(MEMBERS)))
     last = F.least(F.col("rank") - 1, F.col("size") - 1, F.lit(upto - 1))
     block = F.explode(F.sequence(F.lit(first // PIVOTS).cast("long"), F.floor(last / F.lit(PIVOTS)).cast("long")))
-    columns = ["key", "block", "share", "member", "doc", F.col("n").cast("long").alias("n"), "comp", F.col("rank").cast("long").alias("rank"), "sig"]
+    columns = ["key", "block", "share", "member", "doc", F.col("n").cast("long").alias("n"), "comp", F.col("rank").cast("long").alias("rank"), "sig", "low"]
     pivots = known.where((F.col("rank") > first) & (F.col("rank") <= upto)).withColumn("block", F.floor((F.col("rank") - 1) / F.lit(PIVOTS)).cast("long")).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares").cast("long") - 1))).withColumn("member", F.lit(0).cast("long")).select(columns)
     others = known.where(F.col("rank") > first + 1).withColumn("block", block).withColumn("share", F.expr("pmod(xxhash64(doc), shares)").cast("long")).withColumn("member", F.lit(1).cast("long")).select(columns)
     rows = pivots.unionByName(others).repartition(n, "key", "block", "share").sortWithinPartitions("key", "block", "share", "member")
@@ -169,7 +199,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, n_shingles, component) of each row of ``docs``: linked where 100 x intersection >= ``percent`` x union."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    sketch = stored(rows.mapInArrow(_sketch(size), "doc long, n long, s1 long, s2 long, bands array<long>, sig binary"), "sketches")
+    sketch = stored(rows.mapInArrow(_sketch(size), "doc long, n long, s1 long, s2 long, bands array<long>, sig binary, low binary"), "sketches")
     full = sketch.where("doc is not null and n > 0")
     classes = full.groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("rows"))
     alike = full.select("doc", "s1", "s2", "n").join(classes.where("rows > 1"), ["s1", "s2", "n"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()
