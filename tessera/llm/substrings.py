@@ -154,7 +154,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _kept(count: int, spans: list | None) -> np.ndarray:
     """True for each word that no span covers."""
     edges = np.zeros(count + 1, np.int64)
-    for s in spans or ():
+    for s in () if spans is None else spans:
         edges[min(s["begin"], count)] += 1
         edges[min(s["end"], count)] -= 1
     return np.cumsum(edges[:-1]) == 0
