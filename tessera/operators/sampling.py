@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import ranked
+
 PRIME, FACTOR = 1_000_003, 7919
 
 
@@ -33,15 +35,15 @@ def stratified(df: DataFrame, by: list[str], score: Column, id_col: str, cap: in
 def round_robin(df: DataFrame, bucket: str, order: list, hands: int) -> DataFrame:
     """Rows dealt to ``hands``: the first of each bucket, then the second of each, and so on.
 
-    A row's place is the number of rows with a lesser turn plus its bucket's place among those that reach the turn; the counts by
-    turn are aggregated first, so no window covers the table.
+    A row's place is how many rows other turns and lesser buckets deal before it; that needs only the buckets' sizes, one row of
+    which is sent to all (buckets are classes, thousands at most).  Ranks inside a bucket are taken by range, so a bucket spreads.
     """
-    turn = F.row_number().over(Window.partitionBy(bucket).orderBy(*order))
-    turned = df.withColumn("turn", turn)
-    sizes = turned.groupBy("turn").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("turn", (F.coalesce(F.sum("_n").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("turn").orderBy(bucket)) - 1 + F.col("_before")
-    return turned.join(before, "turn").withColumn("place", place).withColumn("hand", F.pmod("place", F.lit(hands))).drop("_before")
+    turned = ranked(df, [bucket], order, "turn")
+    sizes = turned.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct(F.col(bucket).alias("b"), "n")).alias("_sizes"))
+    earlier = F.aggregate("_sizes", F.lit(0).cast("long"), lambda s, c: s + F.least(c["n"], F.col("turn") - 1))
+    beside = F.size(F.filter("_sizes", lambda c: (c["b"] < F.col(bucket)) & (c["n"] >= F.col("turn"))))
+    placed = turned.join(F.broadcast(sizes)).withColumn("place", earlier + beside)
+    return placed.withColumn("hand", F.pmod("place", F.lit(hands))).drop("_sizes")
 
 
 def paired(df: DataFrame, by: list[str], id_col: str, seed: int = 42) -> DataFrame:

@@ -82,12 +82,10 @@ def answer_split(spark, sf_dir):
 
 
 @query("ordinal_fmt", """
-SELECT r_regionkey * 25 + n_nationkey AS n, (r_regionkey * 25 + n_nationkey)::VARCHAR || CASE WHEN (r_regionkey * 25 + n_nationkey) % 100 BETWEEN 11 AND 13 THEN 'th'
-    WHEN (r_regionkey * 25 + n_nationkey) % 10 = 1 THEN 'st' WHEN (r_regionkey * 25 + n_nationkey) % 10 = 2 THEN 'nd' WHEN (r_regionkey * 25 + n_nationkey) % 10 = 3 THEN 'rd' ELSE 'th' END AS word FROM region, nation
+SELECT p_partkey AS n, p_partkey::VARCHAR || CASE WHEN p_partkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN p_partkey % 10 = 1 THEN 'st' WHEN p_partkey % 10 = 2 THEN 'nd' WHEN p_partkey % 10 = 3 THEN 'rd' ELSE 'th' END AS word FROM part
 """)
 def ordinal_fmt(spark, sf_dir):
-    n = read(spark, sf_dir, "region").crossJoin(read(spark, sf_dir, "nation")).select((F.col("r_regionkey") * 25 + F.col("n_nationkey")).alias("n"))
-    return n.select("n", text.ordinal(F.col("n")).alias("word"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"), text.ordinal(F.col("p_partkey")).alias("word"))
 
 
 @query("halfminute_fmt", """

@@ -82,7 +82,7 @@ def modal_value(spark, sf_dir):
 @query("label_histogram", """SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY 1""")
 def label_histogram(spark, sf_dir):
     by = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return by.crossJoin(F.broadcast(by.agg(F.sum("n").alias("t")))).select("event_type", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
+    return by.join(F.broadcast(by.agg(F.sum("n").alias("t")))).select("event_type", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
 
 
 @query("frames_to_seconds", """SELECT user_id, floor(event_id / 25.0::DOUBLE)::BIGINT AS second, round(avg(value), 6) AS value FROM events GROUP BY 1, 2""")

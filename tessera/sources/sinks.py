@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import normalised
+from tessera.operators.ordering import ranked
 
 
 def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -32,7 +33,7 @@ def partial_upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str])
 def vectors_to_append(new: DataFrame, base: int, dimension: int, order: list[str]) -> DataFrame:
     """Vectors normalised and numbered on from ``base``; a wrong dimension fails the job.
 
-    Numbers are dense: rows are ranked inside range partitions whose counts are summed first, by the ordinals of ``with_ordinal``.
+    Numbers are dense, see ``ordering.ranked``.
     """
     right = F.assert_true(F.size("embedding") == dimension, F.lit(f"vectors must have {dimension} numbers"))
     checked = new.withColumn("_ok", right).withColumn("embedding", normalised(F.col("embedding")))
@@ -40,16 +41,8 @@ def vectors_to_append(new: DataFrame, base: int, dimension: int, order: list[str
 
 
 def with_ordinal(df: DataFrame, order: list[str], name: str, base: int = 0) -> DataFrame:
-    """Dense numbers from ``base`` in the order of ``order``, without one task ranking all rows.
-
-    Rows are range-partitioned by the order; each partition ranks its own, and the partitions' sizes, one row each, give the offsets.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    ranked = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = placed.groupBy("_p").count()
-    before = sizes.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return ranked.join(F.broadcast(before), "_p").withColumn(name, (F.col("_b") + F.col("_r") - 1 + base).cast("long")).drop("_p", "_r", "_b")
+    """Dense numbers from ``base`` in the order of ``order``, without one task ranking all rows."""
+    return ranked(df, [], order, name, base)
 
 
 def by_episode(df: DataFrame, path: str, key: str = "episode_id", kind: str = "parquet", mode: str = "append") -> None:
