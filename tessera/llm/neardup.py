@@ -13,7 +13,8 @@
 
 Two documents of similarity s agree on some band with probability 1 - (1 - s^rows)^bands: 0.999999995 at 0.8.
 Defined cases: null and empty texts and texts of white space have no shingles, link with nothing and stay; a null id is
-never linked (its component is null) and stays; rows with one id are one node; equal rows are linked.
+never linked (its component is null) and stays; rows with one id are one node, for which the least of their texts is compared
+(equal sets link in any case); repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def common_at_most(own: np.ndarray, others: list[np.ndarray], table: np.ndarray)
 
 
 def _sketch(size: int):
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), ("low", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def emit(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         count = np.array([len(x) for x in sets], np.int64)
@@ -99,7 +100,7 @@ def _sketch(size: int):
         kept: list[bytes | None] = [None] * len(sets)
         for k, i in enumerate(some):
             kept[i] = short[k].tobytes()
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(count), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), bands, pa.array(kept, pa.binary()), pa.array([low_bits(x) for x in sets], pa.binary())], schema=schema)
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(count), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), bands, pa.array(kept, pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, ids, sets, total = Hashes(), [], [], 0
@@ -117,6 +118,19 @@ def _sketch(size: int):
     return run
 
 
+def _with_low(size: int):
+    """Documents in buckets with the low bits of their sets."""
+    schema = pa.schema([("doc", pa.int64()), ("text", pa.binary()), ("low", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Hashes()
+        for batch in batches:
+            low = [low_bits(shingles(x.as_py(), size, seen)) for x in batch.column("text")]
+            yield pa.record_batch([batch.column("doc"), batch.column("text"), pa.array(low, pa.binary())], schema=schema)
+
+    return run
+
+
 def _compare(size: int, percent: int):
     """Rows sorted by pivot and share, the pivot's own row before its members': (a, b, linked) of each member."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
@@ -171,11 +185,11 @@ def _alike(percent: int):
     return run
 
 
-def _candidates(members: DataFrame, sketch: DataFrame, first: int, upto: int, percent: int) -> DataFrame:
+def _candidates(members: DataFrame, sketch: DataFrame, texts: DataFrame, first: int, upto: int, percent: int) -> DataFrame:
     """Pairs (pivot, doc) of open buckets, pivots of ranks over ``first`` up to ``upto`` against all members that rank behind them."""
     n = partitions(members.sparkSession)
     sizes = members.groupBy("key").agg(F.max("rank").alias("size"))
-    known = members.join(sketch.where("doc is not null").select("doc", "sig", "low").dropDuplicates(["doc"]), "doc").join(sizes, "key").withColumn("shares", F.ceil(F.col("size") / F.lit(MEMBERS)))
+    known = members.join(sketch.where("doc is not null").select("doc", "sig").dropDuplicates(["doc"]), "doc").join(texts.select("doc", "low"), "doc").join(sizes, "key").withColumn("shares", F.ceil(F.col("size") / F.lit(MEMBERS)))
     last = F.least(F.col("rank") - 1, F.col("size") - 1, F.lit(upto - 1))
     block = F.explode(F.sequence(F.lit(first // PIVOTS).cast("long"), F.floor(last / F.lit(PIVOTS)).cast("long")))
     columns = ["key", "block", "share", "member", "doc", F.col("n").cast("long").alias("n"), "comp", F.col("rank").cast("long").alias("rank"), "sig", "low"]
@@ -190,6 +204,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     n = partitions(pairs.sparkSession)
     shares = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).alias("shares"))
     pairs = pairs.join(shares, "pivot").select("pivot", "doc", F.expr("pmod(xxhash64(doc), shares)").cast("long").alias("share"))
+    texts = texts.select("doc", "text")
     members = pairs.join(texts, "doc").select("pivot", "share", "doc", "text")
     pivots = pairs.select("pivot", "share").distinct().join(texts.withColumnRenamed("doc", "pivot"), "pivot").select("pivot", "share", F.lit(None).cast("long").alias("doc"), "text")
     rows = members.unionByName(pivots).repartition(n, "pivot", "share").sortWithinPartitions("pivot", "share", F.col("doc").asc_nulls_first())
@@ -199,16 +214,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, n_shingles, component) of each row of ``docs``: linked where 100 x intersection >= ``percent`` x union."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    sketch = stored(rows.mapInArrow(_sketch(size), "doc long, n long, s1 long, s2 long, bands array<long>, sig binary, low binary"), "sketches")
+    sketch = stored(rows.mapInArrow(_sketch(size), "doc long, n long, s1 long, s2 long, bands array<long>, sig binary"), "sketches")
     full = sketch.where("doc is not null and n > 0")
     classes = full.groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("rows"))
     alike = full.select("doc", "s1", "s2", "n").join(classes.where("rows > 1"), ["s1", "s2", "n"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()
-    reps = full.join(classes.select("s1", "s2", "n", F.col("rep").alias("doc")), ["s1", "s2", "n", "doc"], "left_semi").dropDuplicates(["doc", "s1", "s2"])
+    reps = full.join(classes.select("s1", "s2", "n", F.col("rep").alias("doc")), ["s1", "s2", "n", "doc"], "left_semi")
     banded = reps.select("doc", "n", F.explode("bands").alias("key"))
     counts = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     bucketed = stored(banded.join(counts, "key"), "buckets")
     degree = bucketed.groupBy("doc").agg(F.sum("c").alias("degree"))
-    texts = stored(rows.join(bucketed.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+    known = rows.join(bucketed.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
+    texts = stored(known.select("doc", "text").mapInArrow(_with_low(size), "doc long, text binary, low binary"), "texts")
     # first round: each document with the pivot that it shares most buckets with
     ranked = bucketed.join(degree, "doc")
     pivot = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc")).alias("minus"), "n")).alias("p")).select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pn"))
@@ -227,7 +243,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
         members = stored(members.select("key", "doc", "n", "comp", "rank"), "open")
         if members.isEmpty():
             break
-        pairs = _candidates(members, sketch, first, upto, percent)
+        pairs = _candidates(members, sketch, texts, first, upto, percent)
         pairs = pairs.join(compared.select(F.col("a").alias("pivot"), F.col("b").alias("doc")), ["pivot", "doc"], "left_anti").join(compared.select(F.col("b").alias("pivot"), F.col("a").alias("doc")), ["pivot", "doc"], "left_anti")
         more = _verified(stored(pairs, "pairs"), texts, size, percent)
         compared = compared.unionByName(more)
