@@ -56,8 +56,9 @@ def conversations(nodes: DataFrame, branches: int = 1) -> DataFrame:
     while 1 << len(jumps) < max(2, most) and not state.where("up is not null").isEmpty():
         jumps.append(state.where("up is not null").select(F.col("conv").alias("c"), F.col("node").alias("n"), "up"))
         next_ = state.select(F.col("conv").alias("c"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
-        joined = state.join(next_, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")), "left")
-        state = stored(joined.select("conv", "node", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")), "jumps")
+        rest = state.where("up is null")  # these have their root
+        joined = state.where("up is not null").join(next_, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")), "left")
+        state = stored(rest.unionByName(joined.select("conv", "node", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))), "jumps")
     rooted = state.where("up is null")
     parents = start.where("n is not null").select(F.col("conv").alias("c"), "n").distinct()
     leaves = rooted.join(parents, F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")), "left_anti")
