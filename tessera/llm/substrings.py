@@ -32,7 +32,7 @@ from tessera.llm.recompression import anchors, prefix_sums, span_hash
 
 WIDTH = 50
 #: Words that are worked on at once.
-BATCH = 1_500_000
+BATCH = 600_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
