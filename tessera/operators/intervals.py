@@ -36,21 +36,43 @@ def coverage(truth: DataFrame, windows: DataFrame, key: str = "episode_id", buck
     return truth.join(renamed, on, "left").groupBy(key).agg(F.avg(F.coalesce(F.col("_hit"), F.lit(0.0))).alias("covered"))
 
 
+def _starts(points: DataFrame, segments: DataFrame, key: str, order: str) -> DataFrame:
+    """Points and segments of a key on one line: ``_p`` the point, ``_left`` and ``_right`` the segments that start last until its ``t`` and
+    first after it (of equal starts the least by ``order``), ``_first`` the earliest that ends at ``t`` or later.
+
+    Sorts instead of joining, so a key with m points and n segments costs m + n rows, not m * n.
+    """
+    by = Window.partitionBy(key).orderBy("start", order)
+    until = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    s = segments.withColumn("_s", F.struct(*[c for c in segments.columns if c != key])).withColumn("_lead", F.col("end").isNotNull() & (until.isNull() | (F.col("end") > until))).withColumn("_n", F.row_number().over(Window.partitionBy(key, "start").orderBy(order)))
+    none = F.lit(None).cast(s.schema["_s"].dataType)
+    p = points.select(key, F.struct(*[c for c in points.columns if c != key]).alias("_p"), F.col("t").cast("double").alias("_t"))
+    kept = s.where(f"{key} is not null and start is not null")
+    starts = kept.where("_n = 1").select(key, F.col("start").cast("double").alias("_t"), F.lit(0).alias("_kind"), F.col("_s").alias("_start"), none.alias("_end"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"))
+    ends = kept.where("_lead").select(key, F.col("end").cast("double").alias("_t"), F.lit(2).alias("_kind"), none.alias("_start"), F.col("_s").alias("_end"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"))
+    line = starts.unionByName(ends).unionByName(p.where(f"{key} is not null").select(key, "_t", F.lit(1).alias("_kind"), none.alias("_start"), none.alias("_end"), "_p"))
+    up = Window.partitionBy(key).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(key).orderBy(F.col("_t").desc(), F.col("_kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = line.withColumn("_left", F.last("_start", True).over(up)).withColumn("_right", F.last("_start", True).over(down)).withColumn("_first", F.last("_end", True).over(down))
+    return seen.where("_kind = 1").drop("_t", "_kind", "_start", "_end")
+
+
+def _closer() -> Column:
+    left, right, t = F.col("_left"), F.col("_right"), F.col("_p.t")
+    return F.when(left.isNull() | (F.abs(right["start"] - t) < F.abs(left["start"] - t)), F.coalesce(right, left)).otherwise(left)
+
+
 def nearest(points: DataFrame, segments: DataFrame, key: str = "episode_id", order: str = "seg_id") -> DataFrame:
     """The segment that holds each point's ``t`` (the earliest such), else the one whose start is nearest; ties by start and ``order``."""
-    joined = points.join(segments.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k")).drop("_k")
-    holds = F.col("t").between(F.col("start"), F.col("end"))
-    rank = F.row_number().over(Window.partitionBy("point_id").orderBy(holds.desc(), F.when(holds, F.col("start")).otherwise(F.abs(F.col("start") - F.col("t"))), "start", order))
-    return joined.withColumn("_r", rank).where("_r = 1").drop("_r")
+    first = F.when(F.col("_p.t").between(F.col("_first.start"), F.col("_first.end")), F.col("_first"))
+    found = _starts(points, segments, key, order).withColumn("_s", F.coalesce(first, _closer())).where("_s is not null")
+    return found.select(*[F.col(c) if c == key else F.col(f"_p.{c}") for c in points.columns], *[F.col(f"_s.{c}") for c in segments.columns if c != key])
 
 
 def nearest_within(points: DataFrame, segments: DataFrame, tolerance: float = 1.0, key: str = "episode_id", order: str = "seg_id") -> DataFrame:
-    """The first segment that starts within ``tolerance`` of the point, else the one that starts nearest."""
-    joined = points.join(segments.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k")).drop("_k")
-    away = F.abs(F.col("start") - F.col("t"))
-    near = away <= tolerance
-    rank = F.row_number().over(Window.partitionBy("point_id").orderBy(near.desc(), away, "start", order))
-    return joined.withColumn("_r", rank).where("_r = 1").drop("_r")
+    """The segment that starts nearest to the point, within ``tolerance`` or else anywhere; ties by start and ``order``."""
+    found = _starts(points, segments, key, order).withColumn("_s", _closer()).where("_s is not null")
+    return found.select(*[F.col(c) if c == key else F.col(f"_p.{c}") for c in points.columns], *[F.col(f"_s.{c}") for c in segments.columns if c != key])
 
 
 def arg_max_overlap(left: DataFrame, right: DataFrame, key: str, left_id: str, right_order: str, bucket: float | None = None) -> DataFrame:

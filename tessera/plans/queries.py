@@ -261,6 +261,24 @@ def nearest_within(spark, sf_dir):
     return intervals.nearest_within(points_of(spark, sf_dir), adapters.event_segments(spark, sf_dir).select("episode_id", "seg_id", "start", "end"), 1000.0).select("point_id", "seg_id")
 
 
+POINTS_ALL_SQL = "pt AS (SELECT o_orderkey AS point_id, o_custkey % 150 AS episode_id, (o_orderkey * 7919 % 2592000)::DOUBLE AS t FROM orders)"
+
+
+def points_all(spark, sf_dir) -> DataFrame:
+    """Query points: every order names a user and a second."""
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 150).alias("episode_id"), (F.col("o_orderkey") * 7919 % 2592000).cast("double").alias("t"))
+
+
+@query("nearest_segment_all", SQL["nearest_segment"].replace(POINTS_SQL, POINTS_ALL_SQL))
+def nearest_segment_all(spark, sf_dir):
+    return intervals.nearest(points_all(spark, sf_dir), adapters.event_segments(spark, sf_dir).select("episode_id", "seg_id", "start", "end")).select("point_id", "seg_id")
+
+
+@query("nearest_within_all", SQL["nearest_within"].replace(POINTS_SQL, POINTS_ALL_SQL))
+def nearest_within_all(spark, sf_dir):
+    return intervals.nearest_within(points_all(spark, sf_dir), adapters.event_segments(spark, sf_dir).select("episode_id", "seg_id", "start", "end"), 1000.0).select("point_id", "seg_id")
+
+
 @query("argmax_overlap", f"""WITH {WINDOWS_SQL}, {SQL_EV}, j AS (SELECT seg_id, lo, least("end", hi) - greatest("start", lo) AS o FROM ev JOIN win USING (episode_id) WHERE "end" > lo AND "start" < hi)
 SELECT seg_id, lo, round(o, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY o DESC, lo) AS r FROM j WHERE o > 0) WHERE r = 1""")
 def argmax_overlap(spark, sf_dir):

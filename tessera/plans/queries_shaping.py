@@ -13,7 +13,7 @@ from tessera.functions import numbers, text
 from tessera.operators import events, intervals, retrieval, sampling, shaping
 from tessera.plans import adapters, metrics, prompts
 from tessera.plans.adapters import SQL_CV, SQL_EV, SQL_SC, read
-from tessera.plans.queries import POINTS_SQL, WINDOWS_SQL, literal, points_of, query, sql_values, windows_of
+from tessera.plans.queries import POINTS_ALL_SQL, POINTS_SQL, SQL, WINDOWS_SQL, literal, points_all, points_of, query, sql_values, windows_of
 
 
 @query("slack_point_match", f"""WITH {SQL_EV}, {POINTS_SQL} SELECT point_id, seg_id FROM pt JOIN ev USING (episode_id) WHERE "end" + 1 >= t AND "start" - 1 <= t""")
@@ -22,6 +22,15 @@ def slack_point_match(spark, sf_dir):
     return points_of(spark, sf_dir).join(e, (F.col("episode_id") == F.col("_e")) & shaping.slack_overlaps(F.col("start"), F.col("end"), F.col("t"))).select("point_id", "seg_id")
 
 
+@query("slack_point_match_all", SQL["slack_point_match"].replace(POINTS_SQL, POINTS_ALL_SQL))
+def slack_point_match_all(spark, sf_dir):
+    grid = 50000.0
+    cells = F.explode(F.sequence(F.floor((F.col("start") - 1) / grid), F.floor((F.col("end") + 1) / grid)))
+    e = adapters.event_segments(spark, sf_dir).select(F.col("episode_id").alias("_e"), "seg_id", "start", "end").withColumn("_cell", cells)
+    p = points_all(spark, sf_dir).withColumn("_at", F.floor(F.col("t") / grid))
+    return p.join(e, (F.col("episode_id") == F.col("_e")) & (F.col("_at") == F.col("_cell")) & shaping.slack_overlaps(F.col("start"), F.col("end"), F.col("t"))).select("point_id", "seg_id")
+
+
 CHOICES = [("music", "a", "x,y"), ("music", "default", "d"), ("health", "b", "z")]
 
 
@@ -94,7 +103,15 @@ def frames_to_seconds(spark, sf_dir):
 @query("truth_evidence_tiers", f"""WITH {SQL_EV}, q AS (SELECT point_id AS query_id, episode_id, CASE WHEN point_id % 3 = 0 THEN ['ev_' || episode_id || '_0001'] END AS ids, CASE WHEN point_id % 3 = 1 THEN t END AS time_ref FROM ({'SELECT * FROM pt'}) p),
 j AS (SELECT query_id, seg_id, CASE WHEN list_contains(ids, seg_id) THEN 0 WHEN "end" > time_ref - 30 AND "start" < time_ref + 30 THEN 1 ELSE 3 END AS tier FROM q JOIN ev USING (episode_id)) SELECT query_id, seg_id, tier FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS b FROM j) WHERE tier = b""".replace("WITH ", f"WITH {POINTS_SQL}, ", 1))
 def truth_evidence_tiers(spark, sf_dir):
-    p = points_of(spark, sf_dir)
+    return _tiers(spark, sf_dir, points_of(spark, sf_dir))
+
+
+@query("truth_evidence_tiers_all", SQL["truth_evidence_tiers"].replace(POINTS_SQL, POINTS_ALL_SQL))
+def truth_evidence_tiers_all(spark, sf_dir):
+    return _tiers(spark, sf_dir, points_all(spark, sf_dir))
+
+
+def _tiers(spark: SparkSession, sf_dir: str, p: DataFrame) -> DataFrame:
     q = p.select(F.col("point_id").alias("query_id"), "episode_id", F.when(F.col("point_id") % 3 == 0, F.array(F.format_string("ev_%d_0001", "episode_id"))).alias("ids"), F.when(F.col("point_id") % 3 == 1, F.col("t")).alias("time_ref"), F.lit(None).cast("int").alias("song"))
     return shaping.truth_evidence(q, adapters.event_segments(spark, sf_dir)).select("query_id", "seg_id", "tier")
 

@@ -164,3 +164,30 @@ def test_streams(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(f"s{k}").outputMode("complete" if k < 2 else "append").trigger(availableNow=True).start()
         q.awaitTermination()
     assert sum(r["n"] for r in spark.sql("select n from s0").collect()) == 20
+
+
+def test_nearest_sorts_and_takes_every_point(spark):
+    import random
+
+    r = random.Random(3)
+    segments = [(e, f"s{k:03}", float(a := r.randint(0, 60)), float(a + r.choice([0, 1, 3, 20]))) for k in range(120) for e in [r.randint(0, 4)]]
+    points = [(k, r.randint(0, 5), float(r.randint(-5, 90))) for k in range(400)]
+    p = spark.createDataFrame(points, "point_id long, episode_id long, t double")
+    s = spark.createDataFrame(segments, "episode_id long, seg_id string, start double, `end` double")
+    held = lambda t, x: (0, x[2], x[2], x[1]) if x[2] <= t <= x[3] else (1, abs(x[2] - t), x[2], x[1])
+    want = {k: min((x for x in segments if x[0] == e), key=lambda x: held(t, x))[1] for k, e, t in points if e < 5}
+    assert {x["point_id"]: x["seg_id"] for x in intervals.nearest(p, s).collect()} == want
+    want = {k: min((x for x in segments if x[0] == e), key=lambda x: (abs(x[2] - t), x[2], x[1]))[1] for k, e, t in points if e < 5}
+    assert {x["point_id"]: x["seg_id"] for x in intervals.nearest_within(p, s, 2.0).collect()} == want
+
+
+def test_point_queries_take_every_order(spark):
+    from conftest import DATA
+    from tessera.plans import queries
+
+    orders = {x["o_orderkey"] for x in spark.read.parquet(f"{DATA}/orders.parquet").collect()}
+    users = {x["user_id"] for x in spark.read.parquet(f"{DATA}/events.parquet").collect()}
+    points = queries.points_all(spark, DATA).collect()
+    assert {x["point_id"] for x in points} == orders
+    got = queries.QUERIES["nearest_segment_all"](spark, DATA).collect()
+    assert {x["point_id"] for x in got} == {x["point_id"] for x in points if x["episode_id"] in users}
