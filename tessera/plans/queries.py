@@ -207,6 +207,32 @@ def fuse_evidence_topk(spark, sf_dir):
     return retrieval.fuse(hits, 3).select("query_id", "set_no", "seg_id", "fused", "rank")
 
 
+VEC_ALL_SQL = VEC_SQL[: VEC_SQL.index(" WHERE ")] + " WHERE q.vec_id % 50 = 0"
+
+
+def vector_sets_all(spark, sf_dir) -> DataFrame:
+    """Every fiftieth vector as a query against all vectors of its own label, in a window from the table's first vector to its last."""
+    e = read(spark, sf_dir, "embeddings")
+    span = e.agg((F.min("vec_id") * 10).alias("lo"), (F.max("vec_id") * 10 + 10).alias("hi"))
+    q = e.where("vec_id % 50 = 0").crossJoin(F.broadcast(span))
+    return q.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("set_no"), F.col("label").cast("long").alias("episode_id"), "lo", "hi", F.col("embedding").alias("query_vector"))
+
+
+@query("vector_topk_filtered_all", SQL["vector_topk_filtered"].replace(VEC_SQL, VEC_ALL_SQL))
+def vector_topk_filtered_all(spark, sf_dir):
+    return retrieval.search_vectors(vector_sets_all(spark, sf_dir), adapters.vectors(spark, sf_dir), "text_emb").select("query_id", "seg_id", "score", "hit_ord")
+
+
+WINDOW_SQL = 'round((least("end", hi) - greatest("start", lo)) / (hi - lo)::DOUBLE, 3) AS sc FROM v, (SELECT min(vec_id) * 10 AS lo, max(vec_id) * 10 + 10 AS hi FROM embeddings)'
+
+
+@query("fuse_evidence_topk_all", SQL["fuse_evidence_topk"].replace(VEC_SQL, VEC_ALL_SQL).replace('round((least("end", 4000) - greatest("start", 100)) / 3900.0::DOUBLE, 3) AS sc FROM v', WINDOW_SQL))
+def fuse_evidence_topk_all(spark, sf_dir):
+    sets, v = vector_sets_all(spark, sf_dir), adapters.vectors(spark, sf_dir).withColumn("ord", F.col("idx"))
+    hits = retrieval.search_time(sets.drop("query_vector"), v).unionByName(retrieval.search_vectors(sets, v, "text_emb"))
+    return retrieval.fuse(hits, 3).select("query_id", "set_no", "seg_id", "fused", "rank")
+
+
 @query("clip_span", f"""WITH {SETS_SQL}, {SQL_EV}, {WORD_SQL} SELECT query_id, set_no, floor(min("start"))::BIGINT AS lo, least(floor(max("end")), floor(min("start")) + 60)::BIGINT AS hi FROM kw GROUP BY ALL""")
 def clip_span(spark, sf_dir):
     return retrieval.clip_span(retrieval.search_keyword(sets_of(spark).drop("label"), adapters.event_segments(spark, sf_dir)))

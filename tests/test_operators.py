@@ -191,3 +191,14 @@ def test_point_queries_take_every_order(spark):
     assert {x["point_id"] for x in points} == orders
     got = queries.QUERIES["nearest_segment_all"](spark, DATA).collect()
     assert {x["point_id"] for x in got} == {x["point_id"] for x in points if x["episode_id"] in users}
+
+
+def test_vector_queries_cover_the_table(spark):
+    from conftest import DATA
+    from tessera.plans import queries
+
+    ids = {x["vec_id"] for x in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()}
+    sets = queries.vector_sets_all(spark, DATA).collect()
+    assert {x["query_id"] for x in sets} == {k for k in ids if k % 50 == 0}
+    assert all(x["lo"] <= 10 * min(ids) and x["hi"] >= 10 * max(ids) + 10 for x in sets)
+    assert {x["query_id"] for x in queries.QUERIES["vector_topk_filtered_all"](spark, DATA).collect()} == {x["query_id"] for x in sets}
