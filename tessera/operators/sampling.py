@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,50 @@ def nearest_k(left: DataFrame, right: DataFrame, on: str, left_id: str, right_id
     return first_n(joined, [left_id], ["distance", right_id], k)
 
 
+def nearest_in_plane(df: DataFrame, on: str, id_col: str, x: str, y: str, k: int) -> DataFrame:
+    """(a, b, distance): the ``k`` other rows of each row's group that are nearest by |x| + |y| (to 6 digits), ties by id; ids are whole numbers.
+
+    A group is sorted by ``y``; each row looks up and down, one candidate further at a time, and stops where the difference in ``y``
+    alone exceeds its k-th distance.  Of rows with equal x and y only the ``k + 1`` least ids are candidates.  A group must fit one task,
+    which holds numbers only.
+    """
+
+    def find(rows: pa.Table) -> pa.Table:
+        ids = rows.column("id").to_numpy()
+        px, py = rows.column("x").to_numpy(), rows.column("y").to_numpy()
+        order = np.lexsort((ids, px, py))
+        ids, px, py = ids[order], px[order], py[order]
+        fresh = np.ones(len(ids), bool)
+        fresh[1:] = (px[1:] != px[:-1]) | (py[1:] != py[:-1])
+        first = np.flatnonzero(fresh)
+        place = np.arange(len(ids)) - first[np.cumsum(fresh) - 1]
+        few = place <= k
+        cid, cx, cy = ids[few], px[few], py[few]
+        best = np.full((len(ids), k), np.inf)
+        names = np.full((len(ids), k), np.iinfo(np.int64).max)
+        begin = np.searchsorted(cy, py)
+        for step in (1, -1):
+            live, at = np.arange(len(ids)), begin if step > 0 else begin - 1
+            while len(live):
+                inside = (at >= 0) & (at < len(cid))
+                live, at = live[inside], at[inside]
+                near = np.abs(cy[at] - py[live]) <= best[live, -1] + 1e-6
+                live, at = live[near], at[near]
+                d = np.where(cid[at] == ids[live], np.inf, np.round(np.abs(cx[at] - px[live]) + np.abs(cy[at] - py[live]), 6))
+                better = (d < best[live, -1]) | ((d == best[live, -1]) & (cid[at] < names[live, -1]) & np.isfinite(d))
+                row, new = live[better], np.column_stack((best[live[better]], d[better]))
+                name = np.column_stack((names[row], cid[at[better]]))
+                by = np.lexsort((name, new), axis=1)[:, :k]
+                best[row], names[row] = np.take_along_axis(new, by, 1), np.take_along_axis(name, by, 1)
+                at = at + step
+        found = np.isfinite(best)
+        return pa.table({"a": np.repeat(ids, found.sum(1)), "b": names[found], "distance": best[found]})
+
+    rows = df.where(f"{on} is not null and {x} is not null and {y} is not null")
+    told = rows.select(on, F.col(id_col).cast("long").alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return told.groupBy(on).applyInArrow(lambda t: find(t), "a long, b long, distance double")
+
+
 def with_fallback(left: DataFrame, right: DataFrame, on: str, strict: Column, allowed: Column, left_id: str, order: list) -> DataFrame:
     """The best row of ``right`` that is ``allowed`` (inequalities included), those that are ``strict`` too before all others."""
     joined = left.join(right, on).where(allowed)

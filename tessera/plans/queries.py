@@ -448,6 +448,12 @@ def knn_clip(spark, sf_dir):
     return joined.where("a <> b").select("a", "b", "distance")
 
 
+@query("knn_clip_all", SQL["knn_clip"].replace(" WHERE a.p_partkey <= 200", ""))
+def knn_clip_all(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    return sampling.nearest_in_plane(p, "p_brand", "p_partkey", "p_size", "p_retailprice", 3).select("a", "b", "distance")
+
+
 @query("clip_with_fallback", """WITH j AS (SELECT c.c_custkey, s.s_suppkey, (c.c_mktsegment = 'BUILDING') = (s.s_suppkey % 2 = 0) AS strict, s.s_acctbal FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey WHERE c.c_custkey % 100 <> s.s_suppkey) SELECT c_custkey, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY strict DESC, s_acctbal DESC, s_suppkey) AS r FROM j) WHERE r = 1""")
 def clip_with_fallback(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_mktsegment")

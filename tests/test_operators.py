@@ -202,3 +202,16 @@ def test_vector_queries_cover_the_table(spark):
     assert {x["query_id"] for x in sets} == {k for k in ids if k % 50 == 0}
     assert all(x["lo"] <= 10 * min(ids) and x["hi"] >= 10 * max(ids) + 10 for x in sets)
     assert {x["query_id"] for x in queries.QUERIES["vector_topk_filtered_all"](spark, DATA).collect()} == {x["query_id"] for x in sets}
+
+
+def test_nearest_in_plane_takes_every_row(spark):
+    import random
+
+    r = random.Random(4)
+    parts = [(r.choice("ab"), k, r.randint(1, 6), r.choice([1.0, 1.01, 2.5, 7.0, r.randint(0, 30) / 4])) for k in range(300)] + [("c", 900, 1, 1.0), ("d", 901, 1, 1.0), ("d", 902, 2, 3.0)]
+    parts += [("e", 1000 + k, 1, 1.0) for k in range(50)]
+    got = {}
+    for x in sampling.nearest_in_plane(spark.createDataFrame(parts, "g string, id long, x int, y double"), "g", "id", "x", "y", 3).collect():
+        got.setdefault(x["a"], []).append((x["distance"], x["b"]))
+    want = {i: sorted((round(abs(x - u) + abs(y - v), 6), j) for h, j, u, v in parts if h == g and j != i)[:3] for g, i, x, y in parts}
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
