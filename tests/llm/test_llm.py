@@ -362,6 +362,13 @@ def test_main_text(spark):
     assert got == [(1, "\n".join(want), len("\n".join(want)))] * 2 + [(2, "", 0), (3, "", 0)]
 
 
+def test_a_block_closes_a_marked_p():
+    assert pagetext.blocks('<article><p class="ad">Buy<p>Real text<p>more</article>') == (["Real text", "more"], True)
+    assert pagetext.blocks('<p hidden>Buy <b>now<div>x</div><article>Real</article>') == (["Real"], True)
+    assert pagetext.blocks('<div class="ad"><p hidden>a<p>b</div><article>Real</article>') == (["Real"], True)
+    assert pagetext.blocks('<p itemprop="articleBody">One<div>other</div>')[0] == ["One"]
+
+
 def test_host_suffix_array_drops_boilerplate(spark):
     menu = " ".join(f"menu{k}" for k in range(12))
     rows = [(k, f"http://a.b/{k}", f"<body><div>{menu}</div><p>own text {k} " + " ".join(f"t{k}x{j}" for j in range(20)) + f"</p><p>{menu} tail{k}</p>") for k in range(5)]
