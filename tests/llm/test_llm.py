@@ -377,6 +377,21 @@ def test_host_suffix_array_drops_boilerplate(spark):
     assert got[9] == menu and all(got[k] == f"own text {k} " + " ".join(f"t{k}x{j}" for j in range(20)) + f"\ntail{k}" for k in range(5))
 
 
+def test_boilerplate_on_few_pages_of_a_large_host(spark, monkeypatch):
+    r = random.Random(8)
+    menu, other = (" ".join(f"{x}{k}" for k in range(12)) for x in ("menu", "other"))
+    own = [" ".join(r.choice("abcdefghij") + str(r.randint(0, 99)) for _ in range(20)) for _ in range(1200)]
+    rows = [(k, f"http://big/{k}", f"<body><div>{menu}</div><p>{own[k]}</p><p>{other if k in (5, 900) else ''}</p>" if k % 240 == 5 else f"<body><p>{own[k]}</p><p>{other if k == 900 else ''}</p>") for k in range(1200)]
+    rows += [(2000, "http://big/5", rows[5][2]), (2001, "http://few/1", f"<body><p>{menu}</p>")]
+    got = {x["page_id"]: x["text"] for x in pagetext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and got[2001] == menu
+    assert all(got[k] == own[k] + (f"\n{other}" if k in (5, 900) else "") for k in range(1200)) and got[2000] == got[5]
+    some = spark.createDataFrame([(k, f"http://h{k % 2}/{k}", "<body><p>" + " ".join(r.choice("ab") for _ in range(30)) + "</p><p>" + " ".join(r.choice("ab") for _ in range(9)) + "</p>") for k in range(40)], "page_id long, url string, html string")
+    local = sorted(tuple(x) for x in pagetext.extracted(some).collect())
+    monkeypatch.setattr(pagetext, "SHARE", 4)
+    assert sorted(tuple(x) for x in pagetext.extracted(some).collect()) == local
+
+
 def test_boilerplate_equals_brute_force():
     r = random.Random(6)
     for _ in range(30):
