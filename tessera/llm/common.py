@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import shared_folder, stored  # noqa: F401
+
 #: A-Z to a-z; every ASCII byte that is no letter or digit becomes a space.
 ALNUM = bytes(32 if i < 48 or 57 < i < 65 or 90 < i < 97 or 122 < i < 128 else i + 32 * (64 < i < 91) for i in range(256))
 
@@ -45,25 +44,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Only a local session may do without the setting."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read again: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import stored
+
 
 def ranked(df: DataFrame, by: list[str], order: list, name: str, base: int = 1) -> DataFrame:
     """Numbers from ``base`` in the order of ``order`` in each group of ``by`` (or overall).
 
     Rows are range-partitioned by group and order; each partition ranks its own, and the counts of (partition, group), which don't
-    grow with the rows, give the offsets.
+    grow with the rows, give the offsets.  The placed rows are written once: bounds are sampled anew whenever a range partitioning is
+    run, so ranks and counts must come from one run.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *by, *order).withColumn("_p", F.spark_partition_id())
+    placed = stored(df.repartitionByRange(n, *by, *order).withColumn("_p", F.spark_partition_id()), "placed")
     local = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p", *by).orderBy(*order)))
     counts = placed.groupBy("_p", *by).agg(F.count(F.lit(1)).alias("_c"))
     earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,8 +1,11 @@
-"""Session settings the engine expects: UTC, adaptive execution with skew handling, last-wins map merging."""
+"""Session settings the engine expects: UTC, adaptive execution with skew handling, last-wins map merging; tables in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -16,3 +19,22 @@ SETTINGS = {
 def session(name: str = "tessera", master: str | None = None, **more: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | more)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Only a local session may do without the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read again: cuts lineage and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -215,3 +215,14 @@ def test_nearest_in_plane_takes_every_row(spark):
         got.setdefault(x["a"], []).append((x["distance"], x["b"]))
     want = {i: sorted((round(abs(x - u) + abs(y - v), 6), j) for h, j, u, v in parts if h == g and j != i)[:3] for g, i, x, y in parts}
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_ordinals_are_dense_beyond_the_sample(spark):
+    from tessera.operators import ordering
+
+    n = 60_000
+    df = spark.range(0, n, 1, 6).select(F.xxhash64("id").alias("k"), F.array(F.col("id") * 1.0, F.rand(1)).alias("embedding"))
+    got = [x["idx"] for x in sinks.vectors_to_append(df, 10, 2, ["k"]).orderBy("k").select("idx").collect()]
+    assert got == list(range(10, 10 + n))
+    got = [x["r"] for x in ordering.ranked(df.withColumn("b", F.lit("x")), ["b"], ["k"], "r").orderBy("k").select("r", "embedding").collect()]
+    assert got == list(range(1, 1 + n))
