@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.session import shared_folder, stored  # noqa: F401
+from tessera.session import discard, shared_folder, stored  # noqa: F401
 
 #: A-Z to a-z; every ASCII byte that is no letter or digit becomes a space.
 ALNUM = bytes(32 if i < 48 or 57 < i < 65 or 90 < i < 97 or 122 < i < 128 else i + 32 * (64 < i < 91) for i in range(256))

@@ -155,6 +155,30 @@ def test_near_copies_of_a_large_group_chain_up(spark, monkeypatch):
     assert neardup.deduplicated(frame(spark, rows, True), 2).columns[2:] == [x.split()[0] for x in EXTRA.split(", ")]
 
 
+def test_all_texts_of_an_id_link(spark):
+    r = random.Random(6)
+    a, c, d = (" ".join(r.choices(WORDS, k=80)) for _ in range(3))
+    rows = [(1, a), (2, c), (2, a + " end"), (2, None), (3, c + " more"), (4, d), (4, d), (None, a), (5, d.replace("w1", "q"))]
+    got = sorted((tuple(x) for x in neardup.digest(frame(spark, rows, True)).collect()), key=str)
+    assert got == grouped(rows, 2) and {x[0]: x[2] for x in got if x[0] in (1, 2, 3)} == {1: 1, 2: 1, 3: 1}
+
+
+def test_long_chains_have_one_component(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1000), (2000, 2001)], "a long, b long")
+    from tessera.llm.components import components
+
+    assert {(x["node"], x["component"]) for x in components(links).collect()} == {(k, 0) for k in range(1, 301)} | {(2001, 2000)}
+
+
+def test_banding_recall_against_all_pairs(spark):
+    """Every fiftieth document against all by brute force: links that grouping keeps in one component."""
+    rows = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet").collect()]
+    found = {x["doc_id"]: x["component_id"] for x in neardup.digest(frame(spark, rows)).collect()}
+    sets = {d: {tuple(w[k : k + 2]) for k in range(max(1, len(w) - 1))} for d, t in rows if (w := split(lower(t)))}
+    links = [(a, b) for a in sets if a % 50 == 0 for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert links and sum(found[a] == found[b] for a, b in links) >= 0.999 * len(links)
+
+
 def test_near_dedup_of_nothing(spark):
     assert neardup.digest(frame(spark, [])).count() == 0
     assert neardup.deduplicated(frame(spark, [(None, None), (1, "")])).count() == 2
