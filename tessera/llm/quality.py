@@ -1,20 +1,27 @@
 """Quality classifier: ordinal regression with cumulative links over hashed text.
 
 A document's grade is 0 (toxic), 1 (poor) or 2 (good).  One weight per hashed feature gives a score s; ordered thresholds
-t0 < t1 give P(grade <= k) = sigmoid(t_k - s), so all grades share the weights.  Features are the presence of each word
-(without its punctuation), of its first letters and of the marks in it, whole texts, A-Z in lower case.  Training: labelled
-documents joined to the texts, at most ``SAMPLE`` of them (those with the least hashes of their ids: the only bound here);
-the model goes out as an array of ``1 << BITS`` numbers.  Every document is scored.
-
-A document is rejected if P(grade <= 0) or P(grade <= 1) is above its limit.  Words that don't tell grades apart weigh
-nothing, so a long or a very short clean text isn't held against its document.  Defined cases: null and empty texts have no features
-and are kept with the score 0's grades; null ids or grades in labels are left out, of equal ids the least grade counts;
+t0 < t1 give P(grade <= k) = sigmoid(t_k - s), so all grades share the weights.  Features are, over whole texts with A-Z in
+lower case: each word without its punctuation, its first letters, the marks in it, beginnings that different words share,
+and shares of the words that have a shape (again: equal to the one before; capitals; marked: two marks or more; bare: marks
+only), as steps.  Training: labelled documents joined to the texts, at most ``SAMPLE`` of them (those with the least hashes of
+their ids: the only bound here); the model goes out as an array of ``1 << BITS`` numbers.  Every document is scored.
+
+A document is rejected if P(grade <= 0) or P(grade <= 1) is above its limit.  Features that don't tell grades apart weigh
+nothing, so a long or a very short clean text isn't held against its document.  Defined cases: null and empty texts have no
+features and are kept with the score 0's grades; null ids or grades in labels are left out, of equal ids the least grade
+counts; rows with one id are each scored and all of them trained on; texts of any length work, in memory of a few times one
+text; an empty table gives an empty result; other columns, whatever their names, pass through (``accepted``) or don't matter;
 without any labels all documents are kept.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -30,9 +37,9 @@ SAMPLE = 12_000
 #: Steps of gradient descent, and the weight decay.
 STEPS, RATE, DECAY = 300, 0.05, 1e-5
 #: Least chi-square of a feature that gets a weight.
-TELLING = 40.0
+TELLING = 25.0
 #: A document is rejected beyond these: P(grade <= 0), P(grade <= 1).
-TOXIC, POOR = 0.2, 0.9
+TOXIC, POOR = 0.2, 0.5
 GRADES = 3
 LOWER = bytes(i + 32 * (64 < i < 91) for i in range(256))
 #: The ASCII marks, and all bytes but those.
@@ -40,37 +47,66 @@ MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + byt
 OTHER = bytes(sorted(set(range(256)) - set(MARKS)))
 
 
+#: Shapes of words that are counted, and the shares of a text's words from which on a shape is a feature.
+SHAPES = (b"again", b"capitals", b"marked", b"bare")
+SHARES = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75)
+
+
+def hashed(name: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(name) >> 64 - BITS
+
+
+#: The hashed features of each shape, by rising shares.
+SHAPE_FEATURES = [[hashed(b"s" + shape + b"%d" % k) for k in range(len(SHARES))] for shape in SHAPES]
+
+
 class Features(dict):
-    """Hashed features of each word (bytes); with ``weights``, only those whose weight isn't 0."""
+    """Hashed features of each word (bytes), the hash of its first letters (0: too short), and its shapes; with ``weights``, only features whose weight isn't 0."""
 
     def __init__(self, weights: np.ndarray | None = None):
         super().__init__()
         self.telling = None if weights is None else frozenset(np.flatnonzero(weights).tolist())
         self.limit = 400_000 if weights is None else 1_000_000
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def kept(self, found: list[int]) -> tuple[int, ...]:
+        return tuple(found) if self.telling is None else tuple([x for x in found if x in self.telling])
+
+    def __missing__(self, word: bytes) -> tuple[tuple[int, ...], tuple[int, ...], int, int, int]:
         if len(self) >= self.limit:
             self.clear()
         bare = word.translate(LOWER, MARKS)
         marks = word.translate(None, OTHER)
-        named = [b"w" + bare]
-        if len(bare) >= 5:
-            named += [b"4" + bare[:4], b"5" + bare[:5]]
+        named = [b"w" + bare] + [b"%d" % n + bare[:n] for n in (4, 5, 6, 8) if len(bare) >= n]
         if marks and marks not in (b".", b","):
             named.append(b"m" + marks)
         if len(bare) > 1 and word.isupper():
             named.append(b"U")
-        value = tuple([xxhash.xxh3_64_intdigest(x) >> 64 - BITS for x in named])
-        if self.telling is not None:
-            value = tuple([x for x in value if x in self.telling])
-        self[word] = value
+        twice = self.kept([hashed(b"2" + bare[:6])]) if len(bare) >= 6 else ()
+        shapes = (len(bare) > 1 and word.isupper(), len(marks) > 1, not bare)
+        self[word] = value = (self.kept([hashed(x) for x in named]), twice, *map(int, shapes))
         return value
 
 
 def features(text: bytes | None, seen: Features) -> np.ndarray:
+    """What words, beginnings and marks a text has, which beginnings different words share, and what share of its words has each shape."""
+    words = text.split() if text else []
+    if not words:
+        return np.zeros(0, np.int32)
+    counted = Counter(words)
     found: set[int] = set()
-    for some in filter(None, map(seen.__getitem__, set(text.split()) if text else ())):
-        found.update(some)
+    begun: set[int] = set()
+    capitals = marked = bare = 0
+    for word, n in counted.items():
+        own, twice, a, b, c = seen[word]
+        found.update(own)
+        for x in twice:
+            if x in begun:
+                found.add(x)
+            begun.add(x)
+        capitals, marked, bare = capitals + a * n, marked + b * n, bare + c * n
+    again = sum(map(eq, words, islice(words, 1, None)))
+    for count, names in zip((again, capitals, marked, bare), SHAPE_FEATURES, strict=True):
+        found.update(names[: bisect_right(SHARES, count / len(words))])
     return np.fromiter(found, np.int32, len(found))
 
 
@@ -97,10 +133,29 @@ class Model:
             chi = ((seen - expected) ** 2 / np.where(expected > 0, expected * (1 - share), np.inf)).sum(axis=0)
         return np.nan_to_num(chi) > TELLING
 
+    @staticmethod
+    def likelihood(weights: np.ndarray, gaps: np.ndarray, owner: np.ndarray, slot: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray]:
+        """The mean negative log-likelihood with weight decay, and its gradient by weights and gaps.
+
+        ``owner`` and ``slot``: document and weight of each feature; ``gaps``: the first threshold and the logs of the distances to the next.
+        """
+        n, rows = len(grades), np.arange(len(grades))
+        t = np.concatenate(([gaps[0]], gaps[0] + np.cumsum(np.exp(gaps[1:]))))
+        s = np.bincount(owner, weights[slot], minlength=n)
+        p = 1 / (1 + np.exp(-np.clip(t[None, :] - s[:, None], -500, 500)))
+        none = np.zeros((n, 1))
+        below, slope = np.hstack((none, p, none + 1)), np.hstack((none, p * (1 - p), none))
+        likely = np.maximum(below[rows, grades + 1] - below[rows, grades], 1e-9)
+        by_s = (slope[rows, grades + 1] - slope[rows, grades]) / likely / n
+        by_t = np.array([((grades == k + 1) * slope[:, k + 1] - (grades == k) * slope[:, k + 1]) @ (1 / likely) / n for k in range(GRADES - 1)])
+        by_gaps = np.concatenate(([by_t.sum()], np.cumsum(by_t[:0:-1])[::-1] * np.exp(gaps[1:])))
+        by_weights = np.bincount(slot, by_s[owner], minlength=len(weights)) + DECAY * weights
+        return float(-np.log(likely).mean() + DECAY / 2 * weights @ weights), np.concatenate((by_weights, by_gaps))
+
     @staticmethod
     def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
         """Gradient descent (Adam) on the likelihood of the grades, from zeros, over the features that tell grades apart."""
-        weights, gaps = np.zeros(1 << BITS), np.array([-2.0, 0.5])  # first threshold, log of the distance to the second
+        weights = np.zeros(1 << BITS)
         if not len(rows):
             return Model(weights.astype(np.float32), np.array([-500.0, -499.0]))
         which = np.concatenate(rows)
@@ -108,30 +163,15 @@ class Model:
         telling = Model._telling(which, grades[owner], np.bincount(grades, minlength=GRADES))
         owner = owner[telling[which]]
         used, slot = np.unique(which[telling[which]], return_inverse=True)
-        weight = 1 / len(rows)
-        w = np.zeros(len(used))
-        state = [np.zeros(len(used) + 2), np.zeros(len(used) + 2)]
+        state = np.concatenate((np.zeros(len(used)), [-2.0, 0.5]))
+        mean, square = np.zeros(len(state)), np.zeros(len(state))
         for step in range(1, STEPS + 1):
-            t = np.array([gaps[0], gaps[0] + np.exp(gaps[1])])
-            s = np.bincount(owner, w[slot], minlength=len(rows))
-            p = 1 / (1 + np.exp(-np.clip(t[None, :] - s[:, None], -500, 500)))
-            up = np.column_stack((p, np.ones(len(s))))[np.arange(len(s)), grades]
-            down = np.column_stack((np.zeros(len(s)), p))[np.arange(len(s)), grades]
-            slope = np.column_stack((p * (1 - p), np.zeros(len(s))))
-            high = slope[np.arange(len(s)), grades]
-            low = np.column_stack((np.zeros(len(s)), p * (1 - p)))[np.arange(len(s)), grades]
-            likely = np.maximum(up - down, 1e-9)
-            by_s = weight * (high - low) / likely
-            by_w = np.bincount(slot, by_s[owner], minlength=len(used)) + DECAY * w
-            by_t = [-(weight * ((grades == k) * slope[:, k] - (grades == k + 1) * slope[:, k]) / likely).sum() for k in range(GRADES - 1)]
-            gradient = np.concatenate((by_w, [sum(by_t), by_t[1] * np.exp(gaps[1])]))
-            state[0] = 0.9 * state[0] + 0.1 * gradient
-            state[1] = 0.999 * state[1] + 0.001 * gradient**2
-            move = RATE * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
-            w -= move[:-2]
-            gaps -= move[-2:]
-        weights[used] = w
-        return Model(weights.astype(np.float32), np.array([gaps[0], gaps[0] + np.exp(gaps[1])]))
+            _, gradient = Model.likelihood(state[:-2], state[-2:], owner, slot, grades)
+            mean = 0.9 * mean + 0.1 * gradient
+            square = 0.999 * square + 0.001 * gradient**2
+            state = state - RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        weights[used] = state[:-2]
+        return Model(weights.astype(np.float32), np.array([state[-2], state[-2] + np.exp(state[-1])]))
 
 
 def graded(labels: DataFrame) -> DataFrame:
