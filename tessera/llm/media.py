@@ -1,12 +1,15 @@
 """Payloads as PNG images in binary columns, read back chunk by chunk, with a low-frequency cosine-transform hash.
 
 A payload is stored losslessly as the samples of an 8-bit grey image, ``WIDTH`` to a row: signature, header, one zlib stream of
-filtered rows, end; each chunk with its CRC-32.  Reading tests the signature and every chunk's checksum, inflates and undoes
-all five row filters with numpy.  The hash: the image is averaged to 32 x 32, its 8 x 8 lowest cosine coefficients are
+filtered rows, end; each chunk with its CRC-32.  The writer gives each row the filter of the five whose residues have the
+least sum, signed.  Reading tests the signature and every chunk's checksum, inflates and undoes the filters with numpy, many
+images at once: a sample needs those to its left, above and above left, so all samples on a diagonal (row plus column) of all
+images are undone together.  The hash: the image is averaged to 32 x 32, its 8 x 8 lowest cosine coefficients are
 compared with their median (the first, the mean, left out): 63 bits in 16 hex digits.
 
-Defined cases: null and empty payloads are one row of blanks; any length works, in memory of a few times one payload;
-equal payloads give equal files and hashes; ids may be null or repeated.
+Defined cases: null and empty payloads are one row of blanks; any length works, in memory of a few dozen times one payload;
+equal payloads give equal files and hashes; ids may be null or repeated (they must cast to long); an empty table gives an
+empty result; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -17,11 +20,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH = 192
+#: Bytes of payloads that are worked on at once, about.
+BATCH = 4_000_000
 #: Fixed values of the format.
 SIGNATURE = bytes([137, 80, 78, 71, 13, 10, 26, 10])
 NONE, SUB, UP, AVERAGE, PAETH = range(5)
@@ -41,60 +47,87 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def encode(samples: bytes, width: int = WIDTH, row_filter: int = NONE, level: int = 1) -> bytes:
-    """A PNG of grey samples; all rows get ``row_filter`` (none, sub or up)."""
-    image = np.frombuffer(samples, np.uint8).reshape(-1, width)
-    rows = image.copy()
-    if row_filter == SUB:
-        rows[:, 1:] -= image[:, :-1]
-    elif row_filter == UP:
-        rows[1:] -= image[:-1]
-    elif row_filter != NONE:
-        raise ValueError("the writer has filters 0, 1 and 2")
-    lines = np.empty((len(rows), width + 1), np.uint8)
-    lines[:, 0], lines[:, 1:] = row_filter, rows
-    header = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
+def _above(image: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The row above each row, zeros above each image's ``first``."""
+    out = np.zeros_like(image)
+    out[1:] = image[:-1]
+    out[first] = 0
+    return out
 
 
-def unfiltered(lines: np.ndarray, step: int = 1) -> np.ndarray:
-    """Samples of filtered rows (filter number first); ``step``: bytes of a pixel.  Runs of rows without filter or with one kind of simple filter go at once."""
-    kinds, out = lines[:, 0], lines[:, 1:].copy()
-    if kinds.max(initial=0) > PAETH:
-        raise Damaged("unknown row filter")
-    width, y = out.shape[1], 0
-    while y < len(out):
-        end = y + 1
-        while end < len(out) and kinds[end] == kinds[y]:
-            end += 1
-        kind, rows = kinds[y], out[y:end]
-        if kind == SUB:
-            for c in range(step):
-                np.cumsum(rows[:, c::step], axis=1, dtype=np.uint8, out=rows[:, c::step])
-        elif kind == UP:
-            if y:
-                rows[0] += out[y - 1]
-            np.cumsum(rows, axis=0, dtype=np.uint8, out=rows)
-        elif kind in (AVERAGE, PAETH):
-            for r in range(y, end):
-                above = out[r - 1] if r else np.zeros(width, np.uint8)
-                line, up = out[r].astype(np.int64), above.astype(np.int64)
-                for x in range(width):
-                    a, b = (line[x - step] if x >= step else 0), up[x]
-                    if kind == AVERAGE:
-                        guess = (a + b) // 2
-                    else:
-                        c = up[x - step] if x >= step else 0
-                        p = a + b - c
-                        guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                    line[x] = (line[x] + guess) & 255
-                out[r] = line
-        y = end
+def _nearest(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of left, above and above left the one that is nearest to a + b - c, in this order where distances are equal."""
+    pa_, pb = np.abs(b - c), np.abs(a - c)
+    pc = np.abs(a + b - 2 * c)
+    return np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
+
+
+def filtered(image: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rows of grey images, one below the other, each behind the number of its filter; ``first``: where images begin."""
+    b = _above(image, first).astype(np.int16)
+    a = np.zeros_like(b)
+    a[:, 1:] = image[:, :-1]
+    c = np.zeros_like(b)
+    c[:, 1:] = b[:, :-1]
+    best, least, kind = image.copy(), None, np.zeros(len(image), np.uint8)
+    for k, guess in enumerate((np.zeros_like(b), a, b, (a + b) >> 1, _nearest(a, b, c))):
+        rest = (image - guess).astype(np.uint8)
+        cost = np.abs(rest.view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64)
+        better = cost < least if least is not None else np.ones(len(image), bool)
+        best[better], kind[better] = rest[better], k
+        least = cost if least is None else np.minimum(least, cost)
+    return np.column_stack((kind, best))
+
+
+def encode_many(payloads: list[bytes], width: int = WIDTH, level: int = 1) -> list[bytes]:
+    """A PNG of grey samples of each payload, a positive multiple of ``width`` bytes."""
+    heights = [len(x) // width for x in payloads]
+    ends = np.cumsum(heights)
+    lines = filtered(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, width), ends - heights)
+    out = []
+    for end, height in zip(ends.tolist(), heights, strict=True):
+        header = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+        out.append(SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(lines[end - height : end].tobytes(), level)) + _chunk(b"IEND", b""))
     return out
 
 
-def decode(file: bytes) -> np.ndarray:
-    """Samples of an 8-bit grey or RGB image without interlacing, height x bytes of a row."""
+def encode(samples: bytes, width: int = WIDTH, level: int = 1) -> bytes:
+    return encode_many([samples], width, level)[0]
+
+
+def unfiltered_many(images: list[np.ndarray], step: int = 1) -> list[np.ndarray]:
+    """Samples of images of one width given as filtered rows (filter number first); ``step``: bytes of a pixel."""
+    heights = np.array([len(x) for x in images])
+    lines = np.concatenate(images)
+    if lines[:, 0].max(initial=0) > PAETH:
+        raise Damaged("unknown row filter")
+    width = (lines.shape[1] - 1) // step
+    y = np.concatenate([np.arange(n) for n in heights])
+    order = np.argsort(y, kind="stable")  # rows by their height in the image, so the rows of a diagonal are neighbours
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    y = y[order]
+    above = np.where(y > 0, place[np.maximum(order - 1, 0)], len(order))  # the row of zeros
+    kind = lines[order, 0]
+    out = np.zeros((len(order) + 1, width + 1, step), np.int16)
+    out[:-1, 1:] = lines[order, 1:].reshape(len(order), width, step)
+    for t in range(width + int(y[-1]) if len(y) else 0):
+        low, high = np.searchsorted(y, t - width + 1), np.searchsorted(y, t, "right")
+        x = t - y[low:high] + 1
+        row, up, k = np.arange(low, high), above[low:high], kind[low:high, None]
+        a, b, c = out[row, x - 1], out[up, x], out[up, x - 1]
+        guess = np.where(k == SUB, a, np.where(k == UP, b, np.where(k == AVERAGE, (a + b) >> 1, np.where(k == PAETH, _nearest(a, b, c), 0))))
+        out[row, x] = (out[row, x] + guess) & 255
+    samples = out[place, 1:].astype(np.uint8).reshape(len(place), width * step)
+    return np.split(samples, np.cumsum(heights)[:-1])
+
+
+def unfiltered(lines: np.ndarray, step: int = 1) -> np.ndarray:
+    return unfiltered_many([lines], step)[0]
+
+
+def _inflated(file: bytes) -> tuple[np.ndarray, int]:
+    """Filtered rows of an 8-bit grey or RGB image without interlacing, and the bytes of a pixel."""
     if file[:8] != SIGNATURE:
         raise Damaged("no PNG signature")
     at, header, data, ended = 8, None, [], False
@@ -123,7 +156,22 @@ def decode(file: bytes) -> np.ndarray:
         raise Damaged("pixels can't be inflated") from error
     if len(raw) != height * (width * step + 1):
         raise Damaged("size of the pixels")
-    return unfiltered(np.frombuffer(raw, np.uint8).reshape(height, width * step + 1), step)
+    return np.frombuffer(raw, np.uint8).reshape(height, width * step + 1), step
+
+
+def decode_many(files: list[bytes]) -> list[np.ndarray]:
+    """Samples of images, height x bytes of a row; images of one shape of row are undone together."""
+    found = [_inflated(x) for x in files]
+    out: list = [None] * len(files)
+    for shape in {(x.shape[1], step) for x, step in found}:
+        some = [k for k, (x, step) in enumerate(found) if (x.shape[1], step) == shape]
+        for k, image in zip(some, unfiltered_many([found[k][0] for k in some], shape[1]), strict=True):
+            out[k] = image
+    return out
+
+
+def decode(file: bytes) -> np.ndarray:
+    return decode_many([file])[0]
 
 
 def _waves(n: int, count: int) -> np.ndarray:
@@ -156,7 +204,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     @F.pandas_udf("binary")
     def to_png(text):
-        return text.map(lambda x: encode(padded(bytes(x) if x is not None else None)))
+        return pd.Series(encode_many([padded(bytes(x) if x is not None else None) for x in text]) if len(text) else [], dtype=object)
 
     return docs.select(F.col(id_col), to_png(F.col(text_col).cast("binary")).alias("media"))
 
@@ -169,15 +217,25 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kinds = {"long": pa.int64(), "string": pa.string()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in RESULT.split(", ")])
 
+    def told(ids: list, raws: list[bytes]) -> pa.RecordBatch:
+        files = encode_many([padded(x) for x in raws])
+        out = []
+        for doc, raw, media, image in zip(ids, raws, files, decode_many(files), strict=True):
+            payload = image.tobytes()
+            out.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), wave_hash(image)))
+        return pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, raws, size = [], [], 0
         for batch in batches:
-            out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = text.as_py() or b""
-                media = encode(padded(raw))
-                image = decode(media)
-                payload = image.tobytes()
-                out.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), wave_hash(image)))
-            yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True) if out else [()] * 8, schema.types, strict=True)], schema=schema)
+                ids.append(doc)
+                raws.append(text.as_py() or b"")
+                size += len(raws[-1]) + WIDTH
+                if size >= BATCH:
+                    yield told(ids, raws)
+                    ids, raws, size = [], [], 0
+        if ids:
+            yield told(ids, raws)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, RESULT)
