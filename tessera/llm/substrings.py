@@ -4,15 +4,20 @@ A *window* is ``width`` consecutive words of one document.  A word is repeated i
 document with a smaller id; windows are judged on the input.  Steps, none of which gathers a group in one task:
 
 1. ``recompression.anchors`` gives each window an anchor symbol.  Consecutive windows with one anchor form a stretch, which
-   travels as one row: anchor, hash of its words, document, place.  About 18 windows share a row.  Equal stretches are
-   combined before the shuffle: only the smallest id of a batch travels, the others are known to be repeated.
-2. By anchor: a stretch with the same words in a smaller document is repeated.  An anchor with different stretches in
+   travels as one row: anchor, hash of its words, document, places.  About 18 windows share a row; equal stretches of a document
+   are one row.  Of the equal stretches of a batch only the smallest id meets those of other batches; and where a batch sees
+   that an anchor stands in different stretches, these are dealt by anchor and words and only a signal goes to the anchor, so
+   neither a hot passage nor a hot anchor gathers in a task.
+2. By anchor: a stretch with the same words in a smaller document may be repeated.  An anchor with different stretches in
    different documents (the borders of passages) needs its windows looked at one by one.
-3. Only those documents' words are read again, and their windows' hashes (64 bits besides the anchor's 64) verified.
-4. Spans are gathered per document and cut from its text.
+3. Only those documents are read again, and what may be repeated is verified on the words: stretches with copies as a whole,
+   border stretches window by window, by a 128-bit cryptographic digest of the words themselves.
+4. Verified spans are gathered per document and cut from its text.
 
 Defined cases: null or empty text has no words; a null id has no repeats and causes none; rows with one id and different
-texts are rows of one document, each with its own places; equal rows both stay; other columns pass through unchanged.
+texts are rows of one document, each with its own places; equal rows both stay; texts of any length work, in memory of a few
+dozen times one text; an empty table gives an empty result; other columns, whatever their names, pass through unchanged.
+Ids must cast to long.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Hashes, fresh, mix, partitions, stored, word_hashes, words
+from tessera.llm.common import Hashes, discard, fresh, mix, partitions, stored, word_hashes, words
 from tessera.llm.recompression import anchors, prefix_sums, span_hash
 
 WIDTH = 50
@@ -40,28 +45,28 @@ def _key(text: str):
     return F.hash(F.col(text)).alias("key")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Rows with their words' hashes, about ``BATCH`` words at a time: (columns of ``names``, hashes, words of each row)."""
-    seen = Hashes()
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str], make) -> Iterator[tuple[list, list, np.ndarray]]:
+    """Rows with what ``make`` makes of their words, about ``BATCH`` words at a time: (columns of ``names``, made, words of each row)."""
     rows: list[list] = [[] for _ in names]
-    hashes: list[np.ndarray] = []
+    made: list = []
+    count: list[int] = []
     size = 0
     for batch in batches:
-        texts = batch.column("text")
         other = [batch.column(x).to_pylist() for x in names]
-        for k, text in enumerate(texts):
+        for k, text in enumerate(batch.column("text")):
             tokens = words(text.as_py())
             if not tokens:
                 continue
-            hashes.append(word_hashes(tokens, seen))
+            made.append(make(tokens))
+            count.append(len(tokens))
+            size += len(tokens)
             for to, of in zip(rows, other, strict=True):
                 to.append(of[k])
-            size += len(tokens)
             if size >= BATCH:
-                yield rows, np.concatenate(hashes), np.array([len(x) for x in hashes])
-                rows, hashes, size = [[] for _ in names], [], 0
-    if hashes:
-        yield rows, np.concatenate(hashes), np.array([len(x) for x in hashes])
+                yield rows, made, np.array(count)
+                rows, made, count, size = [[] for _ in names], [], [], 0
+    if made:
+        yield rows, made, np.array(count)
 
 
 def _first_of_equal(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -76,16 +81,49 @@ def _first_of_equal(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray
     return out
 
 
-def _dealt(anchor: np.ndarray, repeated: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Anchors, but scattered ones for rows that are known to be repeated and need no comparison: so a hot anchor stays small."""
-    return np.where(repeated, mix(anchor + begin.astype(np.uint64)), anchor)
+def _copied(a: np.ndarray, b: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """True for rows that are ``first`` of rows with equal ``a`` and ``b`` of which some are not."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    some = np.logical_or.reduceat(~first[order], np.flatnonzero(new)) if len(a) else new
+    out = np.empty(len(a), bool)
+    out[order] = some[np.cumsum(new) - 1]
+    return out & first
+
+
+def _on_border(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """True for rows whose anchor has different contents and different documents."""
+    order = np.argsort(anchor, kind="stable")
+    at = np.flatnonzero(np.concatenate(([True], anchor[order][1:] != anchor[order][:-1]))) if len(anchor) else order
+    differ = lambda x: np.minimum.reduceat(x[order], at) != np.maximum.reduceat(x[order], at)
+    out = np.empty(len(anchor), bool)
+    if len(anchor):
+        out[order] = np.repeat(differ(content) & differ(doc), np.diff(np.append(at, len(anchor))))
+    return out
+
+
+def _gathered(columns: list[np.ndarray], begin: np.ndarray) -> tuple[list[np.ndarray], pa.ListArray]:
+    """The different rows of ``columns``, and the begins of each."""
+    order = np.lexsort((begin, *columns))
+    new = np.zeros(len(begin), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    at = np.flatnonzero(new)
+    return [c[order][at] for c in columns], pa.ListArray.from_arrays(pa.array(np.append(at, len(begin)).astype(np.int32)), pa.array(begin[order].astype(np.int32)))
+
+
+STRETCHES = "anchor long, words_hash long, doc long, key int, count int, begins array<int>, repeated boolean, source boolean, border boolean, signal boolean"
 
 
 def _stretches(width: int):
-    schema = pa.schema([("anchor", pa.int64()), ("words_hash", pa.int64()), ("doc", pa.int64()), ("key", pa.int32()), ("begin", pa.int32()), ("count", pa.int32()), ("repeated", pa.bool_())])
+    names = [x.split()[0] for x in STRETCHES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (doc, key), tokens, count in _groups(batches, ["doc", "key"]):
+        seen = Hashes()
+        for (doc, key), hashes, count in _groups(batches, ["doc", "key"], lambda tokens: word_hashes(tokens, seen)):
+            tokens = np.concatenate(hashes)
             if len(tokens) < width:
                 continue
             row = np.repeat(np.arange(len(count)), count)
@@ -99,64 +137,92 @@ def _stretches(width: int):
             begin = starts[first]
             sums, inverse = prefix_sums(tokens)
             content = span_hash(sums, inverse, begin, begin + size + (width - 1))
-            anchor, at = anchor[first], row[begin]
-            doc_ids = np.array(doc, np.int64)[at]
-            repeated = ~_first_of_equal(anchor, content, doc_ids)
-            yield pa.record_batch([pa.array(x) for x in (_dealt(anchor, repeated, begin).view(np.int64), content.view(np.int64), doc_ids, np.array(key, np.int32)[at], place[begin].astype(np.int32), size.astype(np.int32), repeated)], schema=schema)
+            at = row[begin]
+            (key_ids, doc_ids, size, content, anchor), begins = _gathered([np.array(key, np.int64)[at], np.array(doc, np.int64)[at], size, content, anchor[first]], place[begin])
+            least = _first_of_equal(anchor, content, doc_ids)
+            border = _on_border(anchor, content, doc_ids)
+            dealt = np.where(~least, mix(anchor + np.arange(len(anchor), dtype=np.uint64)), np.where(border, mix(anchor ^ content), anchor))
+            no = np.zeros(len(anchor), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (dealt.view(np.int64), content.view(np.int64), doc_ids, key_ids.astype(np.int32), size.astype(np.int32))] + [begins] + [pa.array(x) for x in (~least, _copied(anchor, content, doc_ids, least), border, no)], names=names)
+            told = np.flatnonzero(border)
+            told = told[np.unique(anchor[told], return_index=True)[1]]
+            if len(told):
+                none = pa.array([[]] * len(told), pa.list_(pa.int32()))
+                yes, no = np.ones(len(told), bool), no[: len(told)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[told].view(np.int64), mix(content[told] ^ anchor[told]).view(np.int64), doc_ids[told], key_ids[told].astype(np.int32), size[told].astype(np.int32))] + [none] + [pa.array(x) for x in (no, no, yes, yes)], names=names)
 
     return run
 
 
-def _windows(width: int):
-    schema = pa.schema([("anchor", pa.int64()), ("words_hash", pa.int64()), ("doc", pa.int64()), ("key", pa.int32()), ("begin", pa.int32()), ("repeated", pa.bool_())])
+VERIFIED = "d1 long, d2 long, doc long, key int, n int, begins array<int>, repeated boolean"
+
+
+def _digests(width: int):
+    """Digests of the words of stretches and windows of (doc, key, text, parts); equal ones of a document are one row."""
+    names = [x.split()[0] for x in VERIFIED.split(", ")]
+
+    def joined(tokens: list[bytes]) -> tuple[bytes, np.ndarray]:
+        return b" ".join(tokens), np.cumsum([0] + [len(x) + 1 for x in tokens])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (doc, key, stretches), tokens, count in _groups(batches, ["doc", "key", "stretches"]):
-            sums, inverse = prefix_sums(tokens)
-            base = np.cumsum(count) - count
-            n = np.array([len(x) for x in stretches])
-            row = np.repeat(np.arange(len(n)), n)
-            flat = np.array([(s["anchor"], s["begin"], s["count"]) for x in stretches for s in x], np.int64).reshape(-1, 3)
-            row, anchor = np.repeat(row, flat[:, 2]), np.repeat(flat[:, 0], flat[:, 2])
-            ahead = np.arange(len(row)) - np.repeat(np.cumsum(flat[:, 2]) - flat[:, 2], flat[:, 2])
-            place = np.repeat(flat[:, 1], flat[:, 2]) + ahead
-            begin = base[row] + place
-            content = span_hash(sums, inverse, begin, begin + width).view(np.int64)
-            doc_ids = np.array(doc, np.int64)[row]
-            repeated = ~_first_of_equal(anchor, content, doc_ids)
-            yield pa.record_batch([pa.array(x) for x in (_dealt(anchor.view(np.uint64), repeated, begin).view(np.int64), content, doc_ids, np.array(key, np.int32)[row], place.astype(np.int32), repeated)], schema=schema)
+        for (doc, key, parts), texts, _ in _groups(batches, ["doc", "key", "parts"], joined):
+            found, begin, length, owner = [], [], [], []
+            for k, ((text, at), mine) in enumerate(zip(texts, parts, strict=True)):
+                spans = set()
+                for p in mine:
+                    for b in p["begins"]:
+                        if p["whole"]:
+                            spans.add((b, p["count"] + width - 1))
+                        if p["windows"]:
+                            spans.update((x, width) for x in range(b, b + p["count"]))
+                at = at.tolist()
+                for b, n in spans:
+                    found.append(hashlib.blake2b(text[at[b] : at[b + n] - 1], digest_size=16).digest())
+                    begin.append(b)
+                    length.append(n)
+                    owner.append(k)
+            if not found:
+                continue
+            both = np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
+            at = np.array(owner)
+            (n, key_ids, doc_ids, d2, d1), begins = _gathered([np.array(length), np.array(key, np.int64)[at], np.array(doc, np.int64)[at], both[:, 1], both[:, 0]], np.array(begin))
+            least = _first_of_equal(d1, d2, doc_ids)
+            d1 = np.where(least, d1, mix(d1 + np.arange(len(d1), dtype=np.uint64)))  # rows that are known to be repeated are scattered
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d1.view(np.int64), d2.view(np.int64), doc_ids, key_ids.astype(np.int32), n.astype(np.int32))] + [begins, pa.array(~least)], names=names)
 
     return run
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row per document with repeats: doc, key (a hash of the text), spans (array of begin and end, in words)."""
+    """One row per document with repeats: doc, key (a hash of the text), spans: array of begins and a length, in words."""
     n = partitions(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), _key(text_col), F.col(text_col).cast("binary").alias("text"))
-    found = rows.mapInArrow(_stretches(width), "anchor long, words_hash long, doc long, key int, begin int, count int, repeated boolean").repartition(n, "anchor")
+    found = rows.mapInArrow(_stretches(width), STRETCHES).repartition(n, "anchor")
     same, near = Window.partitionBy("anchor", "words_hash"), Window.partitionBy("anchor")
     judged = (
         found.withColumn("least", F.min("doc").over(same))
-        .withColumn("border", (F.min("words_hash").over(near) != F.max("words_hash").over(near)) & (F.min("doc").over(near) != F.max("doc").over(near)))
+        .withColumn("most", F.max("doc").over(same))
+        .withColumn("border", F.max("border").over(near) | ((F.min("words_hash").over(near) != F.max("words_hash").over(near)) & (F.min("doc").over(near) != F.max("doc").over(near))))
         .withColumn("repeated", F.col("repeated") | (F.col("least") < F.col("doc")))
-        .where("repeated or border")
-        .select("anchor", "doc", "key", "begin", "count", "repeated")
+        .withColumn("whole", F.col("repeated") | F.col("source") | (F.col("most") > F.col("doc")))
+        .withColumn("windows", F.col("border") & ~F.col("repeated"))
+        .where("not signal and (whole or windows)")
     )
-    judged = stored(judged, "stretches")
-    spans = judged.where("repeated").select("doc", "key", "begin", (F.col("begin") + F.col("count") + F.lit(width - 1)).alias("end"))
-    borders = judged.where("not repeated").groupBy("doc", "key").agg(F.collect_list(F.struct("anchor", "begin", "count")).alias("stretches"))
-    single = rows.join(borders, ["doc", "key"]).select("doc", "key", "text", "stretches").mapInArrow(_windows(width), "anchor long, words_hash long, doc long, key int, begin int, repeated boolean")
-    single = single.withColumn("least", F.min("doc").over(same)).where(F.col("repeated") | (F.col("least") < F.col("doc")))
-    spans = spans.unionByName(single.select("doc", "key", "begin", (F.col("begin") + F.lit(width)).alias("end")))
-    return spans.groupBy("doc", "key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    parts = stored(judged.groupBy("doc", "key").agg(F.collect_set(F.struct("begins", "count", "whole", "windows")).alias("parts")), "stretches")
+    single = rows.join(parts, ["doc", "key"]).select("doc", "key", "text", "parts").mapInArrow(_digests(width), VERIFIED)
+    repeated = single.withColumn("least", F.min("doc").over(Window.partitionBy("d1", "d2"))).where(F.col("repeated") | (F.col("least") < F.col("doc")))
+    out = stored(repeated.groupBy("doc", "key").agg(F.collect_set(F.struct("begins", "n")).alias("spans")), "spans")
+    discard(parts)
+    return out
 
 
 def _kept(count: int, spans: list | None) -> np.ndarray:
     """True for each word that no span covers."""
     edges = np.zeros(count + 1, np.int64)
     for s in () if spans is None else spans:
-        edges[min(s["begin"], count)] += 1
-        edges[min(s["end"], count)] -= 1
+        begins = np.asarray(s["begins"], np.int64)
+        np.add.at(edges, begins, 1)
+        np.subtract.at(edges, begins + s["n"], 1)
     return np.cumsum(edges[:-1]) == 0
 
 
