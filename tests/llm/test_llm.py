@@ -236,7 +236,33 @@ def test_clean_and_proximity(spark):
     assert sorted(r["doc"] for r in decontaminate.matches(docs, bench).collect()) == [1]
     left = decontaminate.clean(docs, bench)
     assert sorted(map(str, (r["doc_id"] for r in left.collect()))) == ["2", "3", "None"] and left.columns == docs.columns
-    assert decontaminate.digest(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate.digest(docs, bench.limit(0)).where("n_hit > 0").count() == 0 and decontaminate.digest(docs, bench.limit(0)).count() == 4
+    assert decontaminate.digest(docs.limit(0), bench).count() == 0 and decontaminate.clean(docs.limit(0), bench).count() == 0
+
+
+def test_contaminated_rows_without_an_id_go(spark):
+    docs = frame(spark, [(None, "x alpha beta"), (None, "clean text"), (None, None), (5, "alpha beta"), (5, "other"), (6, "other")], True)
+    bench = spark.createDataFrame([(7, "alpha beta")], "item_id long, text string")
+    left = decontaminate.clean(docs, bench)
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in left.collect()) == [("6", "other"), ("None", "None"), ("None", "clean text")] and left.columns == docs.columns
+
+
+def test_proximity_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEGMENT", 200)
+    r = random.Random(9)
+    rows = [(k, " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 60)))) for k in range(40)] + [(40, None)]
+    items = [(1, "a b"), (2, "a c g h"), (3, "b b b"), (4, "zz a"), (5, ""), (6, "a b c d e f g h")]
+    want = set()
+    for doc, text in rows:
+        w = (text or "").split()
+        for item, t in items:
+            need = set(t.split())
+            spans = [(j - i, i, j) for i in range(len(w)) for j in range(i + 1, min(len(w), i + len(need) + 3) + 1) if need and need <= set(w[i:j])]
+            if spans:
+                _, i, j = min(spans)
+                want.add((doc, item, i, j))
+    got = decontaminate.matches(frame(spark, rows, True), spark.createDataFrame(items, "item_id long, text string"), within=3).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
 
 
 # -- packing
@@ -269,6 +295,15 @@ def test_every_token_is_packed_once(spark, monkeypatch):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_rows_of_one_id_spread_over_shares(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARE", 100)
+    got = packing.pack(frame(spark, [(None, "a b c")] * 300 + [(7, "a b c")] * 300), buckets=1, budget=40).collect()
+    shares = {}
+    for r in got:
+        shares.setdefault(r["batch"].split("-")[1], []).append(r)
+    assert len(got) == 600 and len(shares) == 6 and max(map(len, shares.values())) < 200
+
+
 # -- media
 
 
@@ -283,6 +318,36 @@ def test_media_round_trip(spark):
         assert media.decode(bytes(r["media"])).size % 192 == 0
 
 
+def test_features_by_brute_force(spark):
+    rows = [x for x in corpus(11) if len(x[1] or "") < 5000]
+    for r in media.digest(frame(spark, rows, True)).collect():
+        text = next((t for d, t in rows if d == r["doc_id"]), None)
+        payload = media.padded((text or "").encode())
+        h = len(payload) // 192
+        small = [[0.0] * 32 for _ in range(32)]
+        for y in range(32):
+            for x in range(32):
+                ys, xs = range(y * h // 32, max(y * h // 32 + 1, (y + 1) * h // 32)), range(x * 6, x * 6 + 6)
+                small[y][x] = sum(payload[i * 192 + j] for i in ys for j in xs) / (len(ys) * 6)
+        wave = lambda k, n: np.cos(np.pi / 32 * (n + 0.5) * k)
+        low = [round(sum(small[y][x] * wave(u, y) * wave(v, x) for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)][1:]
+        middle = sorted(low)[31]
+        want = f"{int(''.join('1' if x > middle else '0' for x in low), 2):016x}"
+        assert bin(int(want, 16) ^ int(r["feature"], 16)).count("1") <= 1  # sums in another order may round a middle value apart
+
+
+def test_the_writer_uses_filters_and_many_images_equal_one():
+    r = np.random.default_rng(5)
+    slope = np.add.outer(np.arange(40) * 3, np.arange(192)).astype(np.uint8)
+    wavy = (np.cumsum(r.integers(-2, 3, (30, 192)), axis=0) + np.cumsum(r.integers(-2, 3, (30, 192)), axis=1) + 128).astype(np.uint8)
+    images = [slope, wavy, np.zeros((1, 192), np.uint8), r.integers(0, 256, (3, 192), dtype=np.uint8), np.repeat(r.integers(0, 256, (1, 192), dtype=np.uint8), 9, axis=0)]
+    files = media.encode_many([x.tobytes() for x in images])
+    assert files == [media.encode(x.tobytes()) for x in images]
+    assert all((a == b).all() for a, b in zip(media.decode_many(files), images, strict=True))
+    kinds = {k for f in files for k in media._inflated(f)[0][:, 0].tolist()}
+    assert len(kinds) >= 4
+
+
 def test_all_row_filters_and_damage():
     r = np.random.default_rng(2)
     image = r.integers(0, 256, (7, 12), dtype=np.uint8)
@@ -434,6 +499,49 @@ def test_boilerplate_equals_brute_force():
             assert (got == want).all()
 
 
+def test_words_in_classes_mark_only_as_a_whole():
+    article = lambda c: pagetext.blocks(f'<article><div class="{c}"><p>Text</p></div><p>More</p></article>')[0]
+    for kept in ("share-price", "related", "social", "search-results", "comment-free", "adventure", "notice", "widget", "header"):
+        assert article(kept) == ["Text", "More"], kept
+    for gone in ("ad", "x ads", "share-buttons", "cookie-notice", "site-footer", "sidebar-left", "comments", "newsletter-box", "menu_items"):
+        assert article(gone) == ["More"], gone
+    assert pagetext.blocks("<article><p>a</p><button>b</button></article>")[0] == ["a", "b"]
+
+
+def test_query_over_pages_by_brute_force(spark):
+    """Rows, texts and counts of the whole query: the article where there is one, else the blocks without what three pages of the host repeat."""
+    r = random.Random(12)
+    words = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    menu, rows, pages = words(14), [], {}
+    for k in range(60):
+        own, foot = words(25), words(9) if k % 3 else menu
+        article = f"<article><h1>{own}</h1><p>{menu}</p></article>" if k % 2 else f"<p>{own}</p><div>{menu}</div>"
+        rows.append((k, f"http://h{k % 3}.x/{k}", f"<body><nav>{menu} {k if k % 5 == 0 else ''}</nav>{article}<footer>{foot}</footer></body>"))
+        nav = f"{menu} {k}" if k % 5 == 0 else menu
+        pages[k] = ([own, menu] if k % 2 else [], [] if k % 2 else [own, menu], [nav, foot])
+    rows += [(100, None, None), (101, "http://h0.x/e", ""), rows[4], rows[4]]
+    pages |= {100: ([], [], []), 101: ([], [], [])}
+    host = lambda k: k % 3 if k < 60 else -1
+    streams = {k: tuple(" ".join(open_ + away).split()) for k, (_, open_, away) in pages.items()}
+    repeated = {}
+    for k, t in streams.items():
+        for i in range(len(t) - 7):
+            repeated.setdefault((host(k), t[i : i + 8]), set()).add(t)
+    want = []
+    for k, _, _ in rows:
+        article, open_, away = pages[k]
+        t = streams[k]
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 7):
+            if len(repeated[host(k), t[i : i + 8]]) >= 3:
+                gone[i : i + 8] = True
+        text = "\n".join(article) if article else pagetext.cut(open_, gone)
+        want.append((k, text, len(text), len(t), int(gone.sum())))
+    got = [(x["page_id"], x["text"], x["n_chars"], x["n_around"], x["n_repeated"]) for x in pagetext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got) == sorted(want) and any(x[4] for x in want)
+    assert pagetext.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 # -- urls
 
 
@@ -468,6 +576,50 @@ def test_ordinal_model_on_held_out_documents(spark):
     assert np.allclose(model.weights, again.weights)
 
 
+def test_recall_on_held_out_documents(spark):
+    """Nine tenths of the toxic and of the poor documents go, clean ones are left alone."""
+    folder = DATA.replace("0.001", "0.1")
+    docs, grades = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    grades = quality.graded(grades)
+    held = grades.where("doc_id % 3 = 0")
+    model = quality.train(docs, grades.where("doc_id % 3 <> 0"))
+    judged = quality.scored(docs.join(held.select("doc_id"), "doc_id", "left_semi"), model).join(held, "doc_id").collect()
+    share = lambda g: sum(r["rejected"] for r in judged if r["grade"] == g) / sum(r["grade"] == g for r in judged)
+    assert share(0) >= 0.9 and share(1) >= 0.9 and share(2) <= 0.01
+
+
+def test_gradient_and_probabilities_by_brute_force():
+    r = np.random.default_rng(4)
+    owner, slot = np.sort(r.integers(0, 30, 90)), r.integers(0, 8, 90)
+    grades, w, gaps = r.integers(0, 3, 30), r.normal(size=8), np.array([-0.4, 0.3])
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def loss(w, gaps):
+        total = 0.0
+        for k in range(30):
+            s = sum(w[j] for i, j in zip(owner, slot, strict=True) if i == k)
+            ends = [0.0, sigmoid(gaps[0] - s), sigmoid(gaps[0] + np.exp(gaps[1]) - s), 1.0]
+            total -= np.log(ends[grades[k] + 1] - ends[grades[k]])
+        return total / 30 + quality.DECAY / 2 * sum(w * w)
+
+    got, gradient = quality.Model.likelihood(w, gaps, owner, slot, grades)
+    assert got == pytest.approx(loss(w, gaps))
+    both = np.concatenate((w, gaps))
+    for k in range(10):
+        step = np.zeros(10)
+        step[k] = 1e-6
+        assert gradient[k] == pytest.approx((loss((both + step)[:8], (both + step)[8:]) - loss((both - step)[:8], (both - step)[8:])) / 2e-6, abs=1e-6)
+    model = quality.Model(np.array([0.5, -1.0, 2.0], np.float32), np.array([-1.0, 1.5]))
+    assert model.at_most(model.score(np.array([0, 2]))) == pytest.approx([sigmoid(-1.0 - 2.5), sigmoid(1.5 - 2.5)])
+
+
+def test_shapes_of_words():
+    has = lambda text, shape, k: quality.hashed(b"s" + shape + b"%d" % k) in quality.features(text, quality.Features()).tolist()
+    assert has(b"a a a b", b"again", 5) and not has(b"a b a b", b"again", 0)
+    assert has(b"AB CD ef", b"capitals", 5) and not has(b"ab cd", b"capitals", 0) and has(b"x%% y", b"marked", 5) and has(b"x | y |", b"bare", 5)
+    assert len(quality.features(None, quality.Features())) == len(quality.features(b" \n", quality.Features())) == 0
+
+
 def test_quality_of_odd_rows(spark):
     rows = corpus(5)
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (2, None, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
