@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def verdict(text: Column) -> Column:
-    """1 or 0 from a judge's reply: a labelled answer, else the last line that is only YES or NO, else the first such word, else 0."""
+    """1 or 0 from a judge's reply (the pattern of a labelled answer is a fixed value): a labelled answer, else the last line that is only YES or NO, else the first such word, else 0."""
     labelled = F.regexp_extract(text, r"(?i)\b(?:Final\s+)?Answer\s*:\s*\**\s*(YES|NO)\b", 1)
     lines = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.upper(F.regexp_replace(x, r"[\s`*_]", "")))
     alone = F.get(F.filter(F.reverse(lines), lambda x: x.isin("YES", "NO")), F.lit(0))
@@ -16,10 +16,15 @@ def verdict(text: Column) -> Column:
     return (pick == "YES").cast("int")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends, line ends included."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def answer_split(text: Column) -> Column:
-    """struct(answer, rationale): cut at the first "rationale:"; with nothing before it, the rest is the answer too."""
+    """struct(answer, rationale): cut at the first "rationale:"; with nothing before it, the rest is the answer and there is no rationale."""
     parts = F.split(text, r"(?i)rationale:", 2)
-    left, right = F.trim(F.regexp_replace(F.get(parts, F.lit(0)), r"(?i)^\s*answer:\s*", "")), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
+    left, right = stripped(F.get(parts, F.lit(0))), stripped(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
     return F.struct(F.when(left == "", right).otherwise(left).alias("answer"), F.when(left == "", F.lit("")).otherwise(right).alias("rationale"))
 
 
@@ -47,11 +52,18 @@ def topic(text: Column) -> Column:
     return F.array_join(F.transform(F.split(F.trim(text), r"\s+"), word), " ")
 
 
-def clauses(text: Column, least: int = 4, most: int = 12) -> Column:
-    """Clauses (cut after sentence ends and at commas) of ``least`` to ``most`` words."""
-    cut = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "[\u0001,]")
-    trimmed = F.transform(cut, lambda x: F.trim(x))
-    return F.filter(trimmed, lambda x: F.size(F.split(x, r"\s+")).between(least, most))
+def clauses(text: Column) -> Column:
+    """Clauses of a text: cut after sentence ends and at commas that white space follows, trimmed, none empty."""
+    cut = F.split(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u0001"), F.lit(" ")), r"(?:([.!?])|,)\s+", "$1\u0001"), "\u0001")
+    return F.filter(F.transform(cut, stripped), lambda x: x != "")
+
+
+def picked_clause(text: Column, draw: Column, least: int = 4, most: int = 12) -> Column:
+    """The clause that ``draw`` (a number from 0) picks among those of ``least`` to ``most`` words, or among all if none has so many; '' without any."""
+    all_ = clauses(text)
+    fits = F.filter(all_, lambda x: F.size(F.split(x, r"\s+")).between(least, most))
+    pool = F.when(F.size(fits) > 0, fits).otherwise(all_)
+    return F.when(F.size(pool) > 0, F.get(pool, F.pmod(draw, F.greatest(F.size(pool), F.lit(1))).cast("int"))).otherwise("")
 
 
 def token_overlap(a: Column, b: Column) -> Column:
@@ -72,7 +84,8 @@ def clock_seconds(text: Column) -> Column:
     """mm:ss or h:mm:ss to seconds, null if it is neither."""
     p = F.split(F.trim(text), ":")
     n = lambda k: F.get(p, F.lit(k)).try_cast("int")
-    return F.when(F.size(p) == 2, n(0) * 60 + n(1)).when(F.size(p) == 3, n(0) * 3600 + n(1) * 60 + n(2))
+    s = lambda k: F.get(p, F.lit(k)).try_cast("double")
+    return F.when(F.size(p) == 2, n(0) * 60 + s(1)).when(F.size(p) == 3, n(0) * 3600 + n(1) * 60 + s(2))
 
 
 def option_text(options: Column, answer: Column) -> Column:

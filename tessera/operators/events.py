@@ -19,16 +19,29 @@ def dominant_speaker(windows: DataFrame, segments: DataFrame, threshold: float,
 
 
 def trend_windows(trace: DataFrame, width: float = 30.0, step: float = 10.0, keys: tuple[str, ...] = ("episode_id",)) -> DataFrame:
-    """Sliding windows over a trace (keys, t, value): means of both halves and their difference; a window needs values in both."""
+    """Sliding windows over a trace (keys, t, value): means of both halves and their difference; a window needs values in both.
+
+    Each point goes to the windows that hold it, width / step or one more, so rows grow with the points.
+    """
     k = list(keys)
-    span = trace.groupBy(*k).agg(F.min("t").alias("start"), F.max("t").alias("end"))
-    windows = sliding(span, width, step).select(*k, "lo", "hi")
-    points = windows.join(trace, k).where((F.col("t") >= F.col("lo")) & (F.col("t") <= F.col("hi")))
+    span = trace.groupBy(*k).agg(F.min("t").alias("_a"), F.max("t").alias("_z")).where(F.col("_z") - F.col("_a") >= width)
+    last = F.floor((F.col("_z") - F.col("_a") - width) / F.lit(step))
+    low = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("t") - F.col("_a") - width) / F.lit(step)) - 1)
+    high = F.least(last, F.floor((F.col("t") - F.col("_a")) / F.lit(step)) + 1)
+    held = trace.join(span, k).where(low <= high).withColumn("_i", F.explode(F.sequence(low, high))).withColumn("lo", F.col("_a") + F.col("_i") * step).withColumn("hi", F.col("_a") + F.col("_i") * step + width)
+    points = held.where((F.col("t") >= F.col("lo")) & (F.col("t") <= F.col("hi")))
     half = F.col("t") < F.col("lo") + width / 2
     means = points.groupBy(*k, "lo", "hi").agg(F.avg(F.when(half, F.col("value"))).alias("half1"), F.avg(F.when(~half, F.col("value"))).alias("half2"))
     return means.where("half1 is not null and half2 is not null").withColumn("delta", F.col("half2") - F.col("half1"))
 
 
+def spoken_trends(trends: DataFrame, segments: DataFrame, share: float = 0.7, key: str = "episode_id") -> DataFrame:
+    """``trends`` (key, lo, hi) in which one speaker has ``share`` of what is spoken, with that speaker."""
+    windows = trends.select(key, "lo", "hi").distinct().withColumn("window_id", F.concat_ws("/", F.col(key).cast("string"), F.col("lo").cast("string"), F.col("hi").cast("string")))
+    found = dominant_speaker(windows, segments, share, key).select("window_id", "speaker")
+    return trends.join(windows.join(found, "window_id").select(key, "lo", "hi", "speaker"), [key, "lo", "hi"])
+
+
 def suppressed(candidates: DataFrame, keys: list[str], strength: Column, guard: float = 60.0) -> DataFrame:
     """Greedy suppression: strongest first, a candidate is kept if none kept before lies within ``guard`` of it.
 
@@ -74,19 +87,52 @@ def clusters(events: DataFrame, group: list[str], least: int = 3, within: int =
     return counted.where(F.col("n") >= least).withColumn("_r", first).where("_r = 1").select(*group, F.greatest(F.lit(0.0), F.col("start") - pad).alias("lo"), (F.col("last") + pad).alias("hi"), "n")
 
 
-def neighbour_bounds(events: DataFrame, group: list[str], order: str = "seg_id") -> DataFrame:
-    """For each event the latest end before its start, and the earliest start from its end on, in its group."""
+def neighbour_bounds(events: DataFrame, group: list[str], sources: DataFrame | None = None) -> DataFrame:
+    """For each event the latest end before its start, and the earliest start from its end on, of ``sources`` (the events themselves) in its group."""
     w = Window.partitionBy(*group)
-    e = events
-    left = e.select(*group, F.col("end").alias("x"), F.lit(0).alias("kind"), F.col("end").alias("v")).unionByName(e.select(*group, F.col("start").alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("v")).distinct())
+    of = events if sources is None else sources
+    left = of.select(*group, F.col("end").alias("x"), F.lit(0).alias("kind"), F.col("end").alias("v")).unionByName(events.select(*group, F.col("start").alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("v")).distinct())
     prev = left.withColumn("prev_end", F.max("v").over(w.orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1").select(*group, F.col("x").alias("_s"), "prev_end")
-    right = e.select(*group, F.col("start").alias("x"), F.lit(1).alias("kind"), F.col("start").alias("v")).unionByName(e.select(*group, F.col("end").alias("x"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("v")).distinct())
+    right = of.select(*group, F.col("start").alias("x"), F.lit(1).alias("kind"), F.col("start").alias("v")).unionByName(events.select(*group, F.col("end").alias("x"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("v")).distinct())
     next_ = right.withColumn("next_start", F.min("v").over(w.orderBy("x", "kind").rowsBetween(0, Window.unboundedFollowing))).where("kind = 0").select(*group, F.col("x").alias("_e"), "next_start")
     on = lambda a, d, x: [F.col(f"a.{g}") == F.col(f"{d}.{g}") for g in group] + [F.col(a) == F.col(x)]
     joined = events.alias("a").join(prev.distinct().alias("p"), on("a.start", "p", "p._s"), "left").select("a.*", "prev_end").alias("a")
     return joined.join(next_.distinct().alias("n"), on("a.end", "n", "n._e"), "left").select("a.*", "next_start")
 
 
+def longest_runs(rows: DataFrame, key: str, order: list[str], flag: Column) -> DataFrame:
+    """(key, longest, share): the longest run of true flags in the rows' order, and the share of true ones; islands are rows with one difference of two ranks."""
+    w = Window.partitionBy(key).orderBy(*order)
+    flagged = rows.withColumn("_f", F.coalesce(flag, F.lit(False)))
+    marked = flagged.withColumn("_i", F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, "_f").orderBy(*order)))
+    islands = marked.groupBy(key, "_f", "_i").agg(F.count(F.lit(1)).alias("_n"))
+    return islands.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("_f"), F.col("_n"))), F.lit(0)).alias("longest"), (F.coalesce(F.sum(F.when(F.col("_f"), F.col("_n"))), F.lit(0)) / F.sum("_n")).alias("share"))
+
+
+def matched_times(transcripts: DataFrame, segments: DataFrame, key: str = "episode_id") -> DataFrame:
+    """Times of transcripts (key, n, text, t0, t1; times may be null) from the recording's segments (key, idx, start, end, text).
+
+    A transcript without times gets those of the segment with which it shares most different words, the first of equals,
+    but of no segment before that of the transcript before it; one with times stands at the segment that starts nearest and
+    those after it go on from there.  Without a shared word there are no times, and it doesn't count for later ones.
+    """
+    from tessera.operators.intervals import nearest_within
+
+    split = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != ""))).alias("_w")
+    open_ = transcripts.where("t0 is null")
+    shared = open_.select(key, "n", split(F.col("text"))).join(segments.select(key, "idx", split(F.col("text"))), [key, "_w"]).groupBy(key, "n", "idx").agg(F.count(F.lit(1)).alias("_c"))
+    best = shared.groupBy(key, "n").agg(F.max(F.struct("_c", (-F.col("idx")).alias("_i")))["_i"].alias("_i")).select(key, "n", (-F.col("_i")).alias("_best"))
+    fixed = nearest_within(transcripts.where("t0 is not null").select(key, "n", F.col("t0").alias("t")), segments.select(key, "idx", "start", "end"), 0.0, key, "idx").select(key, "n", F.col("idx").alias("_best"))
+    rows = transcripts.join(best.unionByName(fixed), [key, "n"], "left")
+    order = Window.partitionBy(key).orderBy("n")
+    placed = rows.withColumn("_from", F.sum(F.col("t0").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    running = Window.partitionBy(key, "_from").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    at = placed.withColumn("_at", F.when(F.col("_best").isNotNull(), F.max("_best").over(running)))
+    s = segments.select(F.col(key).alias("_k"), F.col("idx").alias("_x"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    joined = at.join(s, (F.col(key) == F.col("_k")) & (F.col("_at") == F.col("_x")), "left")
+    return joined.select(key, "n", F.coalesce("t0", "_s").alias("t0"), F.coalesce("t1", "_e").alias("t1")).where("t0 is not null")
+
+
 def halves(trace: DataFrame, keys: list[str], order: list[str], value: str = "value", band: float = 0.05) -> DataFrame:
     """Mean, least, greatest and trend (second half against first, in row order) of each key's values."""
     w = Window.partitionBy(*keys)
@@ -97,6 +143,17 @@ def halves(trace: DataFrame, keys: list[str], order: list[str], value: str = "va
     return out.withColumn("trend", F.when(delta > band, "rising").when(delta < -band, "falling").otherwise("stable")).drop("h1", "h2")
 
 
-def frames_to_seconds(frames: DataFrame, key: str, rate: float, values: list[str]) -> DataFrame:
-    """Frames (key, frame, values) to means of whole seconds; a second without frames has none."""
-    return frames.groupBy(key, F.floor(F.col("frame") / F.lit(rate)).alias("second")).agg(*[F.avg(v).alias(v) for v in values])
+def frames_to_seconds(frames: DataFrame, key: str, rate: float, values: list[str], padded: bool = False) -> DataFrame:
+    """Frames (key, frame, values) to means of whole seconds; a second without frames has none.
+
+    With ``padded`` a second counts ``rate`` frames whatever it has: what is missing is 0, as at a recording's end.
+    """
+    mean = (lambda v: F.sum(v) / F.lit(rate)) if padded else F.avg
+    return frames.groupBy(key, F.floor(F.col("frame") / F.lit(rate)).alias("second")).agg(*[mean(v).alias(v) for v in values])
+
+
+def series_stats(frames: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
+    """(key, and of each value a struct mean, std, start, end): mean, population deviation, first and last value of a series, clamped to 0 and 1."""
+    held = lambda v: F.least(F.greatest(F.col(v).cast("double"), F.lit(0.0)), F.lit(1.0))
+    stats = [F.struct(F.avg(held(v)).alias("mean"), F.stddev_pop(held(v)).alias("std"), F.min_by(held(v), order).alias("start"), F.max_by(held(v), order).alias("end")).alias(v) for v in values]
+    return frames.groupBy(key).agg(*stats)

@@ -91,42 +91,44 @@ def split_long(turns: DataFrame, most: float) -> DataFrame:
 
 
 def merge_short(turns: DataFrame, least: float, key: str = "episode_id") -> DataFrame:
-    """Turns under ``least`` fold into the one before (the first into the next); for turns that don't overlap.
+    """Turns under ``least`` fold into the one before and give it their end; for turns that don't overlap.
 
-    Each long turn opens an island; short ones before the first long one join it.  A key without any long turn keeps one row if the
-    whole span is long enough.
+    Each long turn opens an island, and so does the first turn, long or not.  If that first island as a whole is still too
+    short, the next one begins where it began; what is too short after that is dropped.  An island has its first turn's
+    speaker.
     """
     w = Window.partitionBy(key).orderBy("start", "end")
-    marked = turns.withColumn("_long", (F.col("end") - F.col("start") >= least).cast("int")).withColumn("_n", F.sum("_long").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    island = marked.withColumn("_n", F.greatest(F.col("_n"), F.lit(1)))
-    owner = F.min_by("speaker", F.struct((1 - F.col("_long")).alias("a"), F.col("start").alias("b")))
-    merged = island.groupBy(key, "_n").agg(F.min("start").alias("start"), F.max(F.struct("start", "end"))["end"].alias("end"), owner.alias("speaker"))
-    return merged.where(F.col("end") - F.col("start") >= least).drop("_n")
+    opens = (F.col("end") - F.col("start") >= least) | (F.row_number().over(w) == 1)
+    numbered = turns.withColumn("_o", opens.cast("int")).withColumn("_n", F.sum("_o").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = numbered.groupBy(key, "_n").agg(F.min("start").alias("start"), F.max(F.struct("start", "end"))["end"].alias("end"), F.min_by("speaker", F.struct("start", "end")).alias("speaker"))
+    islands = Window.partitionBy(key).orderBy("_n")
+    early = F.lag("start").over(islands)
+    gives = (F.col("_n") == 2) & (F.lag("end").over(islands) - early < least)
+    return merged.withColumn("_s", F.when(gives, early).otherwise(F.col("start"))).select(key, F.col("_s").alias("start"), "end", "speaker").where(F.col("end") - F.col("start") >= least)
 
 
 def merge_short_folded(turns: DataFrame, least: float, key: str = "episode_id") -> DataFrame:
-    """The same for turns that may overlap: an ordered fold of each key's turns, which must fit one task."""
+    """The same for turns that may overlap, where an end that is handed on can make a turn short again: repeated until
+    nothing changes, an ordered fold of each key's turns, which must fit one task."""
     kinds = dict(turns.dtypes)
 
-    def fold(rows: pa.Table) -> pa.Table:
-        turns_ = rows.select(["start", "end", "speaker"]).to_pylist()
-        left = sorted(turns_, key=lambda t: (t["start"], t["end"]))
-        changed = True
-        while changed:
-            changed, out, k = False, [], 0
-            while k < len(left):
-                turn = left[k]
-                if turn["end"] - turn["start"] < least:
-                    if out:
-                        out[-1]["end"] = turn["end"]
-                        changed = True
-                    elif k + 1 < len(left):
-                        left[k + 1] = left[k + 1] | {"start": turn["start"]}
-                        changed = True
+    def settle(rows: list[dict]) -> list[dict]:
+        short = lambda t: t["end"] - t["start"] < least
+        while True:
+            kept: list[dict] = []
+            for turn in rows:
+                if kept and short(turn):
+                    kept[-1] = kept[-1] | {"end": turn["end"]}
                 else:
-                    out.append(dict(turn))
-                k += 1
-            left = out
+                    kept.append(turn)
+            if len(kept) > 1 and short(kept[0]):
+                kept[:2] = [kept[1] | {"start": kept[0]["start"]}]
+            if len(kept) == len(rows):
+                return [t for t in kept if not short(t)]
+            rows = kept
+
+    def fold(rows: pa.Table) -> pa.Table:
+        left = settle(sorted(rows.select(["start", "end", "speaker"]).to_pylist(), key=lambda t: (t["start"], t["end"])))
         same = rows.column(key).combine_chunks().take(pa.array([0] * len(left), pa.int64()))
         return pa.table({key: same, **{c: pa.array([t[c] for t in left], rows.schema.field(c).type) for c in ("start", "end", "speaker")}})
 

@@ -11,9 +11,10 @@ from tessera.session import stored
 def ranked(df: DataFrame, by: list[str], order: list, name: str, base: int = 1) -> DataFrame:
     """Numbers from ``base`` in the order of ``order`` in each group of ``by`` (or overall).
 
-    Rows are range-partitioned by group and order; each partition ranks its own, and the counts of (partition, group), which don't
-    grow with the rows, give the offsets.  The placed rows are written once: bounds are sampled anew whenever a range partitioning is
-    run, so ranks and counts must come from one run.
+    Rows are range-partitioned by group and order and each partition ranks its own.  A partition holds an interval of that order,
+    so only its first group can have rows in earlier partitions: the offsets that are sent to all are one row for each
+    partition at most.  The placed rows are written once: bounds are sampled anew whenever a range partitioning is run, so
+    ranks and counts must come from one run.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = stored(df.repartitionByRange(n, *by, *order).withColumn("_p", F.spark_partition_id()), "placed")
@@ -21,8 +22,8 @@ def ranked(df: DataFrame, by: list[str], order: list, name: str, base: int = 1)
     counts = placed.groupBy("_p", *by).agg(F.count(F.lit(1)).alias("_c"))
     earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_p", *by, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_b"))
-    same = before.select(F.col("_p").alias("_q"), *[F.col(b).alias(f"_{b}_") for b in by], "_b")
+    same = before.where("_b > 0").select(F.col("_p").alias("_q"), *[F.col(b).alias(f"_{b}_") for b in by], "_b")
     on = F.col("_p") == F.col("_q")
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"_{b}_"))
-    return local.join(F.broadcast(same), on).withColumn(name, (F.col("_b") + F.col("_r") - 1 + base).cast("long")).drop("_p", "_q", "_r", "_b", *[f"_{b}_" for b in by])
+    return local.join(F.broadcast(same), on, "left").withColumn(name, (F.coalesce("_b", F.lit(0)) + F.col("_r") - 1 + base).cast("long")).drop("_p", "_q", "_r", "_b", *[f"_{b}_" for b in by])

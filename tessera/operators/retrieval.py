@@ -94,9 +94,15 @@ def evidence(fused: DataFrame, segments: DataFrame) -> DataFrame:
     return fused.join(s, "seg_id").select(*SET, "rank", "seg_id", F.array("start", "end").alias("time"), *s.columns[1:], "sources")
 
 
-def clip_span(fused: DataFrame, longest: float = 60.0) -> DataFrame:
-    """(query_id, set_no, lo, hi): whole seconds that the evidence spans, ``longest`` at most."""
-    span = fused.groupBy(*SET).agg(F.floor(F.min("start")).alias("lo"), F.floor(F.max("end")).alias("_hi"))
+def clip_span(fused: DataFrame, longest: float = 60.0, sets: DataFrame | None = None) -> DataFrame:
+    """(query_id, set_no, lo, hi): whole seconds that the evidence spans, ``longest`` at most.
+
+    With ``sets`` (query_id, set_no, lo, hi) every set has a span: one without evidence that of its window.
+    """
+    span = fused.groupBy(*SET).agg(F.min("start").cast("long").alias("lo"), F.max("end").cast("long").alias("_hi"))
+    if sets is not None:
+        window = sets.select(*SET, F.col("lo").cast("long").alias("_wl"), F.col("hi").cast("long").alias("_wh"))
+        span = window.join(span, SET, "left").select(*SET, F.coalesce("lo", "_wl").alias("lo"), F.coalesce("_hi", "_wh").alias("_hi"))
     return span.select(*SET, "lo", F.least(F.col("_hi"), F.col("lo") + F.lit(int(longest))).alias("hi"))
 
 

@@ -22,30 +22,32 @@ def first_n(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
 
-def stratified(df: DataFrame, by: list[str], score: Column, id_col: str, cap: int, seed: int = 42) -> DataFrame:
-    """One row from each of ``cap`` equal rank buckets of each group, best scores first; nothing for a cap of 0."""
-    if cap <= 0:
+def stratified(df: DataFrame, by: list[str], score: Column, id_col: str, cap: int | Column, seed: int = 42) -> DataFrame:
+    """One row from each of ``cap`` equal rank buckets of each group, best scores first; nothing for a cap of 0.
+
+    ``cap`` may be a column that is the same in a group.  Ranks are taken by range, so a group of any size spreads.
+    """
+    if isinstance(cap, int) and cap <= 0:
         return df.limit(0).withColumn("bucket", F.lit(0).cast("long"))
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(score.desc(), id_col)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    bucket = F.when(F.col("_n") <= cap, F.col("_r").cast("long")).otherwise(F.floor(F.col("_r") * cap / F.col("_n")))
-    dealt = ranked.withColumn("bucket", bucket)
-    pick = F.row_number().over(Window.partitionBy(*by, "bucket").orderBy(draw(F.col(id_col), seed), id_col))
-    return dealt.withColumn("_p", pick).where("_p = 1").drop("_r", "_n", "_p")
+    numbered = ranked(df.withColumn("_cap", F.lit(cap)).withColumn("_score", score), by, [F.col("_score").desc(), id_col], "_at", 0)
+    sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*[F.col(b).alias(f"_by_{b}") for b in by], "_n")
+    on = F.lit(True)
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    sized = numbered.join(sizes, on).where("_cap > 0")
+    bucket = F.when(F.col("_n") <= F.col("_cap"), F.col("_at")).otherwise(F.floor(F.col("_at") * F.col("_cap") / F.col("_n")))
+    dealt = sized.withColumn("bucket", bucket.cast("long")).withColumn("_draw", draw(F.col(id_col), seed))
+    pick = dealt.groupBy(*by, "bucket").agg(F.min(F.struct("_draw", F.col(id_col).alias("_id"))).alias("_first")).select(*[F.col(b).alias(f"_of_{b}") for b in by], F.col("bucket").alias("_bucket"), F.col("_first._id").alias("_id"))
+    on = (F.col("bucket") == F.col("_bucket")) & (F.col(id_col) == F.col("_id"))
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"_of_{b}"))
+    return dealt.join(pick, on, "left_semi").select(*df.columns, "bucket")
 
 
 def round_robin(df: DataFrame, bucket: str, order: list, hands: int) -> DataFrame:
-    """Rows dealt to ``hands``: the first of each bucket, then the second of each, and so on.
-
-    A row's place is how many rows other turns and lesser buckets deal before it; that needs only the buckets' sizes, one row of
-    which is sent to all (buckets are classes, thousands at most).  Ranks inside a bucket are taken by range, so a bucket spreads.
-    """
+    """Rows dealt to ``hands``: the first of each bucket, then the second of each, and so on.  Ranks are taken by range, so a bucket spreads."""
     turned = ranked(df, [bucket], order, "turn")
-    sizes = turned.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct(F.col(bucket).alias("b"), "n")).alias("_sizes"))
-    earlier = F.aggregate("_sizes", F.lit(0).cast("long"), lambda s, c: s + F.least(c["n"], F.col("turn") - 1))
-    beside = F.size(F.filter("_sizes", lambda c: (c["b"] < F.col(bucket)) & (c["n"] >= F.col("turn"))))
-    placed = turned.join(F.broadcast(sizes)).withColumn("place", earlier + beside)
-    return placed.withColumn("hand", F.pmod("place", F.lit(hands))).drop("_sizes")
+    return ranked(turned, [], ["turn", bucket], "place", 0).withColumn("hand", F.pmod("place", F.lit(hands)))
 
 
 def paired(df: DataFrame, by: list[str], id_col: str, seed: int = 42) -> DataFrame:

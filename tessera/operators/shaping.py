@@ -16,8 +16,8 @@ def slack_overlaps(start: Column, end: Column, t: Column, slack: float = 1.0) ->
 def with_choices(queries: DataFrame, choices: DataFrame, name: str = "choices") -> DataFrame:
     """Choices of (task, query_type), else of the task's type ``default``; a query's own choices stay."""
     c = choices.select(F.col("task").alias("_t"), F.col("query_type").alias("_q"), F.col("options").alias("_o"))
-    exact = queries.join(F.broadcast(c), (F.col("task") == F.col("_t")) & (F.col("query_type") == F.col("_q")), "left").drop("_t", "_q").withColumnRenamed("_o", "_exact")
-    default = exact.join(F.broadcast(c.where("_q = 'default'")), F.col("task") == F.col("_t"), "left").drop("_t", "_q")
+    exact = queries.join(c, (F.col("task") == F.col("_t")) & (F.col("query_type") == F.col("_q")), "left").drop("_t", "_q").withColumnRenamed("_o", "_exact")
+    default = exact.join(c.where("_q = 'default'"), F.col("task") == F.col("_t"), "left").drop("_t", "_q")
     return default.withColumn(name, F.coalesce(F.col(name), F.col("_exact"), F.col("_o")) if name in queries.columns else F.coalesce("_exact", "_o")).drop("_exact", "_o")
 
 
@@ -90,7 +90,10 @@ def truth_evidence(queries: DataFrame, truth: DataFrame, half: float = 30.0) ->
 
 
 def change_points(windows: DataFrame, key: str, order: str, vector: str, threshold: float) -> DataFrame:
-    """Segment numbers of ordered vectors: a new one begins where the cosine to the one before falls under ``threshold``."""
+    """Segment numbers of ordered vectors: a new one begins where the cosine to the one before falls under ``threshold``.
+
+    The one-pass form, without a group in one task; ``kernel_change_points`` finds the best segmentation.
+    """
     from tessera.functions.numbers import dot, normalised
 
     w = Window.partitionBy(key).orderBy(order)
@@ -100,30 +103,83 @@ def change_points(windows: DataFrame, key: str, order: str, vector: str, thresho
     return marked.withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_u", "_new")
 
 
+def segmented(vectors: np.ndarray, penalty: float, least: int = 1) -> list[int]:
+    """Ends of the segments of at least ``least`` rows with the least total cost plus ``penalty`` for each change.
+
+    A segment's cost is its rows' scatter in the feature space of a Gaussian kernel on unit vectors (width: the median of
+    their squared distances): the number of rows less the mean of the kernel over all its pairs times that number.  Exact
+    dynamic programming; of equal costs the earlier cut.
+    """
+    n = len(vectors)
+    if n < 2 * least:
+        return [n]
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    apart = np.maximum(2 - 2 * unit @ unit.T, 0)
+    middle = np.median(apart[np.triu_indices(n, 1)])
+    kernel = np.exp(-np.clip(apart / (middle if middle > 0 else 1.0), 1e-2, 1e2))
+    np.fill_diagonal(kernel, 1.0)
+    sums = np.zeros((n + 1, n + 1))
+    np.cumsum(np.cumsum(kernel, axis=0), axis=1, out=sums[1:, 1:])
+    best, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+    best[0] = -penalty
+    for end in range(least, n + 1):
+        start = np.arange(0, end - least + 1)
+        size = end - start
+        cost = size - (sums[end, end] - sums[start, end] - sums[end, start] + sums[start, start]) / size
+        total = best[start] + cost + penalty
+        k = int(np.argmin(np.round(total, 9)))
+        best[end], cut[end] = total[k], start[k]
+    ends = [n]
+    while cut[ends[-1]]:
+        ends.append(int(cut[ends[-1]]))
+    return ends[::-1]
+
+
+def kernel_change_points(windows: DataFrame, key: str, order: str, vector: str, penalty: float, least: int = 1) -> DataFrame:
+    """(key, order, segment): segments from 1 of each key's vectors in order, by ``segmented``.  A key is a recording, whose windows fit a task (memory: the square of their number)."""
+    kinds = dict(windows.dtypes)
+
+    def number(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(order)
+        ends = segmented(np.array(rows.column(vector).to_pylist(), np.float64), penalty, least)
+        return pa.table({key: rows.column(key), order: rows.column(order), "segment": pa.array(np.searchsorted(ends, np.arange(rows.num_rows), "right") + 1, pa.int64())})
+
+    return windows.select(key, order, vector).groupBy(key).applyInArrow(number, f"{key} {kinds[key]}, {order} {kinds[order]}, segment long")
+
+
 def vector_scores(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of all vectors to each query by cosine: queries are sent to all (at most ``MOST_QUERIES``, checked), blocks are multiplied,
-    each block keeps its own best, so only queries x blocks x k rows are shuffled."""
-    rows = queries.limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"over {MOST_QUERIES} query vectors; run them in blocks")
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    matrix = np.array([r["query_vector"] for r in rows], np.float64)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def best(batches):
-        names, q = sent.value
-        for batch in batches:
-            idx = batch.column("idx").to_numpy()
-            v = np.array(batch.column("embedding").to_pylist(), np.float64)
-            if not len(v) or not len(names):
-                continue
-            s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T, 6)
-            order = np.lexsort((np.broadcast_to(idx, s.shape), -s), axis=1)[:, :k]
-            yield pa.record_batch({"query_id": np.repeat(names, order.shape[1]), "idx": idx[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-    found = vectors.select(F.col("idx").cast("long").alias("idx"), "embedding").mapInArrow(best, "query_id long, idx long, score double")
+    """The ``k`` nearest of all vectors to each query by cosine.
+
+    Queries are dealt by a hash to blocks of about ``MOST_QUERIES``, each sent to all for a pass over the vectors; parts of the
+    vectors are multiplied with the block and keep their own best, so only queries x parts x k rows are shuffled.
+    """
+    blocks = -(-queries.count() // MOST_QUERIES)
+    schema = "query_id long, idx long, score double"
+
+    def one(rows: list) -> DataFrame:
+        matrix = np.array([r["query_vector"] for r in rows], np.float64)
+        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+        sent = vectors.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), matrix))
+
+        def best(batches):
+            names, q = sent.value
+            for batch in batches:
+                idx = batch.column("idx").to_numpy()
+                v = np.array(batch.column("embedding").to_pylist(), np.float64)
+                if not len(v):
+                    continue
+                s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T, 6)
+                order = np.lexsort((np.broadcast_to(idx, s.shape), -s), axis=1)[:, :k]
+                yield pa.record_batch({"query_id": np.repeat(names, order.shape[1]), "idx": idx[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+
+        return vectors.select(F.col("idx").cast("long").alias("idx"), "embedding").mapInArrow(best, schema)
+
+    found = vectors.sparkSession.createDataFrame([], schema)
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        found = found.unionByName(one(rows)) if rows else found
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "idx"))).where(F.col("rank") <= k)
 
 
-MOST_QUERIES = 100_000
+#: Query vectors of a block, about.
+MOST_QUERIES = 20_000

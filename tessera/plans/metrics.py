@@ -7,10 +7,23 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.operators.intervals import coverage
 
-#: Which groups of tools a query type needs; any tool of a group will do.
-REQUIRED_TOOLS = {"state": [["audio_emb"], ["keyword", "text_emb"]], "locate": [["label"], ["keyword", "text_emb"]], "locate_hard": [["label"], ["audio_emb"]], "change": [["label"]], "comparison": [["audio_emb", "domain_emb"]]}
+#: Which groups of tools a query type needs; any tool of a group will do, other types need none.
+REQUIRED_TOOLS = {
+    "state": [["audio_emb"], ["text_emb", "keyword"]],
+    "comparison": [["audio_emb"], ["text_emb", "keyword"]],
+    "change": [["audio_emb"], ["text_emb", "keyword"]],
+    "locate": [["audio_emb"], ["domain_emb"], ["label"]],
+    "locate_hard": [["domain_emb"], ["label"]],
+    "audio": [["audio_emb", "domain_emb"]],
+}
+#: What the letters of the annotation page stand for, by task and query type.
+STATE_LETTERS = {"A": "N", "B": "H", "C": "S", "D": "A", "E": "U", "F": "F", "G": "D", "H": "C"}
+CHANGE_LETTERS = {"A": "rising", "B": "falling", "C": "none"}
+MUSIC_LETTERS = {"A": "A", "B": "B", "C": "Tie"}
+HEALTH_LETTERS = {"A": "Yes", "B": "No"}
 JUDGE_TOLERANCE, HUMAN_TOLERANCE, STORED_TOLERANCE = 3.0, 5.0, 15.0
 
 
@@ -25,13 +38,17 @@ def hit_rate(truth: DataFrame, windows: DataFrame, key: str = "query_id") -> Dat
 
 
 def plan_hit_rate(time_coverage: DataFrame, tools: DataFrame, kinds: DataFrame, required: dict[str, list[list[str]]] = REQUIRED_TOOLS) -> DataFrame:
-    """(time coverage + groups with an active tool) / (1 + groups); time coverage alone where a type needs none."""
+    """(time coverage + groups with an active tool) / (1 + groups); time coverage alone where a type needs none.
+
+    ``kinds``: query_id, query_type and, optional, ``oracle``: plans made from the truth count as 1.
+    """
     table = F.create_map(*[x for k, groups in required.items() for x in (F.lit(k), F.array(*[F.array(*map(F.lit, g)) for g in groups]))])
     joined = kinds.join(time_coverage, "query_id", "left").join(tools, "query_id", "left").withColumn("_groups", F.element_at(table, F.col("query_type")))
     active = F.coalesce(F.col("active"), F.array().cast("array<string>"))
     hits = F.size(F.filter("_groups", lambda g: F.arrays_overlap(g, active)))
     covered = F.coalesce(F.col("covered"), F.lit(0.0))
-    return joined.select("query_id", "query_type", F.when(F.col("_groups").isNull(), covered).otherwise((covered + hits) / (1 + F.size("_groups"))).alias("plan_hit_rate"))
+    oracle = F.coalesce(F.col("oracle"), F.lit(False)) if "oracle" in kinds.columns else F.lit(False)
+    return joined.select("query_id", "query_type", F.when(oracle, F.lit(1.0)).when(F.col("_groups").isNull(), covered).otherwise((covered + hits) / (1 + F.size("_groups"))).alias("plan_hit_rate"))
 
 
 def scorecard(scores: DataFrame, metrics: list[str], variant: str = "variant", kind: str = "query_type") -> DataFrame:
@@ -80,11 +97,35 @@ def rated_by_all(scores: DataFrame, judges: int, item: str = "query_id", judge:
     return scores.groupBy(item).agg(F.count_distinct(judge).alias("_j")).where(F.col("_j") == judges).select(item)
 
 
-def human_correct(kind: Column, choice: Column, truth: Column, time: Column, lo: Column, hi: Column) -> Column:
-    """1, 0 or null (can't be scored): times within ``HUMAN_TOLERANCE`` of the truth's interval, sets as sets, else equality."""
-    in_time = time.between(lo - HUMAN_TOLERANCE, hi + HUMAN_TOLERANCE).cast("int")
-    same = (F.array_sort(F.array_distinct(choice)) == F.array_sort(F.array_distinct(truth))).cast("int")
-    return F.when(truth.isNull() & lo.isNull(), F.lit(None).cast("int")).when(kind.startswith("locate"), in_time).otherwise(same)
+def _meaning(letter: Column, table: dict[str, str], keep: bool) -> Column:
+    """What a letter stands for; another value is null, or itself with ``keep``."""
+    found = F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), letter)
+    return F.coalesce(found, letter) if keep else found
+
+
+def human_correct(task: Column, kind: Column, choice: Column, truth: dict[str, Column]) -> Column:
+    """1, 0 or null (can't be scored) for a person's ``choice``, an array of letters or of one time (mm:ss or h:mm:ss).
+
+    ``truth``: winner, direction, emo, t0, t1, answer.  Emotion: the winner for comparisons, the direction for changes, for
+    states the true class among the chosen ones, for places a time within ``HUMAN_TOLERANCE`` of the interval.  Music: the
+    winner, health: the answer, whatever their case.  A missing truth of music or health is an empty text, a missing bound is 0.
+    """
+    same = lambda a, b: F.coalesce((a == b).cast("int"), (a.isNull() & b.isNull()).cast("int"))
+    choice = F.coalesce(choice, F.array(F.lit(None).cast("string")))
+    one = F.get(choice, F.lit(0))
+    states = F.transform(choice, lambda c: _meaning(c, STATE_LETTERS, False))
+    state = F.exists(states, lambda c: c.eqNullSafe(truth["emo"])).cast("int")
+    t = F.when(F.coalesce(one, F.lit("")) != "", text.clock_seconds(one))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    located = t.between(zero(truth["t0"]) - HUMAN_TOLERANCE, zero(truth["t1"]) + HUMAN_TOLERANCE).cast("int")
+    emotion = (
+        F.when(kind == "comparison", same(one, truth["winner"]))
+        .when(kind == "change", same(_meaning(one, CHANGE_LETTERS, False), F.coalesce(truth["direction"], F.lit(""))))
+        .when(kind == "state", state)
+        .when(kind.isin("locate", "locate_hard"), located)
+    )
+    named = lambda letters, answer: (F.lower(_meaning(one, letters, True)) == F.lower(F.coalesce(answer, F.lit("")))).cast("int")
+    return F.when(task == "emotion", emotion).when(task == "music", named(MUSIC_LETTERS, truth["winner"])).when(task == "health", named(HEALTH_LETTERS, truth["answer"]))
 
 
 def expected_answer(row: dict[str, Column]) -> Column:

@@ -37,14 +37,16 @@ def sql_values(rows: list[tuple]) -> str:
 
 # -- parsing and formatting
 
-EXPRESSIONS = [
-    (1, "52 min 30 sec to 53 min 30 sec"), (2, "52 min 30 sec"), (3, "78:30 to 79:30"), (4, "78:30"), (5, "2 to 5 minutes"), (6, "around 5 minutes"), (7, "full recording"),
-    (8, "10 sec"), (9, "around 3 and a half minutes"), (10, "5 to 2 minutes"), (11, "90 sec to 3 min"), (12, "All Sections"), (13, "at 1.5 min"), (14, "nothing here"),
-]
+#: Expressions of all kinds, for every order; the same text in both dialects.
+EXPRESSION = """CASE o_orderkey % 14 WHEN 0 THEN concat(o_custkey % 90, ' min ', o_orderkey % 60, ' sec to ', o_custkey % 90 + 1, ' min ', o_orderkey % 60, ' sec')
+    WHEN 1 THEN concat(o_custkey % 90, ' min ', o_orderkey % 60, ' sec') WHEN 2 THEN concat(o_custkey % 90, ':', o_orderkey % 6, o_custkey % 10, ' to ', o_custkey % 80, ':', o_orderkey % 6, '7')
+    WHEN 3 THEN concat(o_custkey % 90, ':', o_orderkey % 6, o_custkey % 10) WHEN 4 THEN concat(o_custkey % 9, ' to ', o_orderkey % 50, ' minutes') WHEN 5 THEN concat('around ', o_custkey % 90, ' minutes') WHEN 6 THEN 'full recording'
+    WHEN 7 THEN concat(o_orderkey % 100, ' sec') WHEN 8 THEN concat('around ', o_custkey % 90, ' and a half minutes') WHEN 9 THEN concat(o_orderkey % 90, ' sec to ', o_custkey % 9, ' min') WHEN 10 THEN 'All Sections'
+    WHEN 11 THEN concat('at ', o_custkey % 90, '.5 min') WHEN 12 THEN concat('~', o_orderkey % 70, ' seconds') ELSE concat('nothing here in ', o_orderpriority) END"""
 
 
 @query("time_expr_parse", rf"""
-WITH x(id, s) AS (VALUES {sql_values(EXPRESSIONS)}),
+WITH x AS (SELECT o_orderkey AS id, {EXPRESSION} AS s FROM orders),
 c AS (SELECT id, s, list_transform(list_zip(regexp_extract_all(s, '{timeparse.COMPOUND}', 1), regexp_extract_all(s, '{timeparse.COMPOUND}', 2)), lambda z: trunc(z[1]::DOUBLE * 60 + z[2]::DOUBLE)::BIGINT) AS c,
     list_transform(list_zip(regexp_extract_all(s, '{timeparse.CLOCK}', 1), regexp_extract_all(s, '{timeparse.CLOCK}', 2)), lambda z: z[1]::BIGINT * 60 + z[2]::BIGINT) AS k,
     regexp_extract(s, '{timeparse.RANGE}', ['a', 'ua', 'b', 'ub']) AS r, regexp_extract(s, '{timeparse.POINT}', ['a', 'u']) AS p FROM x),
@@ -55,30 +57,33 @@ SELECT id, CASE how WHEN 'f' THEN 0 WHEN 'c2' THEN least(c[1], c[2]) WHEN 'k2' T
     CASE how WHEN 'f' THEN 10000 WHEN 'c2' THEN greatest(c[1], c[2]) WHEN 'k2' THEN greatest(k[1], k[2]) WHEN 'r' THEN trunc(try_cast(r.b AS DOUBLE) * fb)::BIGINT ELSE t + 30 END::BIGINT AS hi FROM t WHERE how IS NOT NULL
 """)
 def time_expr_parse(spark, sf_dir):
-    return timeparse.localize_sets(literal(spark, EXPRESSIONS, "id long, localize string")).select("id", "lo", "hi")
+    return timeparse.localize_sets(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(EXPRESSION).alias("localize"))).select("id", "lo", "hi")
 
 
-REPLIES = [(1, "Answer: **YES**"), (2, "YES\nbecause\nNO"), (3, "maybe"), (4, "I think\n`no`"), (5, "Final answer: no"), (6, "well yes and no"), (7, "the answer: Yes.\nNO")]
+REPLY = """CASE o_orderkey % 7 WHEN 0 THEN 'Answer: **YES**' WHEN 1 THEN concat('YES', chr(10), 'because of ', o_orderpriority, chr(10), 'NO') WHEN 2 THEN concat('maybe ', o_orderpriority) WHEN 3 THEN concat('I think', chr(10), '`no`')
+    WHEN 4 THEN 'Final answer: no' WHEN 5 THEN 'well yes and no' ELSE concat('the answer: Yes.', chr(10), 'NO') END"""
 
 
 @query("verdict_parse", rf"""
-WITH x(id, s) AS (VALUES {sql_values(REPLIES)}), y AS (SELECT id, s, upper(regexp_extract(s, '(?i)\b(?:Final\s+)?Answer\s*:\s*\**\s*(YES|NO)\b', 1)) AS l,
+WITH x AS (SELECT o_orderkey AS id, {REPLY} AS s FROM orders), y AS (SELECT id, s, upper(regexp_extract(s, '(?i)\b(?:Final\s+)?Answer\s*:\s*\**\s*(YES|NO)\b', 1)) AS l,
     list_filter(list_reverse(list_transform(string_split(s, chr(10)), lambda t: upper(regexp_replace(t, '[\s`*_]', '', 'g')))), lambda t: t IN ('YES', 'NO'))[1] AS a, regexp_extract(upper(s), '\b(YES|NO)\b', 1) AS t FROM x)
 SELECT id, (coalesce(nullif(l, ''), a, nullif(t, ''), 'NO') = 'YES')::INT AS v FROM y
 """)
 def verdict_parse(spark, sf_dir):
-    return literal(spark, REPLIES, "id long, s string").select("id", text.verdict(F.col("s")).alias("v"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.verdict(F.expr(REPLY)).alias("v"))
 
 
-ANSWERS = [(1, "Blue. Rationale: it is said."), (2, "Rationale: only this"), (3, "no reason"), (4, "A rationale: B rationale: C")]
+SAID = """CASE o_orderkey % 6 WHEN 0 THEN concat('Blue ', o_orderpriority, '. Rationale: it is said.') WHEN 1 THEN concat(' ', chr(10), 'Rationale: only this ', o_orderpriority) WHEN 2 THEN concat('no reason ', o_orderpriority, chr(10))
+    WHEN 3 THEN concat('A rationale: B ', o_orderpriority, ' rationale: C') WHEN 4 THEN concat('Answer: ', o_orderpriority, chr(10), chr(10), 'RATIONALE:', chr(9), 'x') ELSE 'rationale:' END"""
 
 
 @query("answer_split", rf"""
-WITH x(id, s) AS (VALUES {sql_values(ANSWERS)}), y AS (SELECT id, trim(regexp_replace(s, '(?is)rationale:.*$', '')) AS l, trim(CASE WHEN regexp_matches(s, '(?i)rationale:') THEN regexp_replace(s, '(?is)^.*?rationale:', '') ELSE '' END) AS r FROM x)
-SELECT id, CASE WHEN l = '' THEN r ELSE l END AS answer, CASE WHEN l = '' THEN '' ELSE r END AS rationale FROM y
+WITH x AS (SELECT o_orderkey AS id, {SAID} AS s FROM orders), y AS (SELECT id, strpos(lower(s), 'rationale:') AS p, s FROM x),
+z AS (SELECT id, p, trim(CASE WHEN p > 0 THEN substr(s, 1, p - 1) ELSE s END, ' ' || chr(9) || chr(10)) AS l, trim(CASE WHEN p > 0 THEN substr(s, p + 10) ELSE '' END, ' ' || chr(9) || chr(10)) AS r FROM y)
+SELECT id, CASE WHEN l = '' THEN r ELSE l END AS answer, CASE WHEN l = '' THEN '' ELSE r END AS rationale FROM z
 """)
 def answer_split(spark, sf_dir):
-    return literal(spark, ANSWERS, "id long, s string").select("id", text.answer_split(F.col("s")).alias("x")).select("id", "x.*")
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.answer_split(F.expr(SAID)).alias("x")).select("id", "x.*")
 
 
 @query("ordinal_fmt", """
@@ -103,12 +108,13 @@ def topic_normalise(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.topic(F.concat_ws(" ", "p_name", "p_brand", F.lit("NASA a I"))).alias("topic"))
 
 
-@query("clause_pick", r"""
-WITH x AS (SELECT doc_id, list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '[' || chr(1) || ',]'), lambda c: trim(c)) AS c FROM documents)
-SELECT doc_id, len(list_filter(c, lambda y: len(regexp_split_to_array(y, '\s+')) BETWEEN 4 AND 12))::BIGINT AS n FROM x
+@query("clause_pick", rf"""
+WITH x AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(replace(coalesce(text, ''), chr(1), ' '), '([.!?])\s+|,\s+', '\1' || chr(1), 'g'), chr(1)), lambda c: regexp_replace(c, '^\s+|\s+$', '', 'g')), lambda c: c <> '') AS c FROM documents),
+f AS (SELECT doc_id, c, list_filter(c, lambda y: len(string_split_regex(y, '\s+')) BETWEEN 4 AND 12) AS f FROM x), p AS (SELECT doc_id, CASE WHEN len(f) > 0 THEN f ELSE c END AS p FROM f)
+SELECT doc_id, CASE WHEN len(p) = 0 THEN '' ELSE p[1 + (doc_id * {sampling.FACTOR} + {42 * 104_729}) % {sampling.PRIME} % len(p)] END AS clause FROM p
 """)
 def clause_pick(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(text.clauses(F.col("text"))).cast("long").alias("n"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.picked_clause(F.col("text"), sampling.draw(F.col("doc_id"))).alias("clause"))
 
 
 @query("clock_seconds", """
@@ -119,69 +125,84 @@ def clock_seconds(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), shown.alias("shown"), text.clock_seconds(shown).cast("long").alias("seconds"))
 
 
-@query("token_overlap_match", r"""
-WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS w FROM documents), b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS w FROM benchmark),
-dw AS (SELECT doc_id, unnest(w) AS t FROM d), bw AS (SELECT item_id, unnest(w) AS t FROM b), n AS (SELECT item_id, doc_id, count(*) AS shared FROM bw JOIN dw USING (t) GROUP BY 1, 2)
-SELECT item_id, doc_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS r FROM n) WHERE r = 1
-""")
+MATCH_SQL = f"""{SQL_CV}, sg AS (SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY ord) - 1 AS idx, "start", "end", text FROM cv),
+tx AS (SELECT episode_id, ord AS n, CASE WHEN ord % 4 = 1 THEN substr(text, 40, 90) ELSE substr(text, 1, 60) END AS text, CASE WHEN ord % 5 = 3 THEN "start" END AS t0, CASE WHEN ord % 5 = 3 THEN "end" END AS t1 FROM cv WHERE ord % 3 <> 2)"""
+
+
+@query("token_overlap_match", rf"""WITH {MATCH_SQL}, w AS (SELECT episode_id, n, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''))) AS w FROM tx WHERE t0 IS NULL), v AS (SELECT episode_id, idx, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''))) AS w FROM sg),
+c AS (SELECT episode_id, n, idx, count(*) AS c FROM w JOIN v USING (episode_id, w) GROUP BY ALL), b AS (SELECT episode_id, n, arg_max(idx, (c, -idx)) AS best FROM c GROUP BY ALL
+    UNION ALL SELECT episode_id, n, arg_min(idx, (abs("start" - t0), idx)) FROM tx JOIN sg USING (episode_id) WHERE t0 IS NOT NULL GROUP BY ALL),
+r AS (SELECT tx.*, best, count(t0) OVER (PARTITION BY episode_id ORDER BY n) AS g FROM tx LEFT JOIN b USING (episode_id, n)), m AS (SELECT *, max(best) OVER (PARTITION BY episode_id, g ORDER BY n) AS at FROM r)
+SELECT episode_id, n, round(coalesce(t0, "start"), 6) AS t0, round(coalesce(t1, "end"), 6) AS t1 FROM m JOIN sg ON sg.episode_id = m.episode_id AND sg.idx = m.at WHERE best IS NOT NULL""".replace("SELECT episode_id, n, round(coalesce(t0", "SELECT m.episode_id, n, round(coalesce(t0"))
 def token_overlap_match(spark, sf_dir):
-    split = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))).alias("t")
-    b = read(spark, sf_dir, "benchmark").select("item_id", split("text"))
-    d = read(spark, sf_dir, "documents").select("doc_id", split("text"))
-    shared = d.join(b, "t").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    return sampling.first_n(shared, ["item_id"], [F.col("shared").desc(), "doc_id"], 1)
+    cv = adapters.turn_segments(spark, sf_dir)
+    segments = cv.withColumn("idx", F.row_number().over(Window.partitionBy("episode_id").orderBy("ord")) - 1).select("episode_id", "idx", "start", "end", "text")
+    said = F.when(F.col("ord") % 4 == 1, F.substring("text", 40, 90)).otherwise(F.substring("text", 1, 60))
+    timed = F.col("ord") % 5 == 3
+    transcripts = cv.where("ord % 3 <> 2").select("episode_id", F.col("ord").alias("n"), said.alias("text"), F.when(timed, F.col("start")).alias("t0"), F.when(timed, F.col("end")).alias("t1"))
+    return events.matched_times(transcripts, segments).select("episode_id", "n", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"))
 
 
 # -- retrieval
 
-SETS = [(k, s, e, lo, lo + w, label, word) for k, (e, lo, w, label, word) in enumerate([(1, 0, 900000, "click", "k"), (2, 100000, 500000, "view", '"k": 1'), (3, 0, 2500000, "PURCHASE", "7"), (4, 50000, 90000, None, "k"), (5, 0, 10**7, "login", None)]) for s in (0, 1)]
-SETS_SQL = f'sets(query_id, set_no, episode_id, lo, hi, label, keyword) AS (VALUES {sql_values(SETS)})'
+#: Two plan sets for each user, the second later; labels and keywords of all kinds, some missing.
+SETS_SQL = """sets AS (SELECT user_id AS query_id, s::INT AS set_no, user_id AS episode_id, user_id % 5 * 100000 + s * 50000 AS lo, user_id % 5 * 100000 + s * 50000 + 400000 + user_id % 3 * 700000 AS hi,
+    CASE user_id % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'PURCHASE' WHEN 4 THEN 'login' END AS label, CASE user_id % 4 WHEN 0 THEN 'k' WHEN 1 THEN '"k": 1' WHEN 2 THEN '7' END AS keyword FROM (SELECT DISTINCT user_id FROM events), range(0, 2) r(s))"""
 TIME_SQL = 'tm AS (SELECT query_id, set_no, seg_id, "start", "end", s.ord, round((least("end", hi) - greatest("start", lo)) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END, 3) AS score FROM sets JOIN ev s USING (episode_id) WHERE "end" > lo AND "start" < hi)'
 LABEL_SQL = 'lb AS (SELECT query_id, set_no, seg_id, "start", "end", s.ord, round(coalesce(s.label_score, 1.0), 3) AS score FROM sets JOIN ev s USING (episode_id) WHERE "end" > lo AND "start" < hi AND lower(s.label) = lower(sets.label))'
 WORD_SQL = """kw AS (SELECT query_id, set_no, seg_id, "start", "end", ord, 1.0::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, set_no ORDER BY ord) AS r FROM sets JOIN ev s USING (episode_id)
     WHERE "end" > lo AND "start" < hi AND contains(lower(s.text), lower(sets.keyword))) WHERE r <= 10)"""
 
 
-def sets_of(spark: SparkSession) -> DataFrame:
-    return literal(spark, SETS, "query_id long, set_no int, episode_id long, lo long, hi long, label string, keyword string")
+def sets_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("query_id")
+    lo = u % 5 * 100000 + F.col("set_no") * 50000
+    label = F.when(u % 5 == 0, "click").when(u % 5 == 1, "view").when(u % 5 == 2, "PURCHASE").when(u % 5 == 4, "login")
+    keyword = F.when(u % 4 == 0, "k").when(u % 4 == 1, '"k": 1').when(u % 4 == 2, "7")
+    users = read(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("query_id")).distinct()
+    both = users.withColumn("set_no", F.explode(F.array(F.lit(0), F.lit(1))))
+    return both.select("query_id", "set_no", u.alias("episode_id"), lo.cast("long").alias("lo"), (lo + 400000 + u % 3 * 700000).cast("long").alias("hi"), label.alias("label"), keyword.alias("keyword"))
 
 
 @query("search_time_topk", f"""WITH {SETS_SQL}, {SQL_EV}, {TIME_SQL}
 SELECT query_id, set_no, seg_id, score, r AS hit_ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id, set_no ORDER BY score DESC, ord) AS r FROM tm) WHERE r <= 10""")
 def search_time_topk(spark, sf_dir):
-    return retrieval.search_time(sets_of(spark).drop("label"), adapters.event_segments(spark, sf_dir)).where("hit_ord <= 10").select("query_id", "set_no", "seg_id", "score", "hit_ord")
+    return retrieval.search_time(sets_of(spark, sf_dir).drop("label"), adapters.event_segments(spark, sf_dir)).where("hit_ord <= 10").select("query_id", "set_no", "seg_id", "score", "hit_ord")
 
 
 @query("search_label", f"WITH {SETS_SQL}, {SQL_EV}, {LABEL_SQL} SELECT query_id, set_no, seg_id, score FROM lb")
 def search_label(spark, sf_dir):
-    return retrieval.search_label(sets_of(spark), adapters.event_segments(spark, sf_dir)).select("query_id", "set_no", "seg_id", "score")
+    return retrieval.search_label(sets_of(spark, sf_dir), adapters.event_segments(spark, sf_dir)).select("query_id", "set_no", "seg_id", "score")
 
 
 @query("search_keyword_limit", f"WITH {SETS_SQL}, {SQL_EV}, {WORD_SQL} SELECT query_id, set_no, seg_id, score FROM kw")
 def search_keyword_limit(spark, sf_dir):
-    return retrieval.search_keyword(sets_of(spark).drop("label"), adapters.event_segments(spark, sf_dir)).select("query_id", "set_no", "seg_id", "score")
+    return retrieval.search_keyword(sets_of(spark, sf_dir).drop("label"), adapters.event_segments(spark, sf_dir)).select("query_id", "set_no", "seg_id", "score")
 
 
 @query("keyword_documents", """WITH k(w) AS (VALUES ('the'), ('tion'), ('100%_')) SELECT w, doc_id FROM (SELECT w, doc_id, row_number() OVER (PARTITION BY w ORDER BY doc_id) AS r FROM documents JOIN k ON contains(lower(text), w)) WHERE r <= 10""")
 def keyword_documents(spark, sf_dir):
-    words = literal(spark, [("the",), ("tion",), ("100%_",)], "w string")
-    hit = read(spark, sf_dir, "documents").join(F.broadcast(words), F.contains(F.lower("text"), F.col("w"))).select("w", "doc_id")
-    return sampling.first_n(hit, ["w"], ["doc_id"], 10)
+    words = F.array(F.lit("the"), F.lit("tion"), F.lit("100%_"))
+    hit = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(words, lambda w: F.contains(F.lower("text"), w))).alias("w"))
+    return sampling.first_n(hit, ["w"], ["doc_id"], 10).select("w", "doc_id")
 
 
 VEC_SQL = """SELECT q.vec_id AS query_id, 0 AS set_no, 'v' || v.vec_id AS seg_id, v.vec_id * 10.0::DOUBLE AS "start", v.vec_id * 10.0::DOUBLE + 10 AS "end", v.vec_id AS ord, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS s6
-    FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id < 10 AND v.vec_id * 10 + 10 > 100 AND v.vec_id * 10 < 4000"""
+    FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 50 = 0"""
+SPAN_SQL = "(SELECT min(vec_id) * 10 AS lo, max(vec_id) * 10 + 10 AS hi FROM embeddings)"
 
 
-def vector_sets(spark, sf_dir) -> DataFrame:
-    """The first ten vectors as queries against those of their own label in a window."""
-    e = read(spark, sf_dir, "embeddings").where("vec_id < 10")
-    return e.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("set_no"), F.col("label").cast("long").alias("episode_id"), F.lit(100).alias("lo"), F.lit(4000).alias("hi"), F.col("embedding").alias("query_vector"))
+def vector_sets_all(spark, sf_dir) -> DataFrame:
+    """Every fiftieth vector as a query against all vectors of its own label, in a window from the table's first vector to its last."""
+    e = read(spark, sf_dir, "embeddings")
+    span = e.agg((F.min("vec_id") * 10).alias("lo"), (F.max("vec_id") * 10 + 10).alias("hi"))  # one row
+    q = e.where("vec_id % 50 = 0").crossJoin(F.broadcast(span))
+    return q.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("set_no"), F.col("label").cast("long").alias("episode_id"), "lo", "hi", F.col("embedding").alias("query_vector"))
 
 
-@query("vector_topk_filtered", f"""WITH v AS ({VEC_SQL}) SELECT query_id, seg_id, round(s6, 3) AS score, r AS hit_ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s6 DESC, ord) AS r FROM v) WHERE r <= 5""")
-def vector_topk_filtered(spark, sf_dir):
-    return retrieval.search_vectors(vector_sets(spark, sf_dir), adapters.vectors(spark, sf_dir), "text_emb").select("query_id", "seg_id", "score", "hit_ord")
+@query("vector_topk_filtered_all", f"""WITH v AS ({VEC_SQL}) SELECT query_id, seg_id, round(s6, 3) AS score, r AS hit_ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s6 DESC, ord) AS r FROM v) WHERE r <= 5""")
+def vector_topk_filtered_all(spark, sf_dir):
+    return retrieval.search_vectors(vector_sets_all(spark, sf_dir), adapters.vectors(spark, sf_dir), "text_emb").select("query_id", "seg_id", "score", "hit_ord")
 
 
 FUSE_SQL = """b AS (SELECT query_id, set_no, seg_id, source, max(score) AS score, min((m, o)) AS f, min("start") AS "start", min("end") AS "end" FROM h GROUP BY ALL),
@@ -195,99 +216,60 @@ h AS (SELECT query_id, set_no, seg_id, "start", "end", score, 'time' AS source,
     UNION ALL SELECT query_id, set_no, seg_id, "start", "end", score, 'label', 1, row_number() OVER (PARTITION BY query_id, set_no ORDER BY ord) FROM lb
     UNION ALL SELECT query_id, set_no, seg_id, "start", "end", score, 'keyword', 3, row_number() OVER (PARTITION BY query_id, set_no ORDER BY ord) FROM kw), {FUSE_SQL.format(k=10)}""")
 def hybrid_dispatch(spark, sf_dir):
-    return retrieval.dispatch(sets_of(spark), adapters.event_segments(spark, sf_dir)).select("query_id", "set_no", "seg_id", "fused", "rank")
+    return retrieval.dispatch(sets_of(spark, sf_dir), adapters.event_segments(spark, sf_dir)).select("query_id", "set_no", "seg_id", "fused", "rank")
 
 
-@query("fuse_evidence_topk", f"""WITH v AS ({VEC_SQL}), tv AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s6 DESC, ord) AS r FROM v), tt AS (SELECT *, round((least("end", 4000) - greatest("start", 100)) / 3900.0::DOUBLE, 3) AS sc FROM v),
+@query("fuse_evidence_topk_all", f"""WITH v AS ({VEC_SQL}), tv AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s6 DESC, ord) AS r FROM v), tt AS (SELECT *, round((least("end", hi) - greatest("start", lo)) / (hi - lo)::DOUBLE, 3) AS sc FROM v, {SPAN_SQL}),
 h AS (SELECT query_id, set_no, seg_id, "start", "end", sc AS score, 'time' AS source, 0 AS m, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, ord) AS o FROM tt
     UNION ALL SELECT query_id, set_no, seg_id, "start", "end", round(s6, 3), 'text_emb', 2, r FROM tv WHERE r <= 5), {FUSE_SQL.format(k=3)}""")
-def fuse_evidence_topk(spark, sf_dir):
-    sets, v = vector_sets(spark, sf_dir), adapters.vectors(spark, sf_dir).withColumn("ord", F.col("idx"))
-    hits = retrieval.search_time(sets.drop("query_vector"), v).unionByName(retrieval.search_vectors(sets, v, "text_emb"))
-    return retrieval.fuse(hits, 3).select("query_id", "set_no", "seg_id", "fused", "rank")
-
-
-VEC_ALL_SQL = VEC_SQL[: VEC_SQL.index(" WHERE ")] + " WHERE q.vec_id % 50 = 0"
-
-
-def vector_sets_all(spark, sf_dir) -> DataFrame:
-    """Every fiftieth vector as a query against all vectors of its own label, in a window from the table's first vector to its last."""
-    e = read(spark, sf_dir, "embeddings")
-    span = e.agg((F.min("vec_id") * 10).alias("lo"), (F.max("vec_id") * 10 + 10).alias("hi"))
-    q = e.where("vec_id % 50 = 0").crossJoin(F.broadcast(span))
-    return q.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("set_no"), F.col("label").cast("long").alias("episode_id"), "lo", "hi", F.col("embedding").alias("query_vector"))
-
-
-@query("vector_topk_filtered_all", SQL["vector_topk_filtered"].replace(VEC_SQL, VEC_ALL_SQL))
-def vector_topk_filtered_all(spark, sf_dir):
-    return retrieval.search_vectors(vector_sets_all(spark, sf_dir), adapters.vectors(spark, sf_dir), "text_emb").select("query_id", "seg_id", "score", "hit_ord")
-
-
-WINDOW_SQL = 'round((least("end", hi) - greatest("start", lo)) / (hi - lo)::DOUBLE, 3) AS sc FROM v, (SELECT min(vec_id) * 10 AS lo, max(vec_id) * 10 + 10 AS hi FROM embeddings)'
-
-
-@query("fuse_evidence_topk_all", SQL["fuse_evidence_topk"].replace(VEC_SQL, VEC_ALL_SQL).replace('round((least("end", 4000) - greatest("start", 100)) / 3900.0::DOUBLE, 3) AS sc FROM v', WINDOW_SQL))
 def fuse_evidence_topk_all(spark, sf_dir):
     sets, v = vector_sets_all(spark, sf_dir), adapters.vectors(spark, sf_dir).withColumn("ord", F.col("idx"))
     hits = retrieval.search_time(sets.drop("query_vector"), v).unionByName(retrieval.search_vectors(sets, v, "text_emb"))
     return retrieval.fuse(hits, 3).select("query_id", "set_no", "seg_id", "fused", "rank")
 
 
-@query("clip_span", f"""WITH {SETS_SQL}, {SQL_EV}, {WORD_SQL} SELECT query_id, set_no, floor(min("start"))::BIGINT AS lo, least(floor(max("end")), floor(min("start")) + 60)::BIGINT AS hi FROM kw GROUP BY ALL""")
+@query("clip_span", f"""WITH {SETS_SQL}, {SQL_EV}, {WORD_SQL}, e AS (SELECT query_id, set_no, trunc(min("start"))::BIGINT AS a, trunc(max("end"))::BIGINT AS b FROM kw GROUP BY ALL)
+SELECT query_id, set_no, coalesce(a, lo)::BIGINT AS lo, least(coalesce(b, hi), coalesce(a, lo) + 60)::BIGINT AS hi FROM sets LEFT JOIN e USING (query_id, set_no)""")
 def clip_span(spark, sf_dir):
-    return retrieval.clip_span(retrieval.search_keyword(sets_of(spark).drop("label"), adapters.event_segments(spark, sf_dir)))
+    sets = sets_of(spark, sf_dir)
+    return retrieval.clip_span(retrieval.search_keyword(sets.drop("label"), adapters.event_segments(spark, sf_dir)), sets=sets)
 
 
-PLANS = [(1, '```json\n{"sets": [{"localize": "2 to 5 minutes", "keyword": "blue", "time": true}, {"localize": "full track", "label": ""}]}\n```'), (2, '{"sets": [{"text_emb": "sad voice", "audio_emb": "A"}]}'), (3, "not json")]
+PLAN = """CASE o_orderkey % 4 WHEN 0 THEN concat('```json', chr(10), '{"sets": [{"localize": "', o_custkey, ' to ', o_custkey + 5, ' minutes", "keyword": "', o_orderpriority, '", "time": true}, {"localize": "full track", "label": ""}]}', chr(10), '```')
+    WHEN 1 THEN concat('{"sets": [{"text_emb": "', o_orderpriority, '", "audio_emb": "A"}]}') WHEN 2 THEN '{"sets": []}' ELSE concat('not json ', o_orderpriority) END"""
 
 
-@query("plan_parse", f"""WITH x(query_id, plan) AS (VALUES {sql_values(PLANS)}), c AS (SELECT query_id, trim(regexp_replace(regexp_replace(trim(plan), '^```(json)?\\s*', ''), '\\s*```$', '')) AS p FROM x),
+@query("plan_parse", f"""WITH x AS (SELECT o_orderkey AS query_id, {PLAN} AS plan FROM orders), c AS (SELECT query_id, trim(regexp_replace(regexp_replace(trim(plan), '^```(json)?\\s*', ''), '\\s*```$', '')) AS p FROM x),
 s AS (SELECT query_id, unnest(json_extract(p, '$.sets[*]')) AS s, unnest(range(0, len(json_extract(p, '$.sets[*]')))) AS set_no FROM c WHERE json_valid(p))
 SELECT query_id, set_no::INT AS set_no, s->>'localize' AS localize, s->>'keyword' AS keyword, s->>'label' AS label FROM s""")
 def plan_parse(spark, sf_dir):
-    return retrieval.parse_plans(literal(spark, PLANS, "query_id long, plan string")).select("query_id", "set_no", "localize", "keyword", "label")
+    return retrieval.parse_plans(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.expr(PLAN).alias("plan"))).select("query_id", "set_no", "localize", "keyword", "label")
 
 
 # -- intervals
 
-WINDOWS = [(e, lo, lo + 40000) for e in range(0, 40) for lo in (0, 600000, 1500000)]
-WINDOWS_SQL = f"win(episode_id, lo, hi) AS (VALUES {sql_values(WINDOWS)})"
+#: Three windows for each user, from its first event on.
+WINDOWS_SQL = """win AS (SELECT episode_id, a + k * 800000 AS lo, a + k * 800000 + 40000 + episode_id % 7 * 30000 AS hi FROM (SELECT user_id AS episode_id, min(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 1000000 AS a FROM events GROUP BY 1), range(0, 3) r(k))"""
 
 
-def windows_of(spark: SparkSession) -> DataFrame:
-    return literal(spark, WINDOWS, "episode_id long, lo long, hi long")
+def windows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = read(spark, sf_dir, "events").groupBy(F.col("user_id").cast("long").alias("episode_id")).agg(F.floor(F.min(adapters.seconds("ts"))).cast("long").alias("_a"))
+    lo = F.col("_a") + F.col("_k") * 800000
+    return first.withColumn("_k", F.explode(F.array(*map(F.lit, range(3))))).select("episode_id", lo.alias("lo"), (lo + 40000 + F.col("episode_id") % 7 * 30000).alias("hi"))
 
 
 @query("interval_coverage_rate", f"""WITH {WINDOWS_SQL}, {SQL_EV} SELECT episode_id, avg(CASE WHEN EXISTS (SELECT 1 FROM win w WHERE w.episode_id = ev.episode_id AND ev."end" > w.lo AND ev."start" < w.hi) THEN 1.0 ELSE 0.0 END) AS covered FROM ev GROUP BY episode_id""")
 def interval_coverage_rate(spark, sf_dir):
-    return intervals.coverage(adapters.event_segments(spark, sf_dir).select("episode_id", "seg_id", "start", "end"), windows_of(spark), bucket=50000.0)
+    return intervals.coverage(adapters.event_segments(spark, sf_dir).select("episode_id", "seg_id", "start", "end"), windows_of(spark, sf_dir), bucket=50000.0)
 
 
 @query("interval_join_bucketed", f"""WITH {WINDOWS_SQL}, {SQL_EV} SELECT seg_id, lo, round(least("end", hi) - greatest("start", lo), 6) AS overlap FROM ev JOIN win USING (episode_id) WHERE "end" > lo AND "start" < hi""")
 def interval_join_bucketed(spark, sf_dir):
-    joined = intervals.overlap_join(adapters.event_segments(spark, sf_dir), windows_of(spark), "episode_id", bucket=50000.0)
+    joined = intervals.overlap_join(adapters.event_segments(spark, sf_dir), windows_of(spark, sf_dir), "episode_id", bucket=50000.0)
     return joined.select("seg_id", F.col("lo").cast("long").alias("lo"), F.round(numbers.overlap(F.col("start"), F.col("end"), F.col("lo"), F.col("hi")), 6).alias("overlap"))
 
 
-POINTS_SQL = "pt AS (SELECT o_orderkey AS point_id, o_custkey % 150 AS episode_id, (o_orderkey * 7919 % 2592000)::DOUBLE AS t FROM orders WHERE o_orderkey % 10 = 0)"
-
-
-def points_of(spark, sf_dir) -> DataFrame:
-    """Query points: every tenth order names a user and a second."""
-    return read(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 150).alias("episode_id"), (F.col("o_orderkey") * 7919 % 2592000).cast("double").alias("t"))
-
-
-@query("nearest_segment", f"""WITH {SQL_EV}, {POINTS_SQL} SELECT point_id, seg_id FROM (SELECT point_id, seg_id, row_number() OVER (PARTITION BY point_id ORDER BY (t BETWEEN "start" AND "end") DESC, CASE WHEN t BETWEEN "start" AND "end" THEN "start" ELSE abs("start" - t) END, "start", seg_id) AS r FROM pt JOIN ev USING (episode_id)) WHERE r = 1""")
-def nearest_segment(spark, sf_dir):
-    return intervals.nearest(points_of(spark, sf_dir), adapters.event_segments(spark, sf_dir).select("episode_id", "seg_id", "start", "end")).select("point_id", "seg_id")
-
-
-@query("nearest_within", f"""WITH {SQL_EV}, {POINTS_SQL} SELECT point_id, seg_id FROM (SELECT point_id, seg_id, row_number() OVER (PARTITION BY point_id ORDER BY (abs("start" - t) <= 1000) DESC, abs("start" - t), "start", seg_id) AS r FROM pt JOIN ev USING (episode_id)) WHERE r = 1""")
-def nearest_within(spark, sf_dir):
-    return intervals.nearest_within(points_of(spark, sf_dir), adapters.event_segments(spark, sf_dir).select("episode_id", "seg_id", "start", "end"), 1000.0).select("point_id", "seg_id")
-
-
-POINTS_ALL_SQL = "pt AS (SELECT o_orderkey AS point_id, o_custkey % 150 AS episode_id, (o_orderkey * 7919 % 2592000)::DOUBLE AS t FROM orders)"
+POINTS_SQL = "pt AS (SELECT o_orderkey AS point_id, o_custkey % 150 AS episode_id, (o_orderkey * 7919 % 2592000)::DOUBLE AS t FROM orders)"
 
 
 def points_all(spark, sf_dir) -> DataFrame:
@@ -295,12 +277,12 @@ def points_all(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 150).alias("episode_id"), (F.col("o_orderkey") * 7919 % 2592000).cast("double").alias("t"))
 
 
-@query("nearest_segment_all", SQL["nearest_segment"].replace(POINTS_SQL, POINTS_ALL_SQL))
+@query("nearest_segment_all", f"""WITH {SQL_EV}, {POINTS_SQL} SELECT point_id, seg_id FROM (SELECT point_id, seg_id, row_number() OVER (PARTITION BY point_id ORDER BY (t BETWEEN "start" AND "end") DESC, CASE WHEN t BETWEEN "start" AND "end" THEN "start" ELSE abs("start" - t) END, "start", seg_id) AS r FROM pt JOIN ev USING (episode_id)) WHERE r = 1""")
 def nearest_segment_all(spark, sf_dir):
     return intervals.nearest(points_all(spark, sf_dir), adapters.event_segments(spark, sf_dir).select("episode_id", "seg_id", "start", "end")).select("point_id", "seg_id")
 
 
-@query("nearest_within_all", SQL["nearest_within"].replace(POINTS_SQL, POINTS_ALL_SQL))
+@query("nearest_within_all", f"""WITH {SQL_EV}, {POINTS_SQL} SELECT point_id, seg_id FROM (SELECT point_id, seg_id, row_number() OVER (PARTITION BY point_id ORDER BY (abs("start" - t) <= 1000) DESC, abs("start" - t), "start", seg_id) AS r FROM pt JOIN ev USING (episode_id)) WHERE r = 1""")
 def nearest_within_all(spark, sf_dir):
     return intervals.nearest_within(points_all(spark, sf_dir), adapters.event_segments(spark, sf_dir).select("episode_id", "seg_id", "start", "end"), 1000.0).select("point_id", "seg_id")
 
@@ -308,7 +290,7 @@ def nearest_within_all(spark, sf_dir):
 @query("argmax_overlap", f"""WITH {WINDOWS_SQL}, {SQL_EV}, j AS (SELECT seg_id, lo, least("end", hi) - greatest("start", lo) AS o FROM ev JOIN win USING (episode_id) WHERE "end" > lo AND "start" < hi)
 SELECT seg_id, lo, round(o, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY o DESC, lo) AS r FROM j WHERE o > 0) WHERE r = 1""")
 def argmax_overlap(spark, sf_dir):
-    return intervals.arg_max_overlap(adapters.event_segments(spark, sf_dir), windows_of(spark), "episode_id", "seg_id", "lo").select("seg_id", F.col("lo").cast("long").alias("lo"), F.round("overlap", 6).alias("overlap"))
+    return intervals.arg_max_overlap(adapters.event_segments(spark, sf_dir), windows_of(spark, sf_dir), "episode_id", "seg_id", "lo").select("seg_id", F.col("lo").cast("long").alias("lo"), F.round("overlap", 6).alias("overlap"))
 
 
 @query("split_long_turns", f"""WITH {SQL_CV}, n AS (SELECT *, greatest(1, ceil(("end" - "start") / 20.0::DOUBLE))::BIGINT AS n FROM cv), s AS (SELECT *, unnest(range(0, n)) AS i FROM n)
@@ -318,8 +300,11 @@ def split_long_turns(spark, sf_dir):
     return cut.select("episode_id", "ord", (F.row_number().over(Window.partitionBy("episode_id", "ord").orderBy("start")) - 1).cast("long").alias("i"), F.round("start", 6).alias("a"), F.round("end", 6).alias("b"))
 
 
-@query("merge_short_turns", f"""WITH {SQL_CV}, m AS (SELECT *, ("end" - "start" >= 25)::INT AS l FROM cv), k AS (SELECT *, greatest(1, sum(l) OVER (PARTITION BY episode_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING)) AS n FROM m)
-SELECT episode_id, round(min("start"), 6) AS a, round(arg_max("end", ("start", "end")), 6) AS b, arg_min(speaker, (1 - l, "start")) AS speaker FROM k GROUP BY episode_id, n HAVING arg_max("end", ("start", "end")) - min("start") >= 25""")
+@query("merge_short_turns", f"""WITH {SQL_CV}, o AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY "start", "end") AS rn FROM cv),
+k AS (SELECT *, sum(CASE WHEN rn = 1 OR "end" - "start" >= 25 THEN 1 ELSE 0 END) OVER (PARTITION BY episode_id ORDER BY rn ROWS UNBOUNDED PRECEDING) AS n FROM o),
+g AS (SELECT episode_id, n, arg_min("start", rn) AS a, arg_max("end", rn) AS b, arg_min(speaker, rn) AS speaker FROM k GROUP BY episode_id, n),
+f AS (SELECT g.episode_id, g.n, CASE WHEN x.b - x.a < 25 THEN x.a ELSE g.a END AS a, g.b, g.speaker FROM g LEFT JOIN g x ON x.episode_id = g.episode_id AND g.n = 2 AND x.n = 1)
+SELECT episode_id, round(a, 6) AS a, round(b, 6) AS b, speaker FROM f WHERE b - a >= 25""")
 def merge_short_turns(spark, sf_dir):
     return intervals.merge_short(adapters.turn_segments(spark, sf_dir), 25.0).select("episode_id", F.round("start", 6).alias("a"), F.round("end", 6).alias("b"), "speaker")
 
@@ -348,7 +333,7 @@ def tumbling_windows(spark, sf_dir):
 @query("dominant_speaker", f"""WITH {WINDOWS_SQL}, {SQL_EV}, p AS (SELECT episode_id * 10000000 + lo AS window_id, speaker, sum(least("end", hi) - greatest("start", lo)) AS c FROM ev JOIN win USING (episode_id) WHERE "end" > lo AND "start" < hi GROUP BY 1, 2),
 r AS (SELECT *, c / sum(c) OVER (PARTITION BY window_id) AS share, row_number() OVER (PARTITION BY window_id ORDER BY round(c, 6) DESC, speaker) AS r FROM p) SELECT window_id, speaker, round(share, 6) AS share FROM r WHERE r = 1 AND round(share, 9) >= 0.5""")
 def dominant_speaker(spark, sf_dir):
-    windows = windows_of(spark).withColumn("window_id", (F.col("episode_id") * 10000000 + F.col("lo")).cast("long"))
+    windows = windows_of(spark, sf_dir).withColumn("window_id", (F.col("episode_id") * 10000000 + F.col("lo")).cast("long"))
     return events.dominant_speaker(windows, adapters.event_segments(spark, sf_dir), 0.5).select("window_id", "speaker", F.round("share", 6).alias("share"))
 
 
@@ -438,17 +423,7 @@ def best_clip_topk(spark, sf_dir):
     return top.select("speaker", "seg_id", F.row_number().over(Window.partitionBy("speaker").orderBy(F.col("label_score").desc(), "seg_id")).cast("long").alias("rank"))
 
 
-@query("knn_clip", """WITH d AS (SELECT a.p_partkey AS a, b.p_partkey AS b, round(abs(a.p_size - b.p_size) + sqrt((a.p_retailprice - b.p_retailprice) ** 2), 6) AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE a.p_partkey <= 200) SELECT a, b, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d) WHERE r <= 3""")
-def knn_clip(spark, sf_dir):
-    p = read(spark, sf_dir, "part")
-    a = p.where("p_partkey <= 200").select("p_brand", F.col("p_partkey").alias("a"), F.col("p_size").alias("sa"), F.col("p_retailprice").alias("ra"))
-    b = p.select("p_brand", F.col("p_partkey").alias("b"), F.col("p_size").alias("sb"), F.col("p_retailprice").alias("rb"))
-    d = F.abs(F.col("sa") - F.col("sb")) + F.sqrt((F.col("ra") - F.col("rb")) ** 2)
-    joined = sampling.nearest_k(a, b.withColumnRenamed("b", "b"), "p_brand", "a", "b", F.when(F.col("a") != F.col("b"), d).otherwise(F.lit(float("inf"))), 3)
-    return joined.where("a <> b").select("a", "b", "distance")
-
-
-@query("knn_clip_all", SQL["knn_clip"].replace(" WHERE a.p_partkey <= 200", ""))
+@query("knn_clip_all", """WITH d AS (SELECT a.p_partkey AS a, b.p_partkey AS b, round(abs(a.p_size - b.p_size) + sqrt((a.p_retailprice - b.p_retailprice) ** 2), 6) AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey) SELECT a, b, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d) WHERE r <= 3""")
 def knn_clip_all(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     return sampling.nearest_in_plane(p, "p_brand", "p_partkey", "p_size", "p_retailprice", 3).select("a", "b", "distance")
@@ -603,19 +578,29 @@ def quality_reject_cascade(spark, sf_dir):
     return pool.select("l_orderkey", "l_linenumber", "reason", (F.col("reason") == "").alias("selected"))
 
 
-@query("plan_hit_rate", f"""WITH {WINDOWS_SQL}, {SQL_EV}, c AS (SELECT episode_id AS query_id, avg(CASE WHEN EXISTS (SELECT 1 FROM win w WHERE w.episode_id = ev.episode_id AND ev."end" > w.lo AND ev."start" < w.hi) THEN 1.0 ELSE 0.0 END) AS tc FROM ev GROUP BY 1),
-k AS (SELECT query_id, tc, CASE query_id % 4 WHEN 0 THEN 'state' WHEN 1 THEN 'locate' WHEN 2 THEN 'change' ELSE 'other' END AS t FROM c)
-SELECT query_id, t AS query_type, round(CASE t WHEN 'state' THEN (tc + 2) / 3 WHEN 'locate' THEN (tc + 1) / 3 WHEN 'change' THEN tc / 2 ELSE tc END, 6) AS plan_hit_rate FROM k""")
+#: The groups of tools that types need, as a table of its own for the SQL.
+GROUPS_SQL = """need(t, g) AS (VALUES ('state', ['audio_emb']), ('state', ['text_emb', 'keyword']), ('comparison', ['audio_emb']), ('comparison', ['text_emb', 'keyword']), ('change', ['audio_emb']), ('change', ['text_emb', 'keyword']),
+    ('locate', ['audio_emb']), ('locate', ['domain_emb']), ('locate', ['label']), ('locate_hard', ['domain_emb']), ('locate_hard', ['label']), ('audio', ['audio_emb', 'domain_emb']))"""
+KINDS = ["state", "locate", "change", "comparison", "locate_hard", "audio", "position"]
+ACTIVE = [["audio_emb", "keyword"], ["domain_emb"], ["label", "text_emb"], ["time"], []]
+
+
+@query("plan_hit_rate", f"""WITH {WINDOWS_SQL}, {SQL_EV}, {GROUPS_SQL}, c AS (SELECT episode_id AS query_id, avg(CASE WHEN EXISTS (SELECT 1 FROM win w WHERE w.episode_id = ev.episode_id AND ev."end" > w.lo AND ev."start" < w.hi) THEN 1.0 ELSE 0.0 END) AS tc FROM ev GROUP BY 1),
+k AS (SELECT query_id, tc, {KINDS}[1 + query_id % 7] AS t, CASE query_id % 5 WHEN 0 THEN ['audio_emb', 'keyword'] WHEN 1 THEN ['domain_emb'] WHEN 2 THEN ['label', 'text_emb'] WHEN 3 THEN ['time'] ELSE [] END AS active FROM c),
+h AS (SELECT query_id, count(*) AS groups, count(*) FILTER (list_has_any(g, active)) AS hits FROM k JOIN need USING (t) GROUP BY 1)
+SELECT query_id, t AS query_type, round(CASE WHEN query_id % 11 = 0 THEN 1.0 WHEN groups IS NULL THEN tc ELSE (tc + hits) / (1 + groups) END, 6) AS plan_hit_rate FROM k LEFT JOIN h USING (query_id)""")
 def plan_hit_rate(spark, sf_dir):
-    cover = intervals.coverage(adapters.event_segments(spark, sf_dir).select("episode_id", "seg_id", "start", "end"), windows_of(spark), bucket=50000.0).withColumnRenamed("episode_id", "query_id")
-    kinds = cover.select("query_id", F.element_at(F.array(*[F.lit(x) for x in ("state", "locate", "change", "other")]), (F.col("query_id") % 4 + 1).cast("int")).alias("query_type"))
-    tools = cover.select("query_id", F.array(F.lit("audio_emb"), F.lit("keyword")).alias("active"))
+    cover = intervals.coverage(adapters.event_segments(spark, sf_dir).select("episode_id", "seg_id", "start", "end"), windows_of(spark, sf_dir), bucket=50000.0).withColumnRenamed("episode_id", "query_id")
+    pick = lambda values, n: F.element_at(F.array(*values), (F.col("query_id") % n + 1).cast("int"))
+    kinds = cover.select("query_id", pick([F.lit(x) for x in KINDS], 7).alias("query_type"), (F.col("query_id") % 11 == 0).alias("oracle"))
+    tools = cover.select("query_id", pick([F.array(*map(F.lit, x)).cast("array<string>") for x in ACTIVE], 5).alias("active"))
     return metrics.plan_hit_rate(cover, tools, kinds).select("query_id", "query_type", F.round("plan_hit_rate", 6).alias("plan_hit_rate"))
 
 
-@query("vector_append_ordinals", """SELECT vec_id, 1000 + row_number() OVER (ORDER BY vec_id) - 1 AS idx, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 4) > 0 AS ok FROM embeddings""")
+@query("vector_append_ordinals", """WITH n AS (SELECT *, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings) SELECT vec_id, 1000 + row_number() OVER (ORDER BY vec_id) - 1 AS idx, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: (x / n) * (x / n))), 6) AS norm, round(embedding[1] / n, 6) AS first FROM n""")
 def vector_append_ordinals(spark, sf_dir):
-    return sinks.vectors_to_append(read(spark, sf_dir, "embeddings"), 1000, 64, ["vec_id"]).select("vec_id", "idx", (F.size("embedding") == 64).alias("ok"))
+    made = sinks.vectors_to_append(read(spark, sf_dir, "embeddings"), 1000, 64, ["vec_id"])
+    return made.select("vec_id", "idx", F.round(numbers.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"), F.round(F.col("embedding")[0], 6).alias("first"))
 
 
 @query("trace_halves", """WITH m AS (SELECT user_id, value, row_number() OVER w AS n, count(*) OVER (PARTITION BY user_id) AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), h AS (SELECT user_id, avg(value) AS mean, min(value) AS least, max(value) AS most, avg(value) FILTER (n <= c // 2) AS h1, avg(value) FILTER (n > c // 2) AS h2 FROM m GROUP BY 1)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,16 +12,11 @@ from tessera.functions import numbers, text
 from tessera.operators import events, intervals, retrieval, sampling, shaping
 from tessera.plans import adapters, metrics, prompts
 from tessera.plans.adapters import SQL_CV, SQL_EV, SQL_SC, read
-from tessera.plans.queries import POINTS_ALL_SQL, POINTS_SQL, SQL, WINDOWS_SQL, literal, points_all, points_of, query, sql_values, windows_of
+from tessera.session import shared_folder
+from tessera.plans.queries import POINTS_SQL, WINDOWS_SQL, literal, points_all, query, sql_values, windows_of
 
 
-@query("slack_point_match", f"""WITH {SQL_EV}, {POINTS_SQL} SELECT point_id, seg_id FROM pt JOIN ev USING (episode_id) WHERE "end" + 1 >= t AND "start" - 1 <= t""")
-def slack_point_match(spark, sf_dir):
-    e = adapters.event_segments(spark, sf_dir).select(F.col("episode_id").alias("_e"), "seg_id", "start", "end")
-    return points_of(spark, sf_dir).join(e, (F.col("episode_id") == F.col("_e")) & shaping.slack_overlaps(F.col("start"), F.col("end"), F.col("t"))).select("point_id", "seg_id")
-
-
-@query("slack_point_match_all", SQL["slack_point_match"].replace(POINTS_SQL, POINTS_ALL_SQL))
+@query("slack_point_match_all", f"""WITH {SQL_EV}, {POINTS_SQL} SELECT point_id, seg_id FROM pt JOIN ev USING (episode_id) WHERE "end" + 1 >= t AND "start" - 1 <= t""")
 def slack_point_match_all(spark, sf_dir):
     grid = 50000.0
     cells = F.explode(F.sequence(F.floor((F.col("start") - 1) / grid), F.floor((F.col("end") + 1) / grid)))
@@ -100,13 +94,8 @@ def frames_to_seconds(spark, sf_dir):
     return events.frames_to_seconds(f, "user_id", 25.0, ["value"]).withColumn("value", F.round("value", 6))
 
 
-@query("truth_evidence_tiers", f"""WITH {SQL_EV}, q AS (SELECT point_id AS query_id, episode_id, CASE WHEN point_id % 3 = 0 THEN ['ev_' || episode_id || '_0001'] END AS ids, CASE WHEN point_id % 3 = 1 THEN t END AS time_ref FROM ({'SELECT * FROM pt'}) p),
-j AS (SELECT query_id, seg_id, CASE WHEN list_contains(ids, seg_id) THEN 0 WHEN "end" > time_ref - 30 AND "start" < time_ref + 30 THEN 1 ELSE 3 END AS tier FROM q JOIN ev USING (episode_id)) SELECT query_id, seg_id, tier FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS b FROM j) WHERE tier = b""".replace("WITH ", f"WITH {POINTS_SQL}, ", 1))
-def truth_evidence_tiers(spark, sf_dir):
-    return _tiers(spark, sf_dir, points_of(spark, sf_dir))
-
-
-@query("truth_evidence_tiers_all", SQL["truth_evidence_tiers"].replace(POINTS_SQL, POINTS_ALL_SQL))
+@query("truth_evidence_tiers_all", f"""WITH {POINTS_SQL}, {SQL_EV}, q AS (SELECT point_id AS query_id, episode_id, CASE WHEN point_id % 3 = 0 THEN ['ev_' || episode_id || '_0001'] END AS ids, CASE WHEN point_id % 3 = 1 THEN t END AS time_ref FROM pt p),
+j AS (SELECT query_id, seg_id, CASE WHEN list_contains(ids, seg_id) THEN 0 WHEN "end" > time_ref - 30 AND "start" < time_ref + 30 THEN 1 ELSE 3 END AS tier FROM q JOIN ev USING (episode_id)) SELECT query_id, seg_id, tier FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS b FROM j) WHERE tier = b""")
 def truth_evidence_tiers_all(spark, sf_dir):
     return _tiers(spark, sf_dir, points_all(spark, sf_dir))
 
@@ -118,7 +107,7 @@ def _tiers(spark: SparkSession, sf_dir: str, p: DataFrame) -> DataFrame:
 
 @query("window_truth_distinct", f"""WITH {WINDOWS_SQL}, {SQL_EV} SELECT DISTINCT seg_id FROM ev JOIN win USING (episode_id) WHERE "end" > lo AND "start" < hi""")
 def window_truth_distinct(spark, sf_dir):
-    return intervals.overlap_join(adapters.event_segments(spark, sf_dir), windows_of(spark), "episode_id").select("seg_id").distinct()
+    return intervals.overlap_join(adapters.event_segments(spark, sf_dir), windows_of(spark, sf_dir), "episode_id").select("seg_id").distinct()
 
 
 @query("change_points", """WITH l AS (SELECT label, vec_id, list_cosine_similarity(embedding::DOUBLE[], lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id)) AS s FROM embeddings) SELECT label, vec_id, sum(CASE WHEN s IS NULL OR s < 0.1 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id)::BIGINT AS segment FROM l""")
@@ -141,8 +130,7 @@ def interior_clip(spark, sf_dir):
 
 @query("active_run_lengths", """WITH f AS (SELECT user_id, event_id, value > 50 AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, value > 50 ORDER BY ts, event_id) AS g FROM events), r AS (SELECT user_id, count(*) AS n FROM f WHERE f GROUP BY user_id, g) SELECT u.user_id, coalesce(max(n), 0)::INT AS longest FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN r USING (user_id) GROUP BY 1""")
 def active_run_lengths(spark, sf_dir):
-    ordered = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("value") > 50).alias("f")))).alias("a"))
-    return ordered.select("user_id", numbers.longest_run(F.transform("a", lambda x: x["f"])).alias("longest"))
+    return events.longest_runs(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("value") > 50).select("user_id", F.col("longest").cast("int").alias("longest"))
 
 
 @query("row_rationale", f"""WITH {SQL_SC} SELECT query_id, CASE WHEN variant IN ('src0', 'src1') THEN answer ELSE answer * factual END::BIGINT AS rationale FROM sc""")
@@ -151,14 +139,21 @@ def row_rationale(spark, sf_dir):
     return s.select("query_id", metrics.rationale_score(F.col("answer"), F.col("factual"), F.col("variant").isin("src0", "src1")).cast("long").alias("rationale"))
 
 
-@query("human_correct", """WITH h AS (SELECT o_orderkey AS id, o_orderkey % 4 AS k FROM orders) SELECT id, CASE k WHEN 0 THEN 1 WHEN 1 THEN CASE WHEN id % 40 <= 25 THEN 1 ELSE 0 END WHEN 2 THEN 0 END::INT AS correct FROM h""")
+@query("human_correct", """WITH h AS (SELECT o_orderkey AS id, ['emotion', 'emotion', 'emotion', 'emotion', 'music', 'health', 'other'][1 + o_orderkey % 7] AS task, ['state', 'change', 'comparison', 'locate'][1 + o_orderkey % 7 % 4] AS kind,
+    ['A', 'B', 'C', 'D', '0:17', 'x'][1 + o_custkey % 6] AS one, ['N', 'H', 'S', 'A', 'U'][1 + o_orderkey % 5] AS emo, ['rising', 'falling', 'none'][1 + o_orderkey % 3] AS dir, ['A', 'B', 'tie'][1 + o_orderkey % 3] AS win, ['yes', 'NO'][1 + o_orderkey % 2] AS ans, (o_orderkey % 30)::DOUBLE AS t0 FROM orders),
+c AS (SELECT *, [one, 'A', 'E'] AS many, [t0, t0 + 6] AS b FROM h)
+SELECT id, CASE WHEN task = 'emotion' AND kind = 'state' THEN list_contains(list_transform(many, lambda c: CASE c WHEN 'A' THEN 'N' WHEN 'B' THEN 'H' WHEN 'C' THEN 'S' WHEN 'D' THEN 'A' WHEN 'E' THEN 'U' END), emo)::INT
+    WHEN task = 'emotion' AND kind = 'change' THEN (coalesce(CASE one WHEN 'A' THEN 'rising' WHEN 'B' THEN 'falling' WHEN 'C' THEN 'none' END, '-') = dir)::INT WHEN task = 'emotion' AND kind = 'comparison' THEN (one = win)::INT
+    WHEN task = 'emotion' THEN CASE WHEN one = '0:17' THEN (17 BETWEEN b[1] - 5 AND b[2] + 5)::INT END WHEN task = 'music' THEN (lower(CASE one WHEN 'C' THEN 'Tie' ELSE one END) = lower(win))::INT
+    WHEN task = 'health' THEN (lower(CASE one WHEN 'A' THEN 'Yes' WHEN 'B' THEN 'No' ELSE one END) = lower(ans))::INT END AS correct FROM c""")
 def human_correct(spark, sf_dir):
-    k = F.col("o_orderkey") % 4
-    kind = F.when(k == 1, "locate").otherwise("state")
-    choice = F.when(k == 0, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a")))
-    truth = F.when(k.isin(0, 2), F.array(F.lit("a"), F.lit("b")))
-    lo = F.when(k == 1, F.lit(5.0))
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), metrics.human_correct(kind, choice, truth, (F.col("o_orderkey") % 40).cast("double"), lo, lo + 15).alias("correct"))
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+    o = F.col("o_orderkey")
+    task, kind, one = pick(["emotion"] * 4 + ["music", "health", "other"], o % 7), pick(["state", "change", "comparison", "locate"], o % 7 % 4), pick(["A", "B", "C", "D", "0:17", "x"], F.col("o_custkey") % 6)
+    choice = F.when((task == "emotion") & (kind == "state"), F.array(one, F.lit("A"), F.lit("E"))).otherwise(F.array(one))
+    t0 = (o % 30).cast("double")
+    truth = {"emo": pick(["N", "H", "S", "A", "U"], o % 5), "direction": pick(["rising", "falling", "none"], o % 3), "winner": pick(["A", "B", "tie"], o % 3), "answer": pick(["yes", "NO"], o % 2), "t0": t0, "t1": t0 + 6}
+    return read(spark, sf_dir, "orders").select(o.alias("id"), metrics.human_correct(task, kind, choice, truth).alias("correct"))
 
 
 @query("judged_answers", """WITH q AS (SELECT doc_id AS query_id, CASE quality WHEN 1 THEN 'good text' WHEN 0 THEN 'poor text' END AS expected, CASE WHEN toxic = 1 THEN 'It is a poor text' ELSE 'It is a GOOD text' END AS prediction FROM labels) SELECT query_id, contains(lower(prediction), expected)::INT AS answer FROM q""")
@@ -183,12 +178,15 @@ def context_snippet(spark, sf_dir):
     return t.select("episode_id", F.substring(F.array_join(F.transform("a", lambda x: x["text"]), " "), 1, 200).alias("snippet"))
 
 
-def _arrived(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """What a stream's query has made of everything that is there."""
-    name = f"arrived_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def _arrived(df: DataFrame) -> DataFrame:
+    """What a stream's query has made of everything that is there: its whole result, written in the shared folder batch by batch."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/arrived-{uuid.uuid4().hex}"
+    spark.createDataFrame([], df.schema).write.parquet(path)
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    q = df.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +214,6 @@ def stream_sliding(spark, sf_dir):
 @query("score_table_written", f"""WITH {SQL_SC} SELECT variant, round(avg(answer) FILTER (query_type = 'en'), 4)::VARCHAR AS en_ans, round(avg(factual) FILTER (query_type = 'en'), 4)::VARCHAR AS en_rat FROM sc GROUP BY 1""")
 def score_table_written(spark, sf_dir):
     """A tab-separated scorecard, written and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    path = f"{folder}/scores-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/scores-{uuid.uuid4().hex}"
     metrics.tsv_scorecard(adapters.scores(spark, sf_dir).withColumnRenamed("factual", "rationale"), path, ["en", "fr"])
     return spark.read.csv(path, sep="\t", header=True).select("variant", "en_ans", "en_rat")

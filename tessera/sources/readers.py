@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import schemas
+from tessera.session import stored
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, missing_ok: bool = True) -> DataFrame:
@@ -46,9 +47,36 @@ def vector_store(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def object_entries(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
-    """(key, value) of a file that is one JSON object."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\b(NaN|-?Infinity)\b", "null").alias("value"))
-    return whole.select(F.explode(F.from_json("value", f"map<string,{value_schema}>")).alias("key", "value"))
+    """(key, value) of a file that is one JSON object of any size, NaN and infinities as null; use ``where`` for one key, ``limit`` to stop early.
+
+    The file is read in parallel, cut behind each closing brace.  Whether a piece begins inside a string and at what depth
+    follows from the pieces before it: counts of quotes and braces, summed in each block of the file and then over its
+    blocks.  Pieces up to a brace that closes a top-level value are put together and parsed, so no task holds the object.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    plain = F.regexp_replace("value", r"\\.", "")
+    parts = F.split(plain, '"')
+    n = F.size(parts)
+    level = lambda parity: F.aggregate(F.transform(parts, lambda x, k: F.when(k % 2 == parity, F.length(F.regexp_replace(x, r"[^{\[]", "")) - F.length(F.regexp_replace(x, r"[^\]}]", ""))).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    counted = stored(pieces.select("value", "b", "i", ((n - 1) % 2).alias("q"), level(0).alias("d0"), level(1).alias("d1")), "pieces")
+    order = Window.partitionBy("b").orderBy("i")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block of the file
+    odd = counted.groupBy("b").agg(F.sum("q").alias("s"), F.max("i").alias("_last")).select("b", (F.coalesce(F.sum("s").over(blocks), F.lit(0)) % 2).alias("open"), (F.col("b") == F.max("b").over(Window.partitionBy())).alias("final"), "_last")
+    stated = counted.join(odd, "b").withColumn("inside", (F.col("open") + F.coalesce(F.sum("q").over(before), F.lit(0))) % 2)
+    ends_inside = (F.col("inside") + F.col("q")) % 2 == 1
+    last = F.col("final") & (F.col("i") == F.col("_last"))
+    closes = F.when(ends_inside | last, 0).otherwise(1)
+    moved = stated.withColumn("closes", closes).withColumn("d", F.when(F.col("inside") == 0, F.col("d0")).otherwise(F.col("d1")) - F.col("closes")).withColumn("last", last)
+    deep = moved.groupBy("b").agg(F.sum("d").alias("s")).select("b", F.coalesce(F.sum("s").over(blocks), F.lit(0)).alias("from"))
+    placed = moved.join(deep, "b").withColumn("after", F.col("from") + F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    done = placed.withColumn("ends", ((F.col("closes") == 1) & (F.col("after") == 1)).cast("int"))
+    shut = done.groupBy("b").agg(F.sum("ends").alias("s")).select("b", F.coalesce(F.sum("s").over(blocks), F.lit(0)).alias("base"))
+    numbered = done.join(shut, "b").withColumn("entry", F.col("base") + F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    text = F.concat("value", F.when(F.col("last") | (F.col("after") < 1), F.lit("")).otherwise(F.lit("}")))
+    whole = numbered.groupBy("entry").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "i", text.alias("t")))), lambda x: x["t"]), "").alias("t"))
+    body = F.regexp_replace(F.regexp_replace(F.when(F.col("entry") == 0, F.regexp_replace("t", r"^\s*\{", "")).otherwise(F.col("t")), r"^\s*,", ""), r"\bNaN\b|-Infinity\b|\bInfinity\b", "null")
+    return whole.select(F.explode(F.from_json(F.concat(F.lit("{"), body, F.lit("}")), f"map<string,{value_schema}>")).alias("key", "value"))
 
 
 def consensus(spark: SparkSession, path: str) -> DataFrame:
@@ -104,12 +132,19 @@ def songs(spark: SparkSession, path: str, tracks: list[str] | None = None) -> Da
 
 
 def audio_files(spark: SparkSession, folder: str, glob: str = "*.{flac,wav,mp3}") -> DataFrame:
-    """(name, extension rank, path, content) of audio files; of one name the first of flac, wav, mp3."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    leaf = F.element_at(F.split("path", "/"), -1)
-    ext = F.lower(F.regexp_extract(leaf, r"\.([^.]+)$", 1))
-    named = files.withColumn("name", F.regexp_replace(leaf, r"\.[^.]+$", "")).withColumn("rank", F.when(ext == "flac", 0).when(ext == "wav", 1).otherwise(2))
-    return named.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("rank", "path"))).where("_r = 1").drop("_r", "rank")
+    """(name, path, content) of audio files; of files of one name in one folder the first of flac, wav, mp3.
+
+    ``name`` is the path without its extension, below ``folder``.  Paths are chosen first, on the driver, which has listed them
+    anyway; contents are read of the chosen ones alone and not shuffled.
+    """
+    files = lambda: spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    paths = files().load(folder).select("path", F.regexp_replace("path", r"\.[^./]+$", "").alias("stem"), F.when(ext == "flac", 0).when(ext == "wav", 1).otherwise(2).alias("rank"))
+    chosen = [r["p"] for r in paths.groupBy("stem").agg(F.min(F.struct("rank", "path"))["path"].alias("p")).collect()]
+    below = folder.rstrip("/").rpartition("/")[2]
+    name = F.regexp_replace(F.regexp_replace("path", rf"^.*/{re.escape(below)}/", ""), r"\.[^./]+$", "")
+    empty = spark.createDataFrame([], "name string, path string, content binary")
+    return files().load(chosen).select(name.alias("name"), "path", "content") if chosen else empty
 
 
 def keep_last(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -50,6 +50,83 @@ def test_split_and_merge(spark):
     assert rows(intervals.merge_short_folded(turns, 1.0), "episode_id", "start", "end", "speaker") == want
 
 
+def test_leading_short_turns_join_first(spark):
+    schema = "episode_id string, start double, end double, speaker string"
+    turns = spark.createDataFrame([("e", 0.0, 0.6, "x"), ("e", 0.6, 1.2, "y"), ("e", 1.2, 5.0, "z"), ("f", 0.0, 0.3, "x"), ("f", 0.3, 0.6, "y"), ("f", 0.6, 5.0, "z"), ("g", 0.0, 0.3, "x"), ("g", 0.3, 0.9, "y"), ("h", 0.0, 0.6, "x"), ("h", 0.6, 1.2, "y")], schema)
+    want = [("e", 0.0, 1.2, "x"), ("e", 1.2, 5.0, "z"), ("f", 0.0, 5.0, "z"), ("h", 0.0, 1.2, "x")]
+    assert rows(intervals.merge_short(turns, 1.0), "episode_id", "start", "end", "speaker") == want
+    assert rows(intervals.merge_short_folded(turns, 1.0), "episode_id", "start", "end", "speaker") == want
+    over = spark.createDataFrame([("e", 0.0, 3.0, "x"), ("e", 0.5, 0.9, "y"), ("e", 1.0, 4.0, "z")], schema)
+    assert rows(intervals.merge_short_folded(over, 1.0), "start", "end", "speaker") == [(0.0, 4.0, "z")]
+
+
+def test_required_tools_of_every_type(spark):
+    kinds = ["state", "comparison", "change", "locate", "locate_hard", "audio", "time"]
+    q = spark.createDataFrame([(k, t) for k, t in enumerate(kinds)], "query_id long, query_type string")
+    cover = spark.createDataFrame([(k, 0.5) for k in range(7)], "query_id long, covered double")
+    tools = spark.createDataFrame([(k, ["audio_emb", "keyword"]) for k in range(7)], "query_id long, active array<string>")
+    got = {r["query_type"]: r["plan_hit_rate"] for r in metrics.plan_hit_rate(cover, tools, q).collect()}
+    assert got == pytest.approx({"state": 2.5 / 3, "comparison": 2.5 / 3, "change": 2.5 / 3, "locate": 1.5 / 4, "locate_hard": 0.5 / 3, "audio": 1.5 / 2, "time": 0.5})
+    oracle = metrics.plan_hit_rate(cover, tools, q.withColumn("oracle", F.lit(True)))
+    assert {r["plan_hit_rate"] for r in oracle.collect()} == {1.0}
+
+
+def test_answers_keep_their_label(spark):
+    got = lambda s: tuple(spark.range(1).select(text.answer_split(F.lit(s)).alias("x")).first()["x"])
+    assert got("Answer: blue\n\nRationale: it is said\n") == ("Answer: blue", "it is said")
+    assert got(" \n rationale: only this") == ("only this", "") and got("plain \n") == ("plain", "") and got("rationale:") == ("", "")
+
+
+def test_clips_of_sets_without_evidence(spark):
+    sets = spark.createDataFrame([(1, 0, 30, 45), (1, 1, 100, 900)], "query_id long, set_no int, lo long, hi long")
+    fused = spark.createDataFrame([(1, 0, 7.9, 20.5), (1, 0, 9.0, 99.0)], "query_id long, set_no int, start double, end double")
+    assert rows(retrieval.clip_span(fused, 60, sets), "set_no", "lo", "hi") == [(0, 7, 67), (1, 100, 160)]
+
+
+def test_best_segmentation_against_all_cuts():
+    import itertools
+
+    import numpy as np
+
+    from tessera.operators import shaping
+
+    r = np.random.default_rng(3)
+    for least, penalty in ((1, 0.5), (2, 0.3), (3, 1.0)):
+        v = np.concatenate([r.normal(size=(1, 4)) + 0.2 * r.normal(size=(k, 4)) for k in (4, 3, 4)])
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        apart = ((unit[:, None] - unit[None]) ** 2).sum(-1)
+        gamma = 1 / np.median([apart[i, j] for i in range(11) for j in range(i)])
+        kernel = np.exp(-np.clip(apart * gamma, 1e-2, 1e2))
+        np.fill_diagonal(kernel, 1.0)
+        cost = lambda cuts: sum((b - a) - kernel[a:b, a:b].sum() / (b - a) for a, b in zip((0, *cuts), (*cuts, 11), strict=True)) + penalty * len(cuts)
+        fits = [c for m in range(6) for c in itertools.combinations(range(1, 11), m) if all(b - a >= least for a, b in zip((0, *c), (*c, 11), strict=True))]
+        assert cost(tuple(shaping.segmented(v, penalty, least)[:-1])) == pytest.approx(min(map(cost, fits)))
+
+
+def test_objects_are_read_in_pieces(spark, tmp_path):
+    data = {f"k{k}": {"x": float(k), "t": 'a } b { " \\ ' * (k % 4), "deep": {"y": [{"z": k}]}} for k in range(300)}
+    path = tmp_path / "o.json"
+    path.write_text(json.dumps(data, indent=1 if len(data) % 2 else None))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = readers.object_entries(spark, str(path), "struct<x:double,t:string,deep:struct<y:array<struct<z:int>>>>")
+        assert {r["key"]: (r["value"]["x"], r["value"]["t"], r["value"]["deep"]["y"][0]["z"]) for r in got.collect()} == {k: (v["x"], v["t"], v["deep"]["y"][0]["z"]) for k, v in data.items()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    path.write_text('{"a": 1, "b": {"x": -Infinity, "y": NaN}, "c": "p", "d": {"x": 2}, "e": null, "f": 7}\n')
+    assert {r["key"]: r["value"] for r in readers.object_entries(spark, str(path), "string").collect()} == {"a": "1", "b": '{"x":null,"y":null}', "c": "p", "d": '{"x":2}', "e": None, "f": "7"}
+    path.write_text("{}")
+    assert readers.object_entries(spark, str(path), "string").count() == 0
+
+
+def test_audio_files_of_folders(spark, tmp_path):
+    for name in ("in/a/x.wav", "in/a/x.flac", "in/b/x.mp3", "in/y.wav", "in/z.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    got = {r["name"]: bytes(r["content"]) for r in readers.audio_files(spark, str(tmp_path / "in")).collect()}
+    assert got == {"a/x": b"in/a/x.flac", "b/x": b"in/b/x.mp3", "y": b"in/y.wav"}
+
+
 def test_timeline(spark):
     songs = spark.createDataFrame([("t", k, d) for k, d in enumerate([200000.0, 180000.0, 250000.0, 150000.0])], "track string, k int, ms double")
     assert [r[1] for r in rows(intervals.timeline(songs, F.col("ms"), "track", ["k"], 3000.0), "k", "start")] == [0, 197000, 374000, 621000]
