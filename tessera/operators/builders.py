@@ -152,6 +152,30 @@ def hard_clusters(events: DataFrame, key: str = "episode_id", span: float = CLUS
     return target.select(*group, F.greatest(F.lit(0.0), F.col("_begin") - pad).alias("t0"), (F.col("_stop") + pad).alias("t1"), F.col("n").alias("target_n"), "n_events")
 
 
+def speaker_levels(segments: DataFrame, by: list[str], values: list[str], least: int = 5) -> DataFrame:
+    """Means of ``values`` of each speaker with ``least`` segments, rounded to four places."""
+    out = segments.groupBy(*by).agg(*[F.round(F.avg(v), 4).alias(v) for v in values], F.count(F.lit(1)).alias("_n"))
+    return out.where(F.col("_n") >= least).drop("_n")
+
+
+def english_songs(languages: DataFrame, songs: DataFrame, shortest: float = 150, longest: float = 300) -> DataFrame:
+    """Songs (file, mean, seconds) that are surely English and of a fitting length, with their bucket of 1 to 5 by mean.
+
+    ``languages``: file, lang, prob and, where a second look was taken, lang2, prob2, which count then.
+    """
+    sure = languages.where((F.coalesce("lang2", "lang") == "en") & (F.coalesce("prob2", "prob") > 0.5)).select("file").distinct()
+    bucket = F.greatest(F.lit(1), F.least(F.lit(5), F.bround("mean", 0))).cast("long")
+    return songs.join(sure, "file", "left_semi").where(F.col("seconds").between(shortest, longest)).withColumn("bucket", bucket)
+
+
+def admitted(files: DataFrame, parts: DataFrame, wanted: DataFrame, most: int, ratio: float, key: str = "episode_id") -> DataFrame:
+    """(key, train, test) of the ``wanted`` episodes with fewer than ``most`` training files, and under ``ratio`` of them for each test file; without test files the ratio is infinite."""
+    rows = files.join(wanted.select(key).distinct(), key, "left_semi").join(parts, "file")
+    counted = rows.groupBy(key).agg(F.count_if(F.col("part") == "Train").alias("train"), F.count_if(F.col("part") == "Test1").alias("test"))
+    share = F.when(F.col("test") == 0, F.lit(float("inf"))).otherwise(F.col("train") / F.nullif(F.col("test"), F.lit(0)))
+    return counted.where((F.col("train") < most) & (share < ratio))
+
+
 # -- clips
 
 
