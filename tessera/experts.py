@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import importlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,58 @@ from pyspark.sql import functions as F
 Maker = Callable[[], Callable]
 
 
+class Transcriber(Protocol):
+    """Samples and their rate to text."""
+
+    def __call__(self, samples: np.ndarray, rate: int) -> str: ...
+
+
+class Embedder(Protocol):
+    """Samples and their rate to a vector of a fixed length."""
+
+    def __call__(self, samples: np.ndarray, rate: int) -> list[float]: ...
+
+
+class TextEmbedder(Protocol):
+    def __call__(self, text: str) -> list[float]: ...
+
+
+class Diariser(Protocol):
+    """A recording's bytes to turns (start, end, speaker): a table function."""
+
+    def __call__(self, content: bytes) -> list[tuple[float, float, str]]: ...
+
+
+class Labeler(Protocol):
+    """Samples and their rate to labels; None for what it doesn't tell."""
+
+    def __call__(self, samples: np.ndarray, rate: int) -> dict[str, str | None]: ...
+
+
+class LanguageModel(Protocol):
+    """Prompts to replies, in one batch; judges are language models that answer YES or NO."""
+
+    def __call__(self, prompts: list[str]) -> list[str]: ...
+
+
+@dataclass(frozen=True)
+class Task:
+    """What a task tells its prompts, and how its truth is shown."""
+
+    name: str
+    description: str
+    schema: str
+    tools: dict[str, str]
+    hide_speaker: frozenset[str] = frozenset()
+
+
+TASKS = {
+    "emotion": Task("emotion", "Answer questions about how speakers of a long recording feel.", "Segments have a class of emotion, vote shares, and levels of valence, arousal and dominance from 0 to 1.", {"time": "segments of a window", "label": "segments of an emotion", "keyword": "segments with a word", "text_emb": "segments about something", "audio_emb": "segments that sound like a clip", "domain_emb": "segments as emotional as a clip"}, frozenset({"locate_hard"})),
+    "music": Task("music", "Answer questions about the songs of a long medley.", "Segments are songs or parts of them, with scores from 1 to 5.", {"time": "segments of a window", "label": "segments of a level", "audio_emb": "segments that sound like a clip", "domain_emb": "segments of a similar quality"}),
+    "health": Task("health", "Answer questions about a consultation.", "Segments count the coughs that are heard in them.", {"time": "segments of a window", "label": "segments with a sound", "keyword": "segments with a word", "text_emb": "segments about something"}),
+}
+
+
 def from_config(config: dict) -> object:
     """The class or function that ``_target_`` names, called with the other entries."""
     module, _, name = config["_target_"].rpartition(".")
@@ -45,6 +99,19 @@ def mapped(make: Maker, kind: str) -> Callable[[Column], Column]:
     return run
 
 
+def pairs(make: Maker, kind: str) -> Callable[[Column], Column]:
+    """As ``mapped``, for a function that gives a tuple of the fields of ``kind``."""
+    names = [f.split()[0] for f in kind.split(", ")]
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for batch in batches:
+            yield pd.DataFrame([(None,) * len(names) if x is None else model(x) for x in batch], columns=names)
+
+    return run
+
+
 def batched(prompts: DataFrame, make: Maker, out: str = "reply", prompt: str = "prompt", size: int = 64) -> DataFrame:
     """``prompts`` with replies of a model that takes lists; ``size`` at a time."""
 

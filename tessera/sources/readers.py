@@ -83,9 +83,19 @@ def consensus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CONSENSUS).csv(path, header=True)
 
 
+def consensus_text(spark: SparkSession, path: str) -> DataFrame:
+    """The same with every column as text, as it stands."""
+    return spark.read.schema(schemas.CONSENSUS.replace(" double", " string")).csv(path, header=True)
+
+
+def detailed_text(spark: SparkSession, path: str) -> DataFrame:
+    """(FileName, EmoClass_Major) of each vote."""
+    return spark.read.schema(schemas.DETAILED).csv(path, header=True)
+
+
 def detailed(spark: SparkSession, path: str) -> DataFrame:
     """(FileName, votes): how often each class was voted for a file."""
-    rows = spark.read.schema(schemas.DETAILED).csv(path, header=True)
+    rows = detailed_text(spark, path)
     return rows.groupBy("FileName", "EmoClass_Major").count().groupBy("FileName").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("EmoClass_Major", "count")))).alias("votes"))
 
 

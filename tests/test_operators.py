@@ -303,3 +303,68 @@ def test_ordinals_are_dense_beyond_the_sample(spark):
     assert got == list(range(10, 10 + n))
     got = [x["r"] for x in ordering.ranked(df.withColumn("b", F.lit("x")), ["b"], ["k"], "r").orderBy("k").select("r", "embedding").collect()]
     assert got == list(range(1, 1 + n))
+
+
+def test_wave_round_trip_and_quality():
+    import numpy as np
+
+    from tessera.sources import waves
+
+    r = np.random.default_rng(2)
+    samples = (0.3 * np.sin(np.arange(16000) / 5)).astype(np.float32)
+    back, rate = waves.decoded(waves.encoded(samples, 16000))
+    assert rate == 16000 and np.abs(back - samples).max() < 1e-4
+    assert len(waves.resampled(samples, 16000, 8000)) == 8000 and waves.resampled(samples, 16000, 16000) is samples
+    slow = np.sin(np.arange(1000) / 50)
+    assert np.abs(waves.resampled(slow, 100, 200)[:1900] - np.sin(np.arange(2000) / 100)[:1900]).max() < 1e-3
+    clip = 0.001 * r.normal(size=32000)
+    for at in (8000, 20000):
+        clip[at : at + 2400] += 0.5 * r.normal(size=2400).clip(-1.2, 1.2) * np.linspace(1, 0, 2400)
+    good = waves.quality(clip.astype(np.float32), 16000)
+    assert good["reject"] == "" and good["onsets"] >= 2 and good["snr"] > 5 and good["duration"] == 2.0
+    assert waves.quality(np.ones(100, np.float32), 16000)["reject"] == "too short"
+    assert waves.quality(np.sign(np.sin(np.arange(32000))).astype(np.float32), 16000)["reject"] == "clipping"
+    loud = waves.quality(np.where(np.arange(32000) % 100 < 2, 0.85, clip).astype(np.float32), 16000)
+    assert loud["reject"] == "saturation" and loud["longest_run"] == 2 and loud["near_saturation"] == pytest.approx(0.02, abs=0.002)
+    assert waves.quality(np.full(32000, 0.1, np.float32), 16000)["reject"] in ("no_onset", "always_active")
+    assert waves.longest_run(np.array([1, 1, 0, 1, 1, 1, 0], bool)) == 3 and waves.longest_run(np.zeros(3, bool)) == 0
+
+
+def test_columns_of_other_widths():
+    import io
+    import wave
+
+    import numpy as np
+
+    from tessera.sources import waves
+
+    for width, top in ((1, 128), (2, 1 << 15), (3, 1 << 23), (4, 1 << 31)):
+        values = np.array([-top, -1, 0, top // 2, top - 1], np.int64)
+        raw = (values + 128).astype(np.uint8).tobytes() if width == 1 else b"".join(int(v).to_bytes(width, "little", signed=True) for v in values)
+        out = io.BytesIO()
+        with wave.open(out, "wb") as f:
+            f.setnchannels(1)
+            f.setsampwidth(width)
+            f.setframerate(8000)
+            f.writeframes(raw)
+        assert np.allclose(waves.decoded(out.getvalue())[0], values / top, atol=1e-6)
+
+
+def test_labels_merge_from_left_to_right(spark):
+    from tessera import extraction
+
+    m = lambda **x: F.create_map(*[y for k, v in x.items() for y in (F.lit(k), F.lit(v).cast("string"))])
+    got = spark.range(1).select(extraction.merged_over([m(a="1", b="2"), m(a=None, c="3"), F.lit(None).cast("map<string,string>"), m(b="4")]).alias("x")).first()["x"]
+    assert got == {"a": "1", "b": "4", "c": "3"}
+
+
+def test_ranks_of_many_and_of_large_groups(spark):
+    from tessera.operators import ordering
+
+    df = spark.range(0, 5000, 1, 7).select("id", F.when(F.col("id") < 4000, F.lit(None)).otherwise(F.col("id") % 300).alias("g"))
+    got = {r["id"]: r["n"] for r in ordering.ranked(df, ["g"], ["id"], "n").collect()}
+    seen = {}
+    for k in range(5000):
+        g = None if k < 4000 else k % 300
+        seen[g] = seen.get(g, 0) + 1
+        assert got[k] == seen[g]

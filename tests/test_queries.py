@@ -3,14 +3,19 @@
 import pytest
 
 from conftest import DATA, same_rows
-from tessera.plans import queries, queries_builders, queries_shaping, queries_truth  # noqa: F401
+from tessera.plans import queries, queries_builders, queries_corpora, queries_shaping, queries_truth  # noqa: F401
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query(spark, oracle, name):
     same_rows(queries.QUERIES[name](spark, DATA), oracle.execute(queries.SQL[name]))
 
 
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
+def test_query_without_sql_has_rows(spark, name):
+    assert queries.QUERIES[name](spark, DATA).count() > 0
+
+
 def test_entry_point(spark):
     import __spark_entry__
 
