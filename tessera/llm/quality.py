@@ -66,7 +66,8 @@ class Features(dict):
     def __init__(self, weights: np.ndarray | None = None):
         super().__init__()
         self.telling = None if weights is None else frozenset(np.flatnonzero(weights).tolist())
-        self.limit = 400_000 if weights is None else 1_000_000
+        self.limit = 150_000 if weights is None else 300_000
+        self.shared: dict[tuple, tuple] = {}  # most words have no feature of their own: they share one value
 
     def kept(self, found: list[int]) -> tuple[int, ...]:
         return tuple(found) if self.telling is None else tuple([x for x in found if x in self.telling])
@@ -74,6 +75,7 @@ class Features(dict):
     def __missing__(self, word: bytes) -> tuple[tuple[int, ...], tuple[int, ...], int, int, int]:
         if len(self) >= self.limit:
             self.clear()
+            self.shared.clear()
         bare = word.translate(LOWER, MARKS)
         marks = word.translate(None, OTHER)
         named = [b"w" + bare] + [b"%d" % n + bare[:n] for n in (4, 5, 6, 8) if len(bare) >= n]
@@ -83,7 +85,8 @@ class Features(dict):
             named.append(b"U")
         twice = self.kept([hashed(b"2" + bare[:6])]) if len(bare) >= 6 else ()
         shapes = (len(bare) > 1 and word.isupper(), len(marks) > 1, not bare)
-        self[word] = value = (self.kept([hashed(x) for x in named]), twice, *map(int, shapes))
+        value = (self.kept([hashed(x) for x in named]), twice, *map(int, shapes))
+        self[word] = value = self.shared.setdefault(value, value) if self.telling is not None else value
         return value
 
 
@@ -124,9 +127,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.thresholds - score, -500, 500)))
 
     @staticmethod
-    def _telling(which: np.ndarray, grades: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def _telling(which: np.ndarray, lengths: np.ndarray, grades: np.ndarray) -> np.ndarray:
         """True for each feature whose presence depends on the grade, by Pearson's chi-square; other words get no weight at all."""
-        seen = np.stack([np.bincount(which[grades == k], minlength=1 << BITS) for k in range(GRADES)]).astype(float)
+        of = np.repeat(grades.astype(np.int8), lengths)
+        seen = np.stack([np.bincount(which[of == k], minlength=1 << BITS) for k in range(GRADES)]).astype(float)
+        count = np.bincount(grades, minlength=GRADES)
         share = seen.sum(axis=0) / count.sum()
         expected = share * count[:, None]
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -153,16 +158,17 @@ class Model:
         return float(-np.log(likely).mean() + DECAY / 2 * weights @ weights), np.concatenate((by_weights, by_gaps))
 
     @staticmethod
-    def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
-        """Gradient descent (Adam) on the likelihood of the grades, from zeros, over the features that tell grades apart."""
+    def fit(which: np.ndarray, lengths: np.ndarray, grades: np.ndarray) -> Model:
+        """Gradient descent (Adam) on the likelihood of the grades, from zeros, over the features that tell grades apart.
+
+        ``which``: features of document after document; ``lengths``: how many each has.
+        """
         weights = np.zeros(1 << BITS)
-        if not len(rows):
+        if not len(grades):
             return Model(weights.astype(np.float32), np.array([-500.0, -499.0]))
-        which = np.concatenate(rows)
-        owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-        telling = Model._telling(which, grades[owner], np.bincount(grades, minlength=GRADES))
-        owner = owner[telling[which]]
-        used, slot = np.unique(which[telling[which]], return_inverse=True)
+        kept = Model._telling(which, lengths, grades)[which]
+        owner = np.repeat(np.arange(len(grades), dtype=np.int32), lengths)[kept]
+        used, slot = np.unique(which[kept], return_inverse=True)
         state = np.concatenate((np.zeros(len(used)), [-2.0, 0.5]))
         mean, square = np.zeros(len(state)), np.zeros(len(state))
         for step in range(1, STEPS + 1):
@@ -192,9 +198,9 @@ def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, id_col: str
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias(id_col), "grade")
     rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"))
     got = rows.join(F.broadcast(chosen), id_col).select("grade", "text").mapInArrow(run, "grade int, found array<int>").toArrow()
-    order = sorted(range(got.num_rows), key=lambda k: (got["grade"][k].as_py(), len(got["found"][k])))
-    found = [got["found"][k].values.to_numpy() for k in order]
-    return Model.fit([np.sort(x) for x in found], np.array([got["grade"][k].as_py() for k in order], np.int64))
+    found = got["found"].combine_chunks()
+    ends = found.offsets.to_numpy().astype(np.int64)
+    return Model.fit(found.values.to_numpy()[ends[0] : ends[-1]] if got.num_rows else np.zeros(0, np.int32), np.diff(ends), got["grade"].to_numpy().astype(np.int64))
 
 
 def judged(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
