@@ -11,7 +11,9 @@ undoes it.  The loss mask is a list of stretches (begin, length in code points)
 
 Defined cases: null texts and roles are empty; a parent that isn't there makes its child a root; nodes on a cycle have no root
 and are in no conversation; of rows with one node id in a conversation the least (role, text) counts; null conversation ids
-are one conversation of null id; a tie between branches goes to the least leaf id.
+are one conversation of null id; a tie between branches goes to the least leaf id; equal rows of a list of turns are turns each;
+texts of any length work, one conversation with all its turns must fit a row; an empty table gives an empty result; other columns,
+whatever their names, don't matter.
 """
 
 from __future__ import annotations

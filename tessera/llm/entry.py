@@ -59,6 +59,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).withColumn("kept", ~F.col("rejected"))
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where all words of a benchmark item stand near each other in a document, in any order: the index's proximity matches."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), within=20)
+
+
+def reply_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best branches of each conversation read as a tree, in which a turn answers the one with half its number."""
+    t = F.col("turn")
+    nodes = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), t.cast("long").alias("node"), F.when(t > 0, F.floor((t - 1) / 2)).alias("parent"), "role", "text", (F.length("text") % 7).cast("double").alias("score"))
+    told = F.concat_ws("", F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))))
+    return chat.conversations(nodes, 2).select(F.col("conv").alias("conv_id"), "leaf", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontaminate": op2_decontaminate,
@@ -70,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_page_text": op8_page_text,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
+    "benchmark_proximity": benchmark_proximity,
+    "reply_branches": reply_branches,
 }
 
 SQL: dict[str, str] = {}
@@ -132,3 +147,10 @@ v AS (SELECT *, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
     WHEN regexp_matches(host, '(^|\\.)(cheap-pills|spam-farm|free-bets|casino(-[a-z]+)?|adult(-[a-z]+)?|ads(-[a-z]+)?)\\.') THEN 'block' ELSE 'allow' END AS verdict FROM v
 """
+
+SQL["reply_branches"] = """
+WITH RECURSIVE n AS (SELECT conv_id, turn AS node, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, coalesce(role, '') AS role, coalesce(text, '') AS text, coalesce(length(text) % 7, 0)::DOUBLE AS s FROM conversations),
+p AS (SELECT conv_id, node AS leaf, node, parent, s, role, text FROM n WHERE NOT EXISTS (SELECT 1 FROM n c WHERE c.conv_id = n.conv_id AND c.parent = n.node) UNION ALL SELECT p.conv_id, p.leaf, n.node, n.parent, n.s, n.role, n.text FROM p JOIN n ON n.conv_id = p.conv_id AND n.node = p.parent),
+b AS (SELECT conv_id, leaf, min(node) AS top, avg(s) AS score, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY node) AS t FROM p GROUP BY 1, 2)
+SELECT conv_id, leaf::BIGINT AS leaf, n::BIGINT AS n_turns, sha256(t) AS turns_sha256 FROM b QUALIFY row_number() OVER (PARTITION BY conv_id, top ORDER BY score DESC, leaf) <= 2
+"""

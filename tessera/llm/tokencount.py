@@ -8,7 +8,8 @@ character counts as its UTF-8 bytes (byte fallback) or, without byte pieces, joi
 in doubles from the left, as there.  Text is cut before each blank (shown as U+2581), one is put in front.
 
 The vocabulary file is a parameter; the driver reads it and sends the pieces out (their number is fixed by the file).
-Defined cases: null and empty texts have no tokens; any length works, in memory for one text; repeated rows count each.
+Defined cases: null and empty texts have no tokens; any length works, in memory for one text; repeated rows count each; ids may be null
+or of any type; an empty table gives an empty result; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations

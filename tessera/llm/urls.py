@@ -5,9 +5,11 @@ hold.  The index lists each rule under its token that the fewest urls have (coun
 tokens of a url fetch the candidates, and only their expressions run.  Of the placed rules (host and path) that fit, the
 longest gives the verdict; else a pattern that fits blocks; else the url is allowed.
 
-Rules are parameters, not data: at most ``MOST`` of them, checked, then sent to all executors.  Defined cases: a null url, or
-one without ``://``, has an empty host and path and is judged by these; repeated rows are judged one by one; a rule without
-any token is a candidate for every url.
+Rules are parameters, not data.  They are sent to all executors in blocks of at most ``MOST``, each block a pass that improves on
+what the ones before found, without a shuffle; any number of rules works.  Defined cases: a null url, or one without ``://``,
+has an empty host and path and is judged by these; repeated rows are judged one by one; urls of any length work; a rule without
+any token is a candidate for every url; of placed rules of one length the greater name wins; without rules all is allowed; an
+empty table gives an empty result; ids may be of any type, null or repeated; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST = 1_000_000
+MOST = 200_000
 TOKEN = re.compile(r"[a-z0-9]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -74,12 +76,14 @@ def parts(url: str | None) -> tuple[str, str]:
     return host.translate(LOWER), slash + path
 
 
+#: The best placed rule so far and its verdict, and whether a pattern blocks.
+Found = tuple[str | None, str | None, bool]
+
+
 class Index:
     """Rules by their rarest token."""
 
     def __init__(self, rules: list[Rule], frequency: dict[str, int]):
-        if len(rules) > MOST:
-            raise ValueError(f"over {MOST} rules")
         self.by_token: dict[str, list[int]] = {}
         self.rules, self.compiled = rules, {}
         for k, rule in enumerate(rules):
@@ -97,13 +101,22 @@ class Index:
                     out.append(self.rules[k])
         return out
 
-    def judge(self, host: str, path: str) -> tuple[str | None, str]:
+    def best(self, host: str, path: str, known: Found = (None, None, False)) -> Found:
+        """The longest placed rule that fits and its verdict, and whether a pattern blocks; better than or as ``known``."""
         found = self.fits(host, path)
-        named = [r for r in found if r.name is not None]
-        if named:
-            best = max(named, key=lambda r: (len(r.name), r.name))
-            return best.name, best.verdict
-        return None, "block" if any(r.verdict == "block" for r in found) else "allow"
+        named = max(((len(r.name), r.name, r.verdict) for r in found if r.name is not None), default=None)
+        rule, verdict, blocked = known
+        if named and (rule is None or named[:2] > (len(rule), rule)):
+            rule, verdict = named[1:]
+        return rule, verdict, blocked or any(r.name is None and r.verdict == "block" for r in found)
+
+    def judge(self, host: str, path: str) -> tuple[str | None, str]:
+        return decided(self.best(host, path))
+
+
+def decided(found: Found) -> tuple[str | None, str]:
+    rule, verdict, blocked = found
+    return (rule, verdict) if rule is not None else (None, "block" if blocked else "allow")
 
 
 def token_counts(urls: DataFrame, tokens: set[str], url_col: str = "url") -> dict[str, int]:
@@ -114,17 +127,37 @@ def token_counts(urls: DataFrame, tokens: set[str], url_col: str = "url") -> dic
 
 
 def judged(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict) of each row."""
-    index = Index(rules, token_counts(pages, {t for r in rules for t in r.tokens}, url_col))
-    sent = pages.sparkSession.sparkContext.broadcast(index)
+    """(id, host, path, rule, verdict) of each row."""
+    send = pages.sparkSession.sparkContext.broadcast
+    counts = token_counts(pages, {t for r in rules for t in r.tokens}, url_col)
     kind = pages.schema[id_col].dataType.simpleString()
+    names = ["id", "host", "path", "rule", "verdict", "blocked"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = [parts(x) for x in batch.column(1).to_pylist()]
-            found = [own.judge(*x) for x in split]
-            columns = [[h for h, _ in split], [p for _, p in split], [r for r, _ in found], [v for _, v in found]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in columns)], names=[id_col, "host", "path", "rule", "verdict"])
-
-    return pages.select(id_col, url_col).mapInArrow(run, f"{id_col} {kind}, host string, path string, rule string, verdict string")
+            hosts, paths = zip(*map(parts, batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), ())
+            none = [None] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip((hosts, paths, none, none, [False] * batch.num_rows), kinds, strict=True))], names=names)
+
+    def one_pass(index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = index.value
+            for batch in batches:
+                hosts, paths, *known = (batch.column(x).to_pylist() for x in names[1:])
+                found = [own.best(h, p, k) for h, p, k in zip(hosts, paths, zip(*known, strict=True), strict=True)]
+                columns = list(zip(*found, strict=True)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, t) for x, t in zip(columns, kinds[2:], strict=True))], names=names)
+
+        return run
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [decided(x) for x in zip(*(batch.column(n).to_pylist() for n in names[3:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([e[k] for e in ends], pa.string()) for k in (0, 1))], names=[id_col, "host", "path", "rule", "verdict"])
+
+    schema = f"id {kind}, host string, path string, rule string, verdict string, blocked boolean"
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).mapInArrow(split, schema)
+    for at in range(0, len(rules), MOST):
+        rows = rows.mapInArrow(one_pass(send(Index(rules[at : at + MOST], counts))), schema)
+    return rows.mapInArrow(finish, f"{id_col} {kind}, host string, path string, rule string, verdict string")

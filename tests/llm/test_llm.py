@@ -559,6 +559,60 @@ def test_url_rules_equal_running_all(spark):
     assert urls.parts("http://A.B:80?x") == ("a.b:80", "")
 
 
+def test_rules_in_several_passes(spark, monkeypatch):
+    rules = urls.PLACED + urls.PATTERNS + [urls.Rule(None, "block", "\x00/a b", ())]
+    rows = [(k, f"https://{h}{p}", "x") for k, (h, p) in enumerate((h, p) for h in ("www.example.com", "x.example.com", "cheap-pills.net", "ads.org", "a.net") for p in ("/en/1", "/fr/x", "", "/a b"))] + [(None, None, "x")]
+    pages = spark.createDataFrame(rows, "id long, url string, host string")
+    one = sorted(map(str, urls.judged(pages, rules, "id").collect()))
+    monkeypatch.setattr(urls, "MOST", 2)
+    assert sorted(map(str, urls.judged(pages, rules, "id").collect())) == one and len(one) == len(rows)
+    assert urls.judged(pages, [], "id").where("verdict = 'allow' and rule is null").count() == len(rows)
+
+
+# -- every operator: empty tables, clashing columns, long texts
+
+
+def test_empty_tables(spark):
+    docs = frame(spark, [], True)
+    pages, bench = spark.createDataFrame([], "page_id long, url string, html string"), spark.createDataFrame([], "item_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([], "doc_id long, grade int"))
+    results = [media.digest(docs), media.encoded(docs), tokencount.counted(docs, tokencount.read_pieces()), urls.judged(pages, urls.PLACED), pagetext.extracted(pages), quality.scored(docs, model), quality.accepted(docs, model), decontaminate.digest(docs, bench), neardup.digest(docs), substrings.digest(docs), packing.pack(docs)]
+    results += [chat.digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))]
+    assert [r.count() for r in results] == [0] * len(results)
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = " ".join(f"w{k % 5000}" for k in range(300_000))
+    names = "named string, starts string, own string, stream string, article string, turns string, node string, up string, top string, depth string, leaf string, verdict string, blocked string, id string"
+    extra = [F.lit("x").alias(x.split()[0]) for x in names.split(", ")]
+    pages = spark.createDataFrame([(1, "http://h/1", f"<article><p>{long}</p></article>"), (2, None, "<p>a")], "page_id long, url string, html string").select("*", *extra)
+    got = {r["page_id"]: r["n_chars"] for r in pagetext.extracted(pages).collect()}
+    assert got == {1: len(long), 2: 1}
+    assert urls.judged(pages.withColumn("url", F.concat(F.lit("http://net/es/"), F.lit(long))), urls.PLACED).where("rule = 'net/es/'").count() == 2
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string").select("*", *extra)
+    assert [tuple(r)[:4:3] for r in chat.digest(turns).collect()] == [(1, len(long))]
+    docs = frame(spark, [(1, long), (None, "a b")], True).select("*", *extra)
+    assert {r["doc_id"]: r["n_bytes"] for r in media.digest(docs).collect()} == {1: len(long), None: 3}
+    assert sum(r["n_tokens"] for r in packing.pack(docs).collect()) == 300_000 + 1 + 3
+    assert {r["doc_id"]: r["n_words"] for r in substrings.digest(docs).collect()} == {1: 300_000, None: 2}
+    assert tokencount.counted(docs, tokencount.read_pieces()).count() == 2
+
+
+def test_pipeline_of_odd_and_no_documents(spark, tmp_path):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    r = random.Random(3)
+    copy = " ".join(r.choices(WORDS, k=90))
+    rows = [(1, copy, "en", "s", 1), (2, copy + " x", "en", "s", 1), (None, copy, "en", "s", 1), (3, None, "en", "s", 0), (4, "", None, "s", 0), (5, "alone", "en", "s", 5), (5, "alone", "en", "s", 5)]
+    for name, some in (("some", rows), ("none", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(some, kinds).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(9, 1, 0)], "doc_id long, quality int, toxic int").limit(len(some)).write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, "zz zz")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        got = sorted(((x["doc_id"], x["n_tokens"]) for x in corpus_pipeline.run(spark, d).collect()), key=str)
+        # 2 is a near copy of 1; a row without an id is neither a copy of another nor cut
+        assert got == (sorted([(1, 91), (None, 91), (3, 1), (4, 1), (5, 2), (5, 2)], key=str) if some else [])
+
+
 # -- quality
 
 
