@@ -1,4 +1,10 @@
-"""From raw documents to packed training batches, in stages that each read the last one's Parquet table."""
+"""From raw documents to packed training batches, in stages that each read the last one's Parquet table.
+
+Defined cases, in every stage but the last: null ids are documents of their own, rows with one id are judged together where a
+decision is by id (near copies, contamination) and one by one elsewhere; null, empty and blank texts pass through; repeated rows
+each pass or go alike; ties go to the least id; other columns, whatever their names, pass through; an empty table gives an empty
+table.  The last stage packs every row that it gets, those without a text as one token.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, neardup, packing, quality, substrings
-from tessera.llm.common import stored
+from tessera.llm.common import discard, stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; a stage's table goes once the next one's is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stored(docs, f"stage-{name}")
+            if last is not None:
+                discard(last)
+            last = docs
     return docs
