@@ -57,12 +57,6 @@ def paired(df: DataFrame, by: list[str], id_col: str, seed: int = 42) -> DataFra
     return n.groupBy(*by, F.floor(F.col("_n") / 2).alias("pair")).agg(F.min_by(id_col, "_n").alias("a"), F.max_by(id_col, "_n").alias("b"), F.count(F.lit(1)).alias("_c")).where("_c = 2").drop("_c")
 
 
-def nearest_k(left: DataFrame, right: DataFrame, on: str, left_id: str, right_id: str, distance: Column, k: int) -> DataFrame:
-    """The ``k`` rows of ``right`` with the same ``on`` that are nearest by ``distance``."""
-    joined = left.join(right, on).withColumn("distance", F.round(distance, 6))
-    return first_n(joined, [left_id], ["distance", right_id], k)
-
-
 def nearest_in_plane(df: DataFrame, on: str, id_col: str, x: str, y: str, k: int) -> DataFrame:
     """(a, b, distance): the ``k`` other rows of each row's group that are nearest by |x| + |y| (to 6 digits), ties by id; ids are whole numbers.
 
@@ -107,10 +101,65 @@ def nearest_in_plane(df: DataFrame, on: str, id_col: str, x: str, y: str, k: int
     return told.groupBy(on).applyInArrow(lambda t: find(t), "a long, b long, distance double")
 
 
-def with_fallback(left: DataFrame, right: DataFrame, on: str, strict: Column, allowed: Column, left_id: str, order: list) -> DataFrame:
-    """The best row of ``right`` that is ``allowed`` (inequalities included), those that are ``strict`` too before all others."""
-    joined = left.join(right, on).where(allowed)
-    return joined.withColumn("_r", F.row_number().over(Window.partitionBy(left_id).orderBy(strict.desc(), *order))).where("_r = 1").drop("_r")
+def kernel(rows: list[tuple[tuple, tuple]], most: int) -> list[int]:
+    """Places of the rows (order, values to exclude by) that can be the first one left when each column excludes one value.
+
+    A row counts if some choice of one value for each of the columns excludes all counted rows before it but not itself; there are
+    at most C(2m, m) such rows for m columns, 2 for one and 6 for two, so ``most`` is only a stop for the search.
+    """
+    kept: list[int] = []
+    for k in sorted(range(len(rows)), key=lambda k: rows[k][0]):
+        own = rows[k][1]
+
+        def covers(left: list[int], free: tuple[int, ...]) -> bool:
+            if not left:
+                return True
+            first = rows[left[0]][1]
+            return any(first[c] != own[c] and covers([i for i in left[1:] if rows[i][1][c] != first[c]], tuple(x for x in free if x != c)) for c in free)
+
+        if covers(kept, tuple(range(len(own)))):
+            kept.append(k)
+            if len(kept) >= most:
+                break
+    return kept
+
+
+def pool_pick(left: DataFrame, pool: DataFrame, on: list[str], left_id: str, pool_id: str, exclude: list[tuple[str, str]], order: list[Column], prefer: tuple[str, str] | None = None) -> DataFrame:
+    """``left`` with the first row's ``pool_id`` of its group of the pool that differs from it in every pair of ``exclude`` (left's column, the pool's).
+
+    Groups have equal ``on``.  With ``prefer`` (left's column, the pool's) rows that are equal there go before all others.  Each
+    task reduces its part of a group to the few rows that can be picked at all (``kernel``), and these parts are
+    reduced again; so rows to pick from are a handful for each group, however large it is, and nothing is joined pair by pair.
+    """
+    from math import comb
+
+    most = comb(2 * len(exclude), len(exclude))
+    columns = [c for _, c in exclude]
+    place = F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.col(pool_id).alias("last"))
+    tiers = [on] if prefer is None else [[*on, prefer[1]], on]
+    out, picked = left, []
+    for t, keys in enumerate(tiers):
+        rows = pool.select(*keys, F.struct(place.alias("place"), F.struct(*[F.col(c).alias(f"x{k}") for k, c in enumerate(columns)]).alias("x")).alias("row"))
+        best = rows.groupBy(*keys, "row.x").agg(F.min("row").alias("row"))  # of rows with equal values to exclude by only the first can be picked
+        parts = best.groupBy(*keys, F.pmod(F.xxhash64("row"), F.lit(64)).alias("_part")).agg(F.collect_list("row").alias("rows"))
+
+        @F.pandas_udf("array<int>")
+        def chosen(batch):
+            import pandas as pd
+
+            plain = lambda v: tuple(v.values()) if isinstance(v, dict) else tuple(v)
+            return pd.Series([kernel([(plain(r["place"]), plain(r["x"])) for r in rows], most) for rows in batch])
+
+        reduce = lambda df: df.withColumn("rows", F.transform(chosen("rows"), lambda k: F.get(F.col("rows"), k)))  # noqa: B023, E731
+        first = reduce(parts).groupBy(*keys).agg(F.flatten(F.collect_list("rows")).alias("rows"))
+        last = reduce(first).select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(keys)], F.array_sort("rows").alias(f"_rows{t}"))
+        match = F.lit(True)
+        for k, c in enumerate(keys):
+            match = match & (F.col(prefer[0] if prefer and t == 0 and k == len(on) else c) == F.col(f"_k{k}"))
+        out = out.join(last, match, "left").drop(*[f"_k{k}" for k in range(len(keys))])
+        fits = lambda r: F.forall(F.array(*[~r["x"][f"x{k}"].eqNullSafe(F.col(c)) for k, (c, _) in enumerate(exclude)]), lambda b: b)
+        picked.append(F.get(F.filter(f"_rows{t}", fits), F.lit(0))["place"]["last"])
+    return out.withColumn(pool_id, F.coalesce(*picked)).drop(*[f"_rows{t}" for t in range(len(tiers))])
 
 
 def centroid_far(df: DataFrame, by: list[str], values: list[str], id_col: str) -> DataFrame:

@@ -72,23 +72,6 @@ def modal(df: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
     return counted.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_n").desc(), "_f", value))).where("_r = 1").select(*by, value)
 
 
-def truth_evidence(queries: DataFrame, truth: DataFrame, half: float = 30.0) -> DataFrame:
-    """Ground-truth segments of each query: its ids, else those around its time, else those of its song, else all of the episode.
-
-    ``queries``: query_id, episode_id, ids (array), time_ref, song.  The tier with the least number that finds any counts.
-    """
-    t = truth.withColumnRenamed("episode_id", "_e")
-    tier = (
-        F.when(F.array_contains(F.col("ids"), F.col("seg_id")), 0)
-        .when((F.col("end") > F.col("time_ref") - half) & (F.col("start") < F.col("time_ref") + half), 1)
-        .when(F.col("speaker") == F.format_string("SONG_%02d", F.col("song").cast("int")), 2)
-        .otherwise(3)
-    )
-    joined = queries.join(t, F.col("episode_id") == F.col("_e")).withColumn("tier", tier)
-    best = F.min("tier").over(Window.partitionBy("query_id"))
-    return joined.withColumn("_b", best).where("tier = _b").drop("_b", "_e")
-
-
 def change_points(windows: DataFrame, key: str, order: str, vector: str, threshold: float) -> DataFrame:
     """Segment numbers of ordered vectors: a new one begins where the cosine to the one before falls under ``threshold``.
 

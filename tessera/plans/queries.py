@@ -431,10 +431,20 @@ def knn_clip_all(spark, sf_dir):
 
 @query("clip_with_fallback", """WITH j AS (SELECT c.c_custkey, s.s_suppkey, (c.c_mktsegment = 'BUILDING') = (s.s_suppkey % 2 = 0) AS strict, s.s_acctbal FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey WHERE c.c_custkey % 100 <> s.s_suppkey) SELECT c_custkey, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY strict DESC, s_acctbal DESC, s_suppkey) AS r FROM j) WHERE r = 1""")
 def clip_with_fallback(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_mktsegment")
-    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
-    strict = (F.col("c_mktsegment") == "BUILDING") == (F.col("s_suppkey") % 2 == 0)
-    return sampling.with_fallback(c, s, "nation", strict, F.col("c_custkey") % 100 != F.col("s_suppkey"), "c_custkey", [F.col("s_acctbal").desc(), "s_suppkey"]).select("c_custkey", "s_suppkey")
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", (F.col("c_mktsegment") == "BUILDING").alias("even"), (F.col("c_custkey") % 100).alias("own"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal", (F.col("s_suppkey") % 2 == 0).alias("even_key"), F.col("s_suppkey").alias("not_own"))
+    picked = sampling.pool_pick(c, s, ["nation"], "c_custkey", "s_suppkey", [("own", "not_own")], [-F.col("s_acctbal")], ("even", "even_key"))
+    return picked.where("s_suppkey is not null").select("c_custkey", "s_suppkey")
+
+
+@query("clip_of_others", """WITH j AS (SELECT o.o_orderkey, s.event_id, s.value FROM orders o JOIN events s ON s.event_type = ['click', 'view', 'error', 'none'][1 + o.o_orderkey % 4] AND s.user_id <> o.o_custkey % 150 AND s.event_id % 7 <> o.o_orderkey % 7) SELECT o_orderkey, event_id FROM j QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY value DESC, event_id) = 1""")
+def clip_of_others(spark, sf_dir):
+    """For each order the best event of its kind that is of another user and of another seventh."""
+    k = F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders").select(k, F.element_at(F.array(*map(F.lit, ["click", "view", "error", "none"])), (k % 4 + 1).cast("int")).alias("event_type"), (F.col("o_custkey") % 150).alias("u"), (k % 7).alias("s"))
+    e = read(spark, sf_dir, "events").select("event_type", "event_id", "value", F.col("user_id").cast("long").alias("user"), (F.col("event_id") % 7).alias("seventh"))
+    picked = sampling.pool_pick(o, e, ["event_type"], "o_orderkey", "event_id", [("u", "user"), ("s", "seventh")], [-F.col("value")])
+    return picked.where("event_id is not null").select("o_orderkey", "event_id")
 
 
 @query("centroid_farthest", """WITH d AS (SELECT p_brand, p_partkey, round((p_size - avg(p_size) OVER w) ** 2 + (p_retailprice - avg(p_retailprice) OVER w) ** 2, 6) AS d FROM part WINDOW w AS (PARTITION BY p_brand)) SELECT p_brand, p_partkey, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY d DESC, p_partkey) AS r FROM d) WHERE r = 1""")

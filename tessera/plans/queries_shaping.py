@@ -94,17 +94,6 @@ def frames_to_seconds(spark, sf_dir):
     return events.frames_to_seconds(f, "user_id", 25.0, ["value"]).withColumn("value", F.round("value", 6))
 
 
-@query("truth_evidence_tiers_all", f"""WITH {POINTS_SQL}, {SQL_EV}, q AS (SELECT point_id AS query_id, episode_id, CASE WHEN point_id % 3 = 0 THEN ['ev_' || episode_id || '_0001'] END AS ids, CASE WHEN point_id % 3 = 1 THEN t END AS time_ref FROM pt p),
-j AS (SELECT query_id, seg_id, CASE WHEN list_contains(ids, seg_id) THEN 0 WHEN "end" > time_ref - 30 AND "start" < time_ref + 30 THEN 1 ELSE 3 END AS tier FROM q JOIN ev USING (episode_id)) SELECT query_id, seg_id, tier FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS b FROM j) WHERE tier = b""")
-def truth_evidence_tiers_all(spark, sf_dir):
-    return _tiers(spark, sf_dir, points_all(spark, sf_dir))
-
-
-def _tiers(spark: SparkSession, sf_dir: str, p: DataFrame) -> DataFrame:
-    q = p.select(F.col("point_id").alias("query_id"), "episode_id", F.when(F.col("point_id") % 3 == 0, F.array(F.format_string("ev_%d_0001", "episode_id"))).alias("ids"), F.when(F.col("point_id") % 3 == 1, F.col("t")).alias("time_ref"), F.lit(None).cast("int").alias("song"))
-    return shaping.truth_evidence(q, adapters.event_segments(spark, sf_dir)).select("query_id", "seg_id", "tier")
-
-
 @query("window_truth_distinct", f"""WITH {WINDOWS_SQL}, {SQL_EV} SELECT DISTINCT seg_id FROM ev JOIN win USING (episode_id) WHERE "end" > lo AND "start" < hi""")
 def window_truth_distinct(spark, sf_dir):
     return intervals.overlap_join(adapters.event_segments(spark, sf_dir), windows_of(spark, sf_dir), "episode_id").select("seg_id").distinct()

@@ -368,3 +368,19 @@ def test_ranks_of_many_and_of_large_groups(spark):
         g = None if k < 4000 else k % 300
         seen[g] = seen.get(g, 0) + 1
         assert got[k] == seen[g]
+
+
+def test_picks_from_a_pool_by_brute_force(spark):
+    import random
+
+    r = random.Random(7)
+    pool = [(k, r.choice("ab"), r.choice([1, 2, 3, None]), r.choice([7, 8, 9]), r.choice("mf"), r.randint(0, 20)) for k in range(120)]
+    left = [(k, r.choice("abc"), r.choice([1, 2, 3, 4, None]), r.choice([7, 8, 9, 10]), r.choice("mfx")) for k in range(150)]
+    p = spark.createDataFrame(pool, "pid long, g string, ep int, spk int, sex string, score int")
+    q = spark.createDataFrame(left, "lid long, g string, not_ep int, not_spk int, want string")
+    for prefer in (None, ("want", "sex")):
+        got = {x["lid"]: x["pid"] for x in sampling.pool_pick(q, p, ["g"], "lid", "pid", [("not_ep", "ep"), ("not_spk", "spk")], [-F.col("score")], prefer).collect()}
+        for lid, g, ep, spk, want in left:
+            fits = [x for x in pool if x[1] == g and x[2] != ep and x[3] != spk]
+            best = min(fits, key=lambda x: (prefer is not None and x[4] != want, -x[5], x[0]), default=None)
+            assert got[lid] == (best and best[0])
