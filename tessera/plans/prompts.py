@@ -30,8 +30,19 @@ def truth_block(segments: DataFrame, key: str, most: int = 3) -> DataFrame:
     return rows.select(key, F.concat(F.array_join(F.transform(F.slice("all", 1, most), lambda x: x["line"]), "\n"), more).alias("block"))
 
 
-def answer_prompts(queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    text = F.concat(F.lit("Question: "), F.col("query"), F.lit("\nEvidence:\n"), F.coalesce("block", F.lit("none")), F.lit("\nGive the answer, then Rationale: and the reason."))
+def plan_prompts(queries: DataFrame, task, modalities: tuple[str, ...]) -> DataFrame:
+    """(query_id, prompt): what a planner is asked: the task, what segments tell, the tools that are enabled, and the question."""
+    tools = "\n".join(f"- {name}: {what}" for name, what in task.tools.items() if name in modalities)
+    head = f"{task.description}\n{task.schema}\nTools:\n{tools}\nReply with JSON: a list of sets, each with localize and what to look for.\n"
+    note = F.coalesce(F.concat(F.col("note"), F.lit("\n")), F.lit("")) if "note" in queries.columns else F.lit("")
+    return queries.select("query_id", F.concat(F.lit(head), note, F.lit("Question: "), F.col("query")).alias("prompt"))
+
+
+def answer_prompts(queries: DataFrame, blocks: DataFrame, task=None) -> DataFrame:
+    """(query_id, prompt): the question and its evidence, behind lines (``guide``) that tell the sets' windows, where there are any."""
+    guide = F.when(F.coalesce("guide", F.lit("")) != "", F.concat(F.col("guide"), F.lit("\n\n"))).otherwise("") if "guide" in queries.columns else F.lit("")
+    head = F.lit(f"{task.description}\n{task.schema}\n" if task else "")
+    text = F.concat(head, F.lit("Question: "), F.col("query"), F.lit("\nEvidence:\n"), guide, F.coalesce("block", F.lit("none")), F.lit("\nGive the answer, then Rationale: and the reason."))
     return queries.join(blocks, "query_id", "left").select("query_id", text.alias("prompt"))
 
 

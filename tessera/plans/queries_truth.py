@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera import experts
+from tessera import agents, experts
 from tessera.plans import adapters, metrics, truth
 from tessera.plans.adapters import SQL_EV, read
 from tessera.plans.queries import query
@@ -203,3 +203,65 @@ def score_all(spark, sf_dir):
     plans = metrics.plan_hit_rate(retrieval.withColumnRenamed("hit_rate", "covered"), tools, kinds)
     out = truth.score_all(judged(spark, sf_dir), retrieval, plans)
     return out.select("query_id", "answer", "rationale", F.round("retrieval_hit_rate", 6).alias("retrieval_hit_rate"), F.round("plan_hit_rate", 6).alias("plan_hit_rate"))
+
+
+# -- agents
+
+
+def _planner():
+    """A stand-in: the plan that the question spells out, "from A to B minutes about WORD"."""
+    import json
+    import re
+
+    def plan(asked: list[str]) -> list[str]:
+        out = []
+        for p in asked:
+            m = re.search(r"from (\d+) to (\d+) minutes about (\w+)", p)
+            sets = [{"localize": f"{m[1]} to {m[2]} minutes", "time": True, "keyword": m[3]}, {"localize": "somewhere"}] if m else []
+            out.append(f"```json\n{json.dumps({'sets': sets})}\n```" if m else "no plan")
+        return out
+
+    return plan
+
+
+def _counting():
+    """A stand-in: how many lines of evidence there are."""
+    import re
+
+    return lambda asked: [f"Answer: {len(re.findall(r'(?m)^.[0-9.]+-[0-9.]+. ', p))}\nRationale: counted" for p in asked]
+
+
+def questions(spark, sf_dir) -> DataFrame:
+    k = F.col("o_orderkey")
+    said = F.concat(F.lit("what happens from "), k % 40000, F.lit(" to "), k % 40000 + 1500, F.lit(" minutes about "), F.when(k % 3 == 0, "k").otherwise("zz"))
+    return read(spark, sf_dir, "orders").select(k.alias("query_id"), (F.col("o_custkey") % 150).alias("episode_id"), F.when(k % 10 != 9, said).otherwise("tell me").alias("query"))
+
+
+@query("agent_answers", f"""WITH {SQL_EV}, q AS (SELECT o_orderkey AS query_id, o_custkey % 150 AS episode_id, o_orderkey % 40000 * 60 AS lo, (o_orderkey % 40000 + 1500) * 60 AS hi FROM orders WHERE o_orderkey % 10 <> 9), n AS (SELECT query_id, count(*) AS n FROM q JOIN ev USING (episode_id) WHERE "end" > lo AND "start" < hi GROUP BY 1)
+SELECT o_orderkey AS query_id, 'Answer: ' || least(4, coalesce(n, 0)) AS prediction, 'counted' AS rationale, least(4, coalesce(n, 0)) AS n_evidence FROM orders LEFT JOIN n ON n.query_id = o_orderkey""")
+def agent_answers(spark, sf_dir):
+    """Plans, retrieval and answers of all questions, by stand-ins."""
+    e, q = adapters.event_segments(spark, sf_dir), questions(spark, sf_dir)
+    plans = agents.planned(q, _planner, experts.TASKS["emotion"], agents.VARIANTS["text"])
+    return agents.answered(q, plans, e, _counting, experts.TASKS["emotion"], top_k=4)
+
+
+@query("oracle_answers", f"""WITH {SQL_TG}, {SQL_QU}, t AS (SELECT query_id, episode_id, trunc(coalesce(time_ref, 0))::BIGINT AS lo, trunc(coalesce(time_ref, 0) + 30)::BIGINT AS hi FROM qu WHERE jt = 'trend' AND query_id % 50 <> 6), n AS (SELECT query_id, count(*) AS n FROM t JOIN tg USING (episode_id) WHERE "end" > lo AND "start" < hi GROUP BY 1)
+SELECT query_id, 'Answer: ' || coalesce(n, 0) AS prediction, coalesce(n, 0) AS n_evidence FROM t LEFT JOIN n USING (query_id)""")
+def oracle_answers(spark, sf_dir):
+    """Questions about changes, answered with plans made from the truth."""
+    q = asked(spark, sf_dir).where("judge_type = 'trend' and task <> 'health'").withColumn("query", F.lit("how?"))
+    speakers = spark.createDataFrame([], "clip string, speaker string")
+    s = segments(spark, sf_dir)
+    return agents.oracle_answered(q, s, s, speakers, _counting, experts.TASKS["emotion"]).select("query_id", "prediction", "n_evidence")
+
+
+@query("agent_scores", f"""WITH {SCORES_SQL} SELECT query_id, answer, CASE WHEN query_id % 4 < 2 THEN 1 ELSE 0 END AS faithful FROM js""")
+def agent_scores(spark, sf_dir):
+    """Predictions judged for a task that hides speakers of a type."""
+    k = F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders")
+    q = o.select(k.alias("query_id"), F.when(k % 2 == 0, "locate_hard").otherwise("state").alias("query_type"), F.lit("which?").alias("query"), F.when(k % 7 != 0, F.concat(F.lit("word"), (k % 13).cast("string"))).alias("expected"), F.lit("fact").alias("summary"))
+    said = F.concat_ws(" ", F.when(k % 3 != 0, F.concat(F.lit("it is WORD"), (k % 13).cast("string"))).otherwise("nothing"), F.when(k % 4 < 2, "heard"))
+    p = o.select(k.alias("query_id"), said.alias("prediction"), F.lit("so").alias("rationale"), F.lit("heard").alias("block"))
+    return agents.judged(p, q, experts.stand_in_judge, experts.TASKS["emotion"]).select("query_id", "answer", "faithful")

@@ -188,6 +188,44 @@ def expand(node, environment: dict[str, str] | None = None):
     return re.sub(r"\$\{(\w+)\}", fill, node)
 
 
+def configuration(path: str, environment: dict[str, str] | None = None) -> dict:
+    """A configuration file with the environment filled in: YAML where a reader of it is installed, else JSON."""
+    content = Path(path).read_text(encoding="utf-8")
+    try:
+        import yaml
+    except ImportError:
+        import json
+
+        return expand(json.loads(content), environment)
+    return expand(yaml.safe_load(content), environment)
+
+
+def cached_vectors(path: str) -> dict[str, list[float]]:
+    """Vectors by name from an npz file, or from a JSON object; nothing if the file isn't there.  A cache of clips, small enough for the driver."""
+    import json
+
+    import numpy as np
+
+    if not Path(path).exists():
+        return {}
+    if path.endswith(".json"):
+        return json.loads(Path(path).read_text(encoding="utf-8"))
+    with np.load(path) as held:
+        return {k: held[k].astype(float).ravel().tolist() for k in held.files}
+
+
+def evidence_file(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, episode_id, gt_side, seg_ids) of evidence that was extracted before; of a query the last line counts."""
+    rows = jsonl(spark, path, "query_id bigint, episode_id string, gt_ev array<struct<seg_id:string>>, gt_side string").withColumn("_n", F.monotonically_increasing_id())
+    return keep_last(rows.where("query_id is not null"), "query_id", "_n").select("query_id", "episode_id", "gt_side", F.transform("gt_ev", lambda x: x["seg_id"]).alias("seg_ids"))
+
+
+def option_file(spark: SparkSession, path: str) -> DataFrame:
+    """(task, query_type, kind, choices) of a file of options: one JSON object, task to query type to options."""
+    rows = object_entries(spark, path, "map<string,struct<type:string,choices:array<string>>>")
+    return rows.select(F.col("key").alias("task"), F.explode("value").alias("query_type", "o")).select("task", "query_type", F.col("o.type").alias("kind"), F.coalesce("o.choices", F.array().cast("array<string>")).alias("choices"))
+
+
 def root(flag: str | None, variable: str, default: str | Path) -> Path:
     """A folder from a flag, else the environment, else a default."""
     return Path(flag or os.environ.get(variable) or default)

@@ -48,3 +48,23 @@ def with_ordinal(df: DataFrame, order: list[str], name: str, base: int = 0) -> D
 def by_episode(df: DataFrame, path: str, key: str = "episode_id", kind: str = "parquet", mode: str = "append") -> None:
     """A table partitioned by its key; ``dynamic`` overwrite of whole partitions makes runs repeatable."""
     df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(key).format(kind).save(path)
+
+
+def write_evidence(evidence: DataFrame, side: DataFrame, path: str) -> None:
+    """A file of JSON lines beside the scores: the truth segments of each query (query_id, episode_id, segment) and their text (query_id, gt_side)."""
+    held = [c for c in evidence.columns if c not in ("query_id", "episode_id")]
+    rows = evidence.groupBy("query_id", "episode_id").agg(F.sort_array(F.collect_list(F.struct(*held))).alias("gt_ev"))
+    rows.join(side.select("query_id", "gt_side"), "query_id", "left").write.mode("overwrite").json(path)
+
+
+def append_new(todo: DataFrame, path: str, key: str, make) -> int:
+    """Rows of ``todo`` whose key isn't in the JSON lines at ``path`` yet, made and appended; how many they were.  A run that was cut off goes on where it ended."""
+    from tessera.sources.readers import jsonl
+
+    spark = todo.sparkSession
+    done = jsonl(spark, path, f"{key} {dict(todo.dtypes)[key]}")
+    rest = resume(todo, done, key)
+    n = rest.count()
+    if n:
+        make(rest).write.mode("append").json(path)
+    return n

@@ -384,3 +384,40 @@ def test_picks_from_a_pool_by_brute_force(spark):
             fits = [x for x in pool if x[1] == g and x[2] != ep and x[3] != spk]
             best = min(fits, key=lambda x: (prefer is not None and x[4] != want, -x[5], x[0]), default=None)
             assert got[lid] == (best and best[0])
+
+
+def test_small_files(spark, tmp_path):
+    import numpy as np
+
+    (tmp_path / "c.json").write_text('{"a": "${X}/b", "n": 1}')
+    assert readers.configuration(str(tmp_path / "c.json"), {"X": "r"}) == {"a": "r/b", "n": 1}
+    with pytest.raises(KeyError):
+        readers.configuration(str(tmp_path / "c.json"), {})
+    np.savez(tmp_path / "v.npz", a=np.array([1.0, 2.0], np.float32))
+    (tmp_path / "v.json").write_text('{"a": [1, 2]}')
+    assert readers.cached_vectors(str(tmp_path / "v.npz")) == {"a": [1.0, 2.0]} and readers.cached_vectors(str(tmp_path / "v.json")) == {"a": [1, 2]} and readers.cached_vectors(str(tmp_path / "no.npz")) == {}
+    ev = spark.createDataFrame([(1, "e", "s2", 1.0), (1, "e", "s1", 0.0), (2, "e", "s9", 4.0)], "query_id long, episode_id string, seg_id string, start double")
+    sinks.write_evidence(ev, spark.createDataFrame([(1, "text")], "query_id long, gt_side string"), str(tmp_path / "ev"))
+    got = {r["query_id"]: (r["seg_ids"], r["gt_side"]) for r in readers.evidence_file(spark, str(tmp_path / "ev")).collect()}
+    assert got == {1: (["s1", "s2"], "text"), 2: (["s9"], None)}
+    (tmp_path / "o.json").write_text('{"music": {"default": {"type": "mcq", "choices": ["A", "B"]}}, "health": {"x": {"type": "text"}}}')
+    assert rows(readers.option_file(spark, str(tmp_path / "o.json")), "task", "query_type", "kind", "choices") == [("health", "x", "text", []), ("music", "default", "mcq", ["A", "B"])]
+    todo, out = spark.range(10).withColumnRenamed("id", "query_id"), str(tmp_path / "scores")
+    make = lambda df: df.withColumn("answer", F.lit(1))
+    assert sinks.append_new(todo.where("query_id < 4"), out, "query_id", make) == 4 and sinks.append_new(todo, out, "query_id", make) == 6 and sinks.append_new(todo, out, "query_id", make) == 0
+    assert spark.read.json(out).count() == 10
+
+
+def test_plans_of_models_and_hidden_speakers(spark):
+    from tessera import agents
+
+    q = spark.createDataFrame([(1, "e", "when?", "a clip")], "query_id long, episode_id string, query string, note string")
+    prompt = prompts.plan_prompts(q, experts.TASKS["health"], agents.VARIANTS["text"]).first()["prompt"]
+    assert "- keyword:" in prompt and "- text_emb:" not in prompt and prompt.endswith("a clip\nQuestion: when?")
+    plans = spark.createDataFrame([(1, "e", '{"sets": [{"localize": "never"}, {"localize": "10 sec to 20 sec"}]}'), (2, "e", "nonsense")], "query_id long, episode_id string, plan string")
+    none = spark.createDataFrame([], "episode_id string, speaker string, start double, end double")
+    assert rows(agents.plan_sets(plans, none), "query_id", "set_no", "lo", "hi") == [(1, 0, 10, 20)]
+    judge = lambda: lambda asked: [(f"Answer: {'YES' if 'Bob' in p else 'NO'}") for p in asked]
+    p = spark.createDataFrame([(1, "x", "y", "[1.0-2.0] Bob: hi"), (2, "x", "y", "[1.0-2.0] Bob: hi")], "query_id long, prediction string, rationale string, block string")
+    of = spark.createDataFrame([(1, "state", "q", "e", ""), (2, "locate_hard", "q", "e", "")], "query_id long, query_type string, query string, expected string, summary string")
+    assert rows(agents.judged(p, of, judge, experts.TASKS["emotion"]), "query_id", "faithful") == [(1, 1), (2, 0)]
