@@ -336,14 +336,14 @@ def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("scorecard_rows", f"""WITH {SQL_RP}, m AS (SELECT display, t, avg(answer) AS a, avg(rationale) AS r FROM rp GROUP BY 1, 2), w AS (SELECT display, max(a) FILTER (t = 'state') AS s, max(a) FILTER (t = 'locate') AS l, avg(a) AS v FROM m GROUP BY 1)
-SELECT display, round(s, 2) AS state_ans, l IS NULL AS no_locate, round(v, 2) AS avg_ans, row_number() OVER (ORDER BY (display LIKE '%(%')::INT, regexp_extract(display, '\\((.*)\\)', 1), CASE split_part(display, ' (', 1) WHEN 'text' THEN 0 WHEN 'emb' THEN 1 WHEN 'hybrid' THEN 2 ELSE 99 END, display) AS place FROM w""")
+SELECT display, round(s, 3) AS state_ans, l IS NULL AS no_locate, round(v, 3) AS avg_ans, row_number() OVER (ORDER BY (display LIKE '%(%')::INT, regexp_extract(display, '\\((.*)\\)', 1), CASE split_part(display, ' (', 1) WHEN 'text' THEN 0 WHEN 'emb' THEN 1 WHEN 'hybrid' THEN 2 ELSE 99 END, display) AS place FROM w""")
 def scorecard_rows(spark, sf_dir):
     """A scorecard written as tab-separated text and read again, in its order."""
     rows = reports.scorecard_rows(_reported(spark, sf_dir), ["state", "change", "locate"])
     path = _path(spark, "scorecard")
     reports.write_scorecard(rows, path)
     back = spark.read.option("header", "true").option("sep", "\t").csv(path).withColumn("place", F.monotonically_increasing_id() + 1)
-    number = lambda c: F.round(F.col(c).try_cast("double"), 2)
+    number = lambda c: F.round(F.col(c).try_cast("double"), 3)
     return back.select("display", number("state_ans").alias("state_ans"), (F.coalesce("locate_ans", F.lit("")) == "").alias("no_locate"), number("avg_ans").alias("avg_ans"), "place")
 
 
@@ -353,11 +353,11 @@ def score_lines(spark, sf_dir):
     return reports.table_lines(_reported(spark, sf_dir), ["state", "change", "locate"]).where("n < 2")
 
 
-@query("agreement_lines", f"""WITH {SQL_SC}, a AS (SELECT variant, count(*) AS n, avg(answer) AS x, avg(factual) AS y, avg(third) AS z FROM sc GROUP BY 1) SELECT variant, lpad(n::VARCHAR, 6, ' ') AS rows_, round(x, 2) AS first, round(z, 2) AS last FROM a""")
+@query("agreement_lines", f"""WITH {SQL_SC}, a AS (SELECT variant, count(*) AS n, avg(answer) AS x, avg(factual) AS y, avg(third) AS z FROM sc GROUP BY 1) SELECT variant, lpad(n::VARCHAR, 6, ' ') AS rows_, round(x, 3) AS first, round(z, 3) AS last FROM a""")
 def agreement_lines(spark, sf_dir):
     judges = ["answer", "factual", "third"]
     lines = reports.agreement_lines(metrics.agreement(adapters.scores(spark, sf_dir), judges, ["variant"]), judges, "variant").where("section = 'leniency'")
-    cell = lambda a, n: F.round(F.substring("line", a, n).cast("double"), 2)
+    cell = lambda a, n: F.round(F.substring("line", a, n).cast("double"), 3)
     return lines.select("variant", F.substring("line", 1, 6).alias("rows_"), cell(8, 8).alias("first"), cell(26, 8).alias("last"))
 
 
