@@ -9,6 +9,7 @@ from tessera import experts
 from tessera.functions import text, timeparse
 from tessera.operators import retrieval
 from tessera.plans import prompts, truth
+from tessera.session import stored
 
 #: The modalities that each kind of agent may use.
 VARIANTS = {"text": ("time", "label", "keyword"), "emb": ("time", "text_emb", "audio_emb", "domain_emb"), "hybrid": ("time", "label", "keyword", "text_emb", "audio_emb", "domain_emb")}
@@ -17,7 +18,8 @@ VARIANTS = {"text": ("time", "label", "keyword"), "emb": ("time", "text_emb", "a
 def planned(queries: DataFrame, model: experts.Maker, task: experts.Task, modalities: tuple[str, ...]) -> DataFrame:
     """(query_id, episode_id, plan): a model's plan for each query (query_id, episode_id, query, and note: what is known of its clips)."""
     asked = prompts.plan_prompts(queries, task, modalities)
-    return experts.batched(asked, model, "plan").select("query_id", "plan").join(queries.select("query_id", "episode_id"), "query_id")
+    replies = stored(experts.batched(asked, model, "plan").select("query_id", "plan"), "plans")  # a model is asked once
+    return replies.join(queries.select("query_id", "episode_id"), "query_id")
 
 
 def plan_sets(plans: DataFrame, segments: DataFrame) -> DataFrame:
@@ -51,12 +53,12 @@ def retrieved(sets: DataFrame, segments: DataFrame, vectors: dict[str, DataFrame
 
 def answered(queries: DataFrame, plans: DataFrame, segments: DataFrame, model: experts.Maker, task: experts.Task, modalities: tuple[str, ...] = VARIANTS["text"], vectors: dict[str, DataFrame] | None = None, references: dict[str, DataFrame] | None = None, top_k: int = 10) -> DataFrame:
     """(query_id, prediction, rationale, n_evidence): answers of a model that sees the evidence of the plans (query_id, episode_id, plan)."""
-    sets = plan_sets(plans, segments)
-    fused = retrieved(sets, segments, vectors, references, modalities, top_k)
+    sets = stored(plan_sets(plans, segments), "sets")
+    fused = stored(retrieved(sets, segments, vectors, references, modalities, top_k), "fused")
     blocks = prompts.evidence_blocks(retrieval.evidence(fused, segments))
     guides = sets.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("set_no", "localize"))), lambda x: x["localize"]).alias("l")).select("query_id", truth.set_guide(F.col("l")).alias("guide"))
     asked = prompts.answer_prompts(queries.join(guides, "query_id", "left"), blocks, task)
-    replies = experts.batched(asked, model).withColumn("_a", text.answer_split(F.col("reply")))
+    replies = stored(experts.batched(asked, model).select("query_id", "reply"), "replies").withColumn("_a", text.answer_split(F.col("reply")))
     counts = fused.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_evidence"))
     return replies.join(counts, "query_id", "left").select("query_id", F.col("_a.answer").alias("prediction"), F.col("_a.rationale").alias("rationale"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))
 
@@ -75,4 +77,4 @@ def judged(predictions: DataFrame, queries: DataFrame, judge: experts.Maker, tas
     shown = predictions.join(queries.select("query_id", "query_type"), "query_id", "left")
     bare = shown.withColumn("block", F.when(F.coalesce(hidden, F.lit(False)), F.regexp_replace("block", r"(?m)^(\[[^\]]*\]) [^:(]*", "$1 ")).otherwise(F.col("block"))).drop("query_type")
     table = truth.judge_table(bare, queries, F.lit(hears))
-    return truth.judged_scores(experts.batched(table, judge))
+    return truth.judged_scores(stored(experts.batched(table, judge).select("query_id", "kind", "reply"), "replies"))

@@ -39,35 +39,44 @@ def _scaled(number: Column, unit: Column) -> Column:
     return number.cast("double") * F.when(F.lower(F.substring(unit, 1, 1)) == "m", 60.0).otherwise(1.0)
 
 
+def facts(text: Column) -> Column:
+    """What the grammar's patterns find in a text: a struct that ``decided`` reads, so no pattern runs twice."""
+    of = lambda pattern, *groups: F.struct(*[F.regexp_extract(text, pattern, g).alias(f"g{g}") for g in groups])
+    return F.struct(text.rlike(FULL).alias("full"), text.rlike(SONG).alias("song"), _pairs(text, COMPOUND).alias("compound"), _pairs(text, CLOCK).alias("clock"), of(RANGE, 1, 2, 3, 4).alias("range"), of(POINT, 1, 2).alias("point"))
+
+
+def decided(f: Column, song: Column | None = None) -> Column:
+    """struct(lo, hi) in seconds from ``facts``, null where nothing matches."""
+    left, right, left_unit, right_unit = f["range"]["g1"], f["range"]["g3"], f["range"]["g2"], f["range"]["g4"]
+    found = F.when(f["full"], _window(*WHOLE))
+    if song is not None:
+        found = found.when(f["song"], _window(song["lo"], song["hi"]))
+    found = (
+        found.when(F.size(f["compound"]) > 0, _times_or_point(f["compound"]))
+        .when(F.size(f["clock"]) > 0, _times_or_point(f["clock"]))
+        .when(right != "", _window(_scaled(left, F.when(left_unit == "", right_unit).otherwise(left_unit)).cast("long"), _scaled(right, right_unit).cast("long")))
+        .when(f["point"]["g1"] != "", _around(_scaled(f["point"]["g1"], f["point"]["g2"]).cast("long")))
+    )
+    return F.when(found["lo"].isNotNull(), found)
+
+
 def localize(text: Column, song: Column | None = None) -> Column:
     """struct(lo, hi) in seconds, null where nothing matches.  ``song``: struct(lo, hi) of the song an ordinal names, null if unknown.
 
     The first rule that matches wins: whole recording, song ordinal (only with ``song``), minutes and seconds, clock times,
     range of one unit (not put in order), point.  Points get half a minute on each side, not before 0.
     """
-    compound, clock = _pairs(text, COMPOUND), _pairs(text, CLOCK)
-    part = lambda pattern, g: F.regexp_extract(text, pattern, g)
-    right_unit = part(RANGE, 4)
-    left_unit = F.when(part(RANGE, 2) == "", right_unit).otherwise(part(RANGE, 2))
-    found = F.when(text.rlike(FULL), _window(*WHOLE))
-    if song is not None:
-        found = found.when(text.rlike(SONG), _window(song["lo"], song["hi"]))
-    found = (
-        found.when(F.size(compound) > 0, _times_or_point(compound))
-        .when(F.size(clock) > 0, _times_or_point(clock))
-        .when(text.rlike(RANGE), _window(_scaled(part(RANGE, 1), left_unit).cast("long"), _scaled(part(RANGE, 3), right_unit).cast("long")))
-        .when(text.rlike(POINT), _around(_scaled(part(POINT, 1), part(POINT, 2)).cast("long")))
-    )
-    return F.when(found["lo"].isNotNull(), found)
+    return decided(facts(text), song)
 
 
 def localize_sets(plan_sets: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     """``plan_sets`` (with episode_id and localize) with lo and hi; sets that don't parse are dropped.  ``segments`` resolve song ordinals."""
     text = F.col("localize")
+    read = plan_sets.withColumn("_f", facts(text))
     if segments is None:
-        return plan_sets.withColumn("_w", localize(text)).where("_w is not null").select(*plan_sets.columns, "_w.lo", "_w.hi")
-    tagged = plan_sets.withColumn("_tag", F.when(text.rlike(SONG), F.format_string("SONG_%02d", F.regexp_extract(text, SONG, 1).cast("int"))))
+        return read.withColumn("_w", decided(F.col("_f"))).where("_w is not null").select(*plan_sets.columns, "_w.lo", "_w.hi")
+    tagged = read.withColumn("_tag", F.when(F.col("_f.song"), F.format_string("SONG_%02d", F.regexp_extract(text, SONG, 1).cast("int"))))
     songs = segments.where(F.col("speaker").startswith("SONG_")).groupBy(F.col("episode_id").alias("_ep"), F.col("speaker").alias("_spk")).agg(F.min(F.struct("start", "end")).alias("_s"))
     joined = tagged.join(songs, (F.col("episode_id") == F.col("_ep")) & (F.col("_tag") == F.col("_spk")), "left")
-    window = localize(text, F.struct(F.col("_s.start").cast("long").alias("lo"), F.col("_s.end").cast("long").alias("hi")))
+    window = decided(F.col("_f"), F.struct(F.col("_s.start").cast("long").alias("lo"), F.col("_s.end").cast("long").alias("hi")))
     return joined.withColumn("_w", window).where("_w.lo is not null").select(*plan_sets.columns, "_w.lo", "_w.hi")

@@ -27,13 +27,15 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, bucket: float | No
 
 
 def coverage(truth: DataFrame, windows: DataFrame, key: str = "episode_id", bucket: float | None = None) -> DataFrame:
-    """(key, covered): the share of a key's intervals that any window overlaps; 0 without windows."""
-    hit = overlap_join(truth, windows.select(key, "lo", "hi"), key, bucket).select(*truth.columns).distinct().withColumn("_hit", F.lit(1.0))
-    renamed = hit.select(*[F.col(c).alias(f"_{c}") for c in truth.columns], "_hit")
-    on = F.lit(True)
-    for c in truth.columns:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return truth.join(renamed, on, "left").groupBy(key).agg(F.avg(F.coalesce(F.col("_hit"), F.lit(0.0))).alias("covered"))
+    """(key, covered): the share of a key's intervals that any window overlaps; 0 without windows.  Equal rows of ``truth`` count each.
+
+    Different intervals are joined once and those that a window meets counted with their copies; no row is joined back.
+    """
+    copies = truth.groupBy(*truth.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    met = overlap_join(copies.where("start is not null and `end` is not null"), windows.select(key, "lo", "hi"), key, bucket)
+    hit = met.groupBy(*truth.columns).agg(F.max("_copies").alias("_hit")).groupBy(key).agg(F.sum("_hit").alias("_hits"))
+    every = truth.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_all"))
+    return every.join(hit, F.col("_key").eqNullSafe(F.col(key)), "left").select(F.col("_key").alias(key), (F.coalesce("_hits", F.lit(0)) / F.col("_all")).alias("covered"))
 
 
 def _starts(points: DataFrame, segments: DataFrame, key: str, order: str) -> DataFrame:
