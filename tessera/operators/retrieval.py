@@ -163,6 +163,6 @@ def parse_plans(plans: DataFrame, text_col: str = "plan") -> DataFrame:
 
 
 def active_tools(sets: DataFrame) -> DataFrame:
-    """(query_id, active): names of the plan's fields that are set (not null, false or empty) in any set."""
+    """(query_id, active): names of the plan's fields that are set (not null, false or empty) in any set; none is an empty list."""
     on = [F.when(F.coalesce(F.col("time"), F.lit(False)), F.lit("time"))] + [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.lit(c)) for c in MODALITIES if c != "time"]
-    return sets.select("query_id", F.explode(F.filter(F.array(*on), lambda x: x.isNotNull())).alias("tool")).groupBy("query_id").agg(F.sort_array(F.collect_set("tool")).alias("active"))
+    return sets.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.array(*on), lambda x: x.isNotNull()))))).alias("active"))

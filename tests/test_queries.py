@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import DATA, same_rows
-from tessera.plans import queries, queries_builders, queries_corpora, queries_shaping, queries_truth  # noqa: F401
+from tessera.plans import queries, queries_builders, queries_corpora, queries_functions, queries_shaping, queries_truth  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
