@@ -66,14 +66,16 @@ def flat_window(windows: DataFrame, excluded: DataFrame, keys: list[str], guard:
 
 
 def speaker_windows(segments: DataFrame, values: list[str], width: float = 60.0, step: float = 30.0, least: float = 10.0, spread: float = 0.1, key: str = "episode_id") -> DataFrame:
-    """Windows with two speakers or more of over ``least`` seconds whose means differ by over ``spread`` in the best dimension."""
+    """Windows with two speakers or more of over ``least`` seconds whose means differ by over ``spread`` in the best dimension; with ``spk_val``, each speaker's mean there."""
     span = segments.groupBy(key).agg(F.min("start").alias("start"), F.max("end").alias("end"))
     windows = sliding(span, width, step).select(key, "lo", "hi")
     pieces = overlap_join(segments, windows, key)
     by = pieces.groupBy(key, "lo", "hi", "speaker").agg(F.sum(overlap(F.col("start"), F.col("end"), F.col("lo"), F.col("hi"))).alias("covered"), *[F.avg(v).alias(v) for v in values]).where(F.col("covered") > least)
-    diffs = by.groupBy(key, "lo", "hi").agg(F.count(F.lit(1)).alias("speakers"), *[(F.max(v) - F.min(v)).alias(v) for v in values]).where("speakers >= 2")
+    spoken = [F.map_from_entries(F.collect_list(F.struct("speaker", F.round(v, 3).alias("v")))).alias(f"_of_{v}") for v in values]
+    diffs = by.groupBy(key, "lo", "hi").agg(F.count(F.lit(1)).alias("speakers"), *[(F.max(v) - F.min(v)).alias(v) for v in values], *spoken).where("speakers >= 2")
     best = F.array_max(F.array(*[F.struct(F.round(v, 6).alias("diff"), F.lit(-k).alias("k"), F.lit(v).alias("dim")) for k, v in enumerate(values)]))
-    return diffs.withColumn("_b", best).where(F.col("_b.diff") > spread).select(key, "lo", "hi", "speakers", F.col("_b.dim").alias("dim"), F.col("_b.diff").alias("diff"))
+    of = F.coalesce(*[F.when(F.col("_b.dim") == v, F.col(f"_of_{v}")) for v in values])
+    return diffs.withColumn("_b", best).where(F.col("_b.diff") > spread).select(key, "lo", "hi", "speakers", F.col("_b.dim").alias("dim"), F.col("_b.diff").alias("diff"), of.alias("spk_val"))
 
 
 def clusters(events: DataFrame, group: list[str], least: int = 3, within: int = 300, pad: float = 30.0) -> DataFrame:

@@ -14,7 +14,7 @@ PRIME, FACTOR = 1_000_003, 7919
 
 def draw(x: Column, seed: int = 42) -> Column:
     """A number for a whole-number id by integer arithmetic, the same in any engine."""
-    return F.pmod(x.cast("long") * FACTOR + F.lit(seed * 104_729), F.lit(PRIME))
+    return F.pmod(F.pmod(x.cast("long"), F.lit(PRIME)) * FACTOR + F.lit(seed * 104_729), F.lit(PRIME))
 
 
 def first_n(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import numbers, text
-from tessera.operators import builders, events, intervals, sampling, shaping
+from tessera import preparation
+from tessera.operators import builders, events, sampling
 from tessera.plans import adapters
 from tessera.plans.adapters import SQL_CV, SQL_EV, read
 from tessera.plans.queries import draw_sql, query
@@ -227,3 +227,34 @@ def spoken_trends(spark, sf_dir):
     from tessera.plans.queries import trends
 
     return events.spoken_trends(trends(spark, sf_dir).where("abs(delta) > 0.08"), adapters.event_segments(spark, sf_dir)).select("episode_id", F.round("lo", 3).alias("lo"), "speaker")
+
+
+def recordings(spark, sf_dir) -> preparation.Recordings:
+    """Events as an emotion corpus: labels, segments of four speakers, traces of two dimensions, clips of every speaker and emotion."""
+    st = labelled(spark, sf_dir)
+    e, o = adapters.event_segments(spark, sf_dir), F.col("ord")
+    part = lambda k: (o * k % 100) / F.lit(100.0)
+    labels = st.withColumn("votes", F.create_map(F.col("emo"), F.lit(2).cast("long"), F.lit("O"), F.lit(1).cast("long"))).withColumn("seg_text", F.lit("well, this is what they said to me then. yes"))
+    segments = e.select("episode_id", "start", "end", (o % 4).cast("string").alias("speaker"), "text", part(29).alias("valence"), part(13).alias("arousal"), part(53).alias("dominance"))
+    traces = e.select("episode_id", F.when(o % 2 == 0, "Valence").otherwise("Arousal").alias("dim"), F.col("start").alias("t"), (F.col("label_score") / 200).alias("value"))
+    bounds = e.groupBy("episode_id").agg(F.min("start").alias("conv_start"), F.max("end").alias("conv_end"))
+    clips = e.select(F.col("seg_id").alias("clip"), (o % 4).cast("string").alias("speaker"), "episode_id", F.col("label_score").alias("snr")).where("speaker <> '3'")
+    emotions = st.select(F.concat(F.lit("e"), "ord").alias("clip"), "emo", F.col("spk").alias("speaker"), "episode_id", "cf")
+    return preparation.Recordings(labels, segments, traces, bounds, clips, emotions)
+
+
+@query("prepared_queries")
+def prepared_queries(spark, sf_dir):
+    """An emotion corpus from labels and traces to numbered queries; no SQL for the whole, its steps have their own; tested for its rules."""
+    r = recordings(spark, sf_dir)
+    found = preparation.emotion_candidates(r, 259200.0, 86400.0, 172800.0, 86400.0, 90000.0, 3600.0)
+    return preparation.emotion_queries(r, found, 3)
+
+
+@query("prepared_pairs", """WITH s AS (SELECT o_custkey AS t, count(*) AS c FROM orders GROUP BY 1) SELECT t AS track, unnest(range(0, 3)) AS pair FROM s WHERE c >= 6 AND t % 2 = 0 UNION ALL SELECT t, unnest(range(0, 2)) FROM s WHERE c >= 6 AND t % 2 = 1""")
+def prepared_pairs(spark, sf_dir):
+    """Three pairs of each track with six songs; the third is by clip, which only every second track has."""
+    k = F.col("o_orderkey")
+    songs = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("track_name"), k.alias("song_id"), F.concat(F.lit("f"), k).alias("file_name"), (k % 997).cast("double").alias("start"), (k % 997 + 200).cast("double").alias("end"), (F.col("o_totalprice") / 100000).alias("mean"))
+    clips = songs.where("track_name % 2 = 0").select(F.col("track_name").alias("track"), "file_name", F.concat(F.lit("c"), "song_id").alias("name"))
+    return preparation.music_queries(songs, clips, 3).select("track", "pair")

@@ -421,3 +421,27 @@ def test_plans_of_models_and_hidden_speakers(spark):
     p = spark.createDataFrame([(1, "x", "y", "[1.0-2.0] Bob: hi"), (2, "x", "y", "[1.0-2.0] Bob: hi")], "query_id long, prediction string, rationale string, block string")
     of = spark.createDataFrame([(1, "state", "q", "e", ""), (2, "locate_hard", "q", "e", "")], "query_id long, query_type string, query string, expected string, summary string")
     assert rows(agents.judged(p, of, judge, experts.TASKS["emotion"]), "query_id", "faithful") == [(1, 1), (2, 0)]
+
+
+def test_prepared_queries_keep_their_rules(spark):
+    from conftest import DATA
+    from tessera.plans import queries_builders
+
+    r = queries_builders.recordings(spark, DATA)
+    got = queries_builders.prepared_queries(spark, DATA).collect()
+    assert got and sorted(x["query_id"] for x in got) == list(range(1, len(got) + 1))
+    speaker = {x["clip"]: (x["speaker"], x["episode_id"]) for x in r.speaker_clips.collect()}
+    emotion = {x["clip"]: x for x in r.emotion_clips.collect()}
+    per = {}
+    for x in got:
+        per[x["episode_id"], x["query_type"]] = per.get((x["episode_id"], x["query_type"]), 0) + 1
+        truth, judge = json.loads(x["ground_truth"]), json.loads(x["judge_info"])
+        assert "{" not in x["query"] and judge["type"] == {"state": "categorical", "change": "trend", "comparison": "speaker_id"}.get(x["query_type"], "time_and_quote")
+        for clip in (x["audio_spk"], x["audio_spk2"]):
+            assert clip is None or speaker[clip][1] != x["episode_id"]
+        assert (x["audio_spk"] is None) == (x["query_type"] == "locate_hard") and (x["audio_spk2"] is not None) == (x["query_type"] == "comparison")
+        if x["query_type"].startswith("locate"):
+            assert emotion[x["audio_emo"]]["emo"] == truth["emo"] not in ("N", "X") and emotion[x["audio_emo"]]["episode_id"] != x["episode_id"]
+        if x["query_type"] == "change":
+            assert truth["direction"] == ("none" if abs(truth["delta"]) <= 0.08 or truth["direction"] == "none" else "rising" if truth["delta"] > 0 else "falling")
+    assert max(per.values()) <= 3 and {k for _, k in per} >= {"state", "locate", "change", "comparison"}
