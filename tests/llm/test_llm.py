@@ -501,9 +501,9 @@ def test_boilerplate_equals_brute_force():
 
 def test_words_in_classes_mark_only_as_a_whole():
     article = lambda c: pagetext.blocks(f'<article><div class="{c}"><p>Text</p></div><p>More</p></article>')[0]
-    for kept in ("share-price", "related", "social", "search-results", "comment-free", "adventure", "notice", "widget", "header"):
+    for kept in ("share-price", "related", "social", "search-results", "comment-free", "notice-period", "adventure", "widget", "header"):
         assert article(kept) == ["Text", "More"], kept
-    for gone in ("ad", "x ads", "share-buttons", "cookie-notice", "site-footer", "sidebar-left", "comments", "newsletter-box", "menu_items"):
+    for gone in ("ad", "x ads", "share-buttons", "cookie-notice", "site-footer", "sidebar-left", "comments", "comment", "notice", "newsletter-box", "menu_items"):
         assert article(gone) == ["More"], gone
     assert pagetext.blocks("<article><p>a</p><button>b</button></article>")[0] == ["a", "b"]
 
