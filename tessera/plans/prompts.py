@@ -30,6 +30,18 @@ def truth_block(segments: DataFrame, key: str, most: int = 3) -> DataFrame:
     return rows.select(key, F.concat(F.array_join(F.transform(F.slice("all", 1, most), lambda x: x["line"]), "\n"), more).alias("block"))
 
 
+def emotion_line(s: Column) -> Column:
+    """What is known of a segment's emotion: class and vote shares, levels from 0 to 1, votes; '' for nothing.  ``s``: struct(primary, scores, valence, arousal, dominance, votes)."""
+    entries = lambda m, shown: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), shown(e["value"]))), ", ")
+    number = lambda x: F.when(x.isNotNull(), F.format_string("%.2f", x))
+    named = F.concat(F.lit("primary="), s["primary"])
+    shares = F.when(F.size(s["scores"]) > 0, F.concat(F.lit("["), entries(s["scores"], number), F.lit("]")))
+    levels = F.nullif(F.concat_ws(", ", *[F.concat(F.lit(f"{d}="), number(s[d])) for d in ("valence", "arousal", "dominance")]), F.lit(""))
+    votes = F.when(F.size(s["votes"]) > 0, entries(s["votes"], lambda v: v.cast("string")))
+    emotion = F.nullif(F.concat_ws(" ", named, shares), F.lit(""))
+    return F.concat_ws("\n", F.concat(F.lit("- emotion: "), emotion), F.concat(F.lit("- levels [0-1]: "), levels), F.concat(F.lit("- votes: "), votes))
+
+
 def plan_prompts(queries: DataFrame, task, modalities: tuple[str, ...]) -> DataFrame:
     """(query_id, prompt): what a planner is asked: the task, what segments tell, the tools that are enabled, and the question."""
     tools = "\n".join(f"- {name}: {what}" for name, what in task.tools.items() if name in modalities)

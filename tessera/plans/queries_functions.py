@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import agents
 from tessera.functions import numbers, text
-from tessera.operators import retrieval
-from tessera.plans import adapters, prompts
+from tessera.operators import events, retrieval
+from tessera.plans import adapters, prompts, reports
 from tessera.plans.adapters import SQL_CV, SQL_EV, read
-from tessera.plans.queries import SETS_SQL, TIME_SQL, query, sets_of
+from tessera.plans.queries import FUSE_SQL, SETS_SQL, TIME_SQL, VEC_SQL, query, sets_of, vector_sets_all
 from tessera.plans.queries_shaping import _arrived, _stream
 from tessera.session import shared_folder
 from tessera.sources import readers, sinks
@@ -146,6 +147,41 @@ def finite_levels(spark, sf_dir):
     return readers.finite(readers.jsonl(spark, path, "k bigint, x double"))
 
 
+@query("emotion_lines", """SELECT o_orderkey AS k, array_to_string(list_filter([CASE WHEN o_orderkey % 4 <> 0 THEN '- emotion: primary=H [A=0.25, H=0.75]' END, CASE WHEN o_orderkey % 3 = 0 THEN '- levels [0-1]: valence=0.50, dominance=0.' || 10 + o_orderkey % 80 END, CASE WHEN o_orderkey % 5 = 1 THEN '- votes: A=1, H=3' END], lambda x: x IS NOT NULL), chr(10)) AS line FROM orders""")
+def emotion_lines(spark, sf_dir):
+    k = F.col("o_orderkey")
+    m = lambda a, h, kind: F.create_map(F.lit("H"), F.lit(h).cast(kind), F.lit("A"), F.lit(a).cast(kind))
+    s = F.struct(F.when(k % 4 != 0, "H").alias("primary"), F.when(k % 4 != 0, m(0.25, 0.75, "double")).alias("scores"), F.when(k % 3 == 0, 0.5).alias("valence"), F.lit(None).cast("double").alias("arousal"), F.when(k % 3 == 0, (10 + k % 80) / F.lit(100.0)).alias("dominance"), F.when(k % 5 == 1, m(1, 3, "bigint")).alias("votes"))
+    return read(spark, sf_dir, "orders").select(k.alias("k"), s.alias("s")).select("k", prompts.emotion_line(F.col("s")).alias("line"))
+
+
+@query("active_shares", """SELECT user_id, round(avg((value > 50)::INT), 6) AS share FROM events GROUP BY 1""")
+def active_shares(spark, sf_dir):
+    return events.longest_runs(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("value") > 50).select("user_id", F.round("share", 6).alias("share"))
+
+
+@query("quality_csv", """SELECT p_partkey AS k, round(p_retailprice - 500 * (p_size % 3) - abs(p_size / 50.0::DOUBLE - 0.25) * 10, 4) AS score, CASE WHEN p_size % 3 = 2 THEN 'clipping' ELSE '' END AS reject FROM part""")
+def quality_csv(spark, sf_dir):
+    """Scores of clips by ratio, clipping and activity, written as CSV and read again."""
+    path = _path(spark, "quality")
+    score = F.col("p_retailprice") - 500 * (F.col("p_size") % 3) - F.abs(F.col("p_size") / 50 - 0.25) * 10
+    reports.write_quality(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.round(score, 4).alias("score"), F.when(F.col("p_size") % 3 == 2, "clipping").otherwise("").alias("reject")), path)
+    return spark.read.schema("k bigint, score double, reject string").option("header", "true").csv(path).withColumn("reject", F.coalesce("reject", F.lit("")))
+
+
+@query("reference_search", f"""WITH v AS ({VEC_SQL}), tv AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s6 DESC, ord) AS r FROM v WHERE query_id % 3 <> 0), av AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s6 DESC, ord) AS r FROM v WHERE ord % 2 = 0 AND query_id % 4 <> 0),
+h AS (SELECT query_id, set_no, seg_id, "start", "end", round(s6, 3) AS score, 'text_emb' AS source, 2 AS m, r AS o FROM tv WHERE r <= 5 UNION ALL SELECT query_id, set_no, seg_id, "start", "end", round(s6, 3), 'audio_emb', 4, r FROM av WHERE r <= 5), {FUSE_SQL.format(k=4)}""")
+def reference_search(spark, sf_dir):
+    """Sets that name a text and a clip, whose vectors come from tables of references; one that has none finds nothing."""
+    v = adapters.vectors(spark, sf_dir)
+    q = vector_sets_all(spark, sf_dir)
+    sets = q.withColumn("text_emb", F.concat(F.lit("t"), "query_id")).withColumn("audio_emb", F.lit("A")).drop("query_vector")
+    text_refs = q.where("query_id % 3 <> 0").select("query_id", F.concat(F.lit("t"), "query_id").alias("ref"), "query_vector")
+    clip_refs = q.where("query_id % 4 <> 0").select("query_id", F.lit("A").alias("ref"), "query_vector")
+    fused = agents.retrieved(sets, v, {"text_emb": v, "audio_emb": v.where("idx % 2 = 0")}, {"text_emb": text_refs, "audio_emb": clip_refs}, ("text_emb", "audio_emb"), 4)
+    return fused.select("query_id", "set_no", "seg_id", "fused", "rank")
+
+
 # -- streams
 
 

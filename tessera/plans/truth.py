@@ -190,7 +190,7 @@ def truth_summary(judge_info: Column, ground_truth: Column) -> Column:
     j, g = F.from_json(judge_info, RECORD), F.from_json(ground_truth, "mean_a double, mean_b double, winner string, delta double")
     emotion = lambda c: lookup(F.upper(c), EMOTION_NAMES, False)
     named = lambda c: F.coalesce(emotion(c), c)
-    number = lambda c: F.format_string("%.3f", c)
+    number = lambda c: F.when(c.isNotNull(), F.format_string("%.3f", c))
     speaker = F.concat(F.lit("GT: "), F.array_join(F.transform(F.array_sort(F.map_entries(j["spk_val"])), lambda e: F.concat(F.lit("Speaker "), e["key"], F.lit(" "), j["dim"], F.lit("="), number(e["value"]))), "  "), F.lit("; winner = Speaker "), F.coalesce(j["winner"], F.lit("?")))
     votes = F.when(F.size(j["votes"]) > 0, F.concat(F.lit("\n  annotator votes: "), _listed(j["votes"], named))).otherwise("")
     minority = F.when(F.size(j["secondary"]) > 0, F.concat(F.lit("\n  secondary (minority): "), _listed(j["secondary"], named))).otherwise("")
