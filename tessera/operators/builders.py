@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,14 +138,14 @@ def hard_clusters(events: DataFrame, key: str = "episode_id", span: float = CLUS
     group = [key, "spk", "emo"]
     sure = events.where((F.col("cf") >= 0.5) & ~F.col("emo").isin(NEUTRAL) & F.col("spk").isNotNull())
     order = Window.partitionBy(*group).orderBy("t0", "n")
-    # a member breaks the run of every begin that its end is too far from; the next such member limits the run
+    # a later event that ends beyond the span ends the run; one that begins beyond it does so anyway, so only those within the span are looked at
     rows = sure.withColumn("_i", F.row_number().over(order))
-    reach = rows.select(*group, F.col("_i").alias("_j"), "t1", "n", "act", "val", "dom")
-    ahead = rows.select(*group, "_i", "t0").join(reach.select(*group, "_j", F.col("t1").alias("_t1")), group).where("_j >= _i")
-    cut = ahead.where((F.col("_j") > F.col("_i")) & (F.col("_t1") - F.col("t0") > span)).groupBy(*group, "_i").agg(F.min("_j").alias("_end"))
-    sized = rows.select(*group, "_i", "t0").join(cut, [*group, "_i"], "left").join(rows.groupBy(*group).agg(F.max("_i").alias("_last")), group)
-    first = sized.withColumn("_end", F.coalesce("_end", F.col("_last") + 1)).where(F.col("_end") - F.col("_i") >= least)
+    span_ahead = Window.partitionBy(*group).orderBy("t0").rangeBetween(0, ceil(span))
+    near = rows.select(*group, "_i", "t0", F.collect_list(F.struct(F.col("_i").alias("j"), F.col("t1").alias("t"))).over(span_ahead).alias("_near"))
+    late = F.array_min(F.transform(F.filter("_near", lambda x: (x["j"] > F.col("_i")) & (x["t"] - F.col("t0") > span)), lambda x: x["j"]))
+    first = near.withColumn("_end", F.coalesce(late, F.array_max("_near.j") + 1)).where(F.col("_end") - F.col("_i") >= least)
     first = first.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("_i"))).where("_r = 1").select(*group, "_i", "_end", F.col("t0").alias("_begin"))
+    reach = rows.select(*group, F.col("_i").alias("_j"), "t1", "n", "act", "val", "dom")
     members = reach.join(first, group).where((F.col("_j") >= F.col("_i")) & (F.col("_j") < F.col("_end")))
     w = Window.partitionBy(*group)
     far = sum(((F.col(v) - F.avg(v).over(w)) ** 2 for v in ("act", "val", "dom")), F.lit(0.0))

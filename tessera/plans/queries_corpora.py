@@ -29,9 +29,9 @@ def _lines(rows: DataFrame, line: Column, order: list, name: str) -> str:
 
 def _object(rows: DataFrame, key: str, value: str, name: str) -> str:
     """(key, JSON value) rows as one JSON object in one file."""
-    first = F.row_number().over(Window.partitionBy("_one").orderBy(key)) == 1
-    entry = F.concat(F.when(F.col("_first"), "{").otherwise(","), F.to_json(F.struct(F.col(key).alias("k"))), F.col(value))
-    lines = rows.withColumn("_one", F.lit(1)).withColumn("_first", first).withColumn("_line", F.regexp_replace(entry, r'\{"k":("(?:[^"\\]|\\.)*")\}', "$1: ")).select(F.lit(0).alias("o"), F.col(key).alias("k"), "_line")
+    entry = F.concat(F.when(F.col(key) == F.col("_first"), "{").otherwise(","), F.to_json(F.struct(F.col(key).alias("k"))), F.col(value))
+    marked = rows.crossJoin(F.broadcast(rows.agg(F.min(key).alias("_first"))))  # one row
+    lines = marked.select(F.lit(0).alias("o"), F.col(key).alias("k"), F.regexp_replace(entry, r'\{"k":("(?:[^"\\]|\\.)*")\}', "$1: ").alias("_line"))
     end = rows.sparkSession.createDataFrame([(1, "", "}")], "o int, k string, _line string")
     return _lines(lines.unionByName(end), F.col("_line"), ["o", "k"], name)
 
@@ -91,8 +91,8 @@ def corpus_health(spark, sf_dir):
     k = F.col("p_partkey")
     truth = F.when(k % 3 == 0, "it is (a), sure").when(k % 3 == 1, "(b)").otherwise("none")
     items = read(spark, sf_dir, "part").select(F.concat(F.lit("id"), k).alias("id"), F.concat(F.lit("in/rec"), k, F.lit(".wav")).alias("audio_path"), F.lit("what?").alias("question"), F.array(F.concat(F.lit("(a) "), "p_brand"), F.concat(F.lit("(b) "), "p_type")).alias("options"), truth.alias("ground_truth"))
-    lines = items.select("id", F.to_json(F.struct("*")).alias("j")).withColumn("_first", F.row_number().over(Window.orderBy("id")) == 1)
-    listed = lines.select("id", F.concat(F.when(F.col("_first"), "[").otherwise(","), "j").alias("line"), F.lit(0).alias("o")).unionByName(spark.createDataFrame([("", "]", 1)], "id string, line string, o int"))
+    lines = items.select("id", F.to_json(F.struct("*")).alias("j")).crossJoin(F.broadcast(items.agg(F.min("id").alias("_first"))))  # one row
+    listed = lines.select("id", F.concat(F.when(F.col("id") == F.col("_first"), "[").otherwise(","), "j").alias("line"), F.lit(0).alias("o")).unionByName(spark.createDataFrame([("", "]", 1)], "id string, line string, o int"))
     path = _lines(listed, F.col("line"), ["o", "id"], "items")
     marks = _lines(items.where("cast(substring(id, 3) as int) % 4 = 0").select("id", F.concat(F.substring("audio_path", 4, 100), F.lit("    self, coughed    twice    [RES]")).alias("line")).unionByName(spark.createDataFrame([("", "a heading")], "id string, line string")), F.col("line"), ["id"], "marks")
     told = corpora.annotations(spark, marks).select(F.regexp_replace("file", r"\.wav$", "").alias("episode_id"), "annotation")
