@@ -10,9 +10,9 @@
   members of other components: each pair of different components has an outsider, so none is left out.  Equal buckets of
   several bands count once.  Outsiders are dealt to blocks and members to shares, both of bounded size, and compared there
   by the low bits of all their elements, which can't lose a link; what stays, hardly more than the links, comes out and is
-  verified.  Rows are members times blocks, and a bucket has one block for each ``PIVOTS`` outsiders (or ``ELEMENTS`` of
-  their elements): comparisons in a family of texts that are near each other but not linked grow with its square, that
-  is the price of losing no link, rows by a two-thousandth of it.
+  verified.  Rows are members times blocks (one for each ``PIVOTS`` outsiders, or ``ELEMENTS`` of their elements) and outsiders
+  times shares (one for each ``SHARE_ELEMENTS`` of the members' elements): comparisons in a family of texts that are near each
+  other but not linked grow with its square, that is the price of losing no link, rows by a thousandth of it or so.
 * Verification streams: a pivot's text travels once to each share of at most ``SHARE`` members, so a large group spreads.
 
 Two documents of similarity s agree on some band with probability 1 - (1 - s^rows)^bands: 0.999993 at 0.8.  Nothing after the
@@ -40,8 +40,8 @@ LOWER = bytes(i + 32 * (64 < i < 91) for i in range(256))
 BANDS, ROWS = 30, 5
 SHARE = 256
 BATCH = 400_000
-#: Outsiders of a bucket in a block, and elements that the outsiders of a block or the members of a share have, about.
-PIVOTS, ELEMENTS = 2048, 2_000_000
+#: Outsiders of a bucket in a block, and elements that the outsiders of a block and the members of a share have, about.
+PIVOTS, ELEMENTS, SHARE_ELEMENTS = 2048, 2_000_000, 100_000
 #: Elements of a set whose low 16 bits do.
 SMALL = 512
 
@@ -193,7 +193,7 @@ def _candidates(bucketed: DataFrame, found: DataFrame, texts: DataFrame, percent
     open_ = parts.groupBy("key").agg(F.max(F.struct("c", "comp", "e")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("size"), F.sum("e").alias("elements"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")).where("comps > 1")
     open_ = open_.groupBy("h1", "h2", "size", "top", "elements").agg(F.min("key").alias("key"))  # equal buckets count once
     blocks = F.greatest(F.ceil((F.col("size") - F.col("top.c")) / F.lit(PIVOTS)), F.ceil((F.col("elements") - F.col("top.e")) / F.lit(ELEMENTS)))
-    open_ = stored(open_.select("key", F.col("top.comp").alias("largest"), blocks.cast("long").alias("blocks"), F.ceil(F.col("elements") / F.lit(ELEMENTS)).cast("long").alias("shares")), "open")
+    open_ = stored(open_.select("key", F.col("top.comp").alias("largest"), blocks.cast("long").alias("blocks"), F.ceil(F.col("elements") / F.lit(SHARE_ELEMENTS)).cast("long").alias("shares")), "open")
     members = named.join(open_, "key").withColumn("outsider", F.col("comp") != F.col("largest"))
     known = members.join(texts.select("doc", "tk", "low"), ["doc", "tk"])
     own_block, own_share = F.expr("pmod(xxhash64(doc, tk, 1), blocks)").alias("block"), F.expr("pmod(xxhash64(doc, tk, 2), shares)").alias("share")
