@@ -66,26 +66,47 @@ class Features(dict):
     def __init__(self, weights: np.ndarray | None = None):
         super().__init__()
         self.telling = None if weights is None else frozenset(np.flatnonzero(weights).tolist())
-        self.limit = 150_000 if weights is None else 300_000
-        self.shared: dict[tuple, tuple] = {}  # most words have no feature of their own: they share one value
-
-    def kept(self, found: list[int]) -> tuple[int, ...]:
-        return tuple(found) if self.telling is None else tuple([x for x in found if x in self.telling])
+        self.limit = 150_000 if weights is None else 500_000
+        self.plain = ((), (), 0, 0, 0)  # most words have no feature that counts: they share one value
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.shared: dict[tuple, tuple] = {self.plain: self.plain}
+        self.begun: list[dict[bytes, int]] = [{}, {}, {}, {}]  # features of beginnings, -1 for those that don't count
+
+    def counts(self, name: bytes) -> int:
+        """The feature of a name, -1 if it doesn't count."""
+        k = hashed(name)
+        return k if self.telling is None or k in self.telling else -1
+
+    def beginning(self, place: int, mark: bytes, head: bytes) -> int:
+        known = self.begun[place]
+        if (k := known.get(head)) is None:
+            k = known[head] = self.counts(mark + head)
+        return k
 
     def __missing__(self, word: bytes) -> tuple[tuple[int, ...], tuple[int, ...], int, int, int]:
         if len(self) >= self.limit:
-            self.clear()
-            self.shared.clear()
+            self.empty()
         bare = word.translate(LOWER, MARKS)
-        marks = word.translate(None, OTHER)
-        named = [b"w" + bare] + [b"%d" % n + bare[:n] for n in (4, 5, 6, 8) if len(bare) >= n]
-        if marks and marks not in (b".", b","):
-            named.append(b"m" + marks)
-        if len(bare) > 1 and word.isupper():
-            named.append(b"U")
-        twice = self.kept([hashed(b"2" + bare[:6])]) if len(bare) >= 6 else ()
-        shapes = (len(bare) > 1 and word.isupper(), len(marks) > 1, not bare)
-        value = (self.kept([hashed(x) for x in named]), twice, *map(int, shapes))
+        found, twice, marked = [self.counts(b"w" + bare)], (), len(word) - len(bare)
+        if len(bare) >= 4:
+            found.append(self.beginning(0, b"4", bare[:4]))
+            if len(bare) >= 5:
+                found.append(self.beginning(1, b"5", bare[:5]))
+                if len(bare) >= 6:
+                    found.append(self.beginning(2, b"6", bare[:6]))
+                    if (k := self.beginning(3, b"2", bare[:6])) >= 0:
+                        twice = (k,)
+                    if len(bare) >= 8:
+                        found.append(self.counts(b"8" + bare[:8]))
+        if marked and (marks := word.translate(None, OTHER)) not in (b".", b","):
+            found.append(self.counts(b"m" + marks))
+        capitals = len(bare) > 1 and word.isupper()
+        if capitals:
+            found.append(self.counts(b"U"))
+        value = (tuple([x for x in found if x >= 0]), twice, int(capitals), int(marked > 1), int(not bare))
         self[word] = value = self.shared.setdefault(value, value) if self.telling is not None else value
         return value
 
@@ -99,8 +120,12 @@ def features(text: bytes | None, seen: Features) -> np.ndarray:
     found: set[int] = set()
     begun: set[int] = set()
     capitals = marked = bare = 0
+    plain = seen.plain
     for word, n in counted.items():
-        own, twice, a, b, c = seen[word]
+        value = seen[word]
+        if value is plain:
+            continue
+        own, twice, a, b, c = value
         found.update(own)
         for x in twice:
             if x in begun:
