@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, media, neardup, packing, pagetext, quality, substrings, tokencount, urls
+from tessera.llm import chat, decontaminate, media, neardup, packing, pagetext, quality, runs, substrings, tokencount, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).withColumn("kept", ~F.col("rejected"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(table(spark, sf_dir, "documents"))
+
+
 def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where all words of a benchmark item stand near each other in a document, in any order: the index's proximity matches."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), within=20)
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_page_text": op8_page_text,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
+    "op12_periodic_runs": op12_periodic_runs,
     "benchmark_proximity": benchmark_proximity,
     "reply_branches": reply_branches,
 }
@@ -154,3 +159,27 @@ p AS (SELECT conv_id, node AS leaf, node, parent, s, role, text FROM n WHERE NOT
 b AS (SELECT conv_id, leaf, min(node) AS top, avg(s) AS score, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY node) AS t FROM p GROUP BY 1, 2)
 SELECT conv_id, leaf::BIGINT AS leaf, n::BIGINT AS n_turns, sha256(t) AS turns_sha256 FROM b QUALIFY row_number() OVER (PARTITION BY conv_id, top ORDER BY score DESC, leaf) <= 2
 """
+
+#: One row: the unsigned crc32 of a number in decimal as a list function of its digits needs a table of 256 entries, made from the polynomial.
+CRC = """crc AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(list_concat([b], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(b)))"""
+CRC_OF = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)"""
+
+SQL["op12_periodic_runs"] = f"""
+WITH {CRC},
+o AS (SELECT doc_id, {CRC_OF} AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents, crc),
+s AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM o),
+p AS (SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM s),
+d AS (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_concat(w[1:a], list_transform(range(a, len(w)), lambda i: w[a + (i - a) % p + 1])) END AS w FROM p),
+x AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM x JOIN x y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+isle AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same),
+run AS (SELECT doc_id, min(i) AS s, count(*) + q AS l, q FROM isle GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS (SELECT doc_id, s, l, min(q) AS q FROM run GROUP BY doc_id, s, l),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+kept AS (SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY i)) AS h FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+told AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q)) AS h FROM r GROUP BY doc_id),
+best AS (SELECT doc_id, s, l, q FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l::DOUBLE / q DESC, s, q) = 1)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, q::BIGINT AS period, (1000 * l // q)::BIGINT AS exponent_milli,
+    coalesce(told.h, sha256('')) AS runs_sha256, coalesce(kept.h, sha256('')) AS collapsed_sha256, len(w)::BIGINT AS n_words
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
