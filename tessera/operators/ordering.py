@@ -14,7 +14,7 @@ def ranked(df: DataFrame, by: list[str], order: list, name: str, base: int = 1)
     Rows are range-partitioned by group and order and each partition ranks its own.  A partition holds an interval of that order,
     so only its first group can have rows in earlier partitions: the offsets that are sent to all are one row for each
     partition at most.  The placed rows are written once: bounds are sampled anew whenever a range partitioning is run, so
-    ranks and counts must come from one run.
+    ranks and counts must come from one run.  They are the result's ``made``: for ``discard`` once the result is stored itself.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = stored(df.repartitionByRange(n, *by, *order).withColumn("_p", F.spark_partition_id()), "placed")
@@ -26,4 +26,6 @@ def ranked(df: DataFrame, by: list[str], order: list, name: str, base: int = 1)
     on = F.col("_p") == F.col("_q")
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"_{b}_"))
-    return local.join(F.broadcast(same), on, "left").withColumn(name, (F.coalesce("_b", F.lit(0)) + F.col("_r") - 1 + base).cast("long")).drop("_p", "_q", "_r", "_b", *[f"_{b}_" for b in by])
+    out = local.join(F.broadcast(same), on, "left").withColumn(name, (F.coalesce("_b", F.lit(0)) + F.col("_r") - 1 + base).cast("long")).drop("_p", "_q", "_r", "_b", *[f"_{b}_" for b in by])
+    out.made = [placed]
+    return out
