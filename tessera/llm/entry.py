@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, media, neardup, packing, pagetext, quality, runs, substrings, tokencount, urls
+from tessera.llm import chat, decontaminate, media, merkle, neardup, packing, pagetext, quality, runs, substrings, tokencount, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
 def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where all words of a benchmark item stand near each other in a document, in any order: the index's proximity matches."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), within=20)
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "benchmark_proximity": benchmark_proximity,
     "reply_branches": reply_branches,
 }
@@ -183,3 +188,24 @@ SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::B
     coalesce(told.h, sha256('')) AS runs_sha256, coalesce(kept.h, sha256('')) AS collapsed_sha256, len(w)::BIGINT AS n_words
 FROM d LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+FIELDS = "{doc} || {source} || {lang} || {n} || {text}".format(**{k: f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')" for k, v in {"doc": "doc_id", "source": "source", "lang": "lang", "n": "N_CHARS", "text": "text"}.items()})
+
+SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE {CRC},
+l AS (SELECT doc_id, coalesce('=' || lang, '') AS k, sha256({FIELDS.replace("N_CHARS", "n_chars")}) AS leaf, sha256({FIELDS.replace("N_CHARS", "(n_chars + 1)")}) AS other, {CRC_OF} % 7 = 0 AS t FROM documents, crc),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM l),
+nodes(k, level, i, n, h) AS (SELECT k, 0, i, n, leaf FROM o
+    UNION ALL SELECT k, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY k, level, i // 2, n),
+sub AS (SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, i, n, h) AS (SELECT 0, i, n, subroot FROM sub
+    UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 2, n),
+f(doc_id, k, level, i, n, h, proof) AS (SELECT doc_id, k, 0, i, n, CASE WHEN t THEN coalesce(other, leaf) ELSE leaf END, '' FROM o
+    UNION ALL SELECT f.doc_id, f.k, f.level + 1, f.i // 2, (f.n + 1) // 2, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN f.i % 2 = 0 THEN f.h || s.h ELSE s.h || f.h END), f.proof || coalesce(s.h, '')
+    FROM f LEFT JOIN nodes s ON s.k = f.k AND s.level = f.level AND s.i = xor(f.i, 1) WHERE f.n > 1),
+g(doc_id, k, level, i, n, h, proof) AS (SELECT doc_id, f.k, 0, sub.i, sub.n, f.h, f.proof FROM f JOIN sub ON sub.k = f.k WHERE f.n = 1
+    UNION ALL SELECT g.doc_id, g.k, g.level + 1, g.i // 2, (g.n + 1) // 2, sha256(CASE WHEN s.h IS NULL THEN g.h WHEN g.i % 2 = 0 THEN g.h || s.h ELSE s.h || g.h END), g.proof || coalesce(s.h, '')
+    FROM g LEFT JOIN tops s ON s.level = g.level AND s.i = xor(g.i, 1) WHERE g.n > 1)
+SELECT o.doc_id, o.leaf, sub.subroot, tops.h AS root, sha256(g.proof) AS proof_sha256, g.h AS folded_root, g.h = tops.h AS verified
+FROM o JOIN sub ON sub.k = o.k JOIN g ON g.doc_id = o.doc_id AND g.n = 1 JOIN tops ON tops.n = 1
+"""
