@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import preparation
 from tessera.operators import builders, events, sampling
+from tessera.operators.nearest import nearest_points
 from tessera.plans import adapters
 from tessera.plans.adapters import SQL_CV, SQL_EV, read
 from tessera.plans.queries import draw_sql, query
@@ -235,14 +236,35 @@ def recordings(spark, sf_dir) -> preparation.Recordings:
     e, o = adapters.event_segments(spark, sf_dir), F.col("ord")
     part = lambda k: (o * k % 100) / F.lit(100.0)
     labels = st.withColumn("votes", F.create_map(F.col("emo"), F.lit(2).cast("long"), F.lit("O"), F.lit(1).cast("long"))).withColumn("seg_text", F.lit("well, this is what they said to me then. yes"))
-    segments = e.select("episode_id", "start", "end", (o % 4).cast("string").alias("speaker"), "text", part(29).alias("valence"), part(13).alias("arousal"), part(53).alias("dominance"))
+    labels = labels.withColumn("topic", F.element_at(F.array(F.lit("Old Money"), F.lit(""), F.lit("the NHS Budget")), (o % 3 + 1).cast("int")))
+    gender = F.when(o % 5 < 2, "female").otherwise("male")
+    segments = e.select("episode_id", "start", "end", (o % 4).cast("string").alias("speaker"), gender.alias("gender"), "text", part(29).alias("valence"), part(13).alias("arousal"), part(53).alias("dominance"))
     traces = e.select("episode_id", F.when(o % 2 == 0, "Valence").otherwise("Arousal").alias("dim"), F.col("start").alias("t"), (F.col("label_score") / 200).alias("value"))
     bounds = e.groupBy("episode_id").agg(F.min("start").alias("conv_start"), F.max("end").alias("conv_end"))
-    clips = e.select(F.col("seg_id").alias("clip"), (o % 4).cast("string").alias("speaker"), "episode_id", F.col("label_score").alias("snr")).where("speaker <> '3'")
-    emotions = st.select(F.concat(F.lit("e"), "ord").alias("clip"), "emo", F.col("spk").alias("speaker"), "episode_id", "cf")
+    clips = e.select(F.col("seg_id").alias("clip"), (o % 4).cast("string").alias("speaker"), gender.alias("gender"), "episode_id", F.col("label_score").alias("snr")).where("speaker <> '3'")
+    emotions = st.select(F.concat(F.lit("e"), "ord").alias("clip"), "emo", F.col("spk").alias("speaker"), "episode_id", "cf", "act", "val", "dom")
     return preparation.Recordings(labels, segments, traces, bounds, clips, emotions)
 
 
+#: Events as clips of an emotion with four levels between 0 and 1, a recording and a speaker; a third of them at a few places.
+SQL_PT = """pt AS (SELECT event_id AS id, event_type AS emo, user_id AS episode_id, event_id % 5 AS spk, event_id % 3 = 0 AS few, CASE WHEN few THEN event_id % 4 / 4.0::DOUBLE ELSE event_id * 7919 % 10007 / 10007.0::DOUBLE END AS cf,
+    CASE WHEN few THEN 0.5 ELSE event_id * 104729 % 9973 / 9973.0::DOUBLE END AS act, CASE WHEN few THEN 0.5 ELSE event_id * 15485863 % 9967 / 9967.0::DOUBLE END AS val, least(value, 100.0) / 100 AS dom FROM events)"""
+
+
+def clip_points(spark, sf_dir) -> DataFrame:
+    k = F.col("event_id")
+    level = lambda few, a, b: F.when(k % 3 == 0, few).otherwise(k * a % b / F.lit(float(b)))
+    return read(spark, sf_dir, "events").select(k.alias("id"), F.col("event_type").alias("emo"), F.col("user_id").alias("episode_id"), (k % 5).alias("spk"), level(k % 4 / F.lit(4.0), 7919, 10007).alias("cf"), level(F.lit(0.5), 104729, 9973).alias("act"), level(F.lit(0.5), 15485863, 9967).alias("val"), (F.least("value", F.lit(100.0)) / 100).alias("dom"))
+
+
+@query("nearest_clips", f"""WITH {SQL_PT}, d AS (SELECT a.id, b.id AS clip, round(abs(a.cf - b.cf) + sqrt((a.act - b.act) * (a.act - b.act) + (a.val - b.val) * (a.val - b.val) + (a.dom - b.dom) * (a.dom - b.dom)), 6) AS distance FROM pt a JOIN pt b ON a.emo = b.emo AND a.episode_id <> b.episode_id AND a.spk <> b.spk)
+SELECT id, clip, distance, row_number() OVER (PARTITION BY id ORDER BY distance, clip)::INT AS rank FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, clip) <= 3""")
+def nearest_clips(spark, sf_dir):
+    """For every event the three events of its kind, of other recordings and speakers, nearest in confidence and three levels."""
+    p = clip_points(spark, sf_dir)
+    return nearest_points(p, p.withColumnRenamed("id", "clip"), ["emo"], "id", "clip", ["cf", "act", "val", "dom"], [("episode_id", "episode_id"), ("spk", "spk")], 3)
+
+
 @query("prepared_queries")
 def prepared_queries(spark, sf_dir):
     """An emotion corpus from labels and traces to numbered queries; no SQL for the whole, its steps have their own; tested for its rules."""

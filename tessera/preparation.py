@@ -7,22 +7,25 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import builders, events, sampling
+from tessera.extraction import topic_phrase
+from tessera.operators import builders, events, sampling, shaping
+from tessera.operators.nearest import nearest_points
 from tessera.operators.ordering import ranked
 from tessera.session import stored
 
 #: Least change of a trend, least spread between speakers, padding around a compared window and least of it on a side.
 CHANGE, SPREAD, PADDING, LEAST_PADDING = 0.08, 0.10, 240, 10
-DETAILS = "emo string, cf double, votes map<string,bigint>, act double, val double, dom double, dim string, direction string, delta double, half1 double, half2 double, spk_val map<string,double>, val_diff double, spk string, n long, seg_text string"
+DETAILS = "emo string, cf double, votes map<string,bigint>, act double, val double, dom double, dim string, direction string, delta double, half1 double, half2 double, spk_val map<string,double>, val_diff double, spk string, n long, seg_text string, topic string"
 
 
 @dataclass
 class Recordings:
     """What an emotion corpus gives.
 
-    ``labels``: episode_id, n, t0, t1, spk, emo, cf, votes, act, val, dom, seg_text.  ``segments``: episode_id, start, end, speaker (a
-    number as text), text, valence, arousal, dominance.  ``traces``: episode_id, dim, t, value.  ``bounds``: episode_id,
-    conv_start, conv_end.  ``speaker_clips``: clip, speaker, episode_id, snr.  ``emotion_clips``: clip, emo, speaker, episode_id, cf.
+    ``labels``: episode_id, n, t0, t1, spk, emo, cf, votes, act, val, dom, seg_text, and topic (what a model says a segment is about) if
+    there are any.  ``segments``: episode_id, start, end, speaker (a number as text), gender, text, valence, arousal, dominance.
+    ``traces``: episode_id, dim, t, value.  ``bounds``: episode_id, conv_start, conv_end.  ``speaker_clips``: clip, speaker, gender,
+    episode_id, snr.  ``emotion_clips``: clip, emo, speaker, episode_id, cf, act, val, dom.
     """
 
     labels: DataFrame
@@ -63,12 +66,26 @@ def _flat(windows: DataFrame, taken: DataFrame, guard: float) -> DataFrame:
     return sampling.first_n(free, ["episode_id", "dim"], [F.round(F.abs("delta"), 9), "lo"], 1)
 
 
-def _with_clip(rows: DataFrame, clips: DataFrame, speaker: str, name: str, where) -> DataFrame:
-    """``rows`` with the clearest clip of a speaker from another episode; rows that ask for one and have none are left out."""
-    pool = clips.select(F.col("speaker").alias("_spk"), F.col("episode_id").alias("_ep"), F.col("clip").alias(name), "snr")
+def _with_clip(rows: DataFrame, clips: DataFrame, genders: DataFrame, speaker: str, name: str, where) -> DataFrame:
+    """``rows`` with the clearest clip of a speaker from another episode, of the gender that the speaker mostly has in this one if
+    there is such a clip; rows that ask for one and have none are left out."""
+    pool = clips.select(F.col("speaker").alias("_spk"), F.col("episode_id").alias("_ep"), F.col("gender").alias("_their"), F.col("clip").alias(name), "snr")
+    of = genders.select(F.col("episode_id").alias("_e"), F.col("speaker").alias("_s"), F.col("gender").alias("_gender"))
     asked = rows.withColumn("_spk", F.when(where, F.col(speaker)))
-    picked = sampling.pool_pick(asked, pool, ["_spk"], "cand_id", name, [("episode_id", "_ep")], [-F.col("snr")])
-    return picked.where(~where | F.col(name).isNotNull()).drop("_spk")
+    asked = asked.join(of, (F.col("episode_id") == F.col("_e")) & (F.col("_spk") == F.col("_s")), "left").drop("_e", "_s")
+    picked = sampling.pool_pick(asked, pool, ["_spk"], "cand_id", name, [("episode_id", "_ep")], [-F.col("snr")], ("_gender", "_their"))
+    return picked.where(~where | F.col(name).isNotNull()).drop("_spk", "_gender")
+
+
+def _with_nearest_clip(rows: DataFrame, clips: DataFrame, where, seed: int) -> DataFrame:
+    """``rows`` with one of the three clips of their emotion, of another episode and speaker, nearest in confidence and levels; drawn by the row."""
+    asked = rows.where(where)
+    pool = clips.select("emo", F.col("episode_id").alias("_ep"), F.col("speaker").alias("_who"), F.col("clip").alias("_clip"), F.coalesce("cf", F.lit(0.0)).alias("cf"), *[F.coalesce(c, F.lit(0.5)).alias(c) for c in ("act", "val", "dom")])
+    three = nearest_points(asked, pool, ["emo"], "cand_id", "_clip", ["cf", "act", "val", "dom"], [("episode_id", "_ep"), ("spk", "_who")], 3)
+    turn = F.pmod(sampling.draw(F.col("cand_id"), seed), F.count(F.lit(1)).over(Window.partitionBy("cand_id"))) + 1
+    one = three.withColumn("_turn", turn).where("rank = _turn").select(F.col("cand_id").alias("_id"), F.col("_clip").alias("_near"))
+    out = rows.join(one, where & (F.col("cand_id") == F.col("_id")), "left").withColumn("audio_emo", F.coalesce("_near", "audio_emo"))
+    return out.where(~where | F.col("_near").isNotNull()).drop("_id", "_near")
 
 
 def emotion_queries(r: Recordings, candidates: DataFrame, cap: int, seed: int = 42) -> DataFrame:
@@ -80,16 +97,19 @@ def emotion_queries(r: Recordings, candidates: DataFrame, cap: int, seed: int =
     none = lambda kind: F.lit(None).cast(kind)
     plain = chosen.join(grown, ["episode_id", "n"], "left").withColumn("target_t0", none("double")).withColumn("target_t1", none("double")).withColumn("n_events", none("long"))
     hard = sampling.first_n(builders.hard_clusters(r.labels.where("spk is not null")), ["episode_id"], ["t0", "emo", "spk"], builders.CLUSTERS)
-    target = r.labels.select("episode_id", F.col("n").alias("target_n"), F.col("t0").alias("target_t0"), F.col("t1").alias("target_t1"), "cf", "votes", "act", "val", "dom", "seg_text")
+    topics = ["topic"] if "topic" in r.labels.columns else []
+    target = r.labels.select("episode_id", F.col("n").alias("target_n"), F.col("t0").alias("target_t0"), F.col("t1").alias("target_t1"), "cf", "votes", "act", "val", "dom", "seg_text", *topics)
     clusters = _shaped(hard.join(target, ["episode_id", "target_n"]).withColumnRenamed("target_n", "n"), "cluster").join(hard.select("episode_id", F.col("target_n").alias("n"), "n_events"), ["episode_id", "n"]).join(target.select("episode_id", F.col("target_n").alias("n"), "target_t0", "target_t1"), ["episode_id", "n"])
     rows = plain.unionByName(clusters.withColumn("query_type", F.lit("locate_hard")), True)
-    rows = rows.withColumn("topic", F.lit("this topic")).withColumn("quote", F.when(F.coalesce("seg_text", F.lit("")) != "", _clause())).withColumn("pad_left", pad).withColumn("pad_right", F.lit(PADDING) - F.col("pad_left"))
+    rows = rows.withColumn("topic", topic_phrase(F.col("topic"))).withColumn("quote", F.when(F.coalesce("seg_text", F.lit("")) != "", _clause())).withColumn("pad_left", pad).withColumn("pad_right", F.lit(PADDING) - F.col("pad_left"))
     rows = rows.withColumn("_a", F.when(F.col("query_type") == "comparison", F.get(speakers, F.lit(0))).when(F.col("query_type") != "locate_hard", F.col("spk"))).withColumn("_b", F.when(F.col("query_type") == "comparison", F.get(speakers, F.lit(1))))
-    rows = _with_clip(rows, r.speaker_clips, "_a", "audio_spk", F.col("query_type") != "locate_hard")
-    rows = _with_clip(rows, r.speaker_clips, "_b", "audio_spk2", F.col("query_type") == "comparison")
-    placing = F.col("query_type").isin("locate", "locate_hard")
+    genders = stored(shaping.modal(r.segments.where("gender is not null"), ["episode_id", "speaker"], "gender", "start"), "genders")
+    rows = _with_clip(rows, r.speaker_clips, genders, "_a", "audio_spk", F.col("query_type") != "locate_hard")
+    rows = _with_clip(rows, r.speaker_clips, genders, "_b", "audio_spk2", F.col("query_type") == "comparison")
+    placing = F.col("query_type") == "locate"
     pool = r.emotion_clips.select(F.col("emo").alias("_emo"), F.col("episode_id").alias("_ep"), F.col("speaker").alias("_who"), F.col("clip").alias("audio_emo"), F.col("cf").alias("_cf"))
     rows = sampling.pool_pick(rows.withColumn("_emo", F.when(placing, F.col("emo"))), pool, ["_emo"], "cand_id", "audio_emo", [("episode_id", "_ep"), ("spk", "_who")], [-F.col("_cf")]).where(~placing | F.col("audio_emo").isNotNull())
+    rows = _with_nearest_clip(stored(rows, "clipped"), r.emotion_clips, F.col("query_type") == "locate_hard", seed)
     told = builders.emotion_queries(rows).select("episode_id", "query_type", "query", "time_ref", "topic", "audio_spk", "audio_spk2", "audio_emo", "ground_truth", "judge_info", "cand_id")
     return ranked(told, [], ["episode_id", "query_type", "time_ref", "cand_id"], "query_id").drop("cand_id")
 

@@ -430,7 +430,14 @@ def test_prepared_queries_keep_their_rules(spark):
     r = queries_builders.recordings(spark, DATA)
     got = queries_builders.prepared_queries(spark, DATA).collect()
     assert got and sorted(x["query_id"] for x in got) == list(range(1, len(got) + 1))
-    speaker = {x["clip"]: (x["speaker"], x["episode_id"]) for x in r.speaker_clips.collect()}
+    clips = r.speaker_clips.collect()
+    speaker = {x["clip"]: (x["speaker"], x["episode_id"], x["gender"]) for x in clips}
+    genders, seen = {}, {}
+    for x in sorted(r.segments.collect(), key=lambda x: x["start"]):
+        seen.setdefault((x["episode_id"], x["speaker"]), []).append(x["gender"])
+    for k, v in seen.items():
+        genders[k] = max(v, key=v.count)
+    labels = {(x["episode_id"], x["t0"], x["emo"]): x for x in r.labels.collect()}
     emotion = {x["clip"]: x for x in r.emotion_clips.collect()}
     per = {}
     for x in got:
@@ -438,10 +445,54 @@ def test_prepared_queries_keep_their_rules(spark):
         truth, judge = json.loads(x["ground_truth"]), json.loads(x["judge_info"])
         assert "{" not in x["query"] and judge["type"] == {"state": "categorical", "change": "trend", "comparison": "speaker_id"}.get(x["query_type"], "time_and_quote")
         for clip in (x["audio_spk"], x["audio_spk2"]):
-            assert clip is None or speaker[clip][1] != x["episode_id"]
+            if clip is not None:
+                who, where, gender = speaker[clip]
+                of = [c for c in clips if c["speaker"] == who and c["episode_id"] != x["episode_id"]]
+                alike = [c for c in of if c["gender"] == genders.get((x["episode_id"], who))]
+                assert where != x["episode_id"] and clip == min(alike or of, key=lambda c: (-c["snr"], c["clip"]))["clip"]
         assert (x["audio_spk"] is None) == (x["query_type"] == "locate_hard") and (x["audio_spk2"] is not None) == (x["query_type"] == "comparison")
         if x["query_type"].startswith("locate"):
+            own = labels[x["episode_id"], x["time_ref"], truth["emo"]]
+            others = [c for c in emotion.values() if c["emo"] == truth["emo"] and c["episode_id"] != x["episode_id"] and c["speaker"] != own["spk"]]
+            if x["query_type"] == "locate_hard":
+                far = lambda c: (round(abs(c["cf"] - own["cf"]) + sum((c[d] - own[d]) ** 2 for d in ("act", "val", "dom")) ** 0.5, 6), c["clip"])  # noqa: B023, E731
+                assert x["audio_emo"] in [c["clip"] for c in sorted(others, key=far)[:3]]
+            else:
+                assert x["audio_emo"] == min(others, key=lambda c: (-c["cf"], c["clip"]))["clip"]
+            assert x["topic"] == {"Old Money": "old money", "": "this topic", "the NHS Budget": "the NHS budget"}[own["topic"]]
             assert emotion[x["audio_emo"]]["emo"] == truth["emo"] not in ("N", "X") and emotion[x["audio_emo"]]["episode_id"] != x["episode_id"]
         if x["query_type"] == "change":
             assert truth["direction"] == ("none" if abs(truth["delta"]) <= 0.08 or truth["direction"] == "none" else "rising" if truth["delta"] > 0 else "falling")
     assert max(per.values()) <= 3 and {k for _, k in per} >= {"state", "locate", "change", "comparison"}
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_points_in_four_dimensions(spark, k):
+    import random
+
+    from tessera.operators.nearest import nearest_points, spare
+
+    r = random.Random(k)
+
+    def made(n, base):
+        out = []
+        for i in range(n):
+            kind = r.random()
+            p = [0.5] * 4 if kind < 0.2 else r.choices([0.1, 0.2], k=4) if kind < 0.4 else [round(0.3 + r.random() * 0.01, 5) for _ in range(4)] if kind < 0.6 else [r.random() for _ in range(4)]
+            out.append((base + i, r.choice("AB"), *p, r.randint(0, 5), r.choice([0, 1, 2, None])))
+        return out
+
+    names = "string, cf double, act double, val double, dom double, ep int, spk int"
+    t, p = made(70, 0), made(300, 1000) + [(5000, "A", None, 0.1, 0.1, 0.1, 1, 1), (5001, "C", 0.1, 0.1, 0.1, 0.1, 1, 1)]
+    t.append((99, "D", 0.5, 0.5, 0.5, 0.5, 1, 1))
+    left, right = spark.createDataFrame(t, f"id long, g {names}"), spark.createDataFrame(p, f"pid long, g {names}")
+    args = (["g"], "id", "pid", ["cf", "act", "val", "dom"], [("ep", "ep"), ("spk", "spk")], k)
+    got = {}
+    for x in nearest_points(left, right, *args).collect():
+        got.setdefault(x["id"], []).append((x["rank"], x["pid"], x["distance"]))
+    for a in t:
+        far = sorted((round(abs(a[2] - b[2]) + sum((a[j] - b[j]) ** 2 for j in (3, 4, 5)) ** 0.5, 6), b[0]) for b in p if b[1] == a[1] and b[2] is not None and a[6] != b[6] and (a[7] is None or a[7] != b[7]))
+        assert sorted(got.get(a[0], [])) == [(n + 1, i, d) for n, (d, i) in enumerate(far[:k])]
+    assert nearest_points(left.limit(0), right, *args).count() == nearest_points(left, right.limit(0), *args).count() == 0
+    same = spark.range(3000).select("id", F.lit(1).alias("g"), (F.col("id") % 7).alias("a"), (F.col("id") % 11).alias("b"))
+    assert spare(same, ["g"], ["a", "b"], ["id"], 3).count() <= 15
