@@ -82,7 +82,7 @@ def common_at_most(own: np.ndarray, others: list[np.ndarray], table: np.ndarray)
 
 
 def _sketch(size: int):
-    schema = pa.schema([("doc", pa.int64()), ("tk", pa.int32()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("tk", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def emit(ids: list, names: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         count = np.array([len(x) for x in sets], np.int64)
@@ -99,7 +99,7 @@ def _sketch(size: int):
                 keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
         offsets = np.concatenate(([0], np.cumsum(np.where(count > 0, BANDS, 0)))).astype(np.int32)
         bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(names, pa.int32()), pa.array(count), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), bands], schema=schema)
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(count), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), bands], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, ids, names, sets, total = Hashes(), [], [], [], 0
@@ -120,7 +120,7 @@ def _sketch(size: int):
 
 def _with_low(size: int):
     """Texts in buckets with the low bits of their sets."""
-    schema = pa.schema([("doc", pa.int64()), ("tk", pa.int32()), ("text", pa.binary()), ("low", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("tk", pa.int64()), ("text", pa.binary()), ("low", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Hashes()
@@ -133,7 +133,7 @@ def _with_low(size: int):
 
 def _compare(size: int, percent: int):
     """Rows sorted by pivot (a, ta) and share, the pivot's own row before its members': (a, ta, b, tb, linked) of each member."""
-    schema = pa.schema([("a", pa.int64()), ("ta", pa.int32()), ("b", pa.int64()), ("tb", pa.int32()), ("linked", pa.bool_())])
+    schema = pa.schema([("a", pa.int64()), ("ta", pa.int64()), ("b", pa.int64()), ("tb", pa.int64()), ("linked", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, at, own = Hashes(), None, None
@@ -153,7 +153,7 @@ def _compare(size: int, percent: int):
 
 def _alike(percent: int):
     """Rows sorted by key, block and share, the block's outsiders first: pairs of different components that may be linked, by their low bits."""
-    schema = pa.schema([("a", pa.int64()), ("ta", pa.int32()), ("b", pa.int64()), ("tb", pa.int32())])
+    schema = pa.schema([("a", pa.int64()), ("ta", pa.int64()), ("b", pa.int64()), ("tb", pa.int64())])
     numbers = ("key", "block", "share", "member", "doc", "tk", "n", "comp", "outsider")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def _candidates(bucketed: DataFrame, found: DataFrame, texts: DataFrame, percent
     places = F.explode(F.when(F.col("outsider"), F.concat(as_member, as_outsider)).otherwise(as_member)).alias("place")
     rows = known.select("key", "doc", "tk", F.col("n").cast("long").alias("n"), "comp", "outsider", "low", places).select("key", "place.*", "doc", "tk", "n", "comp", "outsider", "low")
     rows = rows.repartition(n, "key", "block", "share").sortWithinPartitions("key", "block", "share", "member")
-    pairs = stored(rows.mapInArrow(_alike(percent), "a long, ta int, b long, tb int").distinct(), "likely")
+    pairs = stored(rows.mapInArrow(_alike(percent), "a long, ta long, b long, tb long").distinct(), "likely")
     discard(named, open_)
     return pairs
 
@@ -214,17 +214,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     dealt = pairs.join(shares, ["a", "ta"]).select("a", "ta", "b", "tb", F.expr("pmod(xxhash64(b, tb), shares)").cast("long").alias("share"))
     texts = texts.select("doc", "tk", "text")
     members = dealt.join(texts, (F.col("b") == F.col("doc")) & (F.col("tb") == F.col("tk"))).select("a", "ta", "share", "b", "tb", "text")
-    pivots = shares.select("a", "ta", F.explode(F.expr("sequence(0L, shares - 1)")).alias("share")).join(texts, (F.col("a") == F.col("doc")) & (F.col("ta") == F.col("tk"))).select("a", "ta", "share", F.lit(None).cast("long").alias("b"), F.lit(None).cast("int").alias("tb"), "text")
+    pivots = shares.select("a", "ta", F.explode(F.expr("sequence(0L, shares - 1)")).alias("share")).join(texts, (F.col("a") == F.col("doc")) & (F.col("ta") == F.col("tk"))).select("a", "ta", "share", F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("tb"), "text")
     rows = members.unionByName(pivots).repartition(n, "a", "ta", "share").sortWithinPartitions("a", "ta", "share", F.col("b").asc_nulls_first())
-    out = stored(rows.mapInArrow(_compare(size, percent), "a long, ta int, b long, tb int, linked boolean"), "compared")
+    out = stored(rows.mapInArrow(_compare(size, percent), "a long, ta long, b long, tb long, linked boolean"), "compared")
     discard(shares)
     return out
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, n_shingles, component) of each row of ``docs``: linked where 100 x intersection >= ``percent`` x union."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("tk"), F.col(text_col).cast("binary").alias("text"))
-    sketch = stored(rows.mapInArrow(_sketch(size), "doc long, tk int, n long, s1 long, s2 long, bands array<long>"), "sketches")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("tk"), F.col(text_col).cast("binary").alias("text"))
+    sketch = stored(rows.mapInArrow(_sketch(size), "doc long, tk long, n long, s1 long, s2 long, bands array<long>"), "sketches")
     full = sketch.where("doc is not null and n > 0")
     classes = stored(full.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc", "tk", "bands")).alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
     several = classes.where("rows > 1").select("s1", "s2", "n", F.col("rep.doc").alias("b"))
@@ -235,7 +235,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
     degree = bucketed.groupBy("doc", "tk").agg(F.sum("c").alias("degree"))
     inside = degree.select("doc", "tk")
     known = rows.where("doc is not null").join(inside, ["doc", "tk"], "left_semi").groupBy("doc", "tk").agg(F.min("text").alias("text"))
-    texts = stored(known.select("doc", "tk", "text").mapInArrow(_with_low(size), "doc long, tk int, text binary, low binary"), "texts")
+    texts = stored(known.select("doc", "tk", "text").mapInArrow(_with_low(size), "doc long, tk long, text binary, low binary"), "texts")
     # first round: each text with the pivot that it shares most buckets with
     pivot = bucketed.join(degree, ["doc", "tk"]).groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc")).alias("minus"), "tk", "n")).alias("p"))
     pivot = stored(pivot.select("key", (-F.col("p.minus")).alias("a"), F.col("p.tk").alias("ta"), F.col("p.n").alias("pn")), "pivots")

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Hashes, discard, fresh, mix, partitions, stored, word_hashes, words
@@ -41,8 +41,9 @@ BATCH = 600_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _key(text: str):
-    return F.hash(F.col(text)).alias("key")
+def _key(text: Column) -> Column:
+    """The name of a text among those of its id: a cryptographic digest of 128 bits, since spans are cut by it."""
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str], make) -> Iterator[tuple[list, list, np.ndarray]]:
@@ -114,7 +115,7 @@ def _gathered(columns: list[np.ndarray], begin: np.ndarray) -> tuple[list[np.nda
     return [c[order][at] for c in columns], pa.ListArray.from_arrays(pa.array(np.append(at, len(begin)).astype(np.int32)), pa.array(begin[order].astype(np.int32)))
 
 
-STRETCHES = "anchor long, words_hash long, doc long, key int, count int, begins array<int>, repeated boolean, source boolean, border boolean, signal boolean"
+STRETCHES = "anchor long, words_hash long, doc long, key binary, count int, begins array<int>, repeated boolean, source boolean, border boolean, signal boolean"
 
 
 def _stretches(width: int):
@@ -138,23 +139,24 @@ def _stretches(width: int):
             sums, inverse = prefix_sums(tokens)
             content = span_hash(sums, inverse, begin, begin + size + (width - 1))
             at = row[begin]
-            (key_ids, doc_ids, size, content, anchor), begins = _gathered([np.array(key, np.int64)[at], np.array(doc, np.int64)[at], size, content, anchor[first]], place[begin])
+            (rows, size, content, anchor), begins = _gathered([at, size, content, anchor[first]], place[begin])
+            doc_ids, keys = np.array(doc, np.int64)[rows], pa.array(key, pa.binary()).take(pa.array(rows))
             least = _first_of_equal(anchor, content, doc_ids)
             border = _on_border(anchor, content, doc_ids)
             dealt = np.where(~least, mix(anchor + np.arange(len(anchor), dtype=np.uint64)), np.where(border, mix(anchor ^ content), anchor))
             no = np.zeros(len(anchor), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (dealt.view(np.int64), content.view(np.int64), doc_ids, key_ids.astype(np.int32), size.astype(np.int32))] + [begins] + [pa.array(x) for x in (~least, _copied(anchor, content, doc_ids, least), border, no)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (dealt.view(np.int64), content.view(np.int64), doc_ids)] + [keys, pa.array(size.astype(np.int32)), begins] + [pa.array(x) for x in (~least, _copied(anchor, content, doc_ids, least), border, no)], names=names)
             told = np.flatnonzero(border)
             told = told[np.unique(anchor[told], return_index=True)[1]]
             if len(told):
                 none = pa.array([[]] * len(told), pa.list_(pa.int32()))
                 yes, no = np.ones(len(told), bool), no[: len(told)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[told].view(np.int64), mix(content[told] ^ anchor[told]).view(np.int64), doc_ids[told], key_ids[told].astype(np.int32), size[told].astype(np.int32))] + [none] + [pa.array(x) for x in (no, no, yes, yes)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[told].view(np.int64), mix(content[told] ^ anchor[told]).view(np.int64), doc_ids[told])] + [keys.take(pa.array(told)), pa.array(size[told].astype(np.int32)), none] + [pa.array(x) for x in (no, no, yes, yes)], names=names)
 
     return run
 
 
-VERIFIED = "d1 long, d2 long, doc long, key int, n int, begins array<int>, repeated boolean"
+VERIFIED = "d1 long, d2 long, doc long, key binary, n int, begins array<int>, repeated boolean"
 
 
 def _digests(width: int):
@@ -184,19 +186,19 @@ def _digests(width: int):
             if not found:
                 continue
             both = np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
-            at = np.array(owner)
-            (n, key_ids, doc_ids, d2, d1), begins = _gathered([np.array(length), np.array(key, np.int64)[at], np.array(doc, np.int64)[at], both[:, 1], both[:, 0]], np.array(begin))
+            (n, rows, d2, d1), begins = _gathered([np.array(length), np.array(owner), both[:, 1], both[:, 0]], np.array(begin))
+            doc_ids, keys = np.array(doc, np.int64)[rows], pa.array(key, pa.binary()).take(pa.array(rows))
             least = _first_of_equal(d1, d2, doc_ids)
             d1 = np.where(least, d1, mix(d1 + np.arange(len(d1), dtype=np.uint64)))  # rows that are known to be repeated are scattered
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d1.view(np.int64), d2.view(np.int64), doc_ids, key_ids.astype(np.int32), n.astype(np.int32))] + [begins, pa.array(~least)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d1.view(np.int64), d2.view(np.int64), doc_ids)] + [keys, pa.array(n.astype(np.int32)), begins, pa.array(~least)], names=names)
 
     return run
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row per document with repeats: doc, key (a hash of the text), spans: array of begins and a length, in words."""
+    """One row per document with repeats: doc, key (a digest of the text), spans: array of begins and a length, in words."""
     n = partitions(docs.sparkSession)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), _key(text_col), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), _key(F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
     found = rows.mapInArrow(_stretches(width), STRETCHES).repartition(n, "anchor")
     same, near = Window.partitionBy("anchor", "words_hash"), Window.partitionBy("anchor")
     judged = (
@@ -230,7 +232,7 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the spans to cut, an array, null where there are none; and the new column's name."""
     doc, key, spans = (fresh(docs, x) for x in ("doc", "key", "spans"))
     found = repeated_spans(docs, id_col, text_col, width).select(F.col("doc").alias(doc), F.col("key").alias(key), F.col("spans").alias(spans))
-    return docs.join(found, (docs[id_col].cast("long") == found[doc]) & (F.hash(docs[text_col]) == found[key]), "left").drop(doc, key), spans
+    return docs.join(found, (docs[id_col].cast("long") == found[doc]) & (_key(docs[text_col]) == found[key]), "left").drop(doc, key), spans
 
 
 def cut(text: bytes, spans: list) -> bytes:
