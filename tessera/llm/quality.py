@@ -4,13 +4,13 @@ A document's grade is 0 (toxic), 1 (poor) or 2 (good).  One weight per hashed fe
 t0 < t1 give P(grade <= k) = sigmoid(t_k - s), so all grades share the weights.  Features are, over whole texts with A-Z in
 lower case: each word without its punctuation, its first letters, the marks in it, beginnings that different words share,
 and shares of the words that have a shape (again: equal to the one before; capitals; marked: two marks or more; bare: marks
-only), as steps.  Training: labelled documents joined to the texts, at most ``SAMPLE`` of them (those with the least hashes of
-their ids: the only bound here); the model goes out as an array of ``1 << BITS`` numbers.  Every document is scored.
+only), as steps.  Training: labelled documents joined to the texts, at most ``SAMPLE`` different ones with ``SAMPLE_BYTES`` of
+text (those with the least hashes of id and text: the only bounds here, on rows and bytes alike); the model goes out as an array of ``1 << BITS`` numbers.  Every document is scored.
 
 A document is rejected if P(grade <= 0) or P(grade <= 1) is above its limit.  Features that don't tell grades apart weigh
 nothing, so a long or a very short clean text isn't held against its document.  Defined cases: null and empty texts have no
 features and are kept with the score 0's grades; null ids or grades in labels are left out, of equal ids the least grade
-counts; rows with one id are each scored and all of them trained on; texts of any length work, in memory of a few times one
+counts; rows with one id are each scored, and each different text of them may be trained on; texts of any length work, in memory of a few times one
 text; an empty table gives an empty result; other columns, whatever their names, pass through (``accepted``) or don't matter;
 without any labels all documents are kept.
 """
@@ -27,13 +27,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh
 
 BITS = 18
-SAMPLE = 12_000
+#: Different graded texts that are fitted, and bytes of them.
+SAMPLE, SAMPLE_BYTES = 12_000, 256_000_000
 #: Steps of gradient descent, and the weight decay.
 STEPS, RATE, DECAY = 300, 0.05, 1e-5
 #: Least chi-square of a feature that gets a weight.
@@ -211,8 +212,17 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.alias("grade")).dropna().groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
 
 
+def _sample(rows: DataFrame, grades: DataFrame, sample: int, most: int = SAMPLE_BYTES) -> DataFrame:
+    """(id, of, grade) of at most ``sample`` different graded texts of ``rows`` (id, of, text) and ``most`` bytes of text, by hashes of id and text."""
+    ids = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("id"), "grade")
+    order = [F.xxhash64("id"), "id", "of"]
+    some = rows.join(F.broadcast(ids), "id").groupBy("id", "of").agg(F.first("grade").alias("grade"), F.first(F.octet_length("text")).alias("size")).orderBy(*order).limit(sample)
+    sizes = F.sum(F.coalesce("size", F.lit(0))).over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over the sample alone
+    return some.withColumn("until", sizes).where(F.col("until") <= most).select("id", "of", "grade")
+
+
 def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model of the graded documents, or of ``sample`` of them.  The sample's ids are broadcast; its features reach the driver."""
+    """A model of the graded documents, or of ``sample`` of them.  The sample's names are broadcast; its features reach the driver."""
     schema = pa.schema([("grade", pa.int32()), ("found", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,9 +230,9 @@ def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, id_col: str
         for batch in batches:
             yield pa.record_batch([batch.column("grade"), pa.array([features(x.as_py(), seen) for x in batch.column("text")], pa.list_(pa.int32()))], schema=schema)
 
-    chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias(id_col), "grade")
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"))
-    got = rows.join(F.broadcast(chosen), id_col).select("grade", "text").mapInArrow(run, "grade int, found array<int>").toArrow()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("of"), F.col(text_col).cast("binary").alias("text"))
+    got = rows.join(F.broadcast(_sample(rows, grades, sample)), ["id", "of"]).groupBy("id", "of").agg(F.first("grade").alias("grade"), F.first("text").alias("text"))
+    got = got.select("grade", "text").mapInArrow(run, "grade int, found array<int>").toArrow()
     found = got["found"].combine_chunks()
     ends = found.offsets.to_numpy().astype(np.int64)
     return Model.fit(found.values.to_numpy()[ends[0] : ends[-1]] if got.num_rows else np.zeros(0, np.int32), np.diff(ends), got["grade"].to_numpy().astype(np.int64))
