@@ -17,13 +17,16 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tessera.llm.common import stored
 
 WIDTH = 192
 #: Bytes of payloads that are worked on at once, about.
@@ -199,43 +202,54 @@ def wave_hash(image: np.ndarray) -> str:
     return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
 
 
+def bounded(batches: Iterator[pa.RecordBatch], sizes: Callable[[pa.RecordBatch], list[int | None]]) -> Iterator[pa.Table]:
+    """Rows of about ``BATCH`` bytes at a time, by the sizes of each batch's rows."""
+    held, size = [], 0
+    for batch in batches:
+        at = 0
+        for k, n in enumerate(sizes(batch)):
+            size += (n or 0) + WIDTH
+            if size >= BATCH:
+                yield pa.Table.from_batches([*held, batch.slice(at, k + 1 - at)]).combine_chunks()
+                held, size, at = [], 0, k + 1
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, media): each text's payload as a PNG in a binary column."""
+    """(id, n_bytes, media): each text's size and its payload as a PNG in a binary column."""
+    kind = docs.select(id_col).schema[0]
 
-    @F.pandas_udf("binary")
-    def to_png(text):
-        return pd.Series(encode_many([padded(bytes(x) if x is not None else None) for x in text]) if len(text) else [], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in bounded(batches, lambda b: pc.binary_length(b.column(1)).to_pylist()):
+            raws = rows.column(1).to_pylist()
+            made = [pa.array([len(x or b"") for x in raws], pa.int64()), pa.array(encode_many([padded(x) for x in raws]), pa.binary())]
+            yield from pa.table([rows.column(0), *made], names=[id_col, "n_bytes", "media"]).to_batches()
 
-    return docs.select(F.col(id_col), to_png(F.col(text_col).cast("binary")).alias("media"))
+    return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("payload")).mapInArrow(run, StructType([kind]).add("n_bytes", "long").add("media", "binary"))
 
 
 RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: what reading its image back gives."""
+def read_back(media: DataFrame) -> DataFrame:
+    """What reading each image of (doc_id, n_bytes, media) gives."""
     kinds = {"long": pa.int64(), "string": pa.string()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in RESULT.split(", ")])
 
-    def told(ids: list, raws: list[bytes]) -> pa.RecordBatch:
-        files = encode_many([padded(x) for x in raws])
-        out = []
-        for doc, raw, media, image in zip(ids, raws, files, decode_many(files), strict=True):
-            payload = image.tobytes()
-            out.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), wave_hash(image)))
-        return pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, raws, size = [], [], 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(doc)
-                raws.append(text.as_py() or b"")
-                size += len(raws[-1]) + WIDTH
-                if size >= BATCH:
-                    yield told(ids, raws)
-                    ids, raws, size = [], [], 0
-        if ids:
-            yield told(ids, raws)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, RESULT)
+        for rows in bounded(batches, lambda b: b.column("n_bytes").to_pylist()):
+            out, files = [], rows.column("media").to_pylist()
+            for doc, n, file, image in zip(rows.column("doc_id").to_pylist(), rows.column("n_bytes").to_pylist(), files, decode_many(files), strict=True):
+                payload = image.tobytes()
+                out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(), wave_hash(image)))
+            yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, RESULT)
+
+
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: what reading its image back gives.  The images are written as a binary column and read from there."""
+    return read_back(stored(encoded(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text"), "media"))
