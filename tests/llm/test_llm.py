@@ -713,3 +713,50 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
 
 def test_shared_folder_is_asked_for(spark):
     assert common.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+# -- names of texts, class words, the sample of the classifier, stored media
+
+
+def test_texts_of_an_id_whose_short_hashes_collide(spark):
+    many = spark.range(500_000).select(F.concat(F.array_join(F.sequence(F.lit(1), F.lit(60)), " x"), F.lit(" end"), "id").alias("text")).withColumn("h", F.hash("text"))
+    twin = many.groupBy("h").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    other = " ".join(f"y{k}" for k in range(60))
+    for a, b in ((twin["a"], twin["b"]), (twin["b"], twin["a"])):
+        # the first words are in document 1, the last window of b starts nowhere else
+        rows = [(1, a), (2, a), (2, b + " " + other), (2, b), (3, b), (3, other)]
+        got = sorted((tuple(r) for r in substrings.digest(frame(spark, rows)).collect()), key=str)
+        assert got == sorted(removed(rows, 50), key=str)
+    near = [(1, a), (5, a + " z"), (5, b), (7, b)]
+    assert {(r["doc_id"], r["component_id"]) for r in neardup.digest(frame(spark, near)).collect()} == {(1, 1), (5, 1), (7, 1)}
+
+
+@pytest.mark.parametrize("name", "reader-comments user-comments article-comments blog-comments post-comments comment-thread commentList google-ads sticky-ad adBanner sidebarRight email-signup post-footer article-footer".split())
+def test_marked_class_inside_an_article(name):
+    assert pagetext.parsed(f"<article><p>kept</p><div class='x {name}'>gone<p>gone too</p></div><p>end</p></article>")[0] == ["kept", "end"]
+
+
+@pytest.mark.parametrize("name", "share-price comment-free notice-period ad-free has-sidebar no-comments article-body adhoc address headline commentary broadcast loadMore".split())
+def test_unmarked_class_inside_an_article(name):
+    assert pagetext.parsed(f"<article><div class='{name}'>kept</div></article>")[0] == ["kept"]
+
+
+def test_labels_outside_of_forms_go():
+    assert pagetext.parsed("<article><p>kept</p><label for=a>Your name</label><p>end</p></article>")[0] == ["kept", "end"]
+
+
+def test_sample_of_the_classifier_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(k % 2, f"word{k} and more") for k in range(500)] + [(0, "word0 and more")] * 50 + [(9, None)], "id long, text string").withColumn("of", F.xxhash64("text"))
+    grades = spark.createDataFrame([(0, 1), (1, 2), (9, 0)], "doc_id long, grade int")
+    size = lambda sample, most: docs.join(quality._sample(docs, grades, sample, most), ["id", "of"]).groupBy("id", "of").count().count()
+    assert size(2, 10**9) == 2 and size(100, 10**9) == 100 and size(10**6, 10**9) == 501 and 0 < size(10**6, 300) < 25
+    model = quality.train(docs.select(F.col("id").alias("doc_id"), "text"), grades, 40)
+    assert np.isfinite(model.thresholds).all()
+
+
+def test_media_are_read_from_the_stored_column(spark):
+    rows = [(k, "ab é " * (k * 37 % 400)) for k in range(60)] + [(None, None), (7, "x" * 600_000), (7, "")]
+    stored = common.stored(media.encoded(frame(spark, rows, True)), "media-test")
+    assert dict(stored.dtypes)["media"] == "binary" and stored.count() == len(rows)
+    assert sorted(map(str, media.read_back(stored).collect())) == sorted(map(str, media.digest(frame(spark, rows)).collect()))
+    assert {(r["doc_id"], r["payload_sha256"]) for r in media.read_back(stored).collect()} == {(k, hashlib.sha256(media.padded((t or "").encode())).hexdigest()) for k, t in rows}
