@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import overlap
 from tessera.operators.intervals import overlap_join, sliding
+from tessera.operators.scan import Line, Running
 
 
 def dominant_speaker(windows: DataFrame, segments: DataFrame, threshold: float, key: str = "episode_id") -> DataFrame:
@@ -90,25 +91,28 @@ def clusters(events: DataFrame, group: list[str], least: int = 3, within: int =
 
 
 def neighbour_bounds(events: DataFrame, group: list[str], sources: DataFrame | None = None) -> DataFrame:
-    """For each event the latest end before its start, and the earliest start from its end on, of ``sources`` (the events themselves) in its group."""
-    w = Window.partitionBy(*group)
+    """For each event the latest end before its start, and the earliest start from its end on, of ``sources`` (the events themselves) in its group.
+
+    Ends and starts stand on one line with the places that ask for them, so a group of any size spreads.
+    """
     of = events if sources is None else sources
-    left = of.select(*group, F.col("end").alias("x"), F.lit(0).alias("kind"), F.col("end").alias("v")).unionByName(events.select(*group, F.col("start").alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("v")).distinct())
-    prev = left.withColumn("prev_end", F.max("v").over(w.orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1").select(*group, F.col("x").alias("_s"), "prev_end")
-    right = of.select(*group, F.col("start").alias("x"), F.lit(1).alias("kind"), F.col("start").alias("v")).unionByName(events.select(*group, F.col("end").alias("x"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("v")).distinct())
-    next_ = right.withColumn("next_start", F.min("v").over(w.orderBy("x", "kind").rowsBetween(0, Window.unboundedFollowing))).where("kind = 0").select(*group, F.col("x").alias("_e"), "next_start")
+    none = F.lit(None).cast("double")
+    told = lambda df, x, kind, v: df.select(*group, F.col(x).cast("double").alias("x"), F.lit(kind).alias("kind"), v.alias("v"))
+    left = told(of, "end", 0, F.col("end").cast("double")).unionByName(told(events, "start", 1, none).distinct())
+    prev = Line(left, group, ["x", "kind"]).scan(prev_end=Running("max", F.col("v"))).done().where("kind = 1").select(*group, F.col("x").alias("_s"), "prev_end")
+    right = told(of, "start", 1, F.col("start").cast("double")).unionByName(told(events, "end", 0, none).distinct())
+    next_ = Line(right, group, ["x", "kind"]).scan(next_start=Running("min", F.col("v"), back=True)).done().where("kind = 0").select(*group, F.col("x").alias("_e"), "next_start")
     on = lambda a, d, x: [F.col(f"a.{g}") == F.col(f"{d}.{g}") for g in group] + [F.col(a) == F.col(x)]
-    joined = events.alias("a").join(prev.distinct().alias("p"), on("a.start", "p", "p._s"), "left").select("a.*", "prev_end").alias("a")
-    return joined.join(next_.distinct().alias("n"), on("a.end", "n", "n._e"), "left").select("a.*", "next_start")
+    joined = events.alias("a").join(prev.alias("p"), on("a.start", "p", "p._s"), "left").select("a.*", "prev_end").alias("a")
+    return joined.join(next_.alias("n"), on("a.end", "n", "n._e"), "left").select("a.*", "next_start")
 
 
 def longest_runs(rows: DataFrame, key: str, order: list[str], flag: Column) -> DataFrame:
-    """(key, longest, share): the longest run of true flags in the rows' order, and the share of true ones; islands are rows with one difference of two ranks."""
-    w = Window.partitionBy(key).orderBy(*order)
+    """(key, longest, share): the longest run of true flags in the rows' order, and the share of true ones; a run has one number of false flags before it."""
     flagged = rows.withColumn("_f", F.coalesce(flag, F.lit(False)))
-    marked = flagged.withColumn("_i", F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, "_f").orderBy(*order)))
-    islands = marked.groupBy(key, "_f", "_i").agg(F.count(F.lit(1)).alias("_n"))
-    return islands.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("_f"), F.col("_n"))), F.lit(0)).alias("longest"), (F.coalesce(F.sum(F.when(F.col("_f"), F.col("_n"))), F.lit(0)) / F.sum("_n")).alias("share"))
+    marked = Line(flagged.select(key, *order, "_f"), [key], order).scan(_i=Running("sum", (~F.col("_f")).cast("long"))).done()
+    islands = marked.groupBy(key, "_i").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("_f").cast("long")).alias("_true"))
+    return islands.groupBy(key).agg(F.max("_true").alias("longest"), (F.sum("_true") / F.sum("_n")).alias("share"))
 
 
 def matched_times(transcripts: DataFrame, segments: DataFrame, key: str = "episode_id") -> DataFrame:

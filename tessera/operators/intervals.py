@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import overlap
+from tessera.operators.scan import Line, Running
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, bucket: float | None = None, how: str = "inner") -> DataFrame:
@@ -39,42 +40,39 @@ def coverage(truth: DataFrame, windows: DataFrame, key: str = "episode_id", buck
 
 
 def _starts(points: DataFrame, segments: DataFrame, key: str, order: str) -> DataFrame:
-    """Points and segments of a key on one line: ``_p`` the point, ``_left`` and ``_right`` the segments that start last until its ``t`` and
+    """Points and segments of a key on one line: ``_pt`` the point, ``_left`` and ``_right`` the segments that start last until its ``t`` and
     first after it (of equal starts the least by ``order``), ``_first`` the earliest that ends at ``t`` or later.
 
-    Sorts instead of joining, so a key with m points and n segments costs m + n rows, not m * n.
+    Scans instead of joining, so a key with m points and n segments costs m + n rows, not m * n, and spreads over partitions.
     """
-    by = Window.partitionBy(key).orderBy("start", order)
-    until = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    s = segments.withColumn("_s", F.struct(*[c for c in segments.columns if c != key])).withColumn("_lead", F.col("end").isNotNull() & (until.isNull() | (F.col("end") > until))).withColumn("_n", F.row_number().over(Window.partitionBy(key, "start").orderBy(order)))
+    whole = F.struct(*[c for c in segments.columns if c != key])
+    s = Line(segments.where(f"{key} is not null and start is not null").withColumn("_s", whole), [key], ["start", order]).scan(_until=Running("max", F.col("end"), before=True)).done()
     none = F.lit(None).cast(s.schema["_s"].dataType)
-    p = points.select(key, F.struct(*[c for c in points.columns if c != key]).alias("_p"), F.col("t").cast("double").alias("_t"))
-    kept = s.where(f"{key} is not null and start is not null")
-    starts = kept.where("_n = 1").select(key, F.col("start").cast("double").alias("_t"), F.lit(0).alias("_kind"), F.col("_s").alias("_start"), none.alias("_end"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"))
-    ends = kept.where("_lead").select(key, F.col("end").cast("double").alias("_t"), F.lit(2).alias("_kind"), none.alias("_start"), F.col("_s").alias("_end"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"))
-    line = starts.unionByName(ends).unionByName(p.where(f"{key} is not null").select(key, "_t", F.lit(1).alias("_kind"), none.alias("_start"), none.alias("_end"), "_p"))
-    up = Window.partitionBy(key).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(key).orderBy(F.col("_t").desc(), F.col("_kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = line.withColumn("_left", F.last("_start", True).over(up)).withColumn("_right", F.last("_start", True).over(down)).withColumn("_first", F.last("_end", True).over(down))
-    return seen.where("_kind = 1").drop("_t", "_kind", "_start", "_end")
+    p = points.select(key, F.struct(*[c for c in points.columns if c != key]).alias("_pt"), F.col("t").cast("double").alias("_t"))
+    starts = s.groupBy(key, "start").agg(F.min_by("_s", order).alias("_s")).select(key, F.col("start").cast("double").alias("_t"), F.lit(0).alias("_kind"), F.col("_s").alias("_start"), none.alias("_end"), F.lit(None).cast(p.schema["_pt"].dataType).alias("_pt"))
+    leads = s.where(F.col("end").isNotNull() & (F.col("_until").isNull() | (F.col("end") > F.col("_until"))))
+    ends = leads.select(key, F.col("end").cast("double").alias("_t"), F.lit(2).alias("_kind"), none.alias("_start"), F.col("_s").alias("_end"), F.lit(None).cast(p.schema["_pt"].dataType).alias("_pt"))
+    line = starts.unionByName(ends).unionByName(p.where(f"{key} is not null").select(key, "_t", F.lit(1).alias("_kind"), none.alias("_start"), none.alias("_end"), "_pt"))
+    seen = Line(line, [key], ["_t", "_kind"]).scan(_left=Running("last", F.col("_start")), _right=Running("last", F.col("_start"), back=True), _first=Running("last", F.col("_end"), back=True))
+    return seen.done().where("_kind = 1").drop("_t", "_kind", "_start", "_end")
 
 
 def _closer() -> Column:
-    left, right, t = F.col("_left"), F.col("_right"), F.col("_p.t")
+    left, right, t = F.col("_left"), F.col("_right"), F.col("_pt.t")
     return F.when(left.isNull() | (F.abs(right["start"] - t) < F.abs(left["start"] - t)), F.coalesce(right, left)).otherwise(left)
 
 
 def nearest(points: DataFrame, segments: DataFrame, key: str = "episode_id", order: str = "seg_id") -> DataFrame:
     """The segment that holds each point's ``t`` (the earliest such), else the one whose start is nearest; ties by start and ``order``."""
-    first = F.when(F.col("_p.t").between(F.col("_first.start"), F.col("_first.end")), F.col("_first"))
+    first = F.when(F.col("_pt.t").between(F.col("_first.start"), F.col("_first.end")), F.col("_first"))
     found = _starts(points, segments, key, order).withColumn("_s", F.coalesce(first, _closer())).where("_s is not null")
-    return found.select(*[F.col(c) if c == key else F.col(f"_p.{c}") for c in points.columns], *[F.col(f"_s.{c}") for c in segments.columns if c != key])
+    return found.select(*[F.col(c) if c == key else F.col(f"_pt.{c}") for c in points.columns], *[F.col(f"_s.{c}") for c in segments.columns if c != key])
 
 
 def nearest_within(points: DataFrame, segments: DataFrame, tolerance: float = 1.0, key: str = "episode_id", order: str = "seg_id") -> DataFrame:
     """The segment that starts nearest to the point, within ``tolerance`` or else anywhere; ties by start and ``order``."""
     found = _starts(points, segments, key, order).withColumn("_s", _closer()).where("_s is not null")
-    return found.select(*[F.col(c) if c == key else F.col(f"_p.{c}") for c in points.columns], *[F.col(f"_s.{c}") for c in segments.columns if c != key])
+    return found.select(*[F.col(c) if c == key else F.col(f"_pt.{c}") for c in points.columns], *[F.col(f"_s.{c}") for c in segments.columns if c != key])
 
 
 def arg_max_overlap(left: DataFrame, right: DataFrame, key: str, left_id: str, right_order: str, bucket: float | None = None) -> DataFrame:
@@ -139,17 +137,16 @@ def merge_short_folded(turns: DataFrame, least: float, key: str = "episode_id")
 
 def merge_gaps(regions: DataFrame, gap: float, key: str = "episode_id") -> DataFrame:
     """Regions joined where the gap to all that came before is under ``gap``."""
-    w = Window.partitionBy(key).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = regions.withColumn("_new", F.coalesce((F.col("start") - reach >= gap).cast("int"), F.lit(1)))
-    return marked.withColumn("_n", F.sum("_new").over(w)).groupBy(key, "_n").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("parts")).drop("_n")
+    line = Line(regions, [key], ["start", "end"]).scan(_reach=Running("max", F.col("end"), before=True))
+    new = F.coalesce((F.col("start") - F.col("_reach") >= gap).cast("int"), F.lit(1))
+    return line.scan(_n=Running("sum", new)).done().groupBy(key, "_n").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("parts")).drop("_n")
 
 
 def timeline(items: DataFrame, duration: Column, key: str, order: list, crossfade: float = 0.0) -> DataFrame:
     """Start of each item where each follows the last, ``crossfade`` before its end."""
-    w = Window.partitionBy(key).orderBy(*order)
-    before = F.coalesce(F.sum(duration).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return items.withColumn("position", F.row_number().over(w)).withColumn("start", before - crossfade * (F.row_number().over(w) - 1)).withColumn("end", F.col("start") + duration)
+    line = Line(items, [key], order).scan(_n=Running("sum", F.lit(1)), _before=Running("sum", duration, before=True))
+    before = F.coalesce("_before", F.lit(0))
+    return line.done().withColumn("position", F.col("_n").cast("int")).withColumn("start", before - crossfade * (F.col("position") - 1)).withColumn("end", F.col("start") + duration).drop("_n", "_before")
 
 
 def tumbling(spans: DataFrame, width: float) -> DataFrame:

@@ -496,3 +496,54 @@ def test_nearest_points_in_four_dimensions(spark, k):
     assert nearest_points(left.limit(0), right, *args).count() == nearest_points(left, right.limit(0), *args).count() == 0
     same = spark.range(3000).select("id", F.lit(1).alias("g"), (F.col("id") % 7).alias("a"), (F.col("id") % 11).alias("b"))
     assert spare(same, ["g"], ["a", "b"], ["id"], 3).count() <= 15
+
+
+def test_running_values_of_groups_that_span_partitions(spark):
+    import random
+
+    from tessera.operators.scan import Line, Running
+
+    r = random.Random(2)
+    data = [(g, i, r.choice([None, r.randint(0, 99)])) for g, n in (("a", 900), ("b", 1), (None, 300), ("c", 40)) for i in range(n)]
+    r.shuffle(data)
+    line = Line(spark.createDataFrame(data, "g string, i int, v int").repartition(3), ["g"], ["i"])
+    spread = {x["g"]: x["n"] for x in line.rows.groupBy("g").agg(F.countDistinct("_p").alias("n")).collect()}
+    assert spread["a"] > 1
+    kinds = {f"{kind}_{before}_{back}": Running(kind, F.col("v"), before == 1, back == 1) for kind in ("sum", "max", "min", "last") for before in (0, 1) for back in (0, 1)}
+    got = {(x["g"], x["i"]): x for x in line.scan(**kinds).done().collect()}
+    assert len(got) == len(data)
+    for g in ("a", "b", "c", None):
+        v = [x[2] for x in sorted((x for x in data if x[0] == g), key=lambda x: x[1])]
+        for i in range(len(v)):
+            for name, how in kinds.items():
+                part = v[i + how.before :] if how.back else v[: i + 1 - how.before]
+                known = [x for x in part if x is not None]
+                want = None if not known else {"sum": sum(known), "max": max(known), "min": min(known), "last": known[0] if how.back else known[-1]}[how.kind]
+                assert got[g, i][name] == want, (g, i, name)
+    twice = line.scan(a=Running("sum", F.lit(1))).scan(b=Running("max", F.col("a"), before=True)).done()
+    assert twice.where("a - 1 <> coalesce(b, 0)").count() == 0
+
+
+def test_one_long_recording_spreads(spark):
+    """Operators on running values give what windows over a whole recording gave, with one recording over all partitions."""
+    from pyspark.sql import Window
+
+    n = 20_000
+    t = spark.range(n).select(F.lit(1).alias("episode_id"), F.col("id").alias("ord"), F.format_string("s%06d", "id").alias("seg_id"), (F.col("id") * 3 + F.pmod(F.col("id") * 7919, F.lit(5))).cast("double").alias("start"), (F.col("id") * 3 + F.pmod(F.col("id") * 104729, F.lit(11))).cast("double").alias("end"))
+    t = t.where("`end` > start")
+    w = Window.partitionBy("episode_id").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    whole = t.withColumn("_new", F.coalesce((F.col("start") - reach >= 0.5).cast("int"), F.lit(1))).withColumn("_n", F.sum("_new").over(w)).groupBy("_n").agg(F.min("start").alias("a"), F.max("end").alias("b"), F.count(F.lit(1)).alias("c"))
+    assert sorted(map(tuple, whole.select("a", "b", "c").collect())) == sorted((x["start"], x["end"], x["parts"]) for x in intervals.merge_gaps(t, 0.5).collect())
+    runs = events.longest_runs(t, "episode_id", ["ord"], F.col("ord") % 997 != 0).collect()[0]
+    kept = [x["ord"] % 997 != 0 for x in t.orderBy("ord").collect()]
+    best = max(len(x) for x in "".join("x" if k else " " for k in kept).split())
+    assert runs["longest"] == best and abs(runs["share"] - sum(kept) / len(kept)) < 1e-12
+    placed = intervals.timeline(t.withColumn("ms", F.lit(2.0)), F.col("ms"), "episode_id", ["ord"], 0.5).orderBy("position").select("position", "start").collect()
+    assert all(x["position"] == k + 1 and x["start"] == 1.5 * k for k, x in enumerate(placed))
+    points = spark.range(0, 3 * n, 100).select(F.lit(1).alias("episode_id"), F.col("id").alias("point"), F.col("id").cast("double").alias("t"))
+    rows_ = t.select("seg_id", "start", "end").collect()
+    for p in intervals.nearest(points, t.select("episode_id", "seg_id", "start", "end")).where("point % 1700 = 0").collect():
+        holds = [x for x in rows_ if x["start"] <= p["t"] <= x["end"]]
+        want = min(holds, key=lambda x: (x["start"], x["seg_id"])) if holds else min(rows_, key=lambda x: (abs(x["start"] - p["t"]), x["start"], x["seg_id"]))
+        assert p["seg_id"] == want["seg_id"]
