@@ -15,7 +15,7 @@ from tessera.plans.adapters import SQL_CV, SQL_EV, read
 from tessera.plans.queries import FUSE_SQL, SETS_SQL, TIME_SQL, VEC_SQL, query, sets_of, vector_sets_all
 from tessera.plans.queries_shaping import _arrived, _stream
 from tessera.session import shared_folder
-from tessera.sources import readers, sinks
+from tessera.sources import commits, readers, sinks
 from tessera.streaming import streams
 
 
@@ -199,3 +199,37 @@ def stream_appended(spark, sf_dir):
     for _ in range(2):
         streams.append(streams.new_only(_stream(spark, sf_dir), "event_id"), out, checkpoint).awaitTermination()
     return spark.read.parquet(out).select("event_id", "user_id")
+
+
+@query("stream_anchored", """WITH e AS (SELECT user_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS t, value FROM events), s AS (SELECT user_id, min(t) AS a, max(t) AS z FROM e GROUP BY 1), m AS (SELECT max(t) - 86400 AS mark FROM e),
+w AS (SELECT user_id, a + i * 86400.0::DOUBLE AS lo, a + i * 86400.0::DOUBLE + 259200 AS hi FROM (SELECT *, unnest(range(0, floor((least(z, mark) - a - 259200) / 86400.0::DOUBLE)::BIGINT + 1)) AS i FROM s, m WHERE least(z, mark) - a >= 259200)),
+h AS (SELECT w.user_id, lo, avg(value) FILTER (t < lo + 129600) AS h1, avg(value) FILTER (t >= lo + 129600) AS h2 FROM w JOIN e ON e.user_id = w.user_id AND t BETWEEN lo AND hi GROUP BY ALL HAVING h1 IS NOT NULL AND h2 IS NOT NULL)
+SELECT user_id, round(lo * 1e6)::BIGINT AS lo_us, round(h1, 6) AS half1, round(h2, 6) AS half2 FROM h""")
+def stream_anchored(spark, sf_dir):
+    """Windows of three days every day from each user's first event, in a stream; those that end a day before the last event of all are over."""
+    path = f"{shared_folder(spark).rstrip('/')}/anchored-{uuid.uuid4().hex}"
+    out = streams.anchored(_stream(spark, sf_dir), ["user_id"], 259200.0, 86400.0, late="1 day")
+    streams.append(out, path, f"{path}-checkpoint").awaitTermination()
+    return spark.read.schema(out.schema).parquet(path).select("user_id", F.round((F.col("lo") - 1_704_067_200) * 1e6).cast("long").alias("lo_us"), F.round("half1", 6).alias("half1"), F.round("half2", 6).alias("half2"))
+
+
+@query("committed_vectors", """WITH v AS (SELECT vec_id, vec_id % 2 AS half, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v) SELECT vec_id, row_number() OVER (ORDER BY half, vec_id) - 1 AS idx, round(e[1] / n, 6) AS first FROM n""")
+def committed_vectors(spark, sf_dir):
+    """Vectors appended in two batches to a table that changes as a whole, the second batch twice."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    table = commits.Table(spark, f"{shared_folder(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}", rows.schema, "idx")
+    first = rows.select(F.size("embedding")).first()
+    for batch, half in enumerate((0, 1, 1)):
+        table.append_vectors(rows.where(F.col("vec_id") % 2 == half), first[0] if first else 0, ["vec_id"], "halves", min(batch, 1))
+    return table.read().select("vec_id", "idx", F.round(F.col("embedding")[0], 6).alias("first"))
+
+
+@query("committed_upserts", """WITH l AS (SELECT user_id, arg_max(event_id, event_id) AS event_id FROM events GROUP BY 1), f AS (SELECT user_id, min(event_id) FILTER (event_id % 2 = 0) AS a, max(event_id) FILTER (event_id % 2 = 0) AS b, max(event_id) FILTER (event_id % 2 = 1) AS c FROM events GROUP BY 1)
+SELECT user_id, coalesce(c, b) AS event_id, row_number() OVER (ORDER BY b IS NULL, CASE WHEN b IS NULL THEN c ELSE b END, user_id) - 1 AS place FROM f""")
+def committed_upserts(spark, sf_dir):
+    """The last event of each user: those with even numbers upserted first, then the odd ones; who was there keeps the place."""
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id")
+    table = commits.Table(spark, f"{shared_folder(spark).rstrip('/')}/users-{uuid.uuid4().hex}", rows.schema, "place")
+    for batch in (0, 1, 1):
+        table.upsert(rows.where(F.col("event_id") % 2 == batch), "user_id", ["event_id"], "halves", batch)
+    return table.read()

@@ -547,3 +547,106 @@ def test_one_long_recording_spreads(spark):
         holds = [x for x in rows_ if x["start"] <= p["t"] <= x["end"]]
         want = min(holds, key=lambda x: (x["start"], x["seg_id"])) if holds else min(rows_, key=lambda x: (abs(x["start"] - p["t"]), x["start"], x["seg_id"]))
         assert p["seg_id"] == want["seg_id"]
+
+
+def test_windows_of_a_key_by_cells():
+    import random
+
+    from tessera.streaming.streams import Windows
+
+    r = random.Random(3)
+    for _ in range(200):
+        width, step = r.choice([(30, 10), (60, 30), (8, 3), (10, 20)])
+        points = sorted((r.randint(0, 200) * r.choice([1, 1, 5]), float(r.randint(0, 9))) for _ in range(r.randint(1, 40)))
+        held, got, at = None, [], 0
+        while at < len(points):  # the watermark follows the points; the state goes through its stored form
+            w, n = Windows(width, step, held), r.randint(1, 6)
+            for t, v in points[at : at + n]:
+                w.add(t, v)
+            at += n
+            got += w.closed(points[at][0] if at < len(points) else 10**6)
+            held = w.held()
+            assert len(held[6]) <= 2 * (width // w.unit + 40 * step // w.unit + 220 // w.unit)
+        a, z = points[0][0], points[-1][0]
+        want = []
+        for lo in range(a, z - width + 1, step):
+            halves = [[v for t, v in points if lo <= t < lo + width // 2], [v for t, v in points if lo + width // 2 <= t <= lo + width]]
+            if all(halves):
+                want.append((lo, lo + width, *(sum(h) / len(h) for h in halves)))
+        assert [(x[0], x[1], round(x[2], 9), round(x[3], 9)) for x in got] == [(x[0], x[1], round(x[2], 9), round(x[3], 9)) for x in want]
+
+
+def test_anchored_windows_of_a_stream_that_stops_and_goes_on(spark, tmp_path):
+    import random
+    import time
+
+    from tessera.streaming import streams
+
+    r = random.Random(5)
+    rows_ = sorted((r.choice("ab"), round(1_700_000_000 + i * 2 + r.random(), 3), float(r.randint(0, 9))) for i in range(300))
+    rows_ += [("c", 1_700_009_000.0, 1.0)]  # moves the watermark past all others
+    frame = lambda part: spark.createDataFrame(part, "k string, at double, value double").withColumn("ts", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).select("k", "ts", "value")
+    source, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    cuts = [1_700_000_000, 1_700_000_200, 1_700_000_450, 1_800_000_000]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        frame([x for x in rows_ if a <= x[1] < b]).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.1)
+        stream = spark.readStream.schema("k string, ts timestamp, value double").parquet(source)
+        streams.append(streams.anchored(stream, ["k"], 30.0, 10.0, late="5 seconds"), out, checkpoint).awaitTermination()  # each start reads the state of the one before
+    got = sorted((x["k"], round(x["lo"], 3), round(x["half1"], 9), round(x["half2"], 9)) for x in spark.read.parquet(out).collect())
+    trace = frame(rows_).select("k", (F.unix_micros("ts") / 1e6).alias("t"), "value")
+    want = events.trend_windows(trace, 30.0, 10.0, ("k",)).collect()
+    assert len(got) > 50 and got == sorted((x["k"], round(x["lo"], 3), round(x["half1"], 9), round(x["half2"], 9)) for x in want)
+
+
+def test_a_write_that_breaks_off_before_the_pointer(spark, tmp_path, monkeypatch):
+    from tessera.sources import commits
+
+    new = lambda a, b: spark.range(a, b).select(F.col("id").alias("k"), F.array(F.lit(3.0), F.lit(4.0)).alias("embedding"))
+    table = commits.Table(spark, str(tmp_path / "t"), new(0, 1).schema, "idx")
+    held = lambda: [(x["k"], x["idx"]) for x in table.read().orderBy("idx").collect()]
+    assert held() == [] and table.append_vectors(new(0, 5), 2, ["k"], "s", 0) == 5
+    point = commits.Table._point
+
+    def stops(self, state):
+        raise OSError("power is gone")
+
+    monkeypatch.setattr(commits.Table, "_point", stops)
+    for write in (lambda: table.append_vectors(new(5, 9), 2, ["k"], "s", 1), lambda: table.upsert(new(2, 7), "k", ["k"], "u", 0)):
+        with pytest.raises(OSError):
+            write()
+        assert held() == [(k, k) for k in range(5)]
+    monkeypatch.setattr(commits.Table, "_point", point)
+    assert len(table.clear()) == 2 and held() == [(k, k) for k in range(5)]
+    for _ in range(2):  # the batch comes again
+        table.append_vectors(new(5, 9), 2, ["k"], "s", 1)
+        assert held() == [(k, k) for k in range(9)]
+    table.upsert(new(7, 11), "k", ["k"], "u", 0)
+    assert held() == [(k, k) for k in range(11)] and table.state()["next"] == 11
+    with pytest.raises(Exception, match="2 numbers|must have"):
+        table.append_vectors(spark.createDataFrame([(1, [1.0])], "k long, embedding array<double>"), 2, ["k"], "s", 2)
+    assert table.state()["next"] == 11 and [x["embedding"] for x in table.read().limit(1).collect()] == [[0.6, 0.8]]
+
+
+def test_a_stream_into_a_table_that_breaks_off(spark, tmp_path, monkeypatch):
+    from tessera.sources import commits
+
+    source = str(tmp_path / "in")
+    table = commits.Table(spark, str(tmp_path / "t"), spark.range(1).schema, "idx")
+    start = lambda: commits.fed(spark.readStream.schema("id long").parquet(source), table, "s", str(tmp_path / "c"), lambda t, rows, name, number: t.append(rows, ["id"], name, number))
+    spark.range(0, 50).write.mode("append").parquet(source)
+    start().awaitTermination()
+    spark.range(50, 80).write.mode("append").parquet(source)
+    point, calls = commits.Table._point, []
+
+    def after(self, state):  # the pointer is moved, then the driver goes down before the stream notes the batch
+        point(self, state)
+        calls.append(state["version"])
+        raise OSError("power is gone")
+
+    monkeypatch.setattr(commits.Table, "_point", after)
+    with pytest.raises(Exception):
+        start().awaitTermination()
+    monkeypatch.setattr(commits.Table, "_point", point)
+    start().awaitTermination()
+    assert calls and sorted((x["id"], x["idx"]) for x in table.read().collect()) == [(k, k) for k in range(80)]
