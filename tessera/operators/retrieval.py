@@ -6,19 +6,16 @@ of insertion are broken by explicit ordinals (modality_ord, hit_ord).
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import overlap
+from tessera.operators.vectors import Blocks
 
 SET = ["query_id", "set_no"]
 #: The order in which modalities add hits.
 MODALITIES = ["time", "label", "text_emb", "keyword", "audio_emb", "domain_emb"]
 TOP_K, KEYWORD_LIMIT, VECTOR_K = 10, 10, 5
-#: Plan sets of a block, about.
-MOST_SETS = 20_000
 
 
 def within(sets: DataFrame, segments: DataFrame) -> DataFrame:
@@ -55,54 +52,10 @@ def search_keyword(sets: DataFrame, segments: DataFrame, limit: int = KEYWORD_LI
 
 
 def search_vectors(sets: DataFrame, vectors: DataFrame, source: str, k: int = VECTOR_K) -> DataFrame:
-    """The ``k`` vectors of the episode and window most like the set's ``query_vector`` by cosine; filtered first, then exact.
-
-    Sets are dealt by a hash to blocks of about ``MOST_SETS``, each sent to all for a pass over the vectors (seg_id, episode_id, start,
-    end, idx, embedding): those of a part and an episode are multiplied with the episode's sets at once, and each set keeps its
-    best of the part, so only sets x parts x k rows are shuffled.
-    """
-    wanted = sets.where("query_vector is not null").select(*SET, "episode_id", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), "query_vector")
-    kinds = f"query_id {dict(sets.dtypes)['query_id']}, set_no {dict(sets.dtypes)['set_no']}, seg_id string, start double, `end` double, idx long, _score double"
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-
-    def one(rows: list) -> DataFrame:
-        by: dict = {}
-        for r in rows:
-            by.setdefault(r["episode_id"], []).append(r)
-        packed = {e: ([(r["query_id"], r["set_no"]) for r in rs], np.array([r["lo"] for r in rs]), np.array([r["hi"] for r in rs]), unit(np.array([r["query_vector"] for r in rs], np.float64))) for e, rs in by.items()}
-        sent = vectors.sparkSession.sparkContext.broadcast(packed)
-
-        def best(batches):
-            for batch in batches:
-                episodes = batch.column("episode_id").to_pylist()
-                places: dict = {}
-                for i, e in enumerate(episodes):
-                    if e in sent.value:
-                        places.setdefault(e, []).append(i)
-                ids, idx = batch.column("seg_id").to_pylist(), batch.column("idx").to_numpy()
-                start, end = batch.column("start").to_numpy(), batch.column("end").to_numpy()
-                out = []
-                for e, at in places.items():
-                    names, lo, hi, q = sent.value[e]
-                    at = np.array(at)
-                    v = unit(np.array(batch.column("embedding").take(pa.array(at)).to_pylist(), np.float64))
-                    s = np.round(q @ v.T, 6)
-                    inside = (end[at][None, :] > lo[:, None]) & (start[at][None, :] < hi[:, None])
-                    order = np.lexsort((np.broadcast_to(idx[at], s.shape), np.where(inside, -s, np.inf)), axis=1)[:, :k]
-                    for row, name in enumerate(names):
-                        out += [(*name, ids[at[c]], start[at[c]], end[at[c]], idx[at[c]], s[row, c]) for c in order[row] if inside[row, c]]
-                columns = list(zip(*out, strict=True)) or [[]] * 7
-                types = [pa.int64(), pa.int32() if "set_no int" in kinds else pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["query_id", "set_no", "seg_id", "start", "end", "idx", "_score"])
-
-        return vectors.where("idx >= 0").select("seg_id", "episode_id", "start", "end", F.col("idx").cast("long").alias("idx"), "embedding").mapInArrow(best, kinds)
-
-    blocks = -(-wanted.count() // MOST_SETS)
-    found = vectors.sparkSession.createDataFrame([], kinds)
-    for b in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64(*SET), F.lit(blocks)) == b).collect()
-        found = found.unionByName(one(rows)) if rows else found
-    return _hits(found, source, F.round(F.col("_score"), 3), [F.col("_score").desc(), "idx"], k)
+    """The ``k`` vectors of the episode and window most like the set's ``query_vector`` by cosine; filtered first, then exact (see ``vectors.Blocks``)."""
+    asked = sets.where("query_vector is not null").withColumn("qid", F.struct(*SET))
+    found, _ = Blocks(vectors).search(asked, k)
+    return _hits(found.select("qid.*", "seg_id", "start", "end", "idx", F.col("score").alias("_score")), source, F.round(F.col("_score"), 3), [F.col("_score").desc(), "idx"], k)
 
 
 def fuse(hits: DataFrame, top_k: int = TOP_K) -> DataFrame:

@@ -650,3 +650,31 @@ def test_a_stream_into_a_table_that_breaks_off(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(commits.Table, "_point", point)
     start().awaitTermination()
     assert calls and sorted((x["id"], x["idx"]) for x in table.read().collect()) == [(k, k) for k in range(80)]
+
+
+def test_vectors_by_blocks_equal_the_whole_product(spark, monkeypatch):
+    import numpy as np
+    from tessera.operators import vectors
+
+    monkeypatch.setattr(vectors, "TILE", 7)
+    r = np.random.default_rng(3)
+    heads = r.normal(size=(30, 16))
+    v = heads[r.integers(0, 30, 2000)] + 0.1 * r.normal(size=(2000, 16))
+    v[50:60] = v[49]  # ties
+    v[70] = 0
+    rows_ = [(f"s{i}", int(i % 3), float(i), float(i + 2), i if i % 100 else -1, v[i].tolist()) for i in range(2000)]
+    asked = [(i, 0, int(i % 3), 100.0, 1500.0 if i % 2 else 103.0, v[i * 7].tolist()) for i in range(60)] + [(99, 0, 9, 0.0, 9.0, v[0].tolist()), (98, 0, 1, 0.0, 9.0, None)]
+    store = vectors.Blocks(spark.createDataFrame(rows_, "seg_id string, episode_id long, start double, `end` double, idx long, embedding array<double>"), 200, 16)
+    q = spark.createDataFrame(asked, "query_id long, set_no int, episode_id long, lo double, hi double, query_vector array<double>").withColumn("qid", F.struct("query_id", "set_no"))
+    found, read = store.search(q, 5)
+    got = {}
+    for x in found.collect():
+        got.setdefault(x["qid"]["query_id"], []).append((-x["score"], x["idx"], x["seg_id"], x["start"]))
+    for i, _, e, lo, hi, vec in asked:
+        unit = lambda m: np.asarray(m) / max(np.linalg.norm(m), 1e-12)
+        want = sorted((-round(float(unit(vec) @ unit(w)), 6), k, s, a) for s, ep, a, b, k, w in rows_ if vec is not None and ep == e and k >= 0 and b > lo and a < hi)[:5]
+        assert [x[1:] for x in sorted(got.get(i, []))] == [x[1:] for x in want], i
+    counts = read.collect()
+    assert sum(x["multiplied"] for x in counts) < 0.4 * sum(x["all"] for x in counts)
+    nothing, _ = vectors.Blocks(spark.createDataFrame([], "seg_id string, episode_id long, start double, `end` double, idx long, embedding array<double>")).search(q, 5)
+    assert nothing.count() == 0
