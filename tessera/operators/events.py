@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import overlap
 from tessera.operators.intervals import overlap_join, sliding
 from tessera.operators.scan import Line, Running
+from tessera.session import discard, stored
 
 
 def dominant_speaker(windows: DataFrame, segments: DataFrame, threshold: float, key: str = "episode_id") -> DataFrame:
@@ -115,6 +118,43 @@ def longest_runs(rows: DataFrame, key: str, order: list[str], flag: Column) -> D
     return islands.groupBy(key).agg(F.max("_true").alias("longest"), (F.sum("_true") / F.sum("_n")).alias("share"))
 
 
+def most_shared(left: DataFrame, right: DataFrame, key: str = "episode_id") -> tuple[DataFrame, DataFrame]:
+    """(key, n, idx, shared): the row of ``right`` (key, idx, text) with which each of ``left`` (key, n, text) shares most different words, whatever the
+    case, the least ``idx`` of equals; and (key, round, met), how many rows met by a word in each round.
+
+    Words are ordered by how few rows of the key have them.  To share c words, two rows must share one of the rarest ``size - c + 1`` of
+    both.  So rows meet by their rarest half at first, and only those whose best turns out to share less go on with a smaller
+    c; common words join nothing until hardly anything is shared.  How early the first common word stands bounds what two rows can
+    share, and pairs over the bound are counted on their words.
+    """
+    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != ""))
+    told = right.select(key, "idx", F.explode(split(F.col("text"))).alias("w")).where(F.col(key).isNotNull())
+    often = told.groupBy(key, "w").agg(F.count(F.lit(1)).alias("often"))
+    ordered = lambda rows, name: rows.join(often, [key, "w"]).groupBy(key, name).agg(F.array_sort(F.collect_list(F.struct("often", "w"))).alias("words")).select(key, name, F.transform("words", lambda x: x["w"]).alias(f"{name}_words"), F.size("words").alias(f"{name}_size"))
+    ours = stored(ordered(left.select(key, "n", F.explode(split(F.col("text"))).alias("w")), "n"), "left-words")
+    theirs = stored(ordered(told, "idx"), "right-words")
+    postings = theirs.select(key, "idx", "idx_size", F.posexplode("idx_words").alias("their_place", "w"))
+    open_, found, met, part = ours, [], [], 2
+    while True:
+        least = F.greatest(F.lit(1), F.ceil(F.col("n_size") / part)).cast("int")
+        early = open_.withColumn("least", least).select(key, "n", "n_size", "least", F.posexplode(F.expr("slice(n_words, 1, n_size - least + 1)")).alias("our_place", "w"))
+        pairs = early.join(postings, [key, "w"]).where("idx_size >= least and their_place <= idx_size - least")
+        first = pairs.groupBy(key, "n", "idx").agg(F.min("our_place").alias("a"), F.min("their_place").alias("b"), F.first("n_size").alias("s"), F.first("idx_size").alias("t"), F.first("least").alias("least"), F.count(F.lit(1)).alias("met"))
+        first = stored(first, "met")
+        likely = first.where(F.least(F.col("s") - F.col("a"), F.col("t") - F.col("b")) >= F.col("least"))
+        counted = likely.join(open_.select(key, "n", "n_words"), [key, "n"]).join(theirs.select(key, "idx", "idx_words"), [key, "idx"]).select(key, "n", "least", "idx", F.size(F.array_intersect("n_words", "idx_words")).alias("shared"))
+        best = counted.where(F.col("shared") >= F.col("least")).groupBy(key, "n").agg(F.max(F.struct("shared", (-F.col("idx")).alias("i"))).alias("m"))
+        best = stored(best.select(key, "n", (-F.col("m.i")).alias("idx"), F.col("m.shared").alias("shared")), "best")
+        found.append(best)
+        met.append(first.groupBy(key).agg(F.sum("met").alias("met")).select(key, F.lit(len(met) + 1).alias("round"), "met"))
+        last, open_ = open_, stored(open_.where(F.col("n_size") > part).join(best, [key, "n"], "left_anti"), "open")
+        if last is not ours:
+            discard(last)
+        part *= 2
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, met)
+
+
 def matched_times(transcripts: DataFrame, segments: DataFrame, key: str = "episode_id") -> DataFrame:
     """Times of transcripts (key, n, text, t0, t1; times may be null) from the recording's segments (key, idx, start, end, text).
 
@@ -124,10 +164,7 @@ def matched_times(transcripts: DataFrame, segments: DataFrame, key: str = "episo
     """
     from tessera.operators.intervals import nearest_within
 
-    split = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != ""))).alias("_w")
-    open_ = transcripts.where("t0 is null")
-    shared = open_.select(key, "n", split(F.col("text"))).join(segments.select(key, "idx", split(F.col("text"))), [key, "_w"]).groupBy(key, "n", "idx").agg(F.count(F.lit(1)).alias("_c"))
-    best = shared.groupBy(key, "n").agg(F.max(F.struct("_c", (-F.col("idx")).alias("_i")))["_i"].alias("_i")).select(key, "n", (-F.col("_i")).alias("_best"))
+    best = most_shared(transcripts.where("t0 is null"), segments, key)[0].select(key, "n", F.col("idx").alias("_best"))
     fixed = nearest_within(transcripts.where("t0 is not null").select(key, "n", F.col("t0").alias("t")), segments.select(key, "idx", "start", "end"), 0.0, key, "idx").select(key, "n", F.col("idx").alias("_best"))
     rows = transcripts.join(best.unionByName(fixed), [key, "n"], "left")
     order = Window.partitionBy(key).orderBy("n")

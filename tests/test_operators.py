@@ -678,3 +678,28 @@ def test_vectors_by_blocks_equal_the_whole_product(spark, monkeypatch):
     assert sum(x["multiplied"] for x in counts) < 0.4 * sum(x["all"] for x in counts)
     nothing, _ = vectors.Blocks(spark.createDataFrame([], "seg_id string, episode_id long, start double, `end` double, idx long, embedding array<double>")).search(q, 5)
     assert nothing.count() == 0
+
+
+def test_rows_that_share_most_words(spark):
+    import random
+
+    r = random.Random(8)
+    common, rare = [f"c{k}" for k in range(6)], [f"r{k}" for k in range(400)]
+    said = lambda: " ".join(r.choices(common, k=r.randint(0, 9)) + r.choices(rare, k=r.randint(0, 5)))
+    right = [(e, k, said()) for e in ("a", "b") for k in range(120)] + [("a", 500, None), ("c", 1, "x")]
+    left = []
+    for k in range(90):
+        e, _, text_ = r.choice(right)
+        w = (text_ or "").split()
+        r.shuffle(w)
+        left.append((e, k, " ".join(w[: r.randint(0, len(w))] + r.choices(common, k=2)).upper() if k % 7 else ["", None, "c1", "zzz"][k % 4]))
+    found, met = events.most_shared(spark.createDataFrame(left, "episode_id string, n int, text string"), spark.createDataFrame(right, "episode_id string, idx int, text string"))
+    got = {x["n"]: (x["idx"], x["shared"]) for x in found.collect()}
+    every = 0
+    for e, n, text_ in left:
+        own = set((text_ or "").lower().split())
+        shares = [(-len(own & set((t or "").lower().split())), k) for f, k, t in right if f == e]
+        every += -sum(s for s, _ in shares)
+        best = min(shares)
+        assert got.get(n) == ((best[1], -best[0]) if best[0] < 0 else None), n
+    assert sum(x["met"] for x in met.collect()) < 0.5 * every
