@@ -90,9 +90,9 @@ JUDGED = """CASE o_orderkey % 6 WHEN 0 THEN '{"type": "speaker_id", "dim": "Vale
 GIVEN = """CASE WHEN o_orderkey % 6 = 4 THEN concat('{"mean_a": 3.25, "mean_b": ', CASE WHEN o_orderkey % 5 = 4 THEN 'null' ELSE concat(o_orderkey % 5, '.5') END, ', "winner": "A", "delta": 0.125}') ELSE '{}' END"""
 
 
-@query("truth_summaries", """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'GT: Speaker A Valence=0.500  Speaker B Valence=0.250; winner = Speaker A' WHEN 1 THEN 'GT primary emotion: Happy (H), confidence=0.5' || chr(10) || '  annotator votes: Happy=2, Z=1' || chr(10) || '  secondary (minority): Sad=1'
-    WHEN 2 THEN 'GT trend: ' || CASE WHEN o_orderkey % 4 = 0 THEN 'rising' ELSE 'rising' END || '; first-half mean=0.250, second-half mean=0.500' WHEN 3 THEN 'GT emotion: Sad at ' || o_custkey || ' to ' || o_custkey + 9 || ' s' || chr(10) || '  reference text: "' || o_orderpriority || '"'
-    WHEN 4 THEN 'GT: Song A mean=3.250 (mid) Song B mean=' || CASE WHEN o_orderkey % 5 = 4 THEN '?' ELSE o_orderkey % 5 || '.500' END || ' (' || ['low', 'low', 'below-avg', 'mid', '?'][1 + o_orderkey % 5] || '); winner = Song A, delta=0.125' || chr(10) || '  Song A dims: Clarity=2.5' ELSE 'GT (other): a=x, b=' || o_custkey END AS summary FROM orders""")
+@query("truth_summaries", """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'GT: Speaker B Valence=0.250  Speaker A Valence=0.500  →  winner = Speaker A' WHEN 1 THEN 'GT primary emotion: Happy (H), confidence=0.5' || chr(10) || '  annotator votes: {''Happy'': 2, ''Z'': 1}' || chr(10) || '  secondary (minority): {''Sad'': 1}'
+    WHEN 2 THEN 'GT trend: rising (' || chr(39) || CASE WHEN o_orderkey % 4 = 0 THEN 'UP' ELSE 'rising' END || chr(39) || ')  |  first-half mean=0.250, second-half mean=0.500' WHEN 3 THEN 'GT emotion: Sad (s)  at [' || o_custkey || 's – ' || o_custkey + 9 || 's]' || chr(10) || '  reference text: "' || o_orderpriority || '"'
+    WHEN 4 THEN 'GT: Song A mean=3.25 (mid)  Song B mean=' || CASE WHEN o_orderkey % 5 = 4 THEN 'None' ELSE o_orderkey % 5 || '.5' END || ' (' || ['low', 'low', 'below-avg', 'mid', '?'][1 + o_orderkey % 5] || ')  →  winner = Song A  (delta=0.125)' || chr(10) || '  Song A dims: Clarity=2.5' ELSE 'GT (other): b=' || o_custkey || ', a=x' END AS summary FROM orders""")
 def truth_summaries(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), truth.truth_summary(F.expr(JUDGED), F.expr(GIVEN)).alias("summary"))
 

@@ -8,12 +8,15 @@ speaker, label, text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import intervals
 from tessera.operators.builders import EMOTION_NAMES, lookup
+from tessera.plans.metrics import JUDGE_TOLERANCE
 from tessera.session import stored
 
 #: Judge types that point at one event, seconds around a time, lengths of windows, and the grid of interval joins.
@@ -173,39 +176,69 @@ def with_file_evidence(queries: DataFrame, truth: DataFrame) -> DataFrame:
 # -- descriptions
 
 
-def _listed(m: Column, name=lambda k: k) -> Column:
-    """Entries of a map as "key=value", by key."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(name(e["key"]), F.lit("="), e["value"].cast("string"))), ", ")
-
-
-RECORD = "type string, dim string, spk_val map<string,double>, winner string, primary string, cf double, votes map<string,bigint>, secondary map<string,bigint>, direction string, half1 double, half2 double, emo string, t0 double, t1 double, seg_text string, scores_a map<string,double>, scores_b map<string,double>"
-
-
 def level_word(x: Column) -> Column:
     return F.when(x.isNull(), "?").when(x < 2, "low").when(x < 3, "below-avg").when(x < 4, "mid").otherwise("high")
 
 
+# The lines that tell the truth of a judge's record, by its type; {x} stands for a field as it is written there, {x:name} for an
+# emotion's name, {x:3} for a number with three places, {x:votes} for counts by emotions' names.
+SUMMARIES = {
+    "speaker_id": ["GT: {spk_val:speakers}  →  winner = Speaker {winner}"],
+    "categorical": ["GT primary emotion: {primary:name} ({primary}), confidence={cf:text}", "\n  annotator votes: {votes:votes}", "\n  secondary (minority): {secondary:votes}"],
+    "trend": ["GT trend: {direction:trend} ('{direction}')", "  |  first-half mean={half1:3}, second-half mean={half2:3}"],
+    "time_and_quote": ["GT emotion: {emo:name} ({emo})  at [{t0:none}s – {t1:none}s]", '\n  reference text: "{seg_text:some}"'],
+    "songs": ["GT: Song A mean={mean_a:none} ({mean_a:level})  Song B mean={mean_b:none} ({mean_b:level})  →  winner = Song {winner}", "  (delta={delta:3})", "\n  Song A dims: {scores_a:dims}", "\n  Song B dims: {scores_b:dims}"],
+}
+
+
+def _fields(record: Column) -> dict:
+    """How a field of a record (a map of texts) is shown, by the name of a form; null where a line with it is to be left out."""
+    at = lambda k: F.element_at(record, k)
+    named = lambda c: F.coalesce(lookup(F.upper(c), EMOTION_NAMES, False), c)
+    entries = lambda k: F.map_entries(_entries(at(k)))
+    joined = lambda k, one, apart: F.nullif(F.array_join(F.transform(entries(k), one), apart), F.lit(""))
+    number = lambda c: F.format_string("%.3f", c.try_cast("double"))
+    return {
+        "": lambda k: F.coalesce(at(k), F.lit("?")),
+        "text": lambda k: F.coalesce(at(k), F.lit("")),
+        "none": lambda k: F.coalesce(at(k), F.lit("None")),
+        "some": lambda k: F.nullif(at(k), F.lit("")),
+        "name": lambda k: named(F.coalesce(at(k), F.lit("?"))),
+        "3": lambda k: F.when(at(k).isNotNull(), number(at(k))),
+        "trend": lambda k: lookup(F.lower(F.coalesce(at(k), F.lit("?"))), DIRECTIONS),
+        "level": lambda k: level_word(at(k).try_cast("double")),
+        "votes": lambda k: F.concat(F.lit("{"), joined(k, lambda e: F.concat(F.lit("'"), named(e["key"]), F.lit("': "), e["value"]), ", "), F.lit("}")),
+        "dims": lambda k: joined(k, lambda e: F.concat(e["key"], F.lit("="), e["value"]), "  "),
+        "speakers": lambda k: F.coalesce(joined(k, lambda e: F.concat(F.lit("Speaker "), e["key"], F.lit(" "), F.coalesce(at("dim"), F.lit("dim")), F.lit("="), number(e["value"])), "  "), F.lit("")),
+    }
+
+
+def _filled(lines: list[str], record: Column) -> Column:
+    """The lines with their fields; all but the first are left out where they ask for a field that isn't there."""
+    show, out = _fields(record), []
+    for k, line in enumerate(lines):
+        parts = [F.lit(x) if j % 2 == 0 else show[x.partition(":")[2]](x.partition(":")[0]) for j, x in enumerate(re.split(r"\{([^}]*)\}", line))]
+        out.append(F.concat(*parts) if k == 0 else F.coalesce(F.concat(*parts), F.lit("")))
+    return F.concat(*out)
+
+
 def truth_summary(judge_info: Column, ground_truth: Column) -> Column:
-    """One description of the truth by the judge's type (speaker, class, trend, place), of a pair of songs, or of whatever else the record has."""
-    j, g = F.from_json(judge_info, RECORD), F.from_json(ground_truth, "mean_a double, mean_b double, winner string, delta double")
-    emotion = lambda c: lookup(F.upper(c), EMOTION_NAMES, False)
-    named = lambda c: F.coalesce(emotion(c), c)
-    number = lambda c: F.when(c.isNotNull(), F.format_string("%.3f", c))
-    speaker = F.concat(F.lit("GT: "), F.array_join(F.transform(F.array_sort(F.map_entries(j["spk_val"])), lambda e: F.concat(F.lit("Speaker "), e["key"], F.lit(" "), j["dim"], F.lit("="), number(e["value"]))), "  "), F.lit("; winner = Speaker "), F.coalesce(j["winner"], F.lit("?")))
-    votes = F.when(F.size(j["votes"]) > 0, F.concat(F.lit("\n  annotator votes: "), _listed(j["votes"], named))).otherwise("")
-    minority = F.when(F.size(j["secondary"]) > 0, F.concat(F.lit("\n  secondary (minority): "), _listed(j["secondary"], named))).otherwise("")
-    category = F.concat(F.lit("GT primary emotion: "), named(j["primary"]), F.lit(" ("), j["primary"], F.lit("), confidence="), F.coalesce(j["cf"].cast("string"), F.lit("")), votes, minority)
-    halves = F.when(j["half1"].isNotNull() & j["half2"].isNotNull(), F.concat(F.lit("; first-half mean="), number(j["half1"]), F.lit(", second-half mean="), number(j["half2"]))).otherwise("")
-    trend = F.concat(F.lit("GT trend: "), lookup(F.lower(j["direction"]), DIRECTIONS), halves)
-    quote = F.when(F.coalesce(j["seg_text"], F.lit("")) != "", F.concat(F.lit('\n  reference text: "'), j["seg_text"], F.lit('"'))).otherwise("")
-    place = F.concat(F.lit("GT emotion: "), named(j["emo"]), F.lit(" at "), j["t0"].cast("long").cast("string"), F.lit(" to "), j["t1"].cast("long").cast("string"), F.lit(" s"), quote)
-    shown = lambda x: F.concat(F.coalesce(number(x), F.lit("?")), F.lit(" ("), level_word(x), F.lit(")"))
-    dims = lambda name, m: F.when(F.size(m) > 0, F.concat(F.lit(f"\n  {name} dims: "), _listed(m))).otherwise("")
-    songs = F.concat(F.lit("GT: Song A mean="), shown(g["mean_a"]), F.lit(" Song B mean="), shown(g["mean_b"]), F.lit("; winner = Song "), F.coalesce(g["winner"], F.lit("?")), F.when(g["delta"].isNotNull(), F.concat(F.lit(", delta="), number(g["delta"]))).otherwise(""), dims("Song A", j["scores_a"]), dims("Song B", j["scores_b"]))
-    other = F.map_filter(_entries(judge_info), lambda k, v: v.isNotNull() & (k != "type"))
-    rest = F.concat(F.coalesce(F.concat(F.lit("GT ("), j["type"], F.lit("): ")), F.lit("GT: ")), _listed(other))
-    by = F.when(j["type"] == "speaker_id", speaker).when(j["type"] == "categorical", category).when(j["type"] == "trend", trend).when(j["type"] == "time_and_quote", place)
-    return by.when(g["mean_a"].isNotNull() | g["mean_b"].isNotNull(), songs).otherwise(rest)
+    """One description of the truth by the judge's type (speaker, class, trend, place), of a pair of songs, or of whatever else the record has.
+
+    Numbers stand as they are written in the records, entries in their order there.
+    """
+    j, g = F.coalesce(_entries(judge_info), _entries(F.lit("{}"))), _entries(ground_truth)
+    kind = F.element_at(j, "type")
+    by = F.lit(None).cast("string")
+    for name in ("speaker_id", "categorical", "trend", "time_and_quote"):
+        by = F.when(kind == name, _filled(SUMMARIES[name], j)).otherwise(by)
+    songs = _filled(SUMMARIES["songs"], F.map_concat(j, F.coalesce(g, _entries(F.lit("{}")))))
+    other = F.map_entries(F.map_filter(j, lambda k, v: v.isNotNull() & (k != "type")))
+    told = F.array_join(F.transform(other, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+    bare = F.coalesce(F.concat(F.lit("{'type': '"), kind, F.lit("'}")), F.lit("{}"))
+    rest = F.when(F.size(other) > 0, F.concat(F.coalesce(F.concat(F.lit("GT ("), kind, F.lit("): ")), F.lit("GT: ")), told)).otherwise(bare)
+    some = F.element_at(g, "mean_a").isNotNull() | F.element_at(g, "mean_b").isNotNull()
+    return F.coalesce(by, F.when(some, songs).otherwise(rest))
 
 
 def label_line(blocks: Column) -> Column:
@@ -291,20 +324,55 @@ def first_of(parts: list[DataFrame], by: list[str]) -> DataFrame:
 # -- the judge's part
 
 
+#: What a judge is told of the truth and asked to accept, by the judge's type; fields as in ``SUMMARIES``.
+ASKED = {
+    "time_and_quote": ["Truth: the emotion is {emo:name} (code {emo}), heard from {t0:none} to {t1:none} s; times from {from} to {to} s are accepted.", '\nSaid there: "{seg_text:some}"'],
+    "categorical": ["Truth: the emotion is {primary:name} (code {primary}), confidence {cf:text}.", "\nVotes: {votes:votes}", "\nSome heard: {secondary:votes}"],
+    "trend": ["Truth: the trend is {direction:trend} (code {direction}).", "\nMeans: {half1:3} in the first half, {half2:3} in the second."],
+}
+RULES = {
+    "time_and_quote": "Bounds that the question names are a window to search: any time inside it may be the answer. Accept if the prediction names this emotion, by name, code or a word for the same feeling, and a time that is accepted; the words needn't be quoted.",
+    "categorical": "Accept if the prediction names this emotion, by name or code, even among others; reject if it is missing or contradicted.",
+    "trend": "Accept if the values that the prediction gives move this way, whatever it calls it; their scale may differ.",
+}
+OTHER_RULE = "The prediction may say A or B, a set's number, or name the item. A tie is also met by an answer that sees hardly a difference."
+#: What a judge is told where a question has items.
+SET_NOTE = "Set 1 of the evidence is A, the item mentioned first, Set 2 is B."
+
+
+def judge_question(judge_info: Column, expected: Column, blocks: Column | None = None) -> Column:
+    """What an answer is held against: the truth by the judge's type and what to accept; for other types the items' letters and the record."""
+    j = F.coalesce(_entries(judge_info), _entries(F.lit("{}")))
+    bound = lambda k, by: F.coalesce(F.round(F.element_at(j, k).try_cast("double") + by, 1).cast("string"), F.lit("?"))
+    known = F.map_concat(j, F.create_map(F.lit("from"), bound("t0", -JUDGE_TOLERANCE), F.lit("to"), bound("t1", JUDGE_TOLERANCE)))
+    letters = F.lit("") if blocks is None else label_line(blocks)
+    items = F.when(letters != "", F.concat(letters, F.lit(f"\n{SET_NOTE}\n"))).otherwise("")
+    letter = F.when(F.lower(F.trim(expected)).isin("a", "b"), F.upper(F.trim(expected))).otherwise(expected)
+    out = F.concat(items, F.lit("Expected: "), letter, F.lit("\nRecord: "), F.coalesce(judge_info, F.lit("{}")), F.lit(f"\n{OTHER_RULE}"))
+    for kind, lines in ASKED.items():
+        out = F.when(F.element_at(j, "type") == kind, F.concat(F.lit("Expected: "), expected, F.lit("\n"), _filled(lines, known), F.lit(f"\n{RULES[kind]}"))).otherwise(out)
+    return out
+
+
 def judge_table(predictions: DataFrame, queries: DataFrame, audio: Column) -> DataFrame:
     """(query_id, kind, expected, prompt): what a judge is asked, two or three prompts for each prediction; answers only where one is expected, faithful not for ``audio`` variants.
 
-    A prediction without a query is judged by its own fields, where it has them.
+    Queries: query, expected, summary, and query_type, judge_info (JSON) and blocks where there are any.  A prediction without a
+    query is judged by its own fields, where it has them.
     """
     own = [c for c in ("expected", "summary", "block") if c in predictions.columns]
-    q = queries.select("query_id", *[F.col(c).alias(f"_{c}") for c in ("query", "expected", "summary")])
+    more = [c for c in ("query_type", "judge_info", "blocks") if c in queries.columns]
+    q = queries.select("query_id", *[F.col(c).alias(f"_{c}") for c in ("query", "expected", "summary", *more)])
     joined = predictions.join(q, "query_id", "left").withColumn("_e", F.coalesce("_expected", *[c for c in own if c == "expected"])).withColumn("_s", F.coalesce("_summary", *[c for c in own if c == "summary"], F.lit("")))
-    said = lambda ask, label, truth: F.concat(F.lit(f"{ask}\nQuestion: "), F.coalesce("_query", F.lit("")), F.lit(f"\n{label}: "), truth, F.lit("\nPrediction: "), F.coalesce("prediction", F.lit("")), F.lit("\nRationale: "), F.coalesce("rationale", F.lit("")), F.lit("\nReply YES or NO."))
+    kind = F.coalesce(F.concat(F.lit(" ("), F.col("_query_type"), F.lit(")")), F.lit("")) if "query_type" in more else F.lit("")
+    said = lambda ask, truth: F.concat(F.lit(f"{ask}\nQuestion"), kind, F.lit(": "), F.coalesce("_query", F.lit("")), F.lit("\n"), truth, F.lit("\nPrediction: "), F.coalesce("prediction", F.lit("")), F.lit("\nRationale: "), F.coalesce("rationale", F.lit("")), F.lit("\nReply YES or NO."))
     block = F.coalesce("block", F.lit("none")) if "block" in own else F.lit("none")
+    info = F.col("_judge_info") if "judge_info" in more else F.lit(None).cast("string")
+    answer = judge_question(info, F.col("_e"), F.col("_blocks") if "blocks" in more else None)
     kinds = F.array(
-        F.when(F.col("_e").isNotNull(), F.struct(F.lit("answer").alias("kind"), said("Does the prediction give the expected answer?", "Expected", F.col("_e")).alias("prompt"))),
-        F.struct(F.lit("factual").alias("kind"), said("Are the claims of the rationale in line with the truth?", "Expected", F.col("_s")).alias("prompt")),
-        F.when(~audio, F.struct(F.lit("faithful").alias("kind"), said("Does the rationale follow from the evidence?", "Expected", block).alias("prompt"))),
+        F.when(F.col("_e").isNotNull(), F.struct(F.lit("answer").alias("kind"), said("Does the prediction give the expected answer?", answer).alias("prompt"))),
+        F.struct(F.lit("factual").alias("kind"), said("Are the claims of the rationale in line with the truth?", F.concat(F.lit("Expected: "), F.col("_s"))).alias("prompt")),
+        F.when(~audio, F.struct(F.lit("faithful").alias("kind"), said("Does the rationale follow from the evidence?", F.concat(F.lit("Expected: "), block)).alias("prompt"))),
     )
     return joined.select("query_id", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("x")).select("query_id", "x.*")
 

@@ -703,3 +703,34 @@ def test_rows_that_share_most_words(spark):
         best = min(shares)
         assert got.get(n) == ((best[1], -best[0]) if best[0] < 0 else None), n
     assert sum(x["met"] for x in met.collect()) < 0.5 * every
+
+
+def test_judge_prompts_by_type(spark):
+    from tessera.plans import truth
+
+    records = [
+        (1, "locate", '{"type": "time_and_quote", "emo": "s", "t0": 10.5, "t1": 20, "seg_text": "oh no"}', "S", []),
+        (2, "locate", '{"type": "time_and_quote", "emo": "Q"}', "Q", []),
+        (3, "state", '{"type": "categorical", "primary": "H", "cf": 0.75, "votes": {"H": 3, "S": 1}, "secondary": {"S": 1}}', "H", []),
+        (4, "change", '{"type": "trend", "direction": "down", "half1": 0.5, "half2": 0.25}', "down", []),
+        (5, "time", '{"scores_a": {"Clarity": 2}}', " a", [("x", 3), ("y", 5)]),
+        (6, "other", None, "tie", []),
+        (7, "state", '{"type": "categorical", "primary": "H"}', None, []),
+    ]
+    q = spark.createDataFrame(records, "query_id long, query_type string, judge_info string, expected string, b array<struct<name:string,position:int>>")
+    blocks = F.transform("b", lambda x: F.struct(x["position"].alias("position"), F.lit(None).cast("double").alias("time_ref"), x["name"].alias("name")))
+    q = q.select("query_id", "query_type", "judge_info", "expected", blocks.alias("blocks"), F.lit("which?").alias("query"), F.lit("sum").alias("summary"))
+    p = spark.createDataFrame([(k, "I say so", "since") for k in range(1, 9)], "query_id long, prediction string, rationale string")
+    got = {(x["query_id"], x["kind"]): x["prompt"] for x in truth.judge_table(p, q, F.col("query_id") == 3).collect()}
+    assert {k for k, kind in got if kind == "answer"} == {1, 2, 3, 4, 5, 6} and (3, "faithful") not in got and (8, "factual") in got
+    assert all(x in got[1, "answer"] for x in ("Question (locate): which?", "Sad (code s)", "from 10.5 to 20 s", "times from 7.5 to 23.0 s are accepted", '"oh no"', "Prediction: I say so"))
+    assert "times from ? to ? s" in got[2, "answer"] and "Said there" not in got[2, "answer"]
+    assert all(x in got[3, "answer"] for x in ("Happy (code H), confidence 0.75", "{'Happy': 3, 'Sad': 1}", "Some heard: {'Sad': 1}"))
+    assert all(x in got[4, "answer"] for x in ("falling (code down)", "0.500 in the first half, 0.250"))
+    assert all(x in got[5, "answer"] for x in ("A = song #3, B = song #5", truth.SET_NOTE, "Expected: A\n", '"Clarity": 2')) and truth.SET_NOTE not in got[6, "answer"]
+    told = lambda j, g="{}": spark.range(1).select(truth.truth_summary(F.lit(j), F.lit(g)).alias("s")).first()["s"]
+    assert told('{"type": "categorical"}') == "GT primary emotion: ? (?), confidence="
+    assert told('{"type": "trend", "direction": "Up", "half1": 0.5}') == "GT trend: rising ('Up')"
+    assert told('{"type": "time_and_quote", "emo": "H", "t0": 1.25, "t1": 2}') == "GT emotion: Happy (H)  at [1.25s – 2s]"
+    assert told('{"type": "x"}') == "{'type': 'x'}" and told("{}") == "{}" and told('{"a": 1}') == "GT: a=1"
+    assert told('{"scores_b": {"C": 1, "A": 2.5}}', '{"mean_b": 4}') == "GT: Song A mean=None (?)  Song B mean=4 (high)  →  winner = Song ?\n  Song B dims: C=1  A=2.5"
