@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera import agents, experts
+from tessera import agents, deferred, experts
 from tessera.plans import adapters, metrics, truth
 from tessera.plans.adapters import SQL_EV, read
 from tessera.plans.queries import query
+from tessera.session import shared_folder
 
 #: Events as truth segments: every other one is a song by number, labels of two thirds; and orders as queries of all kinds.
 SQL_TG = f"""{SQL_EV}, tg AS (SELECT episode_id, seg_id, ord, "start", "end", CASE WHEN ord % 2 = 0 THEN 'SONG_' || lpad((ord % 6)::VARCHAR, 2, '0') ELSE speaker END AS speaker, CASE WHEN ord % 3 <> 0 THEN label END AS label, text FROM ev)"""
@@ -175,16 +178,36 @@ def first_occurrences(spark, sf_dir):
 SCORES_SQL = """js AS (SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE (o_orderkey % 3 <> 0)::INT END AS answer, (o_orderkey % 2 = 0)::INT AS factual, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE (o_orderkey % 4 < 2)::INT END AS faithful FROM orders)"""
 
 
-def judged(spark, sf_dir) -> DataFrame:
-    """Prompts of all kinds in one batch, a judge's replies, and scores."""
+def judge_prompts(spark, sf_dir) -> DataFrame:
+    """Prompts of all kinds for predictions of which some name what is expected."""
     k = F.col("o_orderkey")
     o = read(spark, sf_dir, "orders")
     queries = o.where("o_orderkey % 6 <> 5").select(k.alias("query_id"), F.lit("which?").alias("query"), F.when(k % 7 != 0, F.concat(F.lit("word"), (k % 13).cast("string"))).alias("expected"), F.lit("fact").alias("summary"))
     said = F.concat_ws(" ", F.when(k % 3 != 0, F.concat(F.lit("it is WORD"), (k % 13).cast("string"))).otherwise("nothing"), F.when(k % 2 == 0, "a fact"), F.when(k % 4 < 2, "as heard"))
     own = F.when((k % 7 != 0) & (k % 6 == 5), F.concat(F.lit("word"), (k % 13).cast("string")))
     predictions = o.select(k.alias("query_id"), said.alias("prediction"), F.lit("so").alias("rationale"), F.lit("heard").alias("block"), own.alias("expected"), F.lit("fact").alias("summary"))
-    table = truth.judge_table(predictions, queries, F.col("query_id") % 5 == 0)
-    return truth.judged_scores(experts.batched(table, experts.stand_in_judge))
+    return truth.judge_table(predictions, queries, F.col("query_id") % 5 == 0)
+
+
+def judged(spark, sf_dir) -> DataFrame:
+    """Prompts of all kinds in one batch, a judge's replies, and scores."""
+    return truth.judged_scores(experts.batched(judge_prompts(spark, sf_dir), experts.stand_in_judge))
+
+
+@query("deferred_scores", f"WITH {SCORES_SQL} SELECT *, factual * faithful AS rationale FROM js")
+def deferred_scores(spark, sf_dir):
+    """The same scores by way of jobs that are submitted, worked on and collected; half of the prompts are planned later."""
+    folder = f"{shared_folder(spark).rstrip('/')}/deferred-{uuid.uuid4().hex}"
+    prompts = judge_prompts(spark, sf_dir)
+    jobs = deferred.Deferred(spark, folder, prompts.schema)
+    service = deferred.Folder(spark, f"{folder}/service", experts.stand_in_judge)
+    for some in (prompts.where("query_id % 2 = 0"), prompts):
+        jobs.plan(some)
+        jobs.run(service)
+    for job in [r["job"] for r in jobs.jobs.read().collect()]:
+        service.work(job)
+    jobs.run(service)
+    return truth.judged_scores(jobs.replies())
 
 
 @query("judge_scores", f"WITH {SCORES_SQL} SELECT *, factual * faithful AS rationale FROM js")

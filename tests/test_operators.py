@@ -734,3 +734,48 @@ def test_judge_prompts_by_type(spark):
     assert told('{"type": "time_and_quote", "emo": "H", "t0": 1.25, "t1": 2}') == "GT emotion: Happy (H)  at [1.25s – 2s]"
     assert told('{"type": "x"}') == "{'type': 'x'}" and told("{}") == "{}" and told('{"a": 1}') == "GT: a=1"
     assert told('{"scores_b": {"C": 1, "A": 2.5}}', '{"mean_b": 4}') == "GT: Song A mean=None (?)  Song B mean=4 (high)  →  winner = Song ?\n  Song B dims: C=1  A=2.5"
+
+
+def test_deferred_jobs_that_break_off_ask_nothing_twice(spark, tmp_path, monkeypatch):
+    from tessera import deferred
+
+    prompts = spark.createDataFrame([(k, kind, f"Expected: w{k}\nPrediction: w{k % 3}") for k in range(40) for kind in ("answer", "factual")], "query_id long, kind string, prompt string")
+    sent = []
+
+    class Counting(deferred.Folder):
+        def submit(self, job, rows):
+            sent.append((job, rows.count()))
+            super().submit(job, rows)
+
+    made = lambda: deferred.Deferred(spark, str(tmp_path / "d"), prompts.schema, 15)
+    service = Counting(spark, str(tmp_path / "s"), experts.stand_in_judge)
+    jobs = made()
+    assert jobs.plan(prompts.where("query_id < 20")) == 40 and jobs.plan(prompts.where("query_id < 20")) == 0
+    note, calls = deferred.Deferred._note, []
+
+    def breaks(self, job, state):  # after the service has the job, or the replies are written, but before that is noted
+        calls.append(job)
+        if len(calls) % 2:
+            raise OSError("power is gone")
+        note(self, job, state)
+
+    monkeypatch.setattr(deferred.Deferred, "_note", breaks)
+    for _ in range(8):
+        try:
+            made().run(service)
+        except OSError:
+            pass
+        for job in {j for j, _ in sent}:
+            service.work(job)
+    monkeypatch.setattr(deferred.Deferred, "_note", note)
+    jobs = made()  # a new run knows all from the tables
+    assert jobs.plan(prompts) == 40
+    for _ in range(3):
+        state = jobs.run(service)
+        for job in {j for j, _ in sent}:
+            service.work(job)
+    assert state == {"submitted": 0, "collected": 7}  # 40 prompts from ordinal 0 are 3 stretches of 15, 40 from ordinal 40 are 4
+    got = jobs.replies().collect()
+    assert len(got) == 80 and all((x["reply"] == "Answer: YES") == (f"w{x['query_id']}" in x["prompt"].split("Prediction: ")[1]) for x in got)
+    held = [service._table(j, "in", "key string, prompt string").read().count() for j in {j for j, _ in sent}]
+    assert sum(held) == 80 and max(held) <= 15 and jobs.answers.read().count() == 80
