@@ -12,7 +12,7 @@ from tessera.operators import events, shaping
 from tessera.plans import adapters, metrics, reports
 from tessera.plans.adapters import SQL_CV, SQL_EV, SQL_SC, read
 from tessera.plans.queries import query
-from tessera.session import shared_folder
+from tessera.session import shared_folder, stored
 from tessera.sources import corpora, readers, waves
 
 
@@ -36,6 +36,11 @@ def _object(rows: DataFrame, key: str, value: str, name: str) -> str:
     return _lines(lines.unionByName(end), F.col("_line"), ["o", "k"], name)
 
 
+def _only_file(spark: SparkSession, path: str) -> str:
+    """The one file of a table of text."""
+    return spark.read.text(path).select("_metadata.file_path").first()[0]
+
+
 SQL_CO = f"""{SQL_EV}, sg AS (SELECT 'MSP-PODCAST_' || lpad(episode_id::VARCHAR, 4, '0') AS ep, episode_id, idx + 1 AS n, "start", "end", ord, text FROM ev), si AS (SELECT *, ep || '_' || lpad(n::VARCHAR, 4, '0') AS seg_id FROM sg WHERE episode_id % 3 <> 1 OR episode_id % 5 = 0)"""
 EMO = ["N", "H", "", "S", "A"]
 
@@ -122,6 +127,28 @@ def object_lookup(spark, sf_dir):
     return found.where(F.col("key").isin("000003", "000007") & (F.col("value.t") == 'br{ace" }')).select(F.col("key").cast("long").alias("k"), "value.n")
 
 
+@query("object_at", """SELECT user_id AS k, count(*) AS n FROM events WHERE user_id IN (3, 7) GROUP BY 1""")
+def object_at(spark, sf_dir):
+    """The same two keys by an index of the file's bytes: nothing else of the file is read."""
+    by = read(spark, sf_dir, "events").groupBy(F.lpad(F.col("user_id").cast("string"), 6, "0").alias("k")).agg(F.to_json(F.struct(F.count(F.lit(1)).alias("n"), F.lit('br{ace" }').alias("t"))).alias("v"))
+    path = _object(by, "k", "v", "lookup")
+    index = stored(readers.object_index(spark, path), "index")
+    found, _ = readers.looked_up(spark, _only_file(spark, path), index, ["000003", "000007"], "struct<n:bigint,t:string>")
+    return found.where(F.col("value.t") == 'br{ace" }').select(F.col("key").cast("long").alias("k"), "value.n")
+
+
+@query("episode_source", """SELECT user_id AS k, count(*) AS n, max(value) AS most FROM events WHERE user_id % 10 = 3 GROUP BY 1""")
+def episode_source(spark, sf_dir):
+    """Records of every tenth episode of a corpus in one file, through the data source and its index."""
+    from tessera.sources import episodes
+
+    by = read(spark, sf_dir, "events").groupBy(F.lpad(F.col("user_id").cast("string"), 6, "0").alias("k")).agg(F.to_json(F.struct(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"), F.lit('br{ace" }').alias("t"))).alias("v"))
+    path, index = _object(by, "k", "v", "source"), f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    episodes.write_index(readers.object_index(spark, path), index, 8)
+    rows = episodes.episodes(spark, _only_file(spark, path), index).where(F.col("episode_id").endswith("3"))
+    return episodes.record_values(rows, "struct<n:bigint,most:double>").select(F.col("episode_id").cast("long").alias("k"), "value.n", "value.most")
+
+
 # -- recordings
 
 

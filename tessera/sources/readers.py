@@ -7,7 +7,7 @@ import re
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import schemas
@@ -46,8 +46,9 @@ def vector_store(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def object_entries(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
-    """(key, value) of a file that is one JSON object of any size, NaN and infinities as null; use ``where`` for one key, ``limit`` to stop early.
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    """(entry, t, from, to) of a file that is one JSON object, or one list of objects, of any size: the text of each entry with what
+    stands before it, and the bytes of the file that it takes.
 
     The file is read in parallel, cut behind each closing brace.  Whether a piece begins inside a string and at what depth
     follows from the pieces before it: counts of quotes and braces, summed in each block of the file and then over its
@@ -58,11 +59,11 @@ def object_entries(spark: SparkSession, path: str, value_schema: str) -> DataFra
     parts = F.split(plain, '"')
     n = F.size(parts)
     level = lambda parity: F.aggregate(F.transform(parts, lambda x, k: F.when(k % 2 == parity, F.length(F.regexp_replace(x, r"[^{\[]", "")) - F.length(F.regexp_replace(x, r"[^\]}]", ""))).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    counted = stored(pieces.select("value", "b", "i", ((n - 1) % 2).alias("q"), level(0).alias("d0"), level(1).alias("d1")), "pieces")
+    counted = stored(pieces.select("value", "b", "i", F.octet_length("value").cast("long").alias("bytes"), ((n - 1) % 2).alias("q"), level(0).alias("d0"), level(1).alias("d1")), "pieces")
     order = Window.partitionBy("b").orderBy("i")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     blocks = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block of the file
-    odd = counted.groupBy("b").agg(F.sum("q").alias("s"), F.max("i").alias("_last")).select("b", (F.coalesce(F.sum("s").over(blocks), F.lit(0)) % 2).alias("open"), (F.col("b") == F.max("b").over(Window.partitionBy())).alias("final"), "_last")
+    odd = counted.groupBy("b").agg(F.sum("q").alias("s"), F.max("i").alias("_last"), F.sum(F.col("bytes") + 1).alias("size")).select("b", F.coalesce(F.sum("size").over(blocks), F.lit(0)).alias("at"), (F.coalesce(F.sum("s").over(blocks), F.lit(0)) % 2).alias("open"), (F.col("b") == F.max("b").over(Window.partitionBy())).alias("final"), "_last")
     stated = counted.join(odd, "b").withColumn("inside", (F.col("open") + F.coalesce(F.sum("q").over(before), F.lit(0))) % 2)
     ends_inside = (F.col("inside") + F.col("q")) % 2 == 1
     last = F.col("final") & (F.col("i") == F.col("_last"))
@@ -74,9 +75,73 @@ def object_entries(spark: SparkSession, path: str, value_schema: str) -> DataFra
     shut = done.groupBy("b").agg(F.sum("ends").alias("s")).select("b", F.coalesce(F.sum("s").over(blocks), F.lit(0)).alias("base"))
     numbered = done.join(shut, "b").withColumn("entry", F.col("base") + F.coalesce(F.sum("ends").over(before), F.lit(0)))
     text = F.concat("value", F.when(F.col("last") | (F.col("after") < 1), F.lit("")).otherwise(F.lit("}")))
-    whole = numbered.groupBy("entry").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "i", text.alias("t")))), lambda x: x["t"]), "").alias("t"))
-    body = F.regexp_replace(F.regexp_replace(F.when(F.col("entry") == 0, F.regexp_replace("t", r"^\s*\{", "")).otherwise(F.col("t")), r"^\s*,", ""), r"\bNaN\b|-Infinity\b|\bInfinity\b", "null")
-    return whole.select(F.explode(F.from_json(F.concat(F.lit("{"), body, F.lit("}")), f"map<string,{value_schema}>")).alias("key", "value"))
+    begins = F.col("at") + F.coalesce(F.sum(F.col("bytes") + 1).over(before), F.lit(0))
+    placed = numbered.withColumn("begins", begins)
+    return placed.groupBy("entry").agg(F.min("begins").alias("from"), F.max(F.col("begins") + F.col("bytes") + F.when(F.col("last"), 0).otherwise(1)).alias("to"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "i", text.alias("t")))), lambda x: x["t"]), "").alias("t"))
+
+
+def _bare(text: Column, first: Column) -> Column:
+    """An entry's text without what parts it from others, NaN and infinities as null."""
+    body = F.regexp_replace(F.when(first, F.regexp_replace(text, r"^\s*[{\[]", "")).otherwise(text), r"^\s*,", "")
+    return F.regexp_replace(body, r"\bNaN\b|-Infinity\b|\bInfinity\b", "null")
+
+
+def object_entries(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
+    """(key, value) of a file that is one JSON object of any size, NaN and infinities as null; use ``where`` for some keys, ``limit`` to stop early.
+
+    Where keys are looked up again and again, ``object_index`` is written once and ``looked_up`` reads nothing else.
+    """
+    whole = _entries(spark, path)
+    return whole.select(F.explode(F.from_json(F.concat(F.lit("{"), _bare(F.col("t"), F.col("entry") == 0), F.lit("}")), f"map<string,{value_schema}>")).alias("key", "value"))
+
+
+def object_index(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """(key, entry, from, to) of the entries of one JSON object, or, with ``key``, of a list of objects by that field: the bytes that each takes."""
+    bare = _bare(F.col("t"), F.col("entry") == 0)
+    names = F.map_keys(F.from_json(F.concat(F.lit("{"), bare, F.lit("}")), "map<string,string>")) if key is None else F.array(F.get_json_object(bare, f"$.{key}"))
+    return _entries(spark, path).select(F.explode(names).alias("key"), "entry", "from", "to").where("key is not null")
+
+
+def line_index(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, entry, from, to) of JSON lines by a field; lines of one key may stand anywhere.  Entries are numbered from 1: nothing opens the file but a line."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), F.octet_length("value").cast("long").alias("bytes"))
+    counted = stored(lines.select("b", "i", "bytes", F.get_json_object("value", f"$.{key}").alias("key")), "lines")
+    before = Window.partitionBy("b").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counted.groupBy("b").agg(F.sum(F.col("bytes") + 1).alias("size"))
+    at = sizes.select("b", F.coalesce(F.sum("size").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))  # one row for each block of the file
+    begins = F.col("at") + F.coalesce(F.sum(F.col("bytes") + 1).over(before), F.lit(0))
+    return counted.join(at, "b").select("key", (F.col("i") + 1).alias("entry"), begins.alias("from"), (begins + F.col("bytes")).alias("to")).where("key is not null")
+
+
+def ranged(spark: SparkSession, path: str, begin: int, end: int) -> bytes:
+    """Some bytes of a file, wherever Spark can read it."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(where)
+    try:
+        stream.seek(begin)
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, end - begin))
+    finally:
+        stream.close()
+
+
+def looked_up(spark: SparkSession, path: str, index: DataFrame, keys: list[str], value_schema: str) -> tuple[DataFrame, int]:
+    """(key, value) of some keys of one JSON object by its ``object_index``, and how many bytes of the file were read for them."""
+    rows = index.where(F.col("key").isin(keys)).collect()
+    return _parsed(spark, path, [(r["entry"], r["from"], r["to"]) for r in rows], value_schema)
+
+
+def first_entries(spark: SparkSession, path: str, index: DataFrame, n: int, value_schema: str) -> tuple[DataFrame, int]:
+    """(key, value) of the first ``n`` entries of the file, and how many bytes were read: an early stop."""
+    rows = index.orderBy("from").limit(n).collect()
+    return _parsed(spark, path, [(r["entry"], r["from"], r["to"]) for r in rows], value_schema)
+
+
+def _parsed(spark: SparkSession, path: str, spans: list[tuple[int, int, int]], value_schema: str) -> tuple[DataFrame, int]:
+    texts = [(entry, ranged(spark, path, begin, end).decode()) for entry, begin, end in spans]
+    rows = spark.createDataFrame(texts, "entry long, t string")
+    told = rows.select(F.explode(F.from_json(F.concat(F.lit("{"), _bare(F.col("t"), F.col("entry") == 0), F.lit("}")), f"map<string,{value_schema}>")).alias("key", "value"))
+    return told, sum(end - begin for _, begin, end in spans)
 
 
 def consensus(spark: SparkSession, path: str) -> DataFrame:

@@ -779,3 +779,56 @@ def test_deferred_jobs_that_break_off_ask_nothing_twice(spark, tmp_path, monkeyp
     assert len(got) == 80 and all((x["reply"] == "Answer: YES") == (f"w{x['query_id']}" in x["prompt"].split("Prediction: ")[1]) for x in got)
     held = [service._table(j, "in", "key string, prompt string").read().count() for j in {j for j, _ in sent}]
     assert sum(held) == 80 and max(held) <= 15 and jobs.answers.read().count() == 80
+
+
+def corpus_files(tmp_path):
+    """An object, a list and lines of records of 60 episodes, with braces, quotes and letters of several bytes in their texts."""
+    records = {f"ep{k:03d}": {"n": k, "t": 'é {"]} \\\\ "' * (k % 5), "more": [{"x": k}]} for k in range(60)}
+    (tmp_path / "object.json").write_text(json.dumps(records, ensure_ascii=False, indent=1).replace('"n": 7,', '"n": NaN,'))
+    (tmp_path / "list.json").write_text("[\n" + ",\n ".join(json.dumps({"id": k} | v, ensure_ascii=False) for k, v in records.items()) + "]\n")
+    (tmp_path / "lines.jsonl").write_text("".join(json.dumps({"track": f"tr{k % 7}", "n": k, "t": v["t"]}, ensure_ascii=False) + "\n" for k, v in enumerate(records.values())))
+    return records
+
+
+def test_keys_by_an_index_of_bytes(spark, tmp_path):
+    records = corpus_files(tmp_path)
+    path = str(tmp_path / "object.json")
+    index = readers.object_index(spark, path)
+    index.write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert sorted(x["key"] for x in index.collect()) == sorted(records)
+    shape = "struct<n:int,t:string,more:array<struct<x:int>>>"
+    got, read = readers.looked_up(spark, path, index, ["ep003", "ep007", "none"], shape)
+    values = {x["key"]: x["value"] for x in got.collect()}
+    assert set(values) == {"ep003", "ep007"} and values["ep003"]["t"] == records["ep003"]["t"] and values["ep007"]["n"] is None and values["ep007"]["more"][0]["x"] == 7
+    size = (tmp_path / "object.json").stat().st_size
+    assert 0 < read < size / 20
+    first, read = readers.first_entries(spark, path, index, 5, shape)
+    assert {x["key"] for x in first.collect()} == set(sorted(records)[:5]) and read < size / 8
+    whole = {x["key"]: x["value"]["t"] for x in readers.object_entries(spark, path, shape).collect()}
+    assert whole == {k: v["t"] for k, v in records.items()}
+
+
+def test_episode_source_reads_only_what_is_asked_for(spark, tmp_path, monkeypatch):
+    from tessera.sources import episodes
+
+    records = corpus_files(tmp_path)
+    speech, items, songs = (str(tmp_path / x) for x in ("object.json", "list.json", "lines.jsonl"))
+    made = {speech: readers.object_index(spark, speech), items: readers.object_index(spark, items, "id"), songs: readers.line_index(spark, songs, "track")}
+    at = {path: f"{tmp_path}/index-{k}" for k, path in enumerate(made)}
+    for path, index in made.items():
+        episodes.write_index(index, at[path], 6)
+    rows_ = lambda path: episodes.episodes(spark, path, at[path])
+    value = lambda rows, keyed=True: {x["episode_id"]: (x["value"]["n"], x["value"]["t"]) for x in episodes.record_values(rows, "struct<n:int,t:string>", keyed).collect()}
+    want = {k: (None if v["n"] == 7 else v["n"], v["t"]) for k, v in records.items()}
+    assert value(rows_(speech)) == want
+    assert value(rows_(items), False) == {k: (v["n"], v["t"]) for k, v in records.items()}
+    tracks = episodes.record_values(rows_(songs), "struct<n:int,t:string>", False).groupBy("episode_id").agg(F.sort_array(F.collect_list("value.n")).alias("n")).collect()
+    assert {x["episode_id"]: x["n"] for x in tracks} == {f"tr{j}": list(range(j, 60, 7)) for j in range(7)}
+    few = rows_(speech).where(F.col("episode_id").isin("ep001", "ep044", "zzz"))
+    assert value(few) == {k: want[k] for k in ("ep001", "ep044")} and value(rows_(speech).where("episode_id = 'ep010' and entry >= 0")) == {"ep010": want["ep010"]}
+    assert few.rdd.getNumPartitions() <= 2 < rows_(speech).rdd.getNumPartitions()
+    reader = episodes.EpisodeReader(speech, at[speech])
+    kept = list(reader.pushFilters([episodes.EqualTo(("episode_id",), "ep020"), episodes.EqualTo(("entry",), 3)]))
+    assert len(kept) == 1 and len(reader.partitions()) == 1 and reader.partitions()[0].ids == ["ep020"]
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 1
