@@ -16,7 +16,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 Maker = Callable[[], Callable]
@@ -164,3 +164,26 @@ def stand_in_judge() -> Callable:
         return out
 
     return judge
+
+
+def turn_function(spark: SparkSession, name: str, make: Maker) -> None:
+    """Registers a table function: ``SELECT * FROM name(TABLE(recordings) PARTITION BY episode_id)`` gives the turns of each recording (episode_id, content).
+
+    Turns are numbered over all rows of an episode in the order they come in; the maker runs once for each task, and a recording that
+    can't be read has no turns.
+    """
+
+    class Turns:
+        def __init__(self):
+            self.model, self.n = make(), 0
+
+        def eval(self, row: Row):
+            try:
+                found = self.model(bytes(row["content"])) if row["content"] is not None else []
+            except Exception:  # as documented
+                found = []
+            for start, end, speaker in found:
+                yield str(row["episode_id"]), self.n, float(start), float(end), speaker
+                self.n += 1
+
+    spark.udtf.register(name, F.udtf(Turns, returnType="episode_id string, turn_idx int, start double, `end` double, speaker string"))

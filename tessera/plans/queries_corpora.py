@@ -261,9 +261,27 @@ u AS (SELECT *, sum(CASE WHEN rn = 1 OR b - a >= 8 THEN 1 ELSE 0 END) OVER (PART
 f AS (SELECT m.episode_id, CASE WHEN x.b - x.a < 8 THEN x.a ELSE m.a END AS a, m.b, m.speaker FROM m LEFT JOIN m x ON x.episode_id = m.episode_id AND m.g = 2 AND x.g = 1), t1 AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY a, b) - 1 AS turn_idx FROM f WHERE b - a >= 8)"""
 
 
-def _stage_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(episode_id, content): each conversation as a recording whose bytes tell its turns."""
     cv = adapters.turn_segments(spark, sf_dir).where("`end` > start")
-    recordings = cv.groupBy(F.col("episode_id").cast("string").alias("episode_id")).agg(F.to_json(F.collect_list(F.struct("start", "end", "speaker"))).cast("binary").alias("content"))
+    return cv.groupBy(F.col("episode_id").cast("string").alias("episode_id")).agg(F.to_json(F.collect_list(F.struct("start", "end", "speaker"))).cast("binary").alias("content"))
+
+
+@query("turn_function", f"""WITH {SQL_CV} SELECT episode_id::VARCHAR AS episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY "start", "end", speaker)::INT - 1 AS turn_idx, round("start", 6) AS a, round("end", 6) AS b, speaker FROM cv WHERE "end" > "start" """)
+def turn_function(spark, sf_dir):
+    """Turns of recordings by a table function in SQL."""
+    experts.turn_function(spark, "turns_of", _sorted_diariser)
+    return spark.sql("SELECT episode_id, turn_idx, round(start, 6) AS a, round(`end`, 6) AS b, speaker FROM turns_of(TABLE({recordings}) PARTITION BY episode_id)", recordings=_recordings(spark, sf_dir))
+
+
+def _sorted_diariser():
+    """The stand-in's turns in the order of their times."""
+    found = _diariser()
+    return lambda content: sorted(found(content))
+
+
+def _stage_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recordings = _recordings(spark, sf_dir)
     say = lambda: lambda part, rate: f"{len(part)} at {rate}"
     vector = lambda: lambda part, rate: [float(len(part)), 1.0]
     return extraction.stage_one(recordings, _turn_reader, _diariser, say, vector, 8.0, 20.0)
