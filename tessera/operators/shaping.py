@@ -86,32 +86,84 @@ def change_points(windows: DataFrame, key: str, order: str, vector: str, thresho
     return marked.withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_u", "_new")
 
 
+#: Rows of distances that are held at once.
+ROWS = 256
+
+
+def squared_distances(unit: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Of unit vectors; what is nothing but the rounding of equal ones is 0."""
+    apart = 2 - 2 * unit @ other.T
+    return np.where(apart < 1e-12, 0.0, apart)
+
+
+def middle_distance(unit: np.ndarray) -> float:
+    """The median of the squared distances of all pairs of unit vectors, in memory for some rows: the two middle values by counting, digit by digit."""
+    n = len(unit)
+    pairs = n * (n - 1) // 2
+
+    def parts():
+        for at in range(0, n, ROWS):
+            apart = squared_distances(unit[at : at + ROWS], unit)
+            yield np.concatenate([apart[k, at + k + 1 :] for k in range(len(apart))])
+
+    def ranked(place: int) -> float:
+        """The value at a place of all distances in order: numbers of 0 or more are ordered as their bits."""
+        prefix, left = 0, place
+        for shift in (48, 32, 16, 0):
+            counts = np.zeros(1 << 16, np.int64)
+            for part in parts():
+                bits = (part + 0.0).view(np.uint64)
+                if shift < 48:
+                    bits = bits[(bits >> np.uint64(shift + 16)) == np.uint64(prefix)]
+                counts += np.bincount(((bits >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+            sums = np.cumsum(counts)
+            digit = int(np.searchsorted(sums, left, "right"))
+            left -= int(sums[digit] - counts[digit])
+            prefix = prefix << 16 | digit
+        return float(np.array([prefix], np.uint64).view(np.float64)[0])
+
+    high = ranked(pairs // 2)
+    return high if pairs % 2 else (ranked(pairs // 2 - 1) + high) / 2
+
+
 def segmented(vectors: np.ndarray, penalty: float, least: int = 1) -> list[int]:
     """Ends of the segments of at least ``least`` rows with the least total cost plus ``penalty`` for each change.
 
     A segment's cost is its rows' scatter in the feature space of a Gaussian kernel on unit vectors (width: the median of
     their squared distances): the number of rows less the mean of the kernel over all its pairs times that number.  Exact
-    dynamic programming; of equal costs the earlier cut.
+    dynamic programming; of equal costs the earlier cut.  A start that can't be beaten back is dropped: if it and its segment
+    up to some end cost more than the best up to there, then from ``least`` rows on a cut at that end is always better, since
+    parting a segment never adds to its cost.  The kernel is made column by column, from the earliest start that is left;
+    memory grows with the rows alone.
     """
     n = len(vectors)
     if n < 2 * least:
         return [n]
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    apart = np.maximum(2 - 2 * unit @ unit.T, 0)
-    middle = np.median(apart[np.triu_indices(n, 1)])
-    kernel = np.exp(-np.clip(apart / (middle if middle > 0 else 1.0), 1e-2, 1e2))
-    np.fill_diagonal(kernel, 1.0)
-    sums = np.zeros((n + 1, n + 1))
-    np.cumsum(np.cumsum(kernel, axis=0), axis=1, out=sums[1:, 1:])
+    middle = middle_distance(unit)
+    width = middle if middle > 0 else 1.0
     best, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
     best[0] = -penalty
-    for end in range(least, n + 1):
-        start = np.arange(0, end - least + 1)
-        size = end - start
-        cost = size - (sums[end, end] - sums[start, end] - sums[end, start] + sums[start, start]) / size
-        total = best[start] + cost + penalty
+    starts, sums = np.zeros(0, np.int64), np.zeros(0)  # the starts that are left, and the kernel's sum over each one's rows
+    until = np.full(n + 1, n + 1)  # a start serves for ends before this
+    for end in range(1, n + 1):
+        if np.isfinite(best[end - 1]):
+            starts, sums = np.append(starts, end - 1), np.append(sums, 0.0)
+        kept = until[starts] > end
+        starts, sums = starts[kept], sums[kept]
+        first = int(starts[0])
+        row = np.exp(-np.clip(squared_distances(unit[first:end], unit[end - 1]) / width, 1e-2, 1e2))
+        row[-1] = 1.0
+        behind = np.cumsum(row[::-1])[::-1]  # with all rows from each place on
+        sums = sums + 2 * behind[starts - first] - 1
+        size = end - starts
+        total = np.where(size >= least, best[starts] + size - sums / size + penalty, np.inf)
+        if end < least or not np.isfinite(total).any():
+            continue
         k = int(np.argmin(np.round(total, 9)))
-        best[end], cut[end] = total[k], start[k]
+        best[end], cut[end] = total[k], starts[k]
+        beaten = starts[(size >= least) & (total - penalty > best[end] + 1e-7)]
+        until[beaten] = np.minimum(until[beaten], end + least)
     ends = [n]
     while cut[ends[-1]]:
         ends.append(int(cut[ends[-1]]))
@@ -119,7 +171,7 @@ def segmented(vectors: np.ndarray, penalty: float, least: int = 1) -> list[int]:
 
 
 def kernel_change_points(windows: DataFrame, key: str, order: str, vector: str, penalty: float, least: int = 1) -> DataFrame:
-    """(key, order, segment): segments from 1 of each key's vectors in order, by ``segmented``.  A key is a recording, whose windows fit a task (memory: the square of their number)."""
+    """(key, order, segment): segments from 1 of each key's vectors in order, by ``segmented``.  A key is a recording, whose windows fit a task."""
     kinds = dict(windows.dtypes)
 
     def number(rows: pa.Table) -> pa.Table:

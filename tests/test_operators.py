@@ -832,3 +832,58 @@ def test_episode_source_reads_only_what_is_asked_for(spark, tmp_path, monkeypatc
     kept = list(reader.pushFilters([episodes.EqualTo(("episode_id",), "ep020"), episodes.EqualTo(("entry",), 3)]))
     assert len(kept) == 1 and len(reader.partitions()) == 1 and reader.partitions()[0].ids == ["ep020"]
     assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 1
+
+
+def segmented_by_all_pairs(vectors, penalty, least):
+    """The same by the whole matrix of the kernel, without dropping a start."""
+    import numpy as np
+
+    n = len(vectors)
+    if n < 2 * least:
+        return [n]
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    apart = 2 - 2 * unit @ unit.T
+    apart[apart < 1e-12] = 0  # equal vectors
+    middle = np.median(apart[np.triu_indices(n, 1)])
+    kernel = np.exp(-np.clip(apart / (middle if middle > 0 else 1.0), 1e-2, 1e2))
+    np.fill_diagonal(kernel, 1.0)
+    sums = np.zeros((n + 1, n + 1))
+    np.cumsum(np.cumsum(kernel, axis=0), axis=1, out=sums[1:, 1:])
+    best, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+    best[0] = -penalty
+    for end in range(least, n + 1):
+        start = np.arange(0, end - least + 1)
+        size = end - start
+        cost = size - (sums[end, end] - sums[start, end] - sums[end, start] + sums[start, start]) / size
+        total = best[start] + cost + penalty
+        k = int(np.argmin(np.round(total, 9)))
+        best[end], cut[end] = total[k], start[k]
+    ends = [n]
+    while cut[ends[-1]]:
+        ends.append(int(cut[ends[-1]]))
+    return ends[::-1]
+
+
+def test_pruned_change_points_equal_those_of_the_whole_matrix():
+    import numpy as np
+    from tessera.operators import shaping
+
+    r = np.random.default_rng(9)
+    for k in range(100):
+        parts = [r.normal(size=6) + 0.3 * r.normal(size=(r.integers(1, 25), 6)) for _ in range(r.integers(1, 6))]
+        v = np.concatenate(parts)
+        if k % 10 == 0:
+            v[:] = v[0]
+        penalty, least = float(r.choice([0.2, 1.0, 2.0, 5.0])), int(r.choice([1, 2, 3, 5]))
+        assert shaping.segmented(v, penalty, least) == segmented_by_all_pairs(v, penalty, least), k
+        unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        if len(v) > 1:
+            apart = shaping.squared_distances(unit, unit)
+            assert abs(shaping.middle_distance(unit) - np.median(apart[np.triu_indices(len(v), 1)])) < 1e-12
+    import tracemalloc
+
+    long = np.concatenate([r.normal(size=4) + 0.2 * r.normal(size=(150, 4)) for _ in range(20)])
+    tracemalloc.start()
+    found = shaping.segmented(long, 3.0, 3)
+    assert len(found) >= 15 and tracemalloc.get_traced_memory()[1] < 60e6  # the whole matrix alone takes 72 MB, its sums as much again
+    tracemalloc.stop()
