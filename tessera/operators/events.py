@@ -47,15 +47,34 @@ def spoken_trends(trends: DataFrame, segments: DataFrame, share: float = 0.7, ke
 
 
 def suppressed(candidates: DataFrame, keys: list[str], strength: Column, guard: float = 60.0) -> DataFrame:
-    """Greedy suppression: strongest first, a candidate is kept if none kept before lies within ``guard`` of it.
+    """Greedy suppression: strongest first, a candidate is kept if none kept before lies within ``guard`` of it; of equals the earlier.
 
-    An ordered fold over each key's candidates; a key's candidates are few (windows of one recording), so they fit one task.
+    In rounds over the pairs that are too near each other, found in the cells of a grid: what no stronger candidate is near to is
+    kept, what is near to a kept one goes, and the rest is judged anew.  A round settles every peak of the recordings at once; no
+    list of a recording's candidates is made.  Rows with a null take no part.
     """
-    item = F.struct((-strength).alias("s"), "lo", "hi")
-    far = lambda kept, c: ~F.exists(kept, lambda x: (c["lo"] < x["hi"] + guard) & (c["hi"] > x["lo"] - guard))
-    none = F.array().cast("array<struct<s:double,lo:double,hi:double>>")
-    kept = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all")).withColumn("_kept", F.aggregate("_all", none, lambda kept, c: F.when(far(kept, c), F.concat(kept, F.array(c))).otherwise(kept)))
-    return kept.select(*keys, F.explode("_kept").alias("_k")).select(*keys, "_k.lo", "_k.hi", (-F.col("_k.s")).alias("strength"))
+    rows = candidates.select(*keys, F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), (-strength).cast("double").alias("_s"))
+    nodes = stored(rows.dropna().distinct().withColumn("_id", F.monotonically_increasing_id()), "candidates")
+    widest = nodes.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0.0
+    cell = F.floor(F.col("lo") / F.lit(max(widest + guard, 1e-9)))
+    weak = nodes.select(*keys, "lo", "hi", F.struct("_s", "lo", "hi").alias("_place"), F.col("_id").alias("a"), cell.alias("_cell"))
+    strong = nodes.select(*keys, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.struct("_s", "lo", "hi").alias("_than"), F.col("_id").alias("b"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
+    near = (F.col("lo") < F.col("_hi") + guard) & (F.col("hi") > F.col("_lo") - guard) & (F.col("_than") < F.col("_place"))
+    pairs = stored(weak.join(strong, [*keys, "_cell"]).where(near).select("a", "b"), "pairs")
+    free, kept = nodes.select(F.col("_id").alias("a")).join(pairs, "a", "left_anti"), []
+    free = stored(free, "free")
+    while True:
+        kept.append(free)
+        gone = pairs.join(free.select(F.col("a").alias("b")), "b").select("a").distinct()
+        left = pairs.join(gone, "a", "left_anti")
+        rest = stored(left.join(gone.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"), "pairs")
+        free = stored(left.select("a").distinct().join(rest, "a", "left_anti"), "free")
+        discard(pairs)
+        pairs = rest
+        if free.isEmpty():
+            break
+    out = nodes.join(reduce(DataFrame.unionByName, kept).select(F.col("a").alias("_id")), "_id")
+    return out.select(*keys, "lo", "hi", (-F.col("_s")).alias("strength"))
 
 
 def flat_window(windows: DataFrame, excluded: DataFrame, keys: list[str], guard: float = 60.0) -> DataFrame:

@@ -887,3 +887,25 @@ def test_pruned_change_points_equal_those_of_the_whole_matrix():
     found = shaping.segmented(long, 3.0, 3)
     assert len(found) >= 15 and tracemalloc.get_traced_memory()[1] < 60e6  # the whole matrix alone takes 72 MB, its sums as much again
     tracemalloc.stop()
+
+
+def test_suppression_in_rounds_is_the_greedy_one(spark):
+    import random
+
+    r = random.Random(6)
+    rows_ = []
+    for key in "abcd":
+        for _ in range(r.choice([1, 30, 60])):
+            lo = r.randint(0, 900) if key != "d" else 10 * r.randint(0, 60)
+            rows_.append((key, float(lo), float(lo + r.choice([5, 30, 80])), r.choice([0.1, 0.2, 0.2, 0.7, round(r.random(), 3)])))
+    rows_ += [("e", 10.0 * k, 10.0 * k + 30, float(k)) for k in range(40)] + [("e", 10.0, 40.0, 1.0)]  # a chain: each is stronger than the last
+    df = spark.createDataFrame(rows_, "k string, lo double, hi double, s double")
+    got = {(x["k"], x["lo"], x["hi"], x["strength"]) for x in events.suppressed(df, ["k"], F.col("s"), 20.0).collect()}
+    want = set()
+    for key in "abcde":
+        kept = []
+        for s, lo, hi in sorted({(-s, lo, hi) for k, lo, hi, s in rows_ if k == key}):
+            if not any(lo < b + 20 and hi > a - 20 for a, b in kept):
+                kept.append((lo, hi))
+                want.add((key, lo, hi, -s))
+    assert got == want and events.suppressed(df.limit(0), ["k"], F.col("s")).count() == 0
