@@ -52,8 +52,12 @@ def search_keyword(sets: DataFrame, segments: DataFrame, limit: int = KEYWORD_LI
 
 
 def search_vectors(sets: DataFrame, vectors: DataFrame, source: str, k: int = VECTOR_K) -> DataFrame:
-    """The ``k`` vectors of the episode and window most like the set's ``query_vector`` by cosine; filtered first, then exact (see ``vectors.Blocks``)."""
-    asked = sets.where("query_vector is not null").withColumn("qid", F.struct(*SET))
+    """The ``k`` vectors of the episode and window most like the set's by cosine; filtered first, then exact (see ``vectors.Blocks``).
+
+    A set's vector is ``query_vector``, or ``<source>_vector`` where sets have one for each space.
+    """
+    own = f"{source}_vector" if f"{source}_vector" in sets.columns else "query_vector"
+    asked = sets.where(F.col(own).isNotNull()).select(F.struct(*SET).alias("qid"), "episode_id", "lo", "hi", F.col(own).alias("query_vector"))
     found, _ = Blocks(vectors).search(asked, k)
     return _hits(found.select("qid.*", "seg_id", "start", "end", "idx", F.col("score").alias("_score")), source, F.round(F.col("_score"), 3), [F.col("_score").desc(), "idx"], k)
 
@@ -70,15 +74,18 @@ def fuse(hits: DataFrame, top_k: int = TOP_K) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*SET).orderBy("start", "_r"))).select(*SET, "rank", "seg_id", "start", "end", "sources", "fused")
 
 
-def dispatch(sets: DataFrame, segments: DataFrame, vectors: dict[str, DataFrame] | None = None, modalities: tuple[str, ...] = ("time", "label", "keyword"), top_k: int = TOP_K) -> DataFrame:
-    """Every enabled modality over every set, then fusion.  Time search runs whenever it is enabled, whatever a set asks for."""
-    parts = []
+def dispatch(sets: DataFrame, segments: DataFrame, vectors: dict[str, DataFrame] | None = None, modalities: tuple[str, ...] = ("time", "label", "keyword"), top_k: int = TOP_K, searched: list[str] | None = None) -> DataFrame:
+    """Every enabled modality over every set, then fusion.  Time search runs whenever it is enabled, whatever a set asks for.
+
+    ``searched``: the sets' columns that the searches of segments need, without the vectors.
+    """
+    parts, plain = [], sets if searched is None else sets.select(*searched)
     if "time" in modalities:
-        parts.append(search_time(sets, segments))
+        parts.append(search_time(plain.drop("label"), segments))
     if "label" in modalities:
-        parts.append(search_label(sets, segments))
+        parts.append(search_label(plain, segments))
     if "keyword" in modalities:
-        parts.append(search_keyword(sets, segments))
+        parts.append(search_keyword(plain.drop("label"), segments))
     for source in ("text_emb", "audio_emb", "domain_emb"):
         if source in modalities and vectors and source in vectors:
             parts.append(search_vectors(sets, vectors[source], source))

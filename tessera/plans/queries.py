@@ -228,6 +228,32 @@ def fuse_evidence_topk_all(spark, sf_dir):
     return retrieval.fuse(hits, 3).select("query_id", "set_no", "seg_id", "fused", "rank")
 
 
+SIX_SQL = """sg AS (SELECT vec_id AS ord, 'v' || vec_id AS seg_id, label::BIGINT AS episode_id, vec_id * 10.0::DOUBLE AS "start", vec_id * 10.0::DOUBLE + 10 AS "end", 'L' || vec_id % 3 AS label, (vec_id % 10) / 10.0::DOUBLE AS label_score, 'a word' || vec_id % 7 AS text, embedding::DOUBLE[] AS e FROM embeddings),
+st AS (SELECT ord AS query_id, 0 AS set_no, episode_id, ord * 10 - 3000 AS lo, ord * 10 + 3000 AS hi, 'WORD' || ord % 7 AS word, e FROM sg WHERE ord % 50 = 0),
+p AS (SELECT query_id, set_no, seg_id, "start", "end", ord, lo, hi, label, label_score, text, word, round(list_cosine_similarity(st.e, sg.e), 6) AS te, round(list_cosine_similarity(list_reverse(st.e), sg.e), 6) AS au, round(list_cosine_similarity(st.e[1:8], sg.e[1:8]), 6) AS de
+    FROM st JOIN sg USING (episode_id) WHERE "end" > lo AND "start" < hi),
+tm AS (SELECT *, round((least("end", hi) - greatest("start", lo)) / (hi - lo)::DOUBLE, 3) AS score FROM p),
+h AS (SELECT query_id, set_no, seg_id, "start", "end", score, 'time' AS source, 0 AS m, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS o FROM tm
+    UNION ALL SELECT query_id, set_no, seg_id, "start", "end", round(label_score, 3), 'label', 1, row_number() OVER (PARTITION BY query_id ORDER BY ord) FROM p WHERE label = 'L1'
+    UNION ALL SELECT * FROM (SELECT query_id, set_no, seg_id, "start", "end", round(te, 3), 'text_emb', 2, row_number() OVER (PARTITION BY query_id ORDER BY te DESC, ord) AS o FROM p) WHERE o <= 5
+    UNION ALL SELECT * FROM (SELECT query_id, set_no, seg_id, "start", "end", 1.0::DOUBLE, 'keyword', 3, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS o FROM p WHERE contains(text, lower(word))) WHERE o <= 10
+    UNION ALL SELECT * FROM (SELECT query_id, set_no, seg_id, "start", "end", round(au, 3), 'audio_emb', 4, row_number() OVER (PARTITION BY query_id ORDER BY au DESC, ord) AS o FROM p) WHERE o <= 5
+    UNION ALL SELECT * FROM (SELECT query_id, set_no, seg_id, "start", "end", round(de, 3), 'domain_emb', 5, row_number() OVER (PARTITION BY query_id ORDER BY de DESC, ord) AS o FROM p) WHERE o <= 5)"""
+
+
+@query("hybrid_six", f"""WITH {SIX_SQL}, {FUSE_SQL.format(k=10)}""")
+def hybrid_six(spark, sf_dir):
+    """All six modalities at once: by time, label, word, and in three spaces of vectors, each with a vector of its own in every set."""
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.col("vec_id").alias("idx"), F.concat(F.lit("v"), "vec_id").alias("seg_id"), F.col("label").cast("long").alias("episode_id"), (F.col("vec_id") * 10.0).alias("start"), (F.col("vec_id") * 10.0 + 10).alias("end"), F.col("embedding").cast("array<double>").alias("embedding"))
+    segments = v.select("ord", "seg_id", "episode_id", "start", "end", F.concat(F.lit("L"), F.col("ord") % 3).alias("label"), (F.col("ord") % 10 / F.lit(10.0)).alias("label_score"), F.concat(F.lit("a word"), F.col("ord") % 7).alias("text"))
+    k = F.col("ord")
+    sets = v.where("ord % 50 = 0").select(k.alias("query_id"), F.lit(0).alias("set_no"), "episode_id", (k * 10 - 3000).alias("lo"), (k * 10 + 3000).alias("hi"), F.lit("l1").alias("label"), F.concat(F.lit("WORD"), k % 7).alias("keyword"), F.col("embedding").alias("text_emb_vector"), F.reverse("embedding").alias("audio_emb_vector"), F.slice("embedding", 1, 8).alias("domain_emb_vector"))
+    spaces = {"text_emb": v, "audio_emb": v, "domain_emb": v.withColumn("embedding", F.slice("embedding", 1, 8))}
+    bare = ["query_id", "set_no", "episode_id", "lo", "hi", "label", "keyword"]
+    out = retrieval.dispatch(sets, segments, spaces, tuple(retrieval.MODALITIES), searched=bare)
+    return out.select("query_id", "set_no", "seg_id", "fused", "rank")
+
+
 @query("clip_span", f"""WITH {SETS_SQL}, {SQL_EV}, {WORD_SQL}, e AS (SELECT query_id, set_no, trunc(min("start"))::BIGINT AS a, trunc(max("end"))::BIGINT AS b FROM kw GROUP BY ALL)
 SELECT query_id, set_no, coalesce(a, lo)::BIGINT AS lo, least(coalesce(b, hi), coalesce(a, lo) + 60)::BIGINT AS hi FROM sets LEFT JOIN e USING (query_id, set_no)""")
 def clip_span(spark, sf_dir):
