@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import truncated
+from tessera.operators.sampling import first_n
 
 
 def segment_line(start: Column, end: Column, speaker: Column, text: Column, sources: Column | None = None) -> Column:
@@ -23,11 +24,13 @@ def evidence_blocks(evidence: DataFrame) -> DataFrame:
 
 
 def truth_block(segments: DataFrame, key: str, most: int = 3) -> DataFrame:
-    """(key, block): the first ``most`` segments of each key, and how many more there are."""
+    """(key, block): the first ``most`` segments of each key, and how many more there are.  Segments beyond those are only counted."""
     line = segment_line(F.col("start"), F.col("end"), F.col("speaker"), F.col("text"))
-    rows = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", line.alias("line")))).alias("all"))
-    more = F.when(F.size("all") > most, F.concat(F.lit("\n... and "), (F.size("all") - most).cast("string"), F.lit(" more"))).otherwise("")
-    return rows.select(key, F.concat(F.array_join(F.transform(F.slice("all", 1, most), lambda x: x["line"]), "\n"), more).alias("block"))
+    counts = segments.groupBy(F.col(key).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    few = first_n(segments.select(key, "start", line.alias("line")), [key], ["start", "line"], most)
+    rows = few.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "line"))).alias("few")).join(counts, F.col(key).eqNullSafe(F.col("_of")))
+    more = F.when(F.col("_n") > most, F.concat(F.lit("\n... and "), (F.col("_n") - most).cast("string"), F.lit(" more"))).otherwise("")
+    return rows.select(key, F.concat(F.array_join(F.transform("few", lambda x: x["line"]), "\n"), more).alias("block"))
 
 
 def emotion_line(s: Column) -> Column:
