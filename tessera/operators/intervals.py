@@ -9,22 +9,37 @@ from pyspark.sql import functions as F
 from tessera.functions.numbers import overlap
 from tessera.operators.scan import Line, Running
 
+#: Fixed value: how much wider each next grid of an interval join is.
+FINER = 4
+
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, bucket: float | None = None, how: str = "inner") -> DataFrame:
     """Rows of ``left`` (start, end) and ``right`` (lo, hi) of one key that overlap, open at both ends.
 
-    Without ``bucket`` this is an equi-join on the key with a range condition, right where a key has few rows.  With it both sides
-    are also cut along a grid of that width, so rows meet only in shared cells and a key with many rows spreads; each pair is
-    kept in the first cell that both have.  Choose a width near the longest interval.
+    Without ``bucket`` this is an equi-join on the key with a range condition, right where a key has few rows.  With it rows meet
+    only in shared cells, so a key with many rows spreads.  An interval lies in one or two cells of a grid about as wide as itself,
+    the finest of that width and each next one ``FINER`` times as wide.  Two intervals overlap only if one holds the other's start,
+    which is looked up once in each grid that is in use; so rows grow with the rows, however long the intervals are.
     """
     meet = (F.col("end") > F.col("lo")) & (F.col("start") < F.col("hi"))
+    right = right.withColumnRenamed(key, "_k")
     if bucket is None:
-        return left.join(right.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & meet, how).drop("_k")
-    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.greatest(F.col(a), F.col(b)) / bucket)))
-    l = left.withColumn("_cell", cells("start", "end"))  # noqa: E741
-    r = right.withColumnRenamed(key, "_k").withColumn("_cell2", cells("lo", "hi"))
-    first = F.floor(F.greatest(F.col("start"), F.col("lo")) / bucket)
-    return l.join(r, (F.col(key) == F.col("_k")) & (F.col("_cell") == F.col("_cell2")) & meet & (F.col("_cell") == first)).drop("_cell", "_cell2", "_k")
+        return left.join(right, (F.col(key) == F.col("_k")) & meet, how).drop("_k")
+    later = _held(right, "_k", "lo", "hi", left, key, "start", bucket).where(meet & (F.col("start") > F.col("lo")))
+    held = _held(left, key, "start", "end", right, "_k", "lo", bucket).where(meet & (F.col("start") <= F.col("lo")))
+    return held.unionByName(later.select(*held.columns)).drop("_k")
+
+
+def _held(spans: DataFrame, key: str, a: str, b: str, others: DataFrame, other_key: str, at: str, bucket: float) -> DataFrame:
+    """Pairs of ``spans`` (a, b) and ``others`` whose ``at`` is in a cell of the span; each pair at most once."""
+    width = lambda grid: bucket * F.pow(F.lit(float(FINER)), grid)
+    grid = F.greatest(F.lit(0.0), F.ceil(F.log(float(FINER), F.greatest(F.col(b) - F.col(a), F.lit(bucket)) / bucket))).cast("int")
+    known = spans.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    used = known.agg(F.collect_set(grid).alias("_grids"))  # one row
+    cell = lambda c, g: F.floor(F.col(c) / width(F.col(g)))
+    s = known.withColumn("_grid", grid).withColumn("_cell", F.explode(F.sequence(cell(a, "_grid"), F.greatest(cell(a, "_grid"), cell(b, "_grid")))))
+    o = others.where(F.col(at).isNotNull()).crossJoin(F.broadcast(used)).withColumn("_grid2", F.explode("_grids")).withColumn("_cell2", cell(at, "_grid2")).drop("_grids")
+    return s.join(o, (F.col(key) == F.col(other_key)) & (F.col("_grid") == F.col("_grid2")) & (F.col("_cell") == F.col("_cell2"))).drop("_grid", "_cell", "_grid2", "_cell2")
 
 
 def coverage(truth: DataFrame, windows: DataFrame, key: str = "episode_id", bucket: float | None = None) -> DataFrame:

@@ -127,6 +127,12 @@ def test_audio_files_of_folders(spark, tmp_path):
     assert got == {"a/x": b"in/a/x.flac", "b/x": b"in/b/x.mp3", "y": b"in/y.wav"}
 
 
+def test_interval_join_does_not_grow_with_the_length_of_intervals(spark):
+    long = [("a", k, float(a), float(b)) for k, (a, b) in enumerate([(0, 1e12), (5, 6), (-3e9, 7e9), (4e11, 4e11 + 9), (6, 5), (8e11, 9e11)])]
+    left, right = spark.createDataFrame(long, "k string, i int, start double, `end` double"), spark.createDataFrame(long, "k string, j int, lo double, hi double")
+    assert rows(intervals.overlap_join(left, right, "k"), "i", "j") == rows(intervals.overlap_join(left, right, "k", bucket=1.0), "i", "j")
+
+
 def test_timeline(spark):
     songs = spark.createDataFrame([("t", k, d) for k, d in enumerate([200000.0, 180000.0, 250000.0, 150000.0])], "track string, k int, ms double")
     assert [r[1] for r in rows(intervals.timeline(songs, F.col("ms"), "track", ["k"], 3000.0), "k", "start")] == [0, 197000, 374000, 621000]
@@ -524,6 +530,13 @@ def test_running_values_of_groups_that_span_partitions(spark):
     assert twice.where("a - 1 <> coalesce(b, 0)").count() == 0
 
 
+def test_running_back_does_not_add_anew_for_each_row(spark):
+    from tessera.operators.scan import Line, Running
+
+    line = Line(spark.range(9).select("id", F.lit(1).alias("g")), ["g"], ["id"]).scan(a=Running("last", F.col("id"), back=True), b=Running("min", F.col("id"), True, True))
+    assert "unboundedfollowing" not in line.done()._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_one_long_recording_spreads(spark):
     """Operators on running values give what windows over a whole recording gave, with one recording over all partitions."""
     from pyspark.sql import Window
