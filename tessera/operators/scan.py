@@ -23,14 +23,19 @@ class Running:
     before: bool = False
     back: bool = False
 
-    def over(self, window) -> Column:
-        first, last = (0 + self.before, Window.unboundedFollowing) if self.back else (Window.unboundedPreceding, 0 - self.before)
-        return self.of(self.column, window.rowsBetween(first, last))
+    def over(self, by: list[str], order: str) -> Column:
+        """Over the rows of a group.  What runs back from the end runs over the reverse order: Spark adds anew for each row up to a frame's end."""
+        window = Window.partitionBy(*by).orderBy(F.col(order).desc() if self.back else F.col(order)).rowsBetween(Window.unboundedPreceding, 0 - self.before)
+        return F.last(self.column, True).over(window) if self.kind == "last" else self._total().over(window)
 
-    def of(self, column: Column, frame) -> Column:
+    def whole(self, order: str) -> Column:
+        """Over all rows of a group at once."""
         if self.kind == "last":
-            return (F.first if self.back else F.last)(column, True).over(frame)
-        return {"sum": F.sum, "max": F.max, "min": F.min}[self.kind](column).over(frame)
+            return (F.min_by if self.back else F.max_by)(self.column, F.when(self.column.isNotNull(), F.col(order)))
+        return self._total()
+
+    def _total(self) -> Column:
+        return {"sum": F.sum, "max": F.max, "min": F.min}[self.kind](self.column)
 
     def joined(self, near: Column, far: Column) -> Column:
         """The value of a stretch and of what lies beyond it."""
@@ -52,25 +57,21 @@ class Line:
         self.made: DataFrame | None = None
         if not placed:
             n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            rows = self.made = stored(rows.repartitionByRange(n, *by, *order).withColumn("_p", F.spark_partition_id()), "line")
+            dealt = rows.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
+            rows = self.made = stored(dealt.withColumn("_p", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "line")
         self.rows = rows
 
     def scan(self, **running: Running) -> Line:
         """The same rows, in the same places, with a column for each running value."""
-        w = Window.partitionBy("_p", *self.by).orderBy(*self.order)
-        local = self.rows.withColumns({f"_near_{k}": r.over(w) for k, r in running.items()})
-        whole = {f"_all_{k}": Running(r.kind, r.column, False, r.back).over(w) for k, r in running.items()}
-        ends = self.rows.withColumns(whole | {"_last": F.lead(F.lit(1)).over(w).isNull(), "_first": F.lag(F.lit(1)).over(w).isNull()})
-        out = local
+        out = self.rows.withColumns({f"_near_{k}": r.over(["_p", *self.by], "_at") for k, r in running.items()})
         for back in (False, True):
             some = {k: r for k, r in running.items() if r.back == back}
             if not some:
                 continue
-            totals = ends.where("_first" if back else "_last").select("_p", *self.by, *[f"_all_{k}" for k in some])
-            beyond = Window.partitionBy(*self.by).orderBy("_p")
-            frame = beyond.rowsBetween(1, Window.unboundedFollowing) if back else beyond.rowsBetween(Window.unboundedPreceding, -1)
-            other = (F.lead if back else F.lag)("_p").over(beyond)
-            carried = totals.select(F.col("_p").alias("_q"), *[F.col(b).alias(f"_by{j}") for j, b in enumerate(self.by)], other.alias("_other"), *[r.of(F.col(f"_all_{k}"), frame).alias(f"_far_{k}") for k, r in some.items()])
+            totals = self.rows.groupBy("_p", *self.by).agg(*[r.whole("_at").alias(f"_all_{k}") for k, r in some.items()])
+            other = (F.lead if back else F.lag)("_p").over(Window.partitionBy(*self.by).orderBy("_p"))
+            beyond = {k: Running(r.kind, F.col(f"_all_{k}"), True, back).over(self.by, "_p") for k, r in some.items()}
+            carried = totals.select(F.col("_p").alias("_q"), *[F.col(b).alias(f"_by{j}") for j, b in enumerate(self.by)], other.alias("_other"), *[x.alias(f"_far_{k}") for k, x in beyond.items()])
             on = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_by{j}")) for j, b in enumerate(self.by)], F.col("_p") == F.col("_q"))
             out = out.join(F.broadcast(carried.where("_other is not null").drop("_other")), on, "left")
             out = out.withColumns({k: r.joined(F.col(f"_near_{k}"), F.col(f"_far_{k}")) for k, r in some.items()}).drop("_q", *[f"_by{j}" for j in range(len(self.by))], *[f"_far_{k}" for k in some], *[f"_near_{k}" for k in some])
@@ -80,7 +81,7 @@ class Line:
 
     def done(self) -> DataFrame:
         """The rows without their places."""
-        return self.rows.drop("_p")
+        return self.rows.drop("_p", "_at")
 
     def clear(self) -> None:
         """Delete the written rows, once nothing reads them any more."""
