@@ -75,3 +75,23 @@ def softmax(v: Column) -> Column:
     most = F.array_max(v)
     e = F.transform(v, lambda x: F.exp(x - most))
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+
+
+def one_digit(x: Column) -> Column:
+    """A number with one digit behind the point, rounded by its exact value, ties to even; Spark's %.1f rounds the shortest decimal, half up.
+
+    Differences of near numbers have no error, so the last step tells on which side of the middle a number lies.
+    """
+    size = F.abs(x.cast("double"))
+    low = F.floor(size * 10).cast("double")
+    middle = low + 0.5
+    side = (size * 8 - middle) + size * 2
+    whole = low + F.when((side > 0) | ((side == 0) & (low % 2 == 1)), 1).otherwise(0)
+    exact = F.concat(F.when(x < 0, "-").otherwise(""), F.format_string("%.1f", whole / 10))
+    return F.when(size < 1e14, exact).otherwise(F.format_string("%.1f", x.cast("double")))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded by its product with a power of ten, as the SQL of the queries does; Spark's ``round`` takes the shortest decimal."""
+    power = F.lit(float(10**digits))
+    return F.round(x * power) / power

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.numbers import one_digit
 from tessera.functions.text import truncated
 from tessera.operators.sampling import first_n
 
@@ -12,7 +13,7 @@ from tessera.operators.sampling import first_n
 def segment_line(start: Column, end: Column, speaker: Column, text: Column, sources: Column | None = None) -> Column:
     """"[lo-hi] speaker (source=score, ...): text"."""
     named = F.lit("") if sources is None else F.concat(F.lit(" ("), F.array_join(F.transform(F.map_entries(sources), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.3f", e["value"]))), ", "), F.lit(")"))
-    return F.concat(F.format_string("[%.1f-%.1f] ", start, end), F.coalesce(speaker, F.lit("?")), named, F.lit(": "), F.coalesce(truncated(text), F.lit("")))
+    return F.concat(F.lit("["), one_digit(start), F.lit("-"), one_digit(end), F.lit("] "), F.coalesce(speaker, F.lit("?")), named, F.lit(": "), F.coalesce(truncated(text), F.lit("")))
 
 
 def evidence_blocks(evidence: DataFrame) -> DataFrame:
