@@ -345,7 +345,7 @@ def gap_merge(spark, sf_dir):
 @query("crossfade_timeline", f"""WITH {SQL_CV} SELECT episode_id, ord, row_number() OVER w AS position, round(coalesce(sum(round(duration * 1000)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 3000 * (row_number() OVER w - 1), 3) AS starts FROM cv WINDOW w AS (PARTITION BY episode_id ORDER BY ord)""")
 def crossfade_timeline(spark, sf_dir):
     t = adapters.turn_segments(spark, sf_dir).withColumn("ms", F.round(F.col("duration") * 1000))
-    return intervals.timeline(t, F.col("ms"), "episode_id", ["ord"], 3000.0).select("episode_id", "ord", F.col("position").cast("long").alias("position"), F.round("start", 3).alias("starts"))
+    return intervals.timeline(t, F.col("ms"), "episode_id", ["ord"], 3000.0).select("episode_id", "ord", F.col("position").cast("long").alias("position"), numbers.rounded(F.col("start"), 3).alias("starts"))
 
 
 @query("tumbling_windows", f"""WITH {SQL_CV}, s AS (SELECT episode_id, min("start") AS a, max("end") AS b FROM cv GROUP BY 1), n AS (SELECT *, unnest(range(0, greatest(1, ceil((b - a) / 30.0::DOUBLE))::BIGINT)) AS i FROM s) SELECT episode_id, round(a + i * 30, 6) AS lo, round(least(b, a + (i + 1) * 30), 6) AS hi FROM n""")
@@ -375,7 +375,7 @@ def trends(spark, sf_dir) -> DataFrame:
 
 @query("sliding_trend", f"WITH {TREND_SQL} SELECT episode_id, round(lo, 3) AS lo, round(h1, 6) AS half1, round(h2, 6) AS half2 FROM tw WHERE abs(h2 - h1) > 0.08")
 def sliding_trend(spark, sf_dir):
-    return trends(spark, sf_dir).where("abs(delta) > 0.08").select("episode_id", F.round("lo", 3).alias("lo"), F.round("half1", 6).alias("half1"), F.round("half2", 6).alias("half2"))
+    return trends(spark, sf_dir).where("abs(delta) > 0.08").select("episode_id", numbers.rounded(F.col("lo"), 3).alias("lo"), F.round("half1", 6).alias("half1"), F.round("half2", 6).alias("half2"))
 
 
 NMS_SQL = f"""WITH RECURSIVE {TREND_SQL}, c AS (SELECT *, round(abs(h2 - h1), 9) AS s FROM tw WHERE abs(h2 - h1) > 0.08), o AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY s DESC, lo, hi) AS r FROM c),
@@ -390,13 +390,13 @@ def strongest(spark, sf_dir) -> DataFrame:
 
 @query("greedy_nms", NMS_SQL + " SELECT episode_id, round(k.lo, 3) AS lo, round(k.hi, 3) AS hi FROM k")
 def greedy_nms(spark, sf_dir):
-    return strongest(spark, sf_dir).select("episode_id", F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"))
+    return strongest(spark, sf_dir).select("episode_id", numbers.rounded(F.col("lo"), 3).alias("lo"), numbers.rounded(F.col("hi"), 3).alias("hi"))
 
 
 @query("flat_window", f"WITH {TREND_SQL}, ex AS (SELECT episode_id, lo, hi FROM tw WHERE abs(h2 - h1) > 60), fr AS (SELECT * FROM tw WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.episode_id = tw.episode_id AND tw.lo < ex.hi + 60 AND tw.hi > ex.lo - 60)) SELECT episode_id, round(lo, 3) AS lo FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY round(abs(h2 - h1), 9), lo) AS r FROM fr) WHERE r = 1")
 def flat_window(spark, sf_dir):
     found = trends(spark, sf_dir)
-    return events.flat_window(found, found.where("abs(delta) > 60"), ["episode_id"]).select("episode_id", F.round("lo", 3).alias("lo"))
+    return events.flat_window(found, found.where("abs(delta) > 60"), ["episode_id"]).select("episode_id", numbers.rounded(F.col("lo"), 3).alias("lo"))
 
 
 @query("multi_speaker_window", f"""WITH {SQL_EV}, sp AS (SELECT episode_id, min("start") AS a, max("end") AS b FROM ev GROUP BY 1), w AS (SELECT episode_id, a + i * 86400.0::DOUBLE AS lo, a + i * 86400.0::DOUBLE + 172800 AS hi FROM (SELECT *, unnest(range(0, floor((b - a - 172800) / 86400.0::DOUBLE)::BIGINT + 1)) AS i FROM sp WHERE b - a >= 172800)),
@@ -404,7 +404,7 @@ p AS (SELECT episode_id, lo, hi, speaker, sum(least("end", hi) - greatest("start
 g AS (SELECT episode_id, lo, count(*) AS speakers, round(max(v) - min(v), 6) AS dv FROM p GROUP BY episode_id, lo, hi HAVING count(*) >= 2) SELECT episode_id, round(lo, 3) AS lo, speakers, 'label_score' AS dim, dv AS diff FROM g WHERE dv > 0.1""")
 def multi_speaker_window(spark, sf_dir):
     found = events.speaker_windows(adapters.event_segments(spark, sf_dir), ["label_score"], 172800.0, 86400.0, 3600.0, 0.1)
-    return found.select("episode_id", F.round("lo", 3).alias("lo"), "speakers", "dim", "diff")
+    return found.select("episode_id", numbers.rounded(F.col("lo"), 3).alias("lo"), "speakers", "dim", "diff")
 
 
 @query("event_cluster", f"""WITH {SQL_EV}, c AS (SELECT episode_id, label, "start", "end", count(*) OVER w AS n, max("end") OVER w AS l FROM ev WINDOW w AS (PARTITION BY episode_id, label ORDER BY "start" RANGE BETWEEN CURRENT ROW AND 200000 FOLLOWING))

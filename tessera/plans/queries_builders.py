@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import preparation
+from tessera.functions.numbers import rounded
 from tessera.operators import builders, events, sampling
 from tessera.operators.nearest import nearest_points
 from tessera.plans import adapters
@@ -227,7 +228,7 @@ r AS (SELECT *, c / sum(c) OVER (PARTITION BY episode_id, lo) AS share FROM c) S
 def spoken_trends(spark, sf_dir):
     from tessera.plans.queries import trends
 
-    return events.spoken_trends(trends(spark, sf_dir).where("abs(delta) > 0.08"), adapters.event_segments(spark, sf_dir)).select("episode_id", F.round("lo", 3).alias("lo"), "speaker")
+    return events.spoken_trends(trends(spark, sf_dir).where("abs(delta) > 0.08"), adapters.event_segments(spark, sf_dir)).select("episode_id", rounded(F.col("lo"), 3).alias("lo"), "speaker")
 
 
 def recordings(spark, sf_dir) -> preparation.Recordings:

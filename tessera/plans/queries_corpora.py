@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import experts, extraction
+from tessera.functions.numbers import rounded
 from tessera.operators import events, shaping
 from tessera.plans import adapters, metrics, reports
 from tessera.plans.adapters import SQL_CV, SQL_EV, SQL_SC, read
@@ -76,7 +77,7 @@ def corpus_emotion(spark, sf_dir):
     scope = corpora.partitions(spark, parts).where("split = 'Test1'").select("episode_id").unionByName(corpora.listed_episodes(spark, listed))
     episodes, segments = corpora.emotion(spark, objects, consensus, detailed, "audio", scope, corpora.conversations(spark, bounds))
     top = F.array_max(F.map_values("scores"))
-    return segments.join(episodes.select("episode_id", "ct_available"), "episode_id").select("seg_id", F.round("start", 3).alias("a"), "text", "speaker", F.col("primary").alias("primary_"), "secondary", F.round(top, 6).alias("top"), F.round("valence", 6).alias("valence"), F.col("ct_available").alias("traced"))
+    return segments.join(episodes.select("episode_id", "ct_available"), "episode_id").select("seg_id", rounded(F.col("start"), 3).alias("a"), "text", "speaker", F.col("primary").alias("primary_"), "secondary", F.round(top, 6).alias("top"), F.round("valence", 6).alias("valence"), F.col("ct_available").alias("traced"))
 
 
 @query("corpus_music", """WITH s AS (SELECT o_custkey AS t, o_orderkey AS k, o_orderkey % 5000 / 2.0::DOUBLE AS a FROM orders), m AS (SELECT l_orderkey AS k, avg(l_quantity / 10) AS c, avg(CASE WHEN l_linenumber % 2 = 0 THEN l_discount * 50 END) AS u, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY a, 'f' || k) - 1 AS i FROM s LEFT JOIN m USING (k))

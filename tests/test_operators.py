@@ -127,6 +127,32 @@ def test_audio_files_of_folders(spark, tmp_path):
     assert got == {"a/x": b"in/a/x.flac", "b/x": b"in/b/x.mp3", "y": b"in/y.wav"}
 
 
+def test_trend_thresholds_do_not_hang_on_the_order_of_sums(spark):
+    data = [("a", 0.0, 28.18), ("a", 10.0, 28.26), ("b", 0.0, 0.1), ("b", 1.0, 0.2), ("b", 2.0, 0.3), ("b", 10.0, 0.25), ("b", 11.0, 0.25), ("b", 12.0, 0.25)]
+    trace = spark.createDataFrame(data, "episode_id string, t double, value double")
+    got = {r["episode_id"]: r for r in events.trend_windows(trace.where("episode_id = 'a' or t <= 12"), 10.0, 100.0).collect()}
+    assert got["a"]["delta"] == 0.08 and got["b"]["half1"] == 0.2 and got["b"]["delta"] == 0.05
+
+
+def test_one_digit_of_exact_values(spark):
+    import random
+
+    from tessera.functions.numbers import one_digit
+
+    r = random.Random(5)
+    values = [0.0, 0.05, 0.15, 0.25, 0.35, 0.75, 2.35, 0.95, 99.95, 1234567.45, -0.25, -0.04, -2.35, 1e13 + 0.25, 3e15, 12.0] + [k / 20 for k in range(400)] + [round(r.uniform(0, 3e6), 2) for _ in range(3000)] + [r.uniform(0, 3e6) for _ in range(500)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", one_digit(F.col("v")).alias("s")).collect()
+    assert [x["s"] for x in got] == [f"{x['v']:.1f}" for x in got]
+
+
+def test_rounding_as_in_sql(spark, oracle):
+    from tessera.functions.numbers import rounded
+
+    table = oracle.execute("SELECT x, round(x, 3) AS y FROM (SELECT (i * 7919 * 1000 + 500) / 1e6 + j * 86400.0::DOUBLE AS x FROM range(2000) a(i), range(5) b(j)) UNION ALL SELECT 1066872.0195::DOUBLE, round(1066872.0195::DOUBLE, 3)").fetchall()
+    got = spark.createDataFrame(table, "x double, y double").select("y", rounded(F.col("x"), 3).alias("z"), F.round("x", 3).alias("w")).collect()
+    assert all(r["y"] == r["z"] for r in got) and any(r["y"] != r["w"] for r in got)
+
+
 def test_interval_join_does_not_grow_with_the_length_of_intervals(spark):
     long = [("a", k, float(a), float(b)) for k, (a, b) in enumerate([(0, 1e12), (5, 6), (-3e9, 7e9), (4e11, 4e11 + 9), (6, 5), (8e11, 9e11)])]
     left, right = spark.createDataFrame(long, "k string, i int, start double, `end` double"), spark.createDataFrame(long, "k string, j int, lo double, hi double")
