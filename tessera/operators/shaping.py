@@ -185,8 +185,8 @@ def kernel_change_points(windows: DataFrame, key: str, order: str, vector: str,
 def vector_scores(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest of all vectors to each query by cosine.
 
-    Queries are dealt by a hash to blocks of about ``MOST_QUERIES``, each sent to all for a pass over the vectors; parts of the
-    vectors are multiplied with the block and keep their own best, so only queries x parts x k rows are shuffled.
+    Queries are dealt by a hash to blocks of about ``MOST_QUERIES``, each sent to all for a pass over the vectors; a task
+    multiplies ``TILE`` vectors at a time with the block and keeps its own best, so only queries x tasks x k rows are shuffled.
     """
     blocks = -(-queries.count() // MOST_QUERIES)
     schema = "query_id long, idx long, score double"
@@ -198,14 +198,17 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
         def best(batches):
             names, q = sent.value
+            scores, at = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
             for batch in batches:
-                idx = batch.column("idx").to_numpy()
-                v = np.array(batch.column("embedding").to_pylist(), np.float64)
-                if not len(v):
-                    continue
-                s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T, 6)
-                order = np.lexsort((np.broadcast_to(idx, s.shape), -s), axis=1)[:, :k]
-                yield pa.record_batch({"query_id": np.repeat(names, order.shape[1]), "idx": idx[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+                for i in range(0, batch.num_rows, TILE):
+                    part = batch.slice(i, TILE)
+                    v = np.array(part.column("embedding").to_pylist(), np.float64)
+                    s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T, 6)
+                    scores, at = np.hstack((scores, s)), np.hstack((at, np.broadcast_to(part.column("idx").to_numpy(), s.shape)))
+                    order = np.lexsort((at, -scores), axis=1)[:, :k]
+                    scores, at = np.take_along_axis(scores, order, 1), np.take_along_axis(at, order, 1)
+            if at.size:
+                yield pa.record_batch({"query_id": np.repeat(names, at.shape[1]), "idx": at.ravel(), "score": scores.ravel()})
 
         return vectors.select(F.col("idx").cast("long").alias("idx"), "embedding").mapInArrow(best, schema)
 
@@ -218,3 +221,5 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 #: Query vectors of a block, about.
 MOST_QUERIES = 20_000
+#: Fixed value: vectors that are multiplied with a block of queries at once.
+TILE = 128
