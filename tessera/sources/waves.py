@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Samples of a frame and of a step, and limits of quality.
 FRAME, HOP = 2048, 512
+#: Fixed value: bytes of slices that a task holds before it hands them on.
+HELD = 4 << 20
 LOUD, FULL = 0.80, 0.90
 SHORTEST, MOST_CLIPPED, MOST_LOUD, MOST_ACTIVE, LEAST_RATIO = 0.5, 0.005, 0.0005, 0.8, 5.0
 
@@ -94,23 +96,33 @@ def duration_line(seconds: Column) -> Column:
 def slices(windows: DataFrame, files: DataFrame, rate: int = 16_000) -> DataFrame:
     """``windows`` (clip_id, name, lo, hi) with ``audio``: base64 of a 16-bit WAV of the window at ``rate``; null where the recording is missing or can't be read.
 
-    Windows travel to the recordings (name, content), each of which is decoded once for all of its windows.
+    Windows travel to the recordings (name, content), each of which is decoded once for all of its windows.  Slices are
+    handed on ``HELD`` bytes at a time, whether one recording has them or many.
     """
     asked = windows.groupBy("name").agg(F.collect_list(F.struct("clip_id", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))).alias("w"))
     schema = pa.schema([("clip_id", pa.int64()), ("audio", pa.string()), ("n_samples", pa.int64())])
 
+    def told(out: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         for batch in batches:
-            for content, ws in zip(batch.column("content"), batch.column("w").to_pylist(), strict=True):
+            for content, asked in zip(batch.column("content"), batch.column("w"), strict=True):
                 try:
                     samples, own = decoded(content.as_py())
                 except (wave.Error, EOFError, KeyError, ValueError):
                     samples, own = None, 0
-                out = []
-                for x in ws:
+                for x in asked.as_py():
                     part = None if samples is None else resampled(samples[int(x["lo"] * own) : int(x["hi"] * own)], own, rate)
-                    out.append((x["clip_id"], None if part is None else base64.b64encode(encoded(part, rate)).decode(), None if part is None else len(part)))
-                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                    audio = None if part is None else base64.b64encode(encoded(part, rate)).decode()
+                    out.append((x["clip_id"], audio, None if part is None else len(part)))
+                    held += 64 + len(audio or "")
+                    if held >= HELD:
+                        yield told(out)
+                        out, held = [], 0
+        if out:
+            yield told(out)
 
     cut = files.join(asked, "name").select("content", "w").mapInArrow(run, "clip_id long, audio string, n_samples long")
     return windows.join(cut, "clip_id", "left")

@@ -153,6 +153,34 @@ def test_rounding_as_in_sql(spark, oracle):
     assert all(r["y"] == r["z"] for r in got) and any(r["y"] != r["w"] for r in got)
 
 
+def test_nearest_vectors_of_several_tiles(spark, monkeypatch):
+    import numpy as np
+
+    from tessera.operators import shaping
+
+    monkeypatch.setattr(shaping, "TILE", 7)
+    m = np.random.default_rng(3).normal(size=(200, 8))
+    m[50:60] = m[0]
+    v = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(m)], "idx long, embedding array<double>").repartition(3)
+    q = v.where("idx % 50 = 0").select(F.col("idx").alias("query_id"), F.col("embedding").alias("query_vector"))
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(i, int(j), n + 1) for i in range(0, 200, 50) for n, j in enumerate(sorted(range(200), key=lambda j: (-round(float(u[i] @ u[j]), 6), j))[:5])}
+    found = shaping.vector_scores(q, v, 5)
+    assert {(r["query_id"], r["idx"], r["rank"]) for r in found.collect()} == want
+
+
+def test_slices_of_many_recordings_share_batches(spark):
+    import numpy as np
+
+    from tessera.sources import waves
+
+    raw = waves.encoded(np.linspace(-1, 1, 400, dtype=np.float32), 50)
+    files = spark.range(300).select(F.col("id").cast("string").alias("name"), F.when(F.col("id") % 7 == 0, F.lit(b"no")).otherwise(F.lit(bytearray(raw))).alias("content"))
+    windows = spark.range(600).select(F.col("id").alias("clip_id"), (F.col("id") % 310).cast("string").alias("name"), F.lit(1).alias("lo"), F.lit(3).alias("hi"))
+    got = {r["clip_id"]: r["n_samples"] for r in waves.slices(windows, files, 50).collect()}
+    assert got == {i: None if i % 310 >= 300 or i % 310 % 7 == 0 else 100 for i in range(600)}
+
+
 def test_interval_join_does_not_grow_with_the_length_of_intervals(spark):
     long = [("a", k, float(a), float(b)) for k, (a, b) in enumerate([(0, 1e12), (5, 6), (-3e9, 7e9), (4e11, 4e11 + 9), (6, 5), (8e11, 9e11)])]
     left, right = spark.createDataFrame(long, "k string, i int, start double, `end` double"), spark.createDataFrame(long, "k string, j int, lo double, hi double")
