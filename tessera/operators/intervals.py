@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import overlap
 from tessera.operators.scan import Line, Running
+from tessera.session import grows
 
 #: Fixed value: how much wider each next grid of an interval join is.
 FINER = 4
@@ -39,7 +40,7 @@ def _held(spans: DataFrame, key: str, a: str, b: str, others: DataFrame, other_k
     cell = lambda c, g: F.floor(F.col(c) / width(F.col(g)))
     s = known.withColumn("_grid", grid).withColumn("_cell", F.explode(F.sequence(cell(a, "_grid"), F.greatest(cell(a, "_grid"), cell(b, "_grid")))))
     o = others.where(F.col(at).isNotNull()).crossJoin(F.broadcast(used)).withColumn("_grid2", F.explode("_grids")).withColumn("_cell2", cell(at, "_grid2")).drop("_grids")
-    return s.join(o, (F.col(key) == F.col(other_key)) & (F.col("_grid") == F.col("_grid2")) & (F.col("_cell") == F.col("_cell2"))).drop("_grid", "_cell", "_grid2", "_cell2")
+    return s.join(grows(o), (F.col(key) == F.col(other_key)) & (F.col("_grid") == F.col("_grid2")) & (F.col("_cell") == F.col("_cell2"))).drop("_grid", "_cell", "_grid2", "_cell2")
 
 
 def coverage(truth: DataFrame, windows: DataFrame, key: str = "episode_id", bucket: float | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from tessera.functions import text
 from tessera.operators import intervals
 from tessera.operators.builders import EMOTION_NAMES, lookup
 from tessera.plans.metrics import JUDGE_TOLERANCE
-from tessera.session import stored
+from tessera.session import grows, stored
 
 #: Judge types that point at one event, seconds around a time, lengths of windows, and the grid of interval joins.
 POINTING = ["categorical", "time_and_quote"]
@@ -70,7 +70,7 @@ def _has_ids() -> Column:
 
 def _by_ids(queries: DataFrame, truth: DataFrame) -> DataFrame:
     ids = queries.select("query_id", "episode_id", F.explode(F.array_distinct("gt_seg_ids")).alias("seg_id"))
-    return ids.join(truth.select("episode_id", *SEGMENT), ["episode_id", "seg_id"]).select("query_id", *SEGMENT)
+    return ids.join(grows(truth.select("episode_id", *SEGMENT)), ["episode_id", "seg_id"]).select("query_id", *SEGMENT)
 
 
 def _in_windows(windows: DataFrame, truth: DataFrame) -> DataFrame:
@@ -86,7 +86,11 @@ def resolved_evidence(queries: DataFrame, truth: DataFrame) -> DataFrame:
     that starts nearest, or else the one that starts nearest at all.  Else those in the window of a change (widened by a second)
     or of a comparison, if any; else those within half a minute of the query's times, if it has times; else those of its songs
     by place, if any; else all of the episode.
+
+    Queries and truth are written once, and so is what each step finds, so that no plan holds more than one step.
     """
+    queries = stored(queries.select("query_id", "episode_id", "judge_type", "t0", "time_ref", "gt_seg_ids", "blocks"), "asked")
+    truth = stored(truth.select("episode_id", *SEGMENT), "truth")
     listed = queries.where(_has_ids())
     rest = queries.where(~_has_ids())
     pointing = rest.where(F.col("judge_type").isin(POINTING)).select("query_id", "episode_id", _event_time().alias("t"))
@@ -94,20 +98,20 @@ def resolved_evidence(queries: DataFrame, truth: DataFrame) -> DataFrame:
     close = intervals.overlap_join(truth.select("episode_id", *SEGMENT), spans, "episode_id", GRID).where((F.col("start") <= F.col("t") + 1) & (F.col("end") >= F.col("t") - 1))
     first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.abs(F.col("start") - F.col("t")), "start", "ord"))
     at = stored(close.withColumn("_r", first).where("_r = 1").select("query_id", *SEGMENT), "close")
-    far = intervals.nearest_within(pointing.join(at.select("query_id"), "query_id", "left_anti"), truth.select("episode_id", *SEGMENT), 0.0, order="ord").select("query_id", *SEGMENT)
+    far = stored(intervals.nearest_within(pointing.join(grows(at.select("query_id")), "query_id", "left_anti"), truth.select("episode_id", *SEGMENT), 0.0, order="ord").select("query_id", *SEGMENT), "far")
     others = rest.where(~F.coalesce(F.col("judge_type").isin(POINTING), F.lit(False)))
     lo = F.when(F.col("judge_type") == "trend", _time() - 1).when(F.col("judge_type") == "speaker_id", _time())
     hi = F.when(F.col("judge_type") == "trend", _time() + CHANGE + 1).when(F.col("judge_type") == "speaker_id", _time() + COMPARISON)
     typed = stored(_in_windows(others.withColumn("lo", lo).withColumn("hi", hi).where("lo is not null"), truth), "typed")
-    others = others.join(typed.select("query_id").distinct(), "query_id", "left_anti")
+    others = others.join(grows(typed.select("query_id").distinct()), "query_id", "left_anti")
     times = F.concat(F.when(F.col("time_ref").isNotNull(), F.array(F.col("time_ref").cast("double"))).otherwise(F.array().cast("array<double>")), _refs())
     timed = others.where(F.size(times) > 0).select("query_id", "episode_id", F.explode(times).alias("t")).select("query_id", "episode_id", F.greatest(F.lit(0.0), F.col("t") - HALF).alias("lo"), (F.col("t") + HALF).alias("hi"))
     placeless = others.where(F.size(times) == 0)
     tags = placeless.select("query_id", "episode_id", F.explode(F.array_distinct(_positions())).alias("p")).select("query_id", "episode_id", F.format_string("SONG_%02d", F.col("p") - 1).alias("speaker"))
-    placed = stored(tags.join(truth.select("episode_id", *SEGMENT), ["episode_id", "speaker"]).select("query_id", *SEGMENT), "placed")
-    every = placeless.join(placed.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "episode_id").join(truth.select("episode_id", *SEGMENT), "episode_id").select("query_id", *SEGMENT)
+    placed = stored(tags.join(grows(truth.select("episode_id", *SEGMENT)), ["episode_id", "speaker"]).select("query_id", *SEGMENT), "placed")
+    every = placeless.join(grows(placed.select("query_id").distinct()), "query_id", "left_anti").select("query_id", "episode_id").join(grows(truth.select("episode_id", *SEGMENT)), "episode_id").select("query_id", *SEGMENT)
     out = _by_ids(listed, truth)
-    for part in (at, far, typed, _in_windows(timed, truth), placed, every):
+    for part in (at, far, typed, stored(_in_windows(timed, truth), "timed"), placed, every):
         out = out.unionByName(part)
     return out
 

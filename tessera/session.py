@@ -42,6 +42,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """``df`` for a join that shuffles both sides.
+
+    Spark judges a table by the size of its file and gathers a small one whole in the driver; but rows of a Parquet file of a few
+    megabytes may take hundreds there.  So a join of tables that grow says so, whatever ``autoBroadcastJoinThreshold`` is.
+    """
+    return df.hint("merge")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``stored`` that nothing will read any more."""
     for df in tables:
