@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numbers import one_digit
 from tessera.functions.text import truncated
 from tessera.operators.sampling import first_n
+from tessera.session import grows
 
 
 def segment_line(start: Column, end: Column, speaker: Column, text: Column, sources: Column | None = None) -> Column:
@@ -29,7 +30,7 @@ def truth_block(segments: DataFrame, key: str, most: int = 3) -> DataFrame:
     line = segment_line(F.col("start"), F.col("end"), F.col("speaker"), F.col("text"))
     counts = segments.groupBy(F.col(key).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
     few = first_n(segments.select(key, "start", line.alias("line")), [key], ["start", "line"], most)
-    rows = few.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "line"))).alias("few")).join(counts, F.col(key).eqNullSafe(F.col("_of")))
+    rows = few.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "line"))).alias("few")).join(grows(counts), F.col(key).eqNullSafe(F.col("_of")))
     more = F.when(F.col("_n") > most, F.concat(F.lit("\n... and "), (F.col("_n") - most).cast("string"), F.lit(" more"))).otherwise("")
     return rows.select(key, F.concat(F.array_join(F.transform("few", lambda x: x["line"]), "\n"), more).alias("block"))
 

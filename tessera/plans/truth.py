@@ -283,10 +283,10 @@ def truth_side(queries: DataFrame, truth: DataFrame) -> DataFrame:
     met = intervals.overlap_join(truth.select("episode_id", "seg_id", "ord", "start", "end", "speaker", "text"), windows, "episode_id", GRID).select("query_id", "label", "lo", "hi", "start", "end", "speaker", "text")
     quoted = queries.where(F.coalesce("quote", F.lit("")) != "").select("query_id", "episode_id", F.lower(F.trim("quote")).alias("_q"))
     none = F.lit(None).cast("double")
-    hits = quoted.join(truth.select("episode_id", "start", "end", "speaker", "text"), "episode_id").where(F.contains(F.lower(F.coalesce("text", F.lit(""))), F.col("_q"))).select("query_id", F.lit("quote").alias("label"), none.alias("lo"), none.alias("hi"), "start", "end", "speaker", "text")
-    rows = met.unionByName(hits).withColumn("_key", F.struct("query_id", "label", "lo", "hi"))
+    hits = quoted.join(grows(truth.select("episode_id", "start", "end", "speaker", "text")), "episode_id").where(F.contains(F.lower(F.coalesce("text", F.lit(""))), F.col("_q"))).select("query_id", F.lit("quote").alias("label"), none.alias("lo"), none.alias("hi"), "start", "end", "speaker", "text")
+    rows = stored(met.unionByName(hits).withColumn("_key", F.struct("query_id", "label", "lo", "hi")), "side")
     n = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
-    return truth_block(rows, "_key").join(n, "_key").select("_key.*", "n", F.col("block").alias("lines"))
+    return truth_block(rows, "_key").join(grows(n), "_key").select("_key.*", "n", F.col("block").alias("lines"))
 
 
 def in_window(windows: DataFrame, truth: DataFrame, traced: DataFrame) -> DataFrame:

@@ -996,3 +996,12 @@ def test_resolved_evidence_gathers_no_table_in_the_driver(spark):
     out = queries_truth.resolved_evidence(spark, DATA)
     assert "BroadcastHashJoin" not in _plan(out)
     assert not [f for f in out.inputFiles() if "events.parquet" in f or "orders.parquet" in f]
+
+
+def test_truth_side_gathers_no_table_in_the_driver(spark):
+    from conftest import DATA
+    from tessera.plans import queries_truth
+
+    out = queries_truth.truth_side(spark, DATA)
+    assert "BroadcastHashJoin" not in _plan(out)
+    assert not [f for f in out.inputFiles() if "events.parquet" in f or "orders.parquet" in f]
