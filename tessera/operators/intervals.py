@@ -25,7 +25,7 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, bucket: float | No
     meet = (F.col("end") > F.col("lo")) & (F.col("start") < F.col("hi"))
     right = right.withColumnRenamed(key, "_k")
     if bucket is None:
-        return left.join(right, (F.col(key) == F.col("_k")) & meet, how).drop("_k")
+        return left.join(grows(right), (F.col(key) == F.col("_k")) & meet, how).drop("_k")
     later = _held(right, "_k", "lo", "hi", left, key, "start", bucket).where(meet & (F.col("start") > F.col("lo")))
     held = _held(left, key, "start", "end", right, "_k", "lo", bucket).where(meet & (F.col("start") <= F.col("lo")))
     return held.unionByName(later.select(*held.columns)).drop("_k")
@@ -52,7 +52,7 @@ def coverage(truth: DataFrame, windows: DataFrame, key: str = "episode_id", buck
     met = overlap_join(copies.where("start is not null and `end` is not null"), windows.select(key, "lo", "hi"), key, bucket)
     hit = met.groupBy(*truth.columns).agg(F.max("_copies").alias("_hit")).groupBy(key).agg(F.sum("_hit").alias("_hits"))
     every = truth.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_all"))
-    return every.join(hit, F.col("_key").eqNullSafe(F.col(key)), "left").select(F.col("_key").alias(key), (F.coalesce("_hits", F.lit(0)) / F.col("_all")).alias("covered"))
+    return every.join(grows(hit), F.col("_key").eqNullSafe(F.col(key)), "left").select(F.col("_key").alias(key), (F.coalesce("_hits", F.lit(0)) / F.col("_all")).alias("covered"))
 
 
 def _starts(points: DataFrame, segments: DataFrame, key: str, order: str) -> DataFrame:

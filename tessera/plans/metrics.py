@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators.intervals import coverage
+from tessera.session import grows
 
 #: Which groups of tools a query type needs; any tool of a group will do, other types need none.
 REQUIRED_TOOLS = {
@@ -43,7 +44,7 @@ def plan_hit_rate(time_coverage: DataFrame, tools: DataFrame, kinds: DataFrame,
     ``kinds``: query_id, query_type and, optional, ``oracle``: plans made from the truth count as 1.
     """
     table = F.create_map(*[x for k, groups in required.items() for x in (F.lit(k), F.array(*[F.array(*map(F.lit, g)) for g in groups]))])
-    joined = kinds.join(time_coverage, "query_id", "left").join(tools, "query_id", "left").withColumn("_groups", F.element_at(table, F.col("query_type")))
+    joined = kinds.join(grows(time_coverage), "query_id", "left").join(grows(tools), "query_id", "left").withColumn("_groups", F.element_at(table, F.col("query_type")))
     active = F.coalesce(F.col("active"), F.array().cast("array<string>"))
     hits = F.size(F.filter("_groups", lambda g: F.arrays_overlap(g, active)))
     covered = F.coalesce(F.col("covered"), F.lit(0.0))

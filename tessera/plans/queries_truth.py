@@ -11,7 +11,7 @@ from tessera import agents, deferred, experts
 from tessera.plans import adapters, metrics, truth
 from tessera.plans.adapters import SQL_EV, read
 from tessera.plans.queries import query
-from tessera.session import shared_folder
+from tessera.session import shared_folder, stored
 
 #: Events as truth segments: every other one is a song by number, labels of two thirds; and orders as queries of all kinds.
 SQL_TG = f"""{SQL_EV}, tg AS (SELECT episode_id, seg_id, ord, "start", "end", CASE WHEN ord % 2 = 0 THEN 'SONG_' || lpad((ord % 6)::VARCHAR, 2, '0') ELSE speaker END AS speaker, CASE WHEN ord % 3 <> 0 THEN label END AS label, text FROM ev)"""
@@ -220,7 +220,7 @@ SELECT query_id, answer, factual * faithful AS rationale, round(coalesce(h, 0),
 def score_all(spark, sf_dir):
     q = asked(spark, sf_dir)
     evidence = truth.resolved_evidence(q, segments(spark, sf_dir)).select("query_id", "seg_id", "start", "end")
-    retrieval = metrics.hit_rate(evidence, truth.evidence_windows(predicted(spark, sf_dir)))
+    retrieval = stored(metrics.hit_rate(evidence, truth.evidence_windows(predicted(spark, sf_dir))), "retrieval")  # read twice
     kinds = q.select("query_id", F.when(F.col("query_id") % 2 == 0, "state").otherwise("position").alias("query_type"))
     tools = q.select("query_id", F.array(F.lit("audio_emb"), F.lit("keyword")).alias("active"))
     plans = metrics.plan_hit_rate(retrieval.withColumnRenamed("hit_rate", "covered"), tools, kinds)

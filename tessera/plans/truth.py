@@ -367,7 +367,7 @@ def judge_table(predictions: DataFrame, queries: DataFrame, audio: Column) -> Da
     own = [c for c in ("expected", "summary", "block") if c in predictions.columns]
     more = [c for c in ("query_type", "judge_info", "blocks") if c in queries.columns]
     q = queries.select("query_id", *[F.col(c).alias(f"_{c}") for c in ("query", "expected", "summary", *more)])
-    joined = predictions.join(q, "query_id", "left").withColumn("_e", F.coalesce("_expected", *[c for c in own if c == "expected"])).withColumn("_s", F.coalesce("_summary", *[c for c in own if c == "summary"], F.lit("")))
+    joined = predictions.join(grows(q), "query_id", "left").withColumn("_e", F.coalesce("_expected", *[c for c in own if c == "expected"])).withColumn("_s", F.coalesce("_summary", *[c for c in own if c == "summary"], F.lit("")))
     kind = F.coalesce(F.concat(F.lit(" ("), F.col("_query_type"), F.lit(")")), F.lit("")) if "query_type" in more else F.lit("")
     said = lambda ask, truth: F.concat(F.lit(f"{ask}\nQuestion"), kind, F.lit(": "), F.coalesce("_query", F.lit("")), F.lit("\n"), truth, F.lit("\nPrediction: "), F.coalesce("prediction", F.lit("")), F.lit("\nRationale: "), F.coalesce("rationale", F.lit("")), F.lit("\nReply YES or NO."))
     block = F.coalesce("block", F.lit("none")) if "block" in own else F.lit("none")
@@ -390,6 +390,6 @@ def judged_scores(replies: DataFrame) -> DataFrame:
 
 def score_all(judged: DataFrame, retrieval: DataFrame, plans: DataFrame) -> DataFrame:
     """All scores of each judged prediction in one row; a query without evidence or plan has the hit rate 0."""
-    out = judged.join(retrieval.select("query_id", F.col("hit_rate").alias("retrieval_hit_rate")), "query_id", "left").join(plans.select("query_id", "plan_hit_rate"), "query_id", "left")
+    out = judged.join(grows(retrieval.select("query_id", F.col("hit_rate").alias("retrieval_hit_rate"))), "query_id", "left").join(grows(plans.select("query_id", "plan_hit_rate")), "query_id", "left")
     return out.fillna(0.0, ["retrieval_hit_rate", "plan_hit_rate"])
 

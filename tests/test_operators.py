@@ -1005,3 +1005,10 @@ def test_truth_side_gathers_no_table_in_the_driver(spark):
     out = queries_truth.truth_side(spark, DATA)
     assert "BroadcastHashJoin" not in _plan(out)
     assert not [f for f in out.inputFiles() if "events.parquet" in f or "orders.parquet" in f]
+
+
+def test_score_all_gathers_no_table_in_the_driver(spark):
+    from conftest import DATA
+    from tessera.plans import queries_truth
+
+    assert "BroadcastHashJoin" not in _plan(queries_truth.score_all(spark, DATA))
