@@ -50,9 +50,13 @@ EMO = ["N", "H", "", "S", "A"]
 SELECT seg_id, round("start", 3) AS a, text, CASE WHEN ord % 5 = 0 THEN '' ELSE (ord % 4)::VARCHAR END AS speaker, CASE WHEN ord % 3 <> 0 THEN nullif({EMO}[1 + ord % 5], '') END AS primary_, CASE WHEN ord % 3 <> 0 THEN second END AS secondary, CASE WHEN ord % 3 <> 0 THEN round(m / t, 6) END AS top, CASE WHEN ord % 3 <> 0 AND ord % 8 <> 0 THEN round((1 + ord % 6 - 1) / 6.0::DOUBLE, 6) END AS valence,
     episode_id % 2 = 0 AS traced FROM si LEFT JOIN x USING (seg_id)""")
 def corpus_emotion(spark, sf_dir):
-    """A corpus of one JSON object, label files, lists of conversations and partitions; read again with its labels, for the episodes of a split."""
+    """A corpus of one JSON object, label files, lists of conversations and partitions; read again with its labels, for the episodes of a split.
+
+    In the files each recording has a name of its own.  The SQL's names have four digits of a number, also of longer ones, and so
+    have the names that are returned; votes stay with their segment, also where others have the same four digits.
+    """
     e = adapters.event_segments(spark, sf_dir)
-    o, ep = F.col("ord"), F.concat(F.lit("MSP-PODCAST_"), F.lpad(F.col("episode_id").cast("string"), 4, "0"))
+    o, ep = F.col("ord"), F.format_string("MSP-PODCAST_%04d", "episode_id")
     n = F.row_number().over(Window.partitionBy("episode_id").orderBy("start", "ord"))
     sg = e.select("episode_id", ep.alias("ep"), n.alias("n"), "start", "end", "ord", "text").withColumn("seg_id", F.concat("ep", F.lit("_"), F.lpad(F.col("n").cast("string"), 4, "0")))
     spoken = F.when(o % 5 == 0, F.array().cast("array<string>")).otherwise(F.array((o % 4).cast("string")))
@@ -77,7 +81,7 @@ def corpus_emotion(spark, sf_dir):
     scope = corpora.partitions(spark, parts).where("split = 'Test1'").select("episode_id").unionByName(corpora.listed_episodes(spark, listed))
     episodes, segments = corpora.emotion(spark, objects, consensus, detailed, "audio", scope, corpora.conversations(spark, bounds))
     top = F.array_max(F.map_values("scores"))
-    return segments.join(episodes.select("episode_id", "ct_available"), "episode_id").select("seg_id", rounded(F.col("start"), 3).alias("a"), "text", "speaker", F.col("primary").alias("primary_"), "secondary", F.round(top, 6).alias("top"), F.round("valence", 6).alias("valence"), F.col("ct_available").alias("traced"))
+    return segments.join(episodes.select("episode_id", "ct_available"), "episode_id").select(F.regexp_replace("seg_id", r"^(MSP-PODCAST_\d{4})\d*", "$1").alias("seg_id"), rounded(F.col("start"), 3).alias("a"), "text", "speaker", F.col("primary").alias("primary_"), "secondary", F.round(top, 6).alias("top"), F.round("valence", 6).alias("valence"), F.col("ct_available").alias("traced"))
 
 
 @query("corpus_music", """WITH s AS (SELECT o_custkey AS t, o_orderkey AS k, o_orderkey % 5000 / 2.0::DOUBLE AS a FROM orders), m AS (SELECT l_orderkey AS k, avg(l_quantity / 10) AS c, avg(CASE WHEN l_linenumber % 2 = 0 THEN l_discount * 50 END) AS u, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY a, 'f' || k) - 1 AS i FROM s LEFT JOIN m USING (k))

@@ -1012,3 +1012,18 @@ def test_score_all_gathers_no_table_in_the_driver(spark):
     from tessera.plans import queries_truth
 
     assert "BroadcastHashJoin" not in _plan(queries_truth.score_all(spark, DATA))
+
+
+def test_corpus_keeps_recordings_whose_short_names_are_equal(spark, tmp_path):
+    import datetime
+
+    from tessera.plans import queries_corpora
+
+    at = lambda k: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=100 * k)
+    made = [(k, at(k), (1236, 12360, 12366)[k % 3], "click", float(k), f"t{k}") for k in range(12)]
+    spark.createDataFrame(made, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = queries_corpora.corpus_emotion(spark, str(tmp_path))
+    named = lambda k: f"MSP-PODCAST_1236_{k // 3 + 1:04d}"
+    emo = lambda k: None if k % 3 == 0 else (["N", "H", "", "S", "A"][k % 5] or None)
+    assert rows(got, "seg_id", "text") == sorted((named(k), f"t{k}") for k in range(12))
+    assert {r["text"]: r["primary_"] for r in got.collect()} == {f"t{k}": emo(k) for k in range(12)}
