@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 FRAME, HOP = 2048, 512
 #: Fixed value: bytes of slices that a task holds before it hands them on.
 HELD = 4 << 20
+#: Fixed value: frames of clips of one length that are looked at together.
+TOGETHER = 512
 LOUD, FULL = 0.80, 0.90
 SHORTEST, MOST_CLIPPED, MOST_LOUD, MOST_ACTIVE, LEAST_RATIO = 0.5, 0.005, 0.0005, 0.8, 5.0
 
@@ -129,8 +131,8 @@ def slices(windows: DataFrame, files: DataFrame, rate: int = 16_000) -> DataFram
 
 
 def _frames(samples: np.ndarray) -> np.ndarray:
-    padded = np.pad(samples.astype(np.float64), FRAME // 2)
-    return np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
+    padded = np.pad(samples.astype(np.float64), ((0, 0), (FRAME // 2, FRAME // 2)))
+    return np.lib.stride_tricks.sliding_window_view(padded, FRAME, axis=-1)[:, ::HOP]
 
 
 def longest_run(flags: np.ndarray) -> int:
@@ -138,31 +140,46 @@ def longest_run(flags: np.ndarray) -> int:
     return int((edges[1::2] - edges[::2]).max(initial=0))
 
 
-def quality(samples: np.ndarray, rate: int) -> dict:
-    """Features of a clip and the first reason to reject it ('' for none), with a score, higher is better.
+def _percentile(rows: np.ndarray, q: float) -> np.ndarray:
+    """A percentile of each row, by linear interpolation."""
+    return np.percentile(rows, q, axis=-1)
+
+
+def qualities(samples: np.ndarray, rate: int) -> list[dict]:
+    """Features of clips of one length (a row each) and the first reason to reject them ('' for none), with a score, higher is better.
 
     Ratio of loud to quiet frames in decibels, shares of clipped and of nearly clipped samples and the longest run of
     these, share of active frames, onsets (rises of a frame's energy beyond its surroundings), flatness of the quiet frames' spectra.
     """
-    if len(samples) < rate * SHORTEST:
-        return {"reject": "too short"}
+    if samples.shape[1] < rate * SHORTEST:
+        return [{"reject": "too short"} for _ in samples]
     frames = _frames(samples)
-    rms = np.sqrt((frames**2).mean(axis=1))
+    rms = np.sqrt((frames**2).mean(axis=-1))
     level = 20 * np.log10(np.maximum(rms + 1e-9, 1e-5))
-    level = np.maximum(level, level.max() - 80)
-    ratio = float(np.percentile(level, 90) - np.percentile(level, 10))
-    clipped, loud = float((np.abs(samples) > FULL).mean()), np.abs(samples) > LOUD
-    active = float((rms > np.percentile(rms, 30) * 3).mean())
-    rise = np.maximum(np.diff(level, prepend=level[0]), 0)
-    around = np.array([rise[max(0, k - 8) : k + 9].mean() for k in range(len(rise))])
-    peak = (rise > around + 3) & (rise >= np.concatenate((rise[1:], [0]))) & (rise > np.concatenate(([0], rise[:-1])))
-    spectrum = np.abs(np.fft.rfft(frames * np.hanning(FRAME), axis=1)) ** 2 + 1e-10
-    flat = np.exp(np.log(spectrum).mean(axis=1)) / spectrum.mean(axis=1)
-    quiet = rms < np.percentile(rms, 25)
-    flatness = float(flat[quiet].mean() if quiet.any() else flat.mean())
-    reasons = [("clipping", clipped > MOST_CLIPPED), ("saturation", loud.mean() > MOST_LOUD), ("no_onset", not peak.any()), ("always_active", active > MOST_ACTIVE), ("low_snr", ratio < LEAST_RATIO)]
-    score = ratio - clipped * 500 - abs(active - 0.25) * 10 - flatness * 20
-    return {"snr": ratio, "clipping": clipped, "near_saturation": float(loud.mean()), "longest_run": longest_run(loud), "active": active, "onsets": int(peak.sum()), "flatness": flatness, "duration": len(samples) / rate, "reject": next((name for name, bad in reasons if bad), ""), "score": score}
+    level = np.maximum(level, level.max(axis=-1, keepdims=True) - 80)
+    ratio = _percentile(level, 90) - _percentile(level, 10)
+    clipped, loud = (np.abs(samples) > FULL).mean(axis=-1), np.abs(samples) > LOUD
+    active = (rms > _percentile(rms, 30)[:, None] * 3).mean(axis=-1)
+    rise = np.maximum(np.diff(level, prepend=level[:, :1]), 0)
+    around = np.stack([rise[:, max(0, k - 8) : k + 9].mean(axis=-1) for k in range(rise.shape[1])], axis=-1)
+    none = np.zeros((len(rise), 1))
+    peak = (rise > around + 3) & (rise >= np.concatenate((rise[:, 1:], none), axis=1)) & (rise > np.concatenate((none, rise[:, :-1]), axis=1))
+    spectrum = np.abs(np.fft.rfft(frames * np.hanning(FRAME), axis=-1)) ** 2 + 1e-10
+    flat = np.exp(np.log(spectrum).mean(axis=-1)) / spectrum.mean(axis=-1)
+    quiet = rms < _percentile(rms, 25)[:, None]
+    out = []
+    for k in range(len(samples)):
+        flatness = float(flat[k][quiet[k]].mean() if quiet[k].any() else flat[k].mean())
+        r, c, near, a, onsets = float(ratio[k]), float(clipped[k]), float(loud[k].mean()), float(active[k]), int(peak[k].sum())
+        reasons = [("clipping", c > MOST_CLIPPED), ("saturation", near > MOST_LOUD), ("no_onset", not onsets), ("always_active", a > MOST_ACTIVE), ("low_snr", r < LEAST_RATIO)]
+        score = r - c * 500 - abs(a - 0.25) * 10 - flatness * 20
+        out.append({"snr": r, "clipping": c, "near_saturation": near, "longest_run": longest_run(loud[k]), "active": a, "onsets": onsets, "flatness": flatness, "duration": samples.shape[1] / rate, "reject": next((name for name, bad in reasons if bad), ""), "score": score})
+    return out
+
+
+def quality(samples: np.ndarray, rate: int) -> dict:
+    """The same of one clip."""
+    return qualities(samples[None, :], rate)[0]
 
 
 QUALITY = "snr double, clipping double, near_saturation double, longest_run long, active double, onsets long, flatness double, duration double, reject string, score double"
@@ -175,14 +192,25 @@ def quality_table(files: DataFrame, key: str = "name", content: str = "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows: list[dict] = [{"reject": "error"}] * batch.num_rows
+            alike: dict[tuple[int, int], list] = {}  # clips of one length are looked at together, some megabytes at a time
+
+            def look(length: int, rate: int, clips: list) -> None:
+                for (k, _), found in zip(clips, qualities(np.stack([x for _, x in clips]), rate), strict=True):
+                    rows[k] = found  # noqa: B023
+
+            for k, raw in enumerate(batch.column(1)):
                 try:
-                    found = quality(*decoded(raw.as_py() or b""))
+                    samples, rate = decoded(raw.as_py() or b"")
                 except (wave.Error, EOFError, KeyError, ValueError):
-                    found = {"reject": "error"}
-                rows.append({key: name, **found})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    continue
+                clips = alike.setdefault((len(samples), rate), [])
+                clips.append((k, samples))
+                if len(clips) * (len(samples) // HOP + 1) >= TOGETHER:
+                    look(len(samples), rate, alike.pop((len(samples), rate)))
+            for of, clips in alike.items():
+                look(*of, clips)
+            yield pa.RecordBatch.from_pylist([{key: name, **found} for name, found in zip(batch.column(0).to_pylist(), rows, strict=True)], schema=schema)
 
     return files.select(F.col(key).cast("string").alias(key), content).mapInArrow(run, f"{key} string, {QUALITY}")
 

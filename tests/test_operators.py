@@ -1027,3 +1027,17 @@ def test_corpus_keeps_recordings_whose_short_names_are_equal(spark, tmp_path):
     emo = lambda k: None if k % 3 == 0 else (["N", "H", "", "S", "A"][k % 5] or None)
     assert rows(got, "seg_id", "text") == sorted((named(k), f"t{k}") for k in range(12))
     assert {r["text"]: r["primary_"] for r in got.collect()} == {f"t{k}": emo(k) for k in range(12)}
+
+
+def test_clip_quality_looks_at_clips_together_and_once(spark):
+    import numpy as np
+    from conftest import DATA
+    from tessera.plans import queries_corpora
+    from tessera.sources import waves
+
+    noise = np.random.default_rng(1)
+    clips = {f"c{k}": waves.encoded(noise.normal(0, 0.02 + 0.2 * (k % 3), (2000, 900, 10)[k % 3]) * np.repeat((0.05, 1), (2000, 900, 10)[k % 3] // 2), 50) for k in range(500)} | {"bad": b"x"}
+    got = {r["name"]: r.asDict() for r in waves.quality_table(spark.createDataFrame(list(clips.items()), "name string, content binary")).collect()}
+    alone = {k: waves.quality(*waves.decoded(c)) for k, c in clips.items() if k != "bad"} | {"bad": {"reject": "error"}}
+    assert {k: {x: v for x, v in r.items() if x != "name" and v is not None} for k, r in got.items()} == alone
+    assert not [f for f in queries_corpora.clip_quality(spark, DATA).inputFiles() if "customer.parquet" in f]
