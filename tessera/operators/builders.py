@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numbers, text
 from tessera.operators import sampling, shaping
+from tessera.session import grows
 
 #: Classes of emotion by name and letter, the neutral ones, and what letters stand for.
 EMOTION_CODES = {"Neutral": "N", "Angry": "A", "Sad": "S", "Happy": "H", "Surprise": "U", "Fear": "F", "Disgust": "D", "Contempt": "C", "Other": "O"}
@@ -109,7 +110,7 @@ def spoken_events(labels: DataFrame, segments: DataFrame, least: float = 0.5, ba
     sure = labels.where((F.col("cf") >= least) & F.col("spk").rlike(r"^[0-9]+$")).withColumn("lo", F.col("t0") - back).withColumn("hi", F.col("t0"))
     said = segments.where("text <> ''").select(key, "start", "end", "speaker")
     met = overlap_join(said, sure.select(key, "n", "spk", "lo", "hi"), key, bucket).where("speaker = spk").groupBy(key, "n").agg(F.count(F.lit(1)).alias("n_before"))
-    return sure.drop("lo", "hi").join(met.where(F.col("n_before") >= before), [key, "n"])
+    return sure.drop("lo", "hi").join(grows(met.where(F.col("n_before") >= before)), [key, "n"])
 
 
 def grown_windows(events: DataFrame, bounds: DataFrame, key: str = "episode_id", most: float = MOST_GROWTH) -> DataFrame:
@@ -123,7 +124,7 @@ def grown_windows(events: DataFrame, bounds: DataFrame, key: str = "episode_id",
 
     span = lambda e: e.select(key, "spk", "emo", "n", F.col("t0").alias("start"), F.col("t1").alias("end"))
     near = neighbour_bounds(span(events), [key, "spk", "emo"], span(events.where("cf >= 0.5 and t1 > t0")))
-    joined = events.join(near.select(key, "n", "prev_end", "next_start"), [key, "n"]).join(bounds, key, "left")
+    joined = events.join(grows(near.select(key, "n", "prev_end", "next_start")), [key, "n"]).join(bounds, key, "left")
     left = F.when(F.col("conv_start") < F.col("t0"), F.col("conv_start")).otherwise(F.greatest(F.lit(0.0), F.col("t0") - most))
     right = F.when(F.col("conv_end") > F.col("t1"), F.col("conv_end")).otherwise(F.col("t1") + most)
     return joined.withColumn("win_t0", F.greatest(F.coalesce("prev_end", left), F.col("t0") - most)).withColumn("win_t1", F.least(F.coalesce("next_start", right), F.col("t1") + most)).drop("prev_end", "next_start")
@@ -146,7 +147,7 @@ def hard_clusters(events: DataFrame, key: str = "episode_id", span: float = CLUS
     first = near.withColumn("_end", F.coalesce(late, F.array_max("_near.j") + 1)).where(F.col("_end") - F.col("_i") >= least)
     first = first.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("_i"))).where("_r = 1").select(*group, "_i", "_end", F.col("t0").alias("_begin"))
     reach = rows.select(*group, F.col("_i").alias("_j"), "t1", "n", "act", "val", "dom")
-    members = reach.join(first, group).where((F.col("_j") >= F.col("_i")) & (F.col("_j") < F.col("_end")))
+    members = reach.join(grows(first), group).where((F.col("_j") >= F.col("_i")) & (F.col("_j") < F.col("_end")))
     w = Window.partitionBy(*group)
     far = sum(((F.col(v) - F.avg(v).over(w)) ** 2 for v in ("act", "val", "dom")), F.lit(0.0))
     target = members.withColumn("_d", F.round(far, 9)).withColumn("n_events", F.count(F.lit(1)).over(w)).withColumn("_stop", F.max_by("t1", "_j").over(w))

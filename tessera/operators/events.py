@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numbers import overlap
 from tessera.operators.intervals import overlap_join, sliding
 from tessera.operators.scan import Line, Running
-from tessera.session import discard, stored
+from tessera.session import discard, grows, stored
 
 
 def dominant_speaker(windows: DataFrame, segments: DataFrame, threshold: float, key: str = "episode_id") -> DataFrame:
@@ -44,7 +44,7 @@ def spoken_trends(trends: DataFrame, segments: DataFrame, share: float = 0.7, ke
     """``trends`` (key, lo, hi) in which one speaker has ``share`` of what is spoken, with that speaker."""
     windows = trends.select(key, "lo", "hi").distinct().withColumn("window_id", F.concat_ws("/", F.col(key).cast("string"), F.col("lo").cast("string"), F.col("hi").cast("string")))
     found = dominant_speaker(windows, segments, share, key).select("window_id", "speaker")
-    return trends.join(windows.join(found, "window_id").select(key, "lo", "hi", "speaker"), [key, "lo", "hi"])
+    return trends.join(grows(windows.join(grows(found), "window_id").select(key, "lo", "hi", "speaker")), [key, "lo", "hi"])
 
 
 def suppressed(candidates: DataFrame, keys: list[str], strength: Column, guard: float = 60.0) -> DataFrame:
@@ -61,20 +61,20 @@ def suppressed(candidates: DataFrame, keys: list[str], strength: Column, guard:
     weak = nodes.select(*keys, "lo", "hi", F.struct("_s", "lo", "hi").alias("_place"), F.col("_id").alias("a"), cell.alias("_cell"))
     strong = nodes.select(*keys, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.struct("_s", "lo", "hi").alias("_than"), F.col("_id").alias("b"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
     near = (F.col("lo") < F.col("_hi") + guard) & (F.col("hi") > F.col("_lo") - guard) & (F.col("_than") < F.col("_place"))
-    pairs = stored(weak.join(strong, [*keys, "_cell"]).where(near).select("a", "b"), "pairs")
-    free, kept = nodes.select(F.col("_id").alias("a")).join(pairs, "a", "left_anti"), []
+    pairs = stored(weak.join(grows(strong), [*keys, "_cell"]).where(near).select("a", "b"), "pairs")
+    free, kept = nodes.select(F.col("_id").alias("a")).join(grows(pairs), "a", "left_anti"), []
     free = stored(free, "free")
     while True:
         kept.append(free)
-        gone = pairs.join(free.select(F.col("a").alias("b")), "b").select("a").distinct()
-        left = pairs.join(gone, "a", "left_anti")
-        rest = stored(left.join(gone.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"), "pairs")
-        free = stored(left.select("a").distinct().join(rest, "a", "left_anti"), "free")
+        gone = pairs.join(grows(free.select(F.col("a").alias("b"))), "b").select("a").distinct()
+        left = pairs.join(grows(gone), "a", "left_anti")
+        rest = stored(left.join(grows(gone.select(F.col("a").alias("b"))), "b", "left_anti").select("a", "b"), "pairs")
+        free = stored(left.select("a").distinct().join(grows(rest), "a", "left_anti"), "free")
         discard(pairs)
         pairs = rest
         if free.isEmpty():
             break
-    out = nodes.join(reduce(DataFrame.unionByName, kept).select(F.col("a").alias("_id")), "_id")
+    out = nodes.join(grows(reduce(DataFrame.unionByName, kept).select(F.col("a").alias("_id"))), "_id")
     return out.select(*keys, "lo", "hi", (-F.col("_s")).alias("strength"))
 
 
@@ -126,8 +126,8 @@ def neighbour_bounds(events: DataFrame, group: list[str], sources: DataFrame | N
     right = told(of, "start", 1, F.col("start").cast("double")).unionByName(told(events, "end", 0, none).distinct())
     next_ = Line(right, group, ["x", "kind"]).scan(next_start=Running("min", F.col("v"), back=True)).done().where("kind = 0").select(*group, F.col("x").alias("_e"), "next_start")
     on = lambda a, d, x: [F.col(f"a.{g}") == F.col(f"{d}.{g}") for g in group] + [F.col(a) == F.col(x)]
-    joined = events.alias("a").join(prev.alias("p"), on("a.start", "p", "p._s"), "left").select("a.*", "prev_end").alias("a")
-    return joined.join(next_.alias("n"), on("a.end", "n", "n._e"), "left").select("a.*", "next_start")
+    joined = events.alias("a").join(grows(prev.alias("p")), on("a.start", "p", "p._s"), "left").select("a.*", "prev_end").alias("a")
+    return joined.join(grows(next_.alias("n")), on("a.end", "n", "n._e"), "left").select("a.*", "next_start")
 
 
 def longest_runs(rows: DataFrame, key: str, order: list[str], flag: Column) -> DataFrame:

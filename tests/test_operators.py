@@ -526,6 +526,16 @@ def test_prepared_queries_keep_their_rules(spark):
     assert max(per.values()) <= 3 and {k for _, k in per} >= {"state", "locate", "change", "comparison"}
 
 
+def test_candidates_are_written_once(spark):
+    from conftest import DATA
+    from tessera import preparation
+    from tessera.plans import queries_builders
+
+    found = preparation.emotion_candidates(queries_builders.recordings(spark, DATA), 259200.0, 86400.0, 172800.0, 86400.0, 90000.0, 3600.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 3 and "Exchange" not in plan and "events.parquet" not in plan
+
+
 @pytest.mark.parametrize("k", [1, 3])
 def test_nearest_points_in_four_dimensions(spark, k):
     import random
