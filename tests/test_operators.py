@@ -536,6 +536,22 @@ def test_candidates_are_written_once(spark):
     assert plan.count("FileScan") == 3 and "Exchange" not in plan and "events.parquet" not in plan
 
 
+def test_nearest_points_where_blocks_are_dense_or_excluded(spark, monkeypatch):
+    """Rows close together on a line and few elsewhere; targets that no row of their own and of the nearest blocks may meet."""
+    from tessera.operators import nearest
+
+    monkeypatch.setattr(nearest, "BLOCK", 8)
+    monkeypatch.setattr(nearest, "UNIT", 16)
+    rows = [(i, "g", 0.5, (i % 500) / 1e5, "own" if i % 500 < 400 else f"s{i % 3}") for i in range(1000)] + [(1000 + i, "g", i / 40, 1 - i / 40, None if i % 5 == 0 else "far") for i in range(40)] + [(2000, "h", 0.1, 0.1, "one"), (2001, "h", 0.2, 0.1, "two")]
+    p = spark.createDataFrame(rows, "id long, g string, u double, v double, s string")
+    got = {}
+    for x in nearest.nearest_points(p, p.withColumnRenamed("id", "other"), ["g"], "id", "other", ["u", "v"], [("s", "s")], 3).collect():
+        got.setdefault(x["id"], []).append((x["rank"], x["distance"], x["other"]))
+    for i, g, u, v, s in rows:
+        want = sorted((round(abs(u - b[2]) + abs(v - b[3]), 6), b[0]) for b in rows if b[1] == g and (s is None or b[4] is None or s != b[4]))[:3]
+        assert sorted(got.get(i, [])) == [(r + 1, d, j) for r, (d, j) in enumerate(want)]
+
+
 @pytest.mark.parametrize("k", [1, 3])
 def test_nearest_points_in_four_dimensions(spark, k):
     import random
