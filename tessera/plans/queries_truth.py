@@ -200,12 +200,11 @@ def deferred_scores(spark, sf_dir):
     folder = f"{shared_folder(spark).rstrip('/')}/deferred-{uuid.uuid4().hex}"
     prompts = judge_prompts(spark, sf_dir)
     jobs = deferred.Deferred(spark, folder, prompts.schema)
-    service = deferred.Folder(spark, f"{folder}/service", experts.stand_in_judge)
+    service = deferred.Tables(spark, f"{folder}/service", experts.stand_in_judge)
     for some in (prompts.where("query_id % 2 = 0"), prompts):
         jobs.plan(some)
         jobs.run(service)
-    for job in [r["job"] for r in jobs.jobs.read().collect()]:
-        service.work(job)
+    service.work()
     jobs.run(service)
     return truth.judged_scores(jobs.replies())
 

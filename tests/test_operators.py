@@ -874,6 +874,39 @@ def test_deferred_jobs_that_break_off_ask_nothing_twice(spark, tmp_path, monkeyp
     assert sum(held) == 80 and max(held) <= 15 and jobs.answers.read().count() == 80
 
 
+def test_deferred_jobs_of_a_pass_are_handed_over_at_once(spark, tmp_path, monkeypatch):
+    from tessera import deferred
+
+    prompts = spark.createDataFrame([(k, "answer", f"Expected: w{k}\nPrediction: w{k % 3}") for k in range(40)], "query_id long, kind string, prompt string")
+    service, writes = deferred.Tables(spark, str(tmp_path / "s"), experts.stand_in_judge), []
+    jobs = deferred.Deferred(spark, str(tmp_path / "d"), prompts.schema, 5)
+    note, commit = deferred.Deferred._note_all, deferred.Table._commit
+
+    def breaks(self, jobs, state):
+        raise OSError("power is gone")
+
+    monkeypatch.setattr(deferred.Table, "_commit", lambda self, *a: writes.append(self.path) or commit(self, *a))
+    for some in (prompts.where("query_id < 20"), prompts):
+        jobs.plan(some)
+        for step in (breaks, note):  # the service has the jobs, or their replies are written, before that is noted
+            monkeypatch.setattr(deferred.Deferred, "_note_all", step)
+            try:
+                state = jobs.run(service)
+            except OSError:
+                continue
+    assert state == {"submitted": 8, "collected": 0} and service.asked.read().count() == 40
+    service.work()
+    for step in (breaks, note):
+        monkeypatch.setattr(deferred.Deferred, "_note_all", step)
+        try:
+            state = jobs.run(service)
+        except OSError:
+            continue
+    assert state == {"submitted": 0, "collected": 8} and len(writes) < 16
+    got = jobs.replies().collect()
+    assert len(got) == 40 == jobs.answers.read().count() and all((x["reply"] == "Answer: YES") == (f"w{x['query_id']}" in x["prompt"].split("Prediction: ")[1]) for x in got)
+
+
 def corpus_files(tmp_path):
     """An object, a list and lines of records of 60 episodes, with braces, quotes and letters of several bytes in their texts."""
     records = {f"ep{k:03d}": {"n": k, "t": 'é {"]} \\\\ "' * (k % 5), "more": [{"x": k}]} for k in range(60)}
