@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import overlap
 from tessera.operators.scan import Line, Running
-from tessera.session import grows
+from tessera.session import discard, grows, stored
 
 #: Fixed value: how much wider each next grid of an interval join is.
 FINER = 4
@@ -57,20 +57,31 @@ def coverage(truth: DataFrame, windows: DataFrame, key: str = "episode_id", buck
 
 def _starts(points: DataFrame, segments: DataFrame, key: str, order: str) -> DataFrame:
     """Points and segments of a key on one line: ``_pt`` the point, ``_left`` and ``_right`` the segments that start last until its ``t`` and
-    first after it (of equal starts the least by ``order``), ``_first`` the earliest that ends at ``t`` or later.
+    first after it (of equal starts the least by ``order``), ``_first`` the earliest that ends at ``t`` or later, if one does.
 
-    Scans instead of joining, so a key with m points and n segments costs m + n rows, not m * n, and spreads over partitions.
+    Scans instead of joining, so a key with m points and n segments costs m + n rows, not m * n, and spreads over partitions.  Segments of
+    keys without a point are left out before they are ordered.  What comes after a point is known to the segment before it, which
+    tells its next start and whose end the next lead waits for; so the points' line is only scanned forwards.
     """
-    whole = F.struct(*[c for c in segments.columns if c != key])
-    s = Line(segments.where(f"{key} is not null and start is not null").withColumn("_s", whole), [key], ["start", order]).scan(_until=Running("max", F.col("end"), before=True)).done()
+    asked = points.select(F.col(key).alias("_asked")).distinct()
+    known = segments.where(f"{key} is not null and start is not null").join(grows(asked), F.col(key) == F.col("_asked"), "left_semi")
+    by_start = Line(known.withColumn("_s", F.struct(*[c for c in segments.columns if c != key])), [key], ["start", F.col(order).asc_nulls_last()])
+    until = by_start.scan(_until=Running("max", F.col("end"), before=True), _before=Running("last", F.col("start"), before=True))
+    opens = F.col("_before").isNull() | (F.col("start") != F.col("_before"))
+    s = until.scan(_next=Running("last", F.when(opens, F.col("_s")), before=True, back=True)).done()
     none = F.lit(None).cast(s.schema["_s"].dataType)
+    mark = lambda t, k, left, right, end: F.struct(t.cast("double").alias("_t"), F.lit(k).alias("_kind"), left.alias("_l"), right.alias("_r"), end.alias("_end"))
+    early = F.when(F.col("_before").isNull(), mark(F.lit(None), 0, none, F.col("_s"), none))
+    lead = F.when(F.col("end").isNotNull() & (F.col("_until").isNull() | (F.col("end") > F.col("_until"))), mark(F.col("_until"), 2, none, none, F.col("_s")))
+    marks = s.select(key, F.explode(F.array_compact(F.array(early, F.when(opens, mark(F.col("start"), 0, F.col("_s"), F.col("_next"), none)), lead))).alias("_m"))
     p = points.select(key, F.struct(*[c for c in points.columns if c != key]).alias("_pt"), F.col("t").cast("double").alias("_t"))
-    starts = s.groupBy(key, "start").agg(F.min_by("_s", order).alias("_s")).select(key, F.col("start").cast("double").alias("_t"), F.lit(0).alias("_kind"), F.col("_s").alias("_start"), none.alias("_end"), F.lit(None).cast(p.schema["_pt"].dataType).alias("_pt"))
-    leads = s.where(F.col("end").isNotNull() & (F.col("_until").isNull() | (F.col("end") > F.col("_until"))))
-    ends = leads.select(key, F.col("end").cast("double").alias("_t"), F.lit(2).alias("_kind"), none.alias("_start"), F.col("_s").alias("_end"), F.lit(None).cast(p.schema["_pt"].dataType).alias("_pt"))
-    line = starts.unionByName(ends).unionByName(p.where(f"{key} is not null").select(key, "_t", F.lit(1).alias("_kind"), none.alias("_start"), none.alias("_end"), "_pt"))
-    seen = Line(line, [key], ["_t", "_kind"]).scan(_left=Running("last", F.col("_start")), _right=Running("last", F.col("_start"), back=True), _first=Running("last", F.col("_end"), back=True))
-    return seen.done().where("_kind = 1").drop("_t", "_kind", "_start", "_end")
+    start = F.when(F.col("_m._kind") == 0, F.struct(F.col("_m._l").alias("_l"), F.col("_m._r").alias("_r"))).alias("_start")
+    marks = stored(marks.select(key, "_m._t", "_m._kind", start, "_m._end", F.lit(None).cast(p.schema["_pt"].dataType).alias("_pt")), "marks")
+    by_start.clear()
+    line = marks.unionByName(p.where(f"{key} is not null").select(key, "_t", F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_start"].dataType).alias("_start"), none.alias("_end"), "_pt"))
+    seen = Line(line, [key], ["_t", "_kind"]).scan(_near=Running("last", F.col("_start")), _first=Running("last", F.col("_end")))
+    discard(marks)
+    return seen.done().where("_kind = 1").select(key, "_pt", F.col("_near._l").alias("_left"), F.col("_near._r").alias("_right"), "_first")
 
 
 def _closer() -> Column:

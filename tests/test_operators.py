@@ -1100,3 +1100,30 @@ def test_clip_quality_looks_at_clips_together_and_once(spark):
     alone = {k: waves.quality(*waves.decoded(c)) for k, c in clips.items() if k != "bad"} | {"bad": {"reject": "error"}}
     assert {k: {x: v for x, v in r.items() if x != "name" and v is not None} for k, r in got.items()} == alone
     assert not [f for f in queries_corpora.clip_quality(spark, DATA).inputFiles() if "customer.parquet" in f]
+
+
+def test_nearest_orders_only_what_is_asked_for_and_forwards(spark, monkeypatch):
+    lines, scans = [], []
+
+    class Seen(intervals.Line):
+        def __init__(self, rows, by, order, placed=False):
+            super().__init__(rows, by, order, placed)
+            if not placed:
+                lines.append(self.rows.count())
+
+        def scan(self, **running):
+            scans.append((self.rows, [r.back for r in running.values()]))
+            return super().scan(**running)
+
+    monkeypatch.setattr(intervals, "Line", Seen)
+    s = spark.range(3000).select((F.col("id") % 1000).alias("episode_id"), F.format_string("s%04d", "id").alias("seg_id"), F.col("id").cast("double").alias("start"), (F.col("id") + 5.0).alias("end"))
+    p = spark.createDataFrame([(1, 7, 1500.0), (2, 7, -1.0), (3, 2000, 1.0), (4, None, 1.0), (5, 8, None)], "point_id long, episode_id long, t double")
+    assert {x["point_id"]: x["seg_id"] for x in intervals.nearest(p, s).collect()} == {1: "s1007", 2: "s0007", 5: "s0008"}
+    assert lines[0] == 6  # of two episodes; no segment of the 998 others is put on a line
+    assert not any(back for rows, backs in scans for back in backs if "_pt" in rows.columns)
+
+
+def test_nearest_keeps_segments_without_an_id(spark):
+    s = spark.createDataFrame([(1, None, 0.0, 1.0), (1, "b", 0.0, 1.0), (1, None, 50.0, 51.0)], "episode_id long, seg_id string, start double, `end` double")
+    p = spark.createDataFrame([(1, 1, -3.0), (2, 1, 0.5), (3, 1, 49.0), (4, 1, 90.0)], "point_id long, episode_id long, t double")
+    assert sorted((x["point_id"], x["seg_id"], x["start"]) for x in intervals.nearest(p, s).collect()) == [(1, "b", 0.0), (2, "b", 0.0), (3, None, 50.0), (4, None, 50.0)]
