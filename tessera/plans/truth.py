@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import intervals
 from tessera.operators.builders import EMOTION_NAMES, lookup
+from tessera.operators.ordering import ranked
 from tessera.plans.metrics import JUDGE_TOLERANCE
 from tessera.session import grows, stored
 
@@ -23,6 +24,8 @@ from tessera.session import grows, stored
 POINTING = ["categorical", "time_and_quote"]
 HALF, CHANGE, COMPARISON, GRID = 30.0, 30.0, 60.0, 300.0
 SEGMENT = ["seg_id", "ord", "start", "end", "speaker", "label", "text"]
+#: Fixed value: about how many rows of plans one task makes where queries get all segments of an episode or a song.
+PLANS = 500_000
 #: What directions are called.
 DIRECTIONS = {"up": "rising", "down": "falling", "none": "stable"}
 
@@ -120,6 +123,20 @@ def _localized(start: Column, end: Column) -> Column:
     return F.format_string("%d sec to %d sec", F.floor(start), F.ceil(end))
 
 
+def _given(queries: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:
+    """(query_id, set_no, localize): to each of ``queries`` all ``sets`` (numbered by ``_no``) of its ``by``.
+
+    What comes out of a group is its queries times its sets; so a group is cut into shares of about ``PLANS`` rows, its queries dealt
+    to them and its sets repeated for each, and shares go to as many tasks as shuffles have, however few bytes go in.
+    """
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = lambda df, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    shares = stored(count(queries, "_q").join(grows(count(sets, "_s")), by).select(*by, F.ceil(F.col("_q") * F.col("_s") / F.lit(PLANS)).alias("_shares")), "shares")
+    dealt = queries.join(grows(shares), by).withColumn("_share", F.pmod(F.xxhash64("query_id"), F.col("_shares"))).drop("_shares").repartition(n, *by, "_share")
+    copies = sets.join(grows(shares), by).withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1))).drop("_shares")
+    return dealt.join(grows(copies), [*by, "_share"]).select("query_id", F.col("_no").cast("int").alias("set_no"), "localize")
+
+
 def oracle_plans(queries: DataFrame, truth: DataFrame, extracted: DataFrame, speakers: DataFrame, longest: int = 60) -> DataFrame:
     """(query_id, set_no, localize): plans made from the truth instead of by a model.
 
@@ -128,43 +145,61 @@ def oracle_plans(queries: DataFrame, truth: DataFrame, extracted: DataFrame, spe
     their clips (``speakers``: clip, speaker), its first segment in the window, one with a label before others; without any, the two
     halves of the window.  Else: listed segments; else those at the blocks' times, each once; else those of the first song that
     is given by its place; else all.
+
+    Each query takes one of these ways, so each way numbers its own sets; where a query gets all segments of an episode or a song, these
+    are numbered once for all queries.  Truth and extracted segments of the queries' episodes are written once.
     """
-    health = queries.where("task = 'health'").select("query_id", F.lit(0).cast("long").alias("o"), F.lit(f"0 sec to {longest} sec").alias("localize"))
+    asked = queries.select(F.col("episode_id").alias("_asked")).distinct()
+    known = lambda df: df.join(grows(asked), F.col("episode_id") == F.col("_asked"), "left_semi")
+    truth = stored(known(truth.select("episode_id", "seg_id", "ord", "start", "end", "speaker", "label")), "truth")
+    extracted = stored(known(extracted.select("episode_id", "ord", "start", "end")), "extracted")
+
     rest = queries.where("not coalesce(task = 'health', false)")
     kind = F.coalesce("judge_type", F.lit(""))
-    seg = lambda df, o: df.select("query_id", o.cast("long").alias("o"), _localized(F.col("start"), F.col("end")).alias("localize"))
+    text_of = _localized(F.col("start"), F.col("end")).alias("localize")
+    only = lambda df, localize: df.select("query_id", F.lit(0).alias("set_no"), localize.alias("localize"))
+    number = F.row_number().over(Window.partitionBy("query_id").orderBy("o")) - 1
+    numbered = lambda df, o: df.withColumn("o", o).select("query_id", number.cast("int").alias("set_no"), text_of)
+    window = lambda a, b: F.concat(a.cast("long").cast("string"), F.lit(" sec to "), b.cast("long").cast("string"), F.lit(" sec"))
+    health = only(queries.where("task = 'health'"), F.lit(f"0 sec to {longest} sec"))
 
     own = ["episode_id", "ord", "start", "end"]
-    bare = truth.select(*own).join(extracted.select("episode_id").distinct(), "episode_id", "left_anti")
+    bare = truth.select(*own).join(grows(extracted.select("episode_id").distinct()), "episode_id", "left_anti")
     points = rest.where(kind.isin(POINTING)).select("query_id", "episode_id", _event_time().alias("t"))
-    events = seg(intervals.nearest(points, extracted.select(*own).unionByName(bare), order="ord"), F.lit(0))
 
-    changes = rest.where(kind == "trend").select("query_id", F.lit(0).cast("long").alias("o"), F.format_string("%d sec to %d sec", _time().cast("long"), (_time() + CHANGE).cast("long")).alias("localize"))
+    changes = only(rest.where(kind == "trend"), window(_time(), _time() + CHANGE))
 
     compared = rest.where(kind == "speaker_id").select("query_id", "episode_id", _time().cast("long").alias("a"), (_time() + COMPARISON).cast("long").alias("b"), "clips")
     named = compared.select("query_id", "episode_id", "a", "b", F.posexplode(F.coalesce("clips", F.array().cast("array<string>"))).alias("o", "clip")).withColumn("clip", F.element_at(F.split("clip", "/"), -1))
-    spoken = named.join(speakers.select("clip", "speaker"), "clip").join(truth.select("episode_id", "ord", "start", "end", "speaker", "label"), ["episode_id", "speaker"]).where((F.col("start") < F.col("b")) & (F.col("end") > F.col("a")))
+    spoken = named.join(speakers.select("clip", "speaker"), "clip").join(grows(truth.select("episode_id", "ord", "start", "end", "speaker", "label")), ["episode_id", "speaker"]).where((F.col("start") < F.col("b")) & (F.col("end") > F.col("a")))
     best = F.row_number().over(Window.partitionBy("query_id", "o").orderBy(F.coalesce("label", F.lit("")) == "", "start", "ord"))
-    pairs = stored(seg(spoken.withColumn("_r", best).where("_r = 1"), F.col("o")), "pairs")
+    pairs = stored(numbered(spoken.withColumn("_r", best).where("_r = 1"), F.col("o")), "pairs")
     middle = F.floor((F.col("a") + F.col("b")) / 2)
-    halves = F.array(F.struct(F.lit(0).cast("long").alias("o"), F.col("a").alias("x"), middle.alias("y")), F.struct(F.lit(1).cast("long").alias("o"), middle.alias("x"), F.col("b").alias("y")))
-    guessed = compared.join(pairs.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.explode(halves).alias("h")).select("query_id", "h.o", F.format_string("%d sec to %d sec", "h.x", "h.y").alias("localize"))
+    halves = F.array(F.struct(F.lit(0).alias("set_no"), F.col("a").alias("x"), middle.alias("y")), F.struct(F.lit(1).alias("set_no"), middle.alias("x"), F.col("b").alias("y")))
+    guessed = compared.join(grows(pairs.select("query_id").distinct()), "query_id", "left_anti").select("query_id", F.explode(halves).alias("h")).select("query_id", "h.set_no", window(F.col("h.x"), F.col("h.y")).alias("localize"))
 
     others = rest.where(~kind.isin(*POINTING, "trend", "speaker_id"))
-    listed = seg(_by_ids(others.where(_has_ids()), truth), F.col("ord"))
+    listed = numbered(_by_ids(others.where(_has_ids()), truth.withColumn("text", F.lit(None).cast("string"))), F.col("ord"))
     free = others.where(~_has_ids())
     at = free.select("query_id", "episode_id", F.posexplode(_refs()).alias("o", "t"))
-    near = intervals.nearest(at, truth.select("episode_id", "seg_id", "ord", "start", "end"), order="ord")
-    times = stored(near.groupBy("query_id", "seg_id", "start", "end").agg(F.min("o").alias("o")), "times")
-    placeless = free.join(times.select("query_id").distinct(), "query_id", "left_anti")
-    tagged = placeless.where(F.size(_positions()) > 0).select("query_id", "episode_id", F.format_string("SONG_%02d", _positions()[0]).alias("speaker"))
-    songs = tagged.join(truth.select("episode_id", "speaker", "ord", "start", "end"), ["episode_id", "speaker"])
-    every = placeless.where(F.size(_positions()) == 0).select("query_id", "episode_id").join(truth.select("episode_id", "ord", "start", "end"), "episode_id")
+    line = lambda df, k: df.where("episode_id is not null").withColumn("_line", F.struct(F.lit(k).alias("k"), "episode_id")).drop("episode_id")
+    places = line(points.withColumn("o", F.lit(0)), 0).unionByName(line(at, 1))
+    pieces = line(extracted.select(*own).unionByName(bare).withColumn("seg_id", F.lit(None).cast(truth.schema["seg_id"].dataType)), 0).unionByName(line(truth.select("seg_id", *own), 1))
+    near = stored(intervals.nearest(places, pieces, "_line", "ord"), "near")
+    events = only(near.where("_line.k = 0"), text_of)
+    times = stored(numbered(near.where("_line.k = 1").groupBy("query_id", "seg_id", "start", "end").agg(F.min("o").alias("_o")), F.col("_o")), "times")
+    timed = F.size(_refs()) > 0
+    slim = lambda df: df.select("query_id", "episode_id", _positions().alias("_at"))
+    placeless = slim(free.where(~timed)).unionByName(slim(free.where(timed)).join(grows(times.select("query_id").distinct()), "query_id", "left_anti"))
+    placed = F.size("_at") > 0
+    of_song = ranked(truth.where("speaker is not null").select("episode_id", "speaker", "ord", text_of), ["episode_id", "speaker"], ["ord"], "_no", 0)
+    of_all = ranked(truth.select("episode_id", "ord", text_of), ["episode_id"], ["ord"], "_no", 0)
+    songs = _given(placeless.where(placed).select("query_id", "episode_id", F.format_string("SONG_%02d", F.col("_at")[0]).alias("speaker")), of_song, ["episode_id", "speaker"])
+    every = _given(placeless.where(~placed).select("query_id", "episode_id"), of_all, ["episode_id"])
     out = health
-    for part in (events, changes, pairs, guessed, listed, seg(times, F.col("o")), seg(songs, F.col("ord")), seg(every, F.col("ord"))):
+    for part in (events, changes, pairs, guessed, listed, times, songs, every):
         out = out.unionByName(part)
-    number = F.row_number().over(Window.partitionBy("query_id").orderBy("o")) - 1
-    return out.select("query_id", number.cast("int").alias("set_no"), "localize")
+    return out
 
 
 def with_file_evidence(queries: DataFrame, truth: DataFrame) -> DataFrame:

@@ -1127,3 +1127,20 @@ def test_nearest_keeps_segments_without_an_id(spark):
     s = spark.createDataFrame([(1, None, 0.0, 1.0), (1, "b", 0.0, 1.0), (1, None, 50.0, 51.0)], "episode_id long, seg_id string, start double, `end` double")
     p = spark.createDataFrame([(1, 1, -3.0), (2, 1, 0.5), (3, 1, 49.0), (4, 1, 90.0)], "point_id long, episode_id long, t double")
     assert sorted((x["point_id"], x["seg_id"], x["start"]) for x in intervals.nearest(p, s).collect()) == [(1, "b", 0.0), (2, "b", 0.0), (3, None, 50.0), (4, None, 50.0)]
+
+
+def test_plans_of_a_hot_episode_are_made_by_many_tasks(spark, monkeypatch):
+    from tessera.plans import truth
+
+    monkeypatch.setattr(truth, "PLANS", 10_000)
+    segs = spark.range(300).select(F.lit(1).alias("episode_id"), F.format_string("s%d", "id").alias("seg_id"), (F.col("id") * 2).alias("ord"), F.col("id").cast("double").alias("start"), (F.col("id") + 1.0).alias("end"), F.when(F.col("id") % 3 == 0, "SONG_02").alias("speaker"), F.lit("x").alias("label"))
+    block = "array<struct<time_ref:double,position:int,file_name:string,name:string>>"
+    queries = spark.range(800).select(F.col("id").alias("query_id"), F.lit(1).alias("episode_id"), F.lit("emotion").alias("task"), F.lit(None).cast("string").alias("judge_type"), F.lit(None).cast("double").alias("t0"), F.lit(None).cast("double").alias("time_ref"), F.lit(None).cast("array<string>").alias("gt_seg_ids"), F.when(F.col("id") == 7, F.from_json(F.lit('[{"position": 2}]'), block)).alias("blocks"), F.lit(None).cast("array<string>").alias("clips"))
+    speakers = spark.createDataFrame([("a.wav", "SONG_02")], "clip string, speaker string")
+    made = truth.oracle_plans(queries, segs, segs.limit(0), speakers).withColumn("_task", F.spark_partition_id()).toPandas()
+    assert len(made) == 799 * 300 + 100
+    assert made.groupby("_task").size().max() < len(made) // 2
+    want = {q: [f"{k} sec to {k + 1} sec" for k in range(0, 300, 3 if q == 7 else 1)] for q in (7, 8)}
+    for q, sets in want.items():
+        got = made[made["query_id"] == q].sort_values("set_no")
+        assert list(got["set_no"]) == list(range(len(sets))) and list(got["localize"]) == sets
