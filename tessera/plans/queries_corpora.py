@@ -13,7 +13,7 @@ from tessera.operators import events, shaping
 from tessera.plans import adapters, metrics, reports
 from tessera.plans.adapters import SQL_CV, SQL_EV, SQL_SC, read
 from tessera.plans.queries import query
-from tessera.session import shared_folder, stored
+from tessera.session import grows, shared_folder, stored
 from tessera.sources import corpora, readers, waves
 
 
@@ -190,12 +190,12 @@ def _wave_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wave_slices(spark, sf_dir):
     """Windows of recordings as base64 of 16-bit files, and the line that tells how long a track is."""
     files = _wave_files(spark, sf_dir)
+    told = files.select("name", waves.duration_line(waves.duration(F.col("content"))).alias("length"))
     k = F.col("o_orderkey")
-    windows = read(spark, sf_dir, "orders").join(files.select("name"), F.col("o_custkey").cast("string") == F.col("name")).select(k.alias("clip_id"), "name", (k % 35).alias("lo"), F.least(F.lit(40), k % 35 + 3 + k % 5).alias("hi"))
-    cut = waves.slices(windows, files, 50)
-    told = files.select(F.col("name").alias("_n"), waves.duration_line(waves.duration(F.col("content"))).alias("length"))
+    orders = read(spark, sf_dir, "orders").select(k.alias("clip_id"), F.col("o_custkey").cast("string").alias("name"), (k % 35).alias("lo"), F.least(F.lit(40), k % 35 + 3 + k % 5).alias("hi"))
+    cut = waves.slices(orders.join(grows(told), "name"), files, 50)
     size = F.floor((F.length(F.unbase64("audio")) - 44) / 2)
-    return cut.join(told, F.col("name") == F.col("_n")).select(F.col("clip_id").alias("id"), F.when(size == F.col("n_samples"), F.col("n_samples")).alias("n"), "length")
+    return cut.select(F.col("clip_id").alias("id"), F.when(size == F.col("n_samples"), F.col("n_samples")).alias("n"), "length")
 
 
 @query("clip_quality")

@@ -96,38 +96,45 @@ def duration_line(seconds: Column) -> Column:
 
 
 def slices(windows: DataFrame, files: DataFrame, rate: int = 16_000) -> DataFrame:
-    """``windows`` (clip_id, name, lo, hi) with ``audio``: base64 of a 16-bit WAV of the window at ``rate``; null where the recording is missing or can't be read.
+    """``windows`` (clip_id, name, lo, hi and any others) with ``audio``: base64 of a 16-bit WAV of the window at ``rate``, and ``n_samples``; null where the recording is missing or can't be read.
 
-    Windows travel to the recordings (name, content), each of which is decoded once for all of its windows.  Slices are
-    handed on ``HELD`` bytes at a time, whether one recording has them or many.
+    Windows and recordings (name, content) meet by name, and each recording is decoded once for all of its windows; slices
+    are not shuffled.  They are handed on ``HELD`` bytes at a time, whether one recording has them or many.
     """
-    asked = windows.groupBy("name").agg(F.collect_list(F.struct("clip_id", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))).alias("w"))
-    schema = pa.schema([("clip_id", pa.int64()), ("audio", pa.string()), ("n_samples", pa.int64())])
-
-    def told(out: list) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+    asked = windows.where("name is not null").groupBy("name").agg(F.collect_list(F.struct(*windows.columns)).alias("w"))
+    kind = windows.schema.add("audio", "string").add("n_samples", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = [], 0
+        told, audio, counts, held = [], [], [], 0
+
+        def ready() -> pa.RecordBatch:
+            rows = pa.concat_arrays(told)
+            return pa.record_batch([*rows.flatten(), pa.array(audio, pa.string()), pa.array(counts, pa.int64())], names=[*[f.name for f in rows.type], "audio", "n_samples"])
+
         for batch in batches:
             for content, asked in zip(batch.column("content"), batch.column("w"), strict=True):
                 try:
-                    samples, own = decoded(content.as_py())
+                    samples, own = decoded(content.as_py() or b"")
                 except (wave.Error, EOFError, KeyError, ValueError):
                     samples, own = None, 0
-                for x in asked.as_py():
-                    part = None if samples is None else resampled(samples[int(x["lo"] * own) : int(x["hi"] * own)], own, rate)
-                    audio = None if part is None else base64.b64encode(encoded(part, rate)).decode()
-                    out.append((x["clip_id"], audio, None if part is None else len(part)))
-                    held += 64 + len(audio or "")
+                rows, first = asked.values, 0
+                for k, (lo, hi) in enumerate(zip(rows.field("lo").to_pylist(), rows.field("hi").to_pylist(), strict=True)):
+                    part = None if samples is None or lo is None or hi is None else resampled(samples[int(float(lo) * own) : int(float(hi) * own)], own, rate)
+                    audio.append(None if part is None else base64.b64encode(encoded(part, rate)).decode())
+                    counts.append(None if part is None else len(part))
+                    held += 64 + len(audio[-1] or "")
                     if held >= HELD:
-                        yield told(out)
-                        out, held = [], 0
-        if out:
-            yield told(out)
-
-    cut = files.join(asked, "name").select("content", "w").mapInArrow(run, "clip_id long, audio string, n_samples long")
-    return windows.join(cut, "clip_id", "left")
+                        told.append(rows.slice(first, k + 1 - first))
+                        yield ready()
+                        told, audio, counts, held, first = [], [], [], 0, k + 1
+                told.append(rows.slice(first))
+        if audio:
+            yield ready()
+
+    # The join holds the lists of windows in memory, not the recordings, and sends neither through the driver, whatever their files' size says.
+    cut = files.select("name", "content").join(asked.hint("shuffle_hash"), "name", "right").select("content", "w").mapInArrow(run, kind)
+    nameless = windows.where("name is null").withColumns({"audio": F.lit(None).cast("string"), "n_samples": F.lit(None).cast("long")})
+    return cut.unionByName(nameless)
 
 
 def _frames(samples: np.ndarray) -> np.ndarray:

@@ -1144,3 +1144,25 @@ def test_plans_of_a_hot_episode_are_made_by_many_tasks(spark, monkeypatch):
     for q, sets in want.items():
         got = made[made["query_id"] == q].sort_values("set_no")
         assert list(got["set_no"]) == list(range(len(sets))) and list(got["localize"]) == sets
+
+
+def test_wave_slices_gathers_no_recordings_in_the_driver(spark):
+    from conftest import DATA
+    from tessera.plans import queries_corpora
+
+    plan = _plan(queries_corpora.wave_slices(spark, DATA))
+    assert "BroadcastHashJoin" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_slices_keep_each_window_once_with_its_columns(spark):
+    import numpy as np
+
+    from tessera.sources import waves
+
+    raw = bytearray(waves.encoded(np.linspace(-1, 1, 400, dtype=np.float32), 50))
+    files = spark.createDataFrame([("a", raw), ("b", None)], "name string, content binary")
+    data = [(1, "a", 0, 1, "x"), (1, "a", 2, 5, "y"), (None, "a", 1, 2, "z"), (2, "b", 0, 1, "u"), (3, None, 0, 1, "v"), (4, "c", 0, 1, "w"), (5, "a", None, 1, "q")]
+    windows = spark.createDataFrame(data, "clip_id long, name string, lo int, hi int, other string")
+    got = {(r["clip_id"], r["name"], r["other"], r["n_samples"], r["audio"] is None) for r in waves.slices(windows, files, 50).collect()}
+    n = {"x": 50, "y": 150, "z": 50}
+    assert got == {(k, name, other, n.get(other), other not in n) for k, name, _, _, other in data}
