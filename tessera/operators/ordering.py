@@ -1,8 +1,8 @@
-"""Dense ranks over large groups or whole tables, without one task that sees all rows of a group."""
+"""Dense ranks over large groups or whole tables, without one task that sees all rows of a group; aggregates in the order of a table's rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import stored
@@ -29,3 +29,20 @@ def ranked(df: DataFrame, by: list[str], order: list, name: str, base: int = 1)
     out = local.join(F.broadcast(same), on, "left").withColumn(name, (F.coalesce("_b", F.lit(0)) + F.col("_r") - 1 + base).cast("long")).drop("_p", "_q", "_r", "_b", *[f"_{b}_" for b in by])
     out.made = [placed]
     return out
+
+
+def placed(table: DataFrame) -> DataFrame:
+    """``table``, as read from Parquet files, with ``_place``: where a row stands, by its file's path and its number in the file."""
+    return table.withColumn("_place", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+
+
+def in_order(rows: DataFrame, by: list[str], order: list, **told: Column) -> DataFrame:
+    """(by, told): aggregates of each group that take its rows in ``order``.
+
+    A sum of doubles hangs on the order in which they are added; Spark's own hangs on partitions and on what arrives first.  Rows are
+    sorted and go through a window, which spills: no group is held as a list.
+    """
+    line = Window.partitionBy(*by).orderBy(*order)
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = rows.select(*by, *[c.over(whole).alias(name) for name, c in told.items()], F.row_number().over(line).alias("_r"))
+    return marked.where("_r = 1").drop("_r")

@@ -9,6 +9,7 @@ from tessera import preparation
 from tessera.functions.numbers import rounded
 from tessera.operators import builders, events, sampling
 from tessera.operators.nearest import nearest_points
+from tessera.operators.ordering import in_order, placed
 from tessera.plans import adapters
 from tessera.plans.adapters import SQL_CV, SQL_EV, read
 from tessera.plans.queries import draw_sql, query
@@ -191,9 +192,11 @@ def track_pairs(spark, sf_dir):
 @query("english_songs", """WITH l AS (SELECT o_orderkey AS f, ['en', 'fr', 'de'][1 + o_orderkey % 3] AS lang, o_orderkey % 10 / 10.0::DOUBLE AS prob, CASE WHEN o_orderkey % 5 = 0 THEN ['fr', 'en'][1 + o_orderkey % 2] END AS lang2, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 8 / 8.0::DOUBLE END AS prob2 FROM orders),
 m AS (SELECT l_orderkey AS f, avg((l_quantity / 10 + l_discount * 50 + l_tax * 50) / 3) AS s, 100 + sum(l_linenumber) * 12 AS d FROM lineitem GROUP BY 1) SELECT f AS file, d::BIGINT AS seconds, greatest(1, least(5, round_even(s, 0)))::BIGINT AS bucket FROM l JOIN m USING (f) WHERE coalesce(lang2, lang) = 'en' AND coalesce(prob2, prob) > 0.5 AND d BETWEEN 150 AND 300""")
 def english_songs(spark, sf_dir):
+    """Ratings are added up in the order of the table's rows, as the SQL does with one thread: a mean of x.5 may fall on either side."""
     k = F.col("o_orderkey")
     languages = read(spark, sf_dir, "orders").select(k.alias("file"), F.element_at(F.array(*map(F.lit, ["en", "fr", "de"])), (k % 3 + 1).cast("int")).alias("lang"), (k % 10 / F.lit(10.0)).alias("prob"), F.when(k % 5 == 0, F.element_at(F.array(F.lit("fr"), F.lit("en")), (k % 2 + 1).cast("int"))).alias("lang2"), F.when(k % 5 == 0, k % 8 / F.lit(8.0)).alias("prob2"))
-    songs = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file")).agg(F.avg((F.col("l_quantity") / 10 + F.col("l_discount") * 50 + F.col("l_tax") * 50) / 3).alias("mean"), (100 + F.sum("l_linenumber") * 12).alias("seconds"))
+    rated = placed(read(spark, sf_dir, "lineitem")).select(F.col("l_orderkey").alias("file"), ((F.col("l_quantity") / 10 + F.col("l_discount") * 50 + F.col("l_tax") * 50) / 3).alias("rating"), "l_linenumber", "_place")
+    songs = in_order(rated, ["file"], ["_place"], mean=F.avg("rating"), n=F.sum("l_linenumber")).withColumn("seconds", 100 + F.col("n") * 12)
     return builders.english_songs(languages, songs).select("file", F.col("seconds").cast("long").alias("seconds"), "bucket")
 
 

@@ -1166,3 +1166,55 @@ def test_slices_keep_each_window_once_with_its_columns(spark):
     got = {(r["clip_id"], r["name"], r["other"], r["n_samples"], r["audio"] is None) for r in waves.slices(windows, files, 50).collect()}
     n = {"x": 50, "y": 150, "z": 50}
     assert got == {(k, name, other, n.get(other), other not in n) for k, name, _, _, other in data}
+
+
+def _in_parts(spark, path, made, schema, sizes):
+    """``made`` as a table of files of these sizes, whose names give their order."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path.mkdir()
+    names, at = [f.split()[0] for f in schema.split(", ")], 0
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "timestamp_ntz": pa.timestamp("us")}
+    for k, n in enumerate(sizes):
+        part = made[at : at + n]
+        at += n
+        pq.write_table(pa.table({c: pa.array([r[i] for r in part], kinds[f.split()[1]]) for i, (c, f) in enumerate(zip(names, schema.split(", "), strict=True))}), path / f"part-{k:05d}.parquet")
+    assert at == len(made)
+
+
+LINES = "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double"
+
+
+def _lines_of_middle_means(keys, of):
+    """Lines whose means lie where a class ends, but for the order in which they are added up; in no order by key."""
+    import random
+
+    r, made = random.Random(3), []
+    for k in keys:
+        q, d, t = [r.randint(1, 50) for _ in range(5)], [r.randint(0, 10) for _ in range(5)], [r.randint(0, 8) for _ in range(5)]
+        q[4] = of(q[:4], d, t)
+        made += [(k, 2, float(a), b / 100, c / 100) for a, b, c in zip(q, d, t, strict=True)]
+    r.shuffle(made)
+    return made
+
+
+def _added(made, value):
+    sums = {}
+    for x in made:
+        s, n = sums.get(x[0], (0.0, 0))
+        sums[x[0]] = (s + value(x), n + 1)
+    return {k: s / n for k, (s, n) in sums.items()}
+
+
+def test_english_songs_add_ratings_in_the_order_of_rows(spark, tmp_path):
+    from tessera.plans import queries_builders
+
+    keys = [k for k in range(6000) if k % 3 == 0 and k % 5 and k % 10 > 5]
+    made = _lines_of_middle_means(keys, lambda q, d, t: 375 - sum(q) - 5 * sum(d) - 5 * sum(t))
+    _in_parts(spark, tmp_path / "lineitem.parquet", made, LINES, [len(made) - 1500, 100, 900, 500])
+    _in_parts(spark, tmp_path / "orders.parquet", [(k,) for k in keys], "o_orderkey long", [len(keys)])
+    means = _added(made, lambda x: (x[2] / 10 + x[3] * 50 + x[4] * 50) / 3)
+    assert len({m >= 2.5 for m in means.values()}) == 2
+    got = {r["file"]: (r["seconds"], r["bucket"]) for r in queries_builders.english_songs(spark, str(tmp_path)).collect()}
+    assert got == {k: (220, 2 if m <= 2.5 else 3) for k, m in means.items()}
