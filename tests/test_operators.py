@@ -1218,3 +1218,13 @@ def test_english_songs_add_ratings_in_the_order_of_rows(spark, tmp_path):
     assert len({m >= 2.5 for m in means.values()}) == 2
     got = {r["file"]: (r["seconds"], r["bucket"]) for r in queries_builders.english_songs(spark, str(tmp_path)).collect()}
     assert got == {k: (220, 2 if m <= 2.5 else 3) for k, m in means.items()}
+
+
+def test_expert_levels_add_up_in_the_order_of_rows(spark, tmp_path):
+    from tessera.plans import queries_corpora
+
+    made = _lines_of_middle_means(range(2000), lambda q, d, t: 125 - sum(q))
+    _in_parts(spark, tmp_path / "lineitem.parquet", made, LINES, [len(made) - 2500, 500, 1500, 500])
+    means = _added(made, lambda x: x[2] / 10)
+    got = {r["k"]: r["level"] for r in queries_corpora.expert_levels(spark, str(tmp_path)).collect()}
+    assert got == {k: "Mid" if m >= 2.5 else "Low" for k, m in means.items()} and len(set(got.values())) == 2
