@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import overlap
 from tessera.operators.intervals import overlap_join, sliding
+from tessera.operators.ordering import in_order
 from tessera.operators.scan import Line, Running
 from tessera.session import discard, grows, stored
 
@@ -22,11 +23,12 @@ def dominant_speaker(windows: DataFrame, segments: DataFrame, threshold: float,
     return ranked.where((F.col("_r") == 1) & (F.round("share", 9) >= threshold)).select("window_id", "speaker", "share")
 
 
-def trend_windows(trace: DataFrame, width: float = 30.0, step: float = 10.0, keys: tuple[str, ...] = ("episode_id",)) -> DataFrame:
+def trend_windows(trace: DataFrame, width: float = 30.0, step: float = 10.0, keys: tuple[str, ...] = ("episode_id",), order: list[str] | None = None) -> DataFrame:
     """Sliding windows over a trace (keys, t, value): means of both halves and their difference; a window needs values in both.
 
-    Each point goes to the windows that hold it, width / step or one more, so rows grow with the points.  Means and difference have nine
-    digits: the order in which Spark adds values up decides no threshold and no tie.
+    Each point goes to the windows that hold it, width / step or one more, so rows grow with the points.  Values are added up in
+    ``order``, columns of the trace; without one, means and difference have nine digits: the order in which Spark adds values up
+    decides no threshold and no tie.
     """
     k = list(keys)
     span = trace.groupBy(*k).agg(F.min("t").alias("_a"), F.max("t").alias("_z")).where(F.col("_z") - F.col("_a") >= width)
@@ -36,6 +38,9 @@ def trend_windows(trace: DataFrame, width: float = 30.0, step: float = 10.0, key
     held = trace.join(span, k).where(low <= high).withColumn("_i", F.explode(F.sequence(low, high))).withColumn("lo", F.col("_a") + F.col("_i") * step).withColumn("hi", F.col("_a") + F.col("_i") * step + width)
     points = held.where((F.col("t") >= F.col("lo")) & (F.col("t") <= F.col("hi")))
     half = F.col("t") < F.col("lo") + width / 2
+    if order:
+        means = in_order(points, [*k, "lo", "hi"], order, half1=F.avg(F.when(half, F.col("value"))), half2=F.avg(F.when(~half, F.col("value"))))
+        return means.where("half1 is not null and half2 is not null").withColumn("delta", F.col("half2") - F.col("half1"))
     means = points.groupBy(*k, "lo", "hi").agg(F.round(F.avg(F.when(half, F.col("value"))), 9).alias("half1"), F.round(F.avg(F.when(~half, F.col("value"))), 9).alias("half2"))
     return means.where("half1 is not null and half2 is not null").withColumn("delta", F.round(F.col("half2") - F.col("half1"), 9))
 

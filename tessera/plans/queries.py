@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numbers, text, timeparse
 from tessera.operators import events, intervals, retrieval, sampling
+from tessera.operators.ordering import placed
 from tessera.plans import adapters, metrics
 from tessera.plans.adapters import SQL_CV, SQL_EV, SQL_SC, read
 from tessera.sources import sinks
@@ -369,13 +370,14 @@ tw AS (SELECT episode_id, lo, hi, avg(v) FILTER (t < lo + 129600) AS h1, avg(v)
 
 
 def trends(spark, sf_dir) -> DataFrame:
-    trace = adapters.event_segments(spark, sf_dir).select("episode_id", F.col("start").alias("t"), F.col("label_score").alias("value"))
-    return events.trend_windows(trace, 259200.0, 86400.0)
+    """Values are added up in the order of the table's rows, as the SQL does with one thread: a difference of 0.08 may fall on either side."""
+    trace = placed(read(spark, sf_dir, "events")).select(F.col("user_id").alias("episode_id"), adapters.seconds("ts").alias("t"), "value", "_place")
+    return events.trend_windows(trace, 259200.0, 86400.0, order=["_place"])
 
 
 @query("sliding_trend", f"WITH {TREND_SQL} SELECT episode_id, round(lo, 3) AS lo, round(h1, 6) AS half1, round(h2, 6) AS half2 FROM tw WHERE abs(h2 - h1) > 0.08")
 def sliding_trend(spark, sf_dir):
-    return trends(spark, sf_dir).where("abs(delta) > 0.08").select("episode_id", numbers.rounded(F.col("lo"), 3).alias("lo"), F.round("half1", 6).alias("half1"), F.round("half2", 6).alias("half2"))
+    return trends(spark, sf_dir).where("abs(delta) > 0.08").select("episode_id", numbers.rounded(F.col("lo"), 3).alias("lo"), numbers.rounded(F.col("half1"), 6).alias("half1"), numbers.rounded(F.col("half2"), 6).alias("half2"))
 
 
 NMS_SQL = f"""WITH RECURSIVE {TREND_SQL}, c AS (SELECT *, round(abs(h2 - h1), 9) AS s FROM tw WHERE abs(h2 - h1) > 0.08), o AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY s DESC, lo, hi) AS r FROM c),
@@ -385,7 +387,7 @@ l AS (SELECT episode_id, arg_max(kept, r) AS kept FROM f GROUP BY 1), k AS (SELE
 
 
 def strongest(spark, sf_dir) -> DataFrame:
-    return events.suppressed(trends(spark, sf_dir).where("abs(delta) > 0.08"), ["episode_id"], F.round(F.abs("delta"), 9), 86400.0)
+    return events.suppressed(trends(spark, sf_dir).where("abs(delta) > 0.08"), ["episode_id"], numbers.rounded(F.abs("delta"), 9), 86400.0)
 
 
 @query("greedy_nms", NMS_SQL + " SELECT episode_id, round(k.lo, 3) AS lo, round(k.hi, 3) AS hi FROM k")

@@ -1228,3 +1228,38 @@ def test_expert_levels_add_up_in_the_order_of_rows(spark, tmp_path):
     means = _added(made, lambda x: x[2] / 10)
     got = {r["k"]: r["level"] for r in queries_corpora.expert_levels(spark, str(tmp_path)).collect()}
     assert got == {k: "Mid" if m >= 2.5 else "Low" for k, m in means.items()} and len(set(got.values())) == 2
+
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def _trend_events(users, delta, noise=60):
+    """Events of four days, in no order of time, and the means of each user's two halves, added up as they come; halves differ by ``delta`` of a hundredth."""
+    import datetime
+    import random
+
+    r, made, sums = random.Random(4), [], {}
+    for u in users:
+        v = [r.randint(1000, 9000) for _ in range(noise)]
+        w = [r.randint(1000, 9000) for _ in range(noise - 1)]
+        w.append(sum(v) + delta(u) * noise - sum(w))
+        at = [1.0 + k * 1000 for k in range(noise)]
+        made += [(u, a, x / 100) for a, x in zip(at, v, strict=True)] + [(u, 259200.0 - 1000 - a, x / 100) for a, x in zip(at, w, strict=True)]
+        made += [(u, 0.0, None), (u, 259200.0, None)]
+    r.shuffle(made)
+    start = datetime.datetime(2024, 1, 1)
+    for u, a, x in made:
+        if x is not None:
+            s = sums.setdefault(u, [0.0, 0.0])
+            s[a >= 129600] += x
+    return [(k, start + datetime.timedelta(seconds=a), u, "click", x, "") for k, (u, a, x) in enumerate(made)], {u: (s[0] / noise, s[1] / noise) for u, s in sums.items()}
+
+
+def test_sliding_trend_adds_up_in_the_order_of_rows(spark, tmp_path):
+    from tessera.plans import queries
+
+    made, means = _trend_events(range(300), lambda u: 8)
+    _in_parts(spark, tmp_path / "events.parquet", made, EVENTS, [len(made) - 6000, 1000, 3000, 2000])
+    want = {u for u, (a, b) in means.items() if abs(b - a) > 0.08}
+    assert 0 < len(want) < 300
+    assert {r["episode_id"] for r in queries.sliding_trend(spark, str(tmp_path)).collect()} == want
