@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.numbers import overlap
+from tessera.functions.numbers import overlap, rounded
 from tessera.operators.intervals import overlap_join, sliding
 from tessera.operators.ordering import in_order
 from tessera.operators.scan import Line, Running
@@ -90,7 +90,7 @@ def flat_window(windows: DataFrame, excluded: DataFrame, keys: list[str], guard:
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
     free = windows.join(ex, on, "left_anti")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round(F.abs("delta"), 9), "lo"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(rounded(F.abs("delta"), 9), "lo"))
     return free.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 

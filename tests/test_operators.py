@@ -1263,3 +1263,13 @@ def test_sliding_trend_adds_up_in_the_order_of_rows(spark, tmp_path):
     want = {u for u, (a, b) in means.items() if abs(b - a) > 0.08}
     assert 0 < len(want) < 300
     assert {r["episode_id"] for r in queries.sliding_trend(spark, str(tmp_path)).collect()} == want
+
+
+def test_flat_window_excludes_by_sums_in_the_order_of_rows(spark, tmp_path):
+    from tessera.plans import queries
+
+    made, means = _trend_events(range(300), lambda u: 6000)
+    _in_parts(spark, tmp_path / "events.parquet", made, EVENTS, [len(made) - 6000, 1000, 3000, 2000])
+    want = {u for u, (a, b) in means.items() if not abs(b - a) > 60}
+    assert 0 < len(want) < 300
+    assert {r["episode_id"] for r in queries.flat_window(spark, str(tmp_path)).collect()} == want
