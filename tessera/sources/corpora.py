@@ -66,11 +66,12 @@ def votes(spark: SparkSession, path: str) -> DataFrame:
     return by.select("FileName", F.map_from_entries(F.transform("o", lambda x: F.struct(x["c"], -x["k"]))).alias("votes"), F.get("o", F.lit(1))["c"].alias("secondary"))
 
 
-def emotion(spark: SparkSession, objects: str, consensus_path: str, detailed_path: str, audio_dir: str, scope: DataFrame | None = None, traced: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def emotion(spark: SparkSession, objects: str, consensus_path: str, detailed_path: str, audio_dir: str, scope: DataFrame | None = None, traced: DataFrame | None = None, voted_as: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(episodes, segments) of spoken recordings: ``objects`` is one JSON object, episode id to number to segment.
 
     ``scope`` (episode_id) limits the episodes, ``traced`` (episode_id) tells which have traces.  Segments carry labels: class, vote
     shares, second class, votes, levels from 0 to 1; without a row of consensus all of them are null and the shares empty.
+    ``voted_as`` is the name, made from ``seg_id``, by which the votes call a segment, if not by its own.
     """
     entries = readers.object_entries(spark, objects, f"map<string,{SPOKEN}>").select(F.col("key").alias("episode_id"), F.col("value").alias("segments"))
     if scope is not None:
@@ -78,12 +79,13 @@ def emotion(spark: SparkSession, objects: str, consensus_path: str, detailed_pat
     t = (traced if traced is not None else spark.createDataFrame([], "episode_id string")).select("episode_id").distinct().withColumn("ct_available", F.lit(True))
     episodes = entries.select("episode_id").join(t, "episode_id", "left").select("episode_id", F.concat(F.lit(f"{audio_dir}/"), "episode_id", F.lit(".flac")).alias("audio_path"), F.coalesce("ct_available", F.lit(False)).alias("ct_available"))
     flat = entries.select("episode_id", F.explode("segments").alias("number", "s"))
-    seg_id = F.concat("episode_id", F.lit("_"), F.lpad(F.col("number").cast("int").cast("string"), 4, "0"))
+    number = F.col("number").cast("int").cast("string")
+    seg_id = F.concat("episode_id", F.lit("_"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), "0"))
     rows = flat.select(seg_id.alias("seg_id"), "episode_id", F.coalesce("s.start", F.lit(0.0)).alias("start"), F.coalesce("s.end", F.lit(0.0)).alias("end"), F.coalesce(F.get("s.global_speaker2", F.lit(0)), F.lit("")).alias("speaker"), F.coalesce("s.text", F.lit("")).alias("text"))
     labels = consensus(spark, consensus_path).withColumnRenamed("FileName", "_c")
     voted = votes(spark, detailed_path).withColumnRenamed("FileName", "_v")
     file = F.concat("seg_id", F.lit(".wav"))
-    joined = rows.join(labels, file == F.col("_c"), "left").join(voted, file == F.col("_v"), "left")
+    joined = rows.join(labels, file == F.col("_c"), "left").join(voted, (file if voted_as is None else F.concat(voted_as, F.lit(".wav"))) == F.col("_v"), "left")
     known = F.col("_c").isNotNull()
     total = F.aggregate(F.map_values("votes"), F.lit(0).cast("long"), lambda a, x: a + x)
     level = lambda c: F.when(known, text.safe_level(F.trim(F.col(c))))
