@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.functions.numbers import tier
+from tessera.session import grows
 from tessera.sources import readers
 
 #: How conversations and episodes of one recording are called, the levels of the emotion scale, the dimensions of songs.
@@ -85,7 +86,7 @@ def emotion(spark: SparkSession, objects: str, consensus_path: str, detailed_pat
     labels = consensus(spark, consensus_path).withColumnRenamed("FileName", "_c")
     voted = votes(spark, detailed_path).withColumnRenamed("FileName", "_v")
     file = F.concat("seg_id", F.lit(".wav"))
-    joined = rows.join(labels, file == F.col("_c"), "left").join(voted, (file if voted_as is None else F.concat(voted_as, F.lit(".wav"))) == F.col("_v"), "left")
+    joined = rows.join(grows(labels), file == F.col("_c"), "left").join(grows(voted), (file if voted_as is None else F.concat(voted_as, F.lit(".wav"))) == F.col("_v"), "left")
     known = F.col("_c").isNotNull()
     total = F.aggregate(F.map_values("votes"), F.lit(0).cast("long"), lambda a, x: a + x)
     level = lambda c: F.when(known, text.safe_level(F.trim(F.col(c))))
